@@ -27,8 +27,3 @@ def weekday_from_sunday(ts: Column) -> Column:
 
 def iso_seconds(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-
-
-def span_hours(first_epoch: Column, last_epoch: Column) -> Column:
-    """Hours between two epoch seconds, at least one second."""
-    return F.greatest((last_epoch - first_epoch) / F.lit(3600.0), F.lit(1.0 / 3600.0))

@@ -69,35 +69,38 @@ def session_bucket_id(ip: Column, epoch: Column) -> Column:
     return F.md5(F.concat(ip, bucket.cast("string")).cast("binary"))
 
 
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a number; NULL for anything else."""
-    part = F.split(ip, r"\.")
-    number = sum((part[i].cast("bigint") * 256 ** (3 - i) for i in range(1, 4)),
-                 part[0].cast("bigint") * 256 ** 3)
-    return F.when(is_ipv4(ip), number)
+    return F.aggregate(F.split(F.when(is_ipv4(ip), ip), r"\."), F.lit(0).cast("bigint"),
+                       lambda acc, part: acc * 256 + part.cast("bigint"))
+
+
+def _with_hex_tail(ip: Column) -> Column:
+    """A dotted-quad tail written as two groups of hex digits."""
+    digits = F.lpad(F.hex(ipv4_number(F.regexp_extract(ip, rf"({_QUAD})\z", 1))), 8, "0")
+    tail = bind(digits, lambda d: F.concat(F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
+    return F.when(F.contains(ip, F.lit(".")),
+                  F.concat(F.regexp_replace(ip, rf"{_QUAD}\z", ""), tail)).otherwise(ip)
+
+
+def _groups(side: Column) -> Column:
+    return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
 
 
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text as 32 hex digits; NULL for anything else."""
-    bare = F.lower(F.split_part(ip, F.lit("%"), F.lit(1)))
-    quad = F.regexp_extract(bare, rf"({_QUAD})\z", 1)
-    quad_hex = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
-    whole = F.when(
-        quad != "",
-        F.concat(F.regexp_replace(bare, rf"{_QUAD}\z", ""),
-                 F.substring(quad_hex, 1, 4), F.lit(":"), F.substring(quad_hex, 5, 4)),
-    ).otherwise(bare)
-
-    def groups(side: Column) -> Column:
-        return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""),
-                           lambda g: F.lpad(g, 4, "0"))
-
-    left = groups(F.split_part(whole, F.lit("::"), F.lit(1)))
-    right = F.when(F.contains(whole, F.lit("::")),
-                   groups(F.split_part(whole, F.lit("::"), F.lit(2)))).otherwise(
-        F.array().cast("array<string>"))
-    gap = F.array_repeat(F.lit("0000"), F.lit(8) - F.size(left) - F.size(right))
-    return F.when(is_ipv6(ip), F.array_join(F.concat(left, gap, right), ""))
+    bare = _with_hex_tail(F.split_part(F.when(is_ipv6(ip), ip), F.lit("%"), F.lit(1)))
+    sides = bind(bare, lambda t: F.transform(F.split(t, "::"), _groups))
+    filled = bind(sides, lambda s: F.array_join(F.concat(
+        s[0],
+        F.array_repeat(F.lit("0000"), F.lit(8) - F.size(F.flatten(s))),
+        F.coalesce(F.get(s, F.lit(1)), F.array().cast("array<string>"))), ""))
+    return F.lower(filled)
 
 
 def ipv4_network_key(number: Column, prefix_len: Column) -> Column:

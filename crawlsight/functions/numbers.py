@@ -14,8 +14,8 @@ def to_number(value: Column, kind: str) -> Column:
 def model_input(value: Column) -> Column:
     """A model input: missing, non-numeric, NaN and infinite values count as 0."""
     number = to_number(value, "double")
-    finite = ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
-    return F.coalesce(F.when(finite, number), F.lit(0.0))
+    # NaN sorts above infinity
+    return F.coalesce(F.when(F.abs(number) < float("inf"), number), F.lit(0.0))
 
 
 def ratio(part: Column, whole: Column) -> Column:

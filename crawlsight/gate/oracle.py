@@ -70,7 +70,7 @@ FEATS = f"""raw_feats AS (
     coalesce(avg(bytes_sent), 0) AS avg_bytes,
     max(CASE WHEN {_is_bot("useragent")} THEN 1 ELSE 0 END) AS ua_is_known_bot,
     max(CASE WHEN {_is_web("useragent")} THEN 1 ELSE 0 END) AS ua_is_browser,
-    arg_min(useragent, (epoch_s, event_id)) FILTER (useragent NOT IN ('', '-')) AS sample,
+    arg_min(useragent, (epoch_s, useragent)) FILTER (useragent NOT IN ('', '-')) AS sample,
     min(epoch_s) AS first_s, max(epoch_s) AS last_s, max(truth) AS truth
   FROM sessioned GROUP BY ip),
 feats AS (
@@ -305,12 +305,12 @@ ORACLE: dict[str, str] = {
           167772160 + (user_id % 3) * 65536 + (user_id % 7) * 256 + user_id % 250 AS num FROM access_log),
       entries AS (
         SELECT DISTINCT ip AS entry, 'exact' AS kind, CAST(NULL AS BIGINT) AS prefix_len,
-          CAST(NULL AS VARCHAR) AS net_key FROM hosts WHERE event_id % 6 IN (0, 1) AND ip IS NOT NULL
+          '=' || ip AS match_key FROM hosts WHERE event_id % 6 IN (0, 1) AND ip IS NOT NULL
         UNION SELECT host || '/' || len, 'cidr', len,
           '4/' || len || '/' || (num // CAST(pow(2, 32 - len) AS BIGINT)) FROM (
             SELECT *, CASE event_id % 6 WHEN 3 THEN 8 + user_id % 25 ELSE 30 + user_id % 6 END AS len
             FROM hosts WHERE event_id % 6 IN (3, 4)) WHERE len <= 32)
-      SELECT entry, kind, prefix_len, net_key FROM entries""",
+      SELECT entry, kind, prefix_len, match_key FROM entries""",
     "flagged_ips": _F + f"SELECT ip FROM feats WHERE {_RISK} >= 0.5",
     "cidr_blocklist": _B + f"""SELECT cidr_block FROM bot_events WHERE cidr_block <> ''
         GROUP BY cidr_block HAVING {_RATIO.format(_BOTS, "count(*)")} > 0.5""",

@@ -1,7 +1,7 @@
 """Allowlist parsing and membership.
 
-Membership is decided once per distinct address by equi-joins: on the text for exact
-entries, on (prefix length, masked address) for networks, so the list may grow without a
+Membership is decided once per distinct address by an equi-join: on the text for exact
+entries, on prefix length and masked address for networks, so the list may grow without a
 range join or a forced broadcast. The matched addresses are then joined to the requests;
 the optimizer broadcasts them only when their measured size allows it.
 """
@@ -14,44 +14,59 @@ from pyspark.sql import functions as F
 from ..functions import network
 
 
-def _power_of_two(n: Column) -> Column:
+def _is_power_of_two(n: Column) -> Column:
     return n.bitwiseAND(n - 1) == 0
 
 
-def _prefix_length(suffix: Column, bits: int) -> Column:
-    """Prefix length of '/24', '/255.255.255.0' or '/0.0.0.255'; NULL when it is none."""
-    digits = F.when(suffix.rlike(r"\A\d+\z"), suffix.try_cast("int"))
-    length = F.when(digits <= bits, digits)
-    if bits == 32:
-        mask = network.ipv4_number(suffix)
-        ones = F.bit_count(mask)
-        length = (F.when(suffix.rlike(r"\A\d+\z"), length)
-                  .when(_power_of_two(F.lit(2 ** 32) - mask), ones)
-                  .when(_power_of_two(mask + 1), F.lit(32) - ones))
-    return length.cast("int")
+def _mask_length(mask: Column) -> Column:
+    """Prefix length of a netmask, else of a hostmask; NULL for a mask with holes."""
+    ones = F.bit_count(mask)
+    return (F.when(_is_power_of_two(F.lit(2 ** 32) - mask), ones)
+            .when(_is_power_of_two(mask + 1), F.lit(32) - ones))
+
+
+def _prefix_length(suffix: Column, is_v4: Column) -> Column:
+    """Prefix length of '24', '255.255.255.0' or '0.0.0.255'; NULL when it is none."""
+    number = F.when(suffix.rlike(r"\A\d+\z"), suffix.try_cast("int"))
+    bits = F.when(is_v4, 32).otherwise(128)
+    by_mask = F.when(is_v4, network.bind(network.ipv4_number(suffix), _mask_length))
+    return F.coalesce(F.when(number <= bits, number), by_mask).cast("int")
+
+
+def _network(base: Column, suffix: Column) -> Column:
+    """Struct of prefix_len and match_key; NULL when the text is no network."""
+    def keyed(is_v4, length):
+        v4 = network.bind(network.ipv4_number(base), lambda n: network.ipv4_network_key(n, length))
+        v6 = network.bind(network.ipv6_hex(base), lambda d: network.ipv6_network_key(d, length))
+        key = F.when(is_v4, v4).otherwise(v6)
+        return F.when(length.isNotNull() & key.isNotNull(),
+                      F.struct(length.alias("prefix_len"), key.alias("match_key")))
+
+    return network.bind(network.is_ipv4(base), lambda is_v4: network.bind(
+        _prefix_length(suffix, is_v4), lambda length: keyed(is_v4, length)))
+
+
+def exact_key(ip: Column) -> Column:
+    return F.concat(F.lit("="), ip)
 
 
 def parse_allowlist(lines: DataFrame) -> DataFrame:
-    """Entries of allowlist text (column `value`): entry, kind, prefix_len, net_key.
+    """Entries of allowlist text (column `value`): entry, kind, prefix_len, match_key.
 
     Blank lines and comments are skipped, networks that do not parse are dropped, host
     bits below the prefix are ignored, entries are unique.
     """
-    entry = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
-    base = F.split_part(F.col("entry"), F.lit("/"), F.lit(1))
-    suffix = F.regexp_extract("entry", r"^[^/]*/(.*)$", 1)
-    v4, v6 = network.is_ipv4(base), network.is_ipv6(base)
-    prefix = F.when(v4, _prefix_length(suffix, 32)).when(v6, _prefix_length(suffix, 128))
-    key = (F.when(v4, network.ipv4_network_key(network.ipv4_number(base), F.col("prefix_len")))
-           .when(v6, network.ipv6_network_key(network.ipv6_hex(base), F.col("prefix_len"))))
-    is_network = F.contains(F.col("entry"), F.lit("/"))
-    return (lines.select(entry.alias("entry"))
-            .filter((F.col("entry") != "") & ~F.startswith(F.col("entry"), F.lit("#")))
-            .distinct()
-            .withColumn("kind", F.when(is_network, "cidr").otherwise("exact"))
-            .withColumn("prefix_len", F.when(is_network, prefix))
-            .withColumn("net_key", F.when(is_network, key))
-            .filter((F.col("kind") == "exact") | F.col("prefix_len").isNotNull()))
+    entry = F.col("entry")
+    trimmed = F.regexp_replace("value", r"^\s+|\s+$", "")
+    entries = (lines.select(trimmed.alias("entry"))
+               .filter((entry != "") & ~F.startswith(entry, F.lit("#"))).distinct())
+    exact = F.struct(F.lit(None).cast("int").alias("prefix_len"), exact_key(entry).alias("match_key"))
+    net = _network(F.split_part(entry, F.lit("/"), F.lit(1)),
+                   F.regexp_extract(entry, r"^[^/]*/(.*)$", 1))
+    is_network = F.contains(entry, F.lit("/"))
+    return (entries.select(entry, F.when(is_network, "cidr").otherwise("exact").alias("kind"),
+                           F.when(is_network, net).otherwise(exact).alias("m"))
+            .filter("m is not null").select("entry", "kind", "m.*"))
 
 
 def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
@@ -61,27 +76,25 @@ def read_allowlist(spark: SparkSession, path: str) -> DataFrame:
 def allowlisted_addresses(addresses: DataFrame, allowlist: DataFrame) -> DataFrame:
     """The distinct `ip` values that the allowlist covers.
 
-    An address is expanded to one key per prefix length in use, at most 33 for IPv4 and
-    129 for IPv6. The anonymised dotted form matches exact entries only.
+    An address is expanded to its text and one key per prefix length in use, at most 33
+    for IPv4 and 129 for IPv6. The anonymised dotted form matches exact entries only.
     """
+    ip = F.col("ip")
     ips = addresses.select("ip").filter("ip is not null").distinct()
-    exact = allowlist.filter("kind = 'exact'").select(F.col("entry").alias("ip"))
-    nets = allowlist.filter("kind = 'cidr'")
-    lengths = nets.select(F.sort_array(F.collect_set(
-        F.concat(F.left("net_key", F.lit(1)), F.lit(":"), F.col("prefix_len").cast("string")))))
-    used = lambda family: F.transform(
-        F.filter(F.col("used"), lambda x: F.startswith(x, F.lit(family))),
-        lambda x: F.substr(x, F.lit(3)).cast("int"))
-    keys = (F.when(network.is_ipv4(F.col("ip")), F.transform(
-                used("4"), lambda n: network.ipv4_network_key(F.col("number"), n)))
-            .when(network.is_ipv6(F.col("ip")), F.transform(
-                used("6"), lambda n: network.ipv6_network_key(F.col("digits"), n))))
-    expanded = (ips.select("ip", network.ipv4_number(F.col("ip")).alias("number"),
-                           network.ipv6_hex(F.col("ip")).alias("digits"),
-                           lengths.scalar().alias("used"))
-                .select("ip", F.explode(keys).alias("net_key")))
-    by_network = expanded.join(nets.select("net_key"), "net_key", "left_semi").select("ip")
-    return ips.join(exact, "ip", "left_semi").unionByName(by_network).distinct()
+    used = allowlist.filter("kind = 'cidr'").agg(F.collect_set(F.struct(
+        F.left("match_key", F.lit(1)).alias("family"), "prefix_len"))).scalar()
+    lengths = lambda family: F.filter(
+        F.col("used"), lambda n: n["family"] == family)
+    v4_keys = network.bind(network.ipv4_number(ip), lambda number: F.transform(
+        lengths("4"), lambda n: network.ipv4_network_key(number, n["prefix_len"])))
+    v6_keys = network.bind(network.ipv6_hex(ip), lambda digits: F.transform(
+        lengths("6"), lambda n: network.ipv6_network_key(digits, n["prefix_len"])))
+    networks = (F.when(network.is_ipv4(ip), v4_keys).when(network.is_ipv6(ip), v6_keys)
+                .otherwise(F.array().cast("array<string>")))
+    keys = F.concat(F.array(exact_key(ip)), networks)
+    return (ips.withColumn("used", used).select("ip", F.explode(keys).alias("match_key"))
+            .join(allowlist.select("match_key"), "match_key", "left_semi")
+            .select("ip").distinct())
 
 
 def flag_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:

@@ -15,13 +15,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, useragent, verdicts
 from .sessions import HOUR, SESSION_GAP_SECONDS, usable_requests
 
-_SECOND_SUMS = ["requests", "errors", "not_found", "bytes_sum", "bytes_n"]
+_SUMS = ["requests", "errors", "not_found", "bytes_sum", "bytes_n"]
+_SUM_COLUMNS = [f"sum({c}) AS {c}" for c in _SUMS] + ["max(truth) AS truth"]
+
+
+def _agg(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*map(F.expr, columns))
 
 
 @dataclass(frozen=True)
@@ -37,99 +42,83 @@ class Partials:
 
 
 def partials(log: DataFrame) -> Partials:
-    """Partial tables of a slice of the log (ip, epoch_s, event_id, useragent, path,
-    status_code, bytes_sent and, where the source has one, gt_is_robot)."""
+    """Partial tables of a slice of the log (ip, epoch_s, useragent, path, status_code,
+    bytes_sent and, where the source has one, gt_is_robot)."""
     log = usable_requests(log)
-    truth = F.col("gt_is_robot") if "gt_is_robot" in log.columns else F.lit(None).cast("int")
-    flag = lambda test: F.sum(F.when(test, 1).otherwise(0))
-    seconds = log.groupBy("ip", "epoch_s").agg(
-        F.count(F.lit(1)).alias("requests"),
-        flag(F.col("status_code") >= 400).alias("errors"),
-        flag(F.col("status_code") == 404).alias("not_found"),
-        F.sum("bytes_sent").alias("bytes_sum"),
-        F.count("bytes_sent").alias("bytes_n"),
-        F.max(truth).alias("truth"),
-    )
+    truth = "gt_is_robot" if "gt_is_robot" in log.columns else "CAST(NULL AS INT)"
+    seconds = _agg(
+        log, ["ip", "epoch_s"],
+        "count(1) AS requests",
+        "count_if(status_code >= 400) AS errors",
+        "count_if(status_code = 404) AS not_found",
+        "sum(bytes_sent) AS bytes_sum",
+        "count(bytes_sent) AS bytes_n",
+        f"max({truth}) AS truth")
     paths = log.filter(F.col("path").isNotNull()).select("ip", "path").distinct()
     agents = (log.withColumn("useragent", F.coalesce("useragent", F.lit("")))
               .groupBy("ip", "useragent")
-              .agg(F.min(F.struct("epoch_s", "event_id")).alias("first_at")))
+              .agg(F.min("epoch_s").alias("first_s")))
     return Partials(seconds, paths, agents)
 
 
 def merge(parts: Partials) -> Partials:
     """One row per key again after a union of slices."""
-    seconds = parts.seconds.groupBy("ip", "epoch_s").agg(
-        *[F.sum(c).alias(c) for c in _SECOND_SUMS], F.max("truth").alias("truth"))
-    agents = parts.agents.groupBy("ip", "useragent").agg(F.min("first_at").alias("first_at"))
-    return Partials(seconds, parts.paths.distinct(), agents)
+    return Partials(_agg(parts.seconds, ["ip", "epoch_s"], *_SUM_COLUMNS),
+                    parts.paths.distinct(),
+                    _agg(parts.agents, ["ip", "useragent"], "min(first_s) AS first_s"))
 
 
 def _hours(seconds: DataFrame, gap_seconds: int) -> DataFrame:
     """Per (client, hour): sums, and the gaps between its active seconds."""
-    keyed = seconds.withColumn("hour", F.floor(F.col("epoch_s") / HOUR))
-    in_hour = Window.partitionBy("ip", "hour").orderBy("epoch_s")
-    gap = F.col("epoch_s") - F.lag("epoch_s").over(in_hour)
-    return keyed.withColumn("gap", gap).groupBy("ip", "hour").agg(
-        *[F.sum(c).alias(c) for c in _SECOND_SUMS],
-        F.max("truth").alias("truth"),
-        F.min("epoch_s").alias("first_s"), F.max("epoch_s").alias("last_s"),
-        F.sum(F.col("gap") * F.col("gap")).alias("gap_squares"),
-        F.min("gap").alias("min_gap"),
-        F.max(F.col("requests") > 1).alias("shared_second"),
-        F.sum(F.when(F.col("gap") > gap_seconds, 1).otherwise(0)).alias("breaks"),
-    )
-
-
-def _sample_std(squares: Column, total: Column, n: Column) -> Column:
-    """Sample deviation of n whole numbers; the difference is taken exactly."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    spread = wide(n) * wide(squares) - wide(total) * wide(total)
-    below = n.cast("double") * (n - 1).cast("double")
-    return F.when(n > 1, F.sqrt(spread.cast("double") / below)).otherwise(F.lit(0.0))
+    gapped = seconds.selectExpr("*", f"epoch_s DIV {HOUR} AS hour").selectExpr(
+        "*", "epoch_s - lag(epoch_s) OVER (PARTITION BY ip, hour ORDER BY epoch_s) AS gap")
+    return _agg(
+        gapped, ["ip", "hour"], *_SUM_COLUMNS,
+        "min(epoch_s) AS first_s", "max(epoch_s) AS last_s",
+        "sum(gap * gap) AS gap_squares", "min(gap) AS min_gap",
+        "max(requests) > 1 AS shared_second",
+        f"count_if(gap > {gap_seconds}) AS breaks")
 
 
 def _behaviour(seconds: DataFrame, gap_seconds: int) -> DataFrame:
-    by_hour = Window.partitionBy("ip").orderBy("hour")
-    hours = _hours(seconds, gap_seconds).withColumn(
-        "edge_gap", F.col("first_s") - F.lag("last_s").over(by_hour))
-    edge = F.col("edge_gap")
-    zero = F.lit(0).cast("bigint")
-    total = hours.groupBy("ip").agg(
-        *[F.sum(c).alias(c) for c in _SECOND_SUMS],
-        F.max("truth").alias("truth"),
-        F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"),
-        (F.coalesce(F.sum("gap_squares"), zero)
-         + F.coalesce(F.sum(edge * edge), zero)).alias("gap_squares"),
-        F.min(F.least("min_gap", edge)).alias("min_gap"),
-        F.max("shared_second").alias("shared_second"),
-        (F.sum("breaks") + F.sum(F.when(edge > gap_seconds, 1).otherwise(0))).alias("breaks"),
-    )
-    n, span = F.col("requests"), F.col("last_s") - F.col("first_s")
-    shortest = F.when(F.col("shared_second"), 0).otherwise(F.coalesce("min_gap", zero))
-    share = lambda c: F.col(c).cast("double") / n.cast("double")
-    return total.select(
-        "ip", n.alias("req_count"),
-        F.when(n > 1, span / (n - 1)).otherwise(F.lit(0.0)).alias("avg_interval"),
-        _sample_std(F.col("gap_squares"), span, n - 1).alias("std_interval"),
-        shortest.cast("double").alias("min_interval"),
-        (n / clock.span_hours(F.col("first_s"), F.col("last_s"))).alias("requests_per_hour"),
-        (F.col("breaks") + 1).alias("session_count"),
-        (n / (F.col("breaks") + 1)).alias("avg_session_length"),
-        share("errors").alias("error_rate"), share("not_found").alias("rate_404"),
-        F.when(F.col("bytes_n") > 0, F.col("bytes_sum") / F.col("bytes_n"))
-        .otherwise(F.lit(0.0)).alias("avg_bytes"),
-        "first_s", "last_s", "truth",
-    )
+    """Per client: the hours and the gaps between them put together.
+
+    The gaps are whole numbers and add up to the span, so their deviation comes from exact
+    sums; the subtraction is done in decimals.
+    """
+    hours = _hours(seconds, gap_seconds).selectExpr(
+        "*", "first_s - lag(last_s) OVER (PARTITION BY ip ORDER BY hour) AS edge")
+    total = _agg(
+        hours, ["ip"], *_SUM_COLUMNS,
+        "min(first_s) AS first_s", "max(last_s) AS last_s",
+        "sum(coalesce(gap_squares, 0) + coalesce(edge * edge, 0)) AS gap_squares",
+        "min(least(min_gap, edge)) AS min_gap", "max(shared_second) AS shared_second",
+        f"sum(breaks) + count_if(edge > {gap_seconds}) + 1 AS sessions")
+    sized = total.selectExpr(
+        "*", "requests - 1 AS gaps", "last_s - first_s AS span",
+        "CAST(gap_squares AS DECIMAL(19, 0)) AS squares_exact",
+        "CAST(last_s - first_s AS DECIMAL(19, 0)) AS span_exact",
+        "CAST(requests - 1 AS DECIMAL(19, 0)) AS gaps_exact")
+    return sized.selectExpr(
+        "ip", "requests AS req_count",
+        "CASE WHEN gaps > 0 THEN span / gaps ELSE 0D END AS avg_interval",
+        """CASE WHEN gaps > 1 THEN sqrt(CAST(gaps_exact * squares_exact - span_exact * span_exact
+               AS DOUBLE) / (CAST(gaps AS DOUBLE) * (gaps - 1))) ELSE 0D END AS std_interval""",
+        "CAST(CASE WHEN shared_second THEN 0 ELSE coalesce(min_gap, 0) END AS DOUBLE) AS min_interval",
+        "requests / greatest(span / 3600D, 1D / 3600D) AS requests_per_hour",
+        "sessions AS session_count", "requests / sessions AS avg_session_length",
+        "errors / requests AS error_rate", "not_found / requests AS rate_404",
+        "CASE WHEN bytes_n > 0 THEN bytes_sum / bytes_n ELSE 0D END AS avg_bytes",
+        "first_s", "last_s", "truth")
 
 
 def _agents(agents: DataFrame) -> DataFrame:
-    """Flags over all user agents; entropy of the earliest usable one."""
+    """Flags over all user agents; entropy of the earliest usable one (by name within a second)."""
     ua = F.col("useragent")
     per_client = agents.groupBy("ip").agg(
         F.max(useragent.is_known_bot(ua).cast("int")).alias("ua_is_known_bot"),
         F.max(useragent.is_browser(ua).cast("int")).alias("ua_is_browser"),
-        F.min_by(ua, F.when(useragent.is_usable(ua), F.col("first_at"))).alias("sample"),
+        F.min_by(ua, F.when(useragent.is_usable(ua), F.struct("first_s", ua))).alias("sample"),
     )
     return per_client.select("ip", "ua_is_known_bot", "ua_is_browser",
                              useragent.char_entropy(F.col("sample")).alias("ua_entropy"))

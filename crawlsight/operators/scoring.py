@@ -113,8 +113,8 @@ def bulk_score(wanted: DataFrame, profiles: DataFrame, allowlist: DataFrame,
     Each distinct address is looked up and scored once.
     """
     stored = profiles.drop("risk_score", "is_bot", "threshold_used", "model_version")
-    distinct = wanted.select("ip").distinct().join(stored, "ip", "left")
-    scored = flag_allowlisted(score(distinct, model, threshold), allowlist).select(
+    distinct = flag_allowlisted(wanted.select("ip").distinct(), allowlist)
+    scored = score(distinct.join(stored, "ip", "left"), model, threshold).select(
         "ip",
         F.when(F.col("allowlisted"), F.lit(0.0)).otherwise(F.col("risk_score")).alias("risk_score"),
         (F.col("is_bot") & ~F.col("allowlisted")).alias("is_bot"))

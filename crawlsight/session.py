@@ -23,6 +23,12 @@ RUNTIME_SETTINGS = {
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+# Settings only a new session takes.
+STARTUP_SETTINGS = {
+    # no Python stack trace per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 _own_scratch: dict[str, str] = {}
 
 
@@ -30,7 +36,7 @@ def build_session(app_name: str = "crawlsight", master: str | None = None, **set
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_SETTINGS, **settings}.items():
+    for key, value in {**STARTUP_SETTINGS, **RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, str(value))
     return builder.getOrCreate()
 

@@ -47,13 +47,9 @@ def canonical(df: DataFrame) -> DataFrame:
     return rows.filter(keep)
 
 
-def for_features(log: DataFrame) -> DataFrame:
-    """Add what the feature job orders by: whole epoch seconds and a repeatable row key.
-
-    The key only breaks ties between requests of one client in the same second.
-    """
-    content = ["useragent", "path", "method", "status_code", "bytes_sent"]
-    return log.withColumns({"epoch_s": F.unix_seconds("ts"), "event_id": F.xxhash64(*content)})
+def with_epoch(log: DataFrame) -> DataFrame:
+    """Add the whole epoch second the feature and session jobs order by."""
+    return log.withColumn("epoch_s", F.unix_seconds("ts"))
 
 
 def read_logs(spark: SparkSession, path: str, layout: str | None = "canonical") -> DataFrame:

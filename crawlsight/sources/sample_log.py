@@ -6,7 +6,6 @@ Narrow projections only, so they work on batch and streaming reads alike.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EVENTS_SCHEMA = T.StructType([
@@ -40,61 +39,64 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events*.parquet")
 
 
+_SQUEEZE = "CASE WHEN user_id % 17 = 3 THEN 30000 WHEN user_id % 5 = 1 THEN 6000 ELSE 30 END"
+_OFFSET = (f"(unix_micros(CAST(ts AS TIMESTAMP)) - {DAY_ZERO} * 1000000L)"
+           f" DIV ({_SQUEEZE} * 1000000L)")
+_AGENT = "CASE user_id % 8 " + " ".join(
+    f"WHEN {slot} THEN '{name}'" for slot, name in USER_AGENTS.items()) + " END"
+
+ACCESS_LOG = {
+    "event_id": "event_id",
+    "ip": """CASE WHEN event_id % 997 = 996 THEN NULL
+                  WHEN user_id % 29 = 28 THEN concat('2001:db8::', user_id)
+                  WHEN user_id % 11 = 10 THEN concat('216.244.', 50000 + user_id % 15000)
+                  ELSE concat_ws('.', '10', user_id % 3, user_id % 7, user_id % 250) END""",
+    "epoch_s": f"{DAY_ZERO} + {_OFFSET}",
+    "ts": f"timestamp_seconds({DAY_ZERO} + {_OFFSET})",
+    "raw_ts": "CAST(ts AS TIMESTAMP)",
+    "useragent": _AGENT,
+    "path": """CASE WHEN event_id % 101 = 100 THEN NULL WHEN user_id % 13 = 4 THEN '/robots.txt'
+                    ELSE concat('/', event_type, '/', get_json_object(props, '$.k')) END""",
+    "method": "CASE event_type WHEN 'signup' THEN 'POST' WHEN 'error' THEN 'HEAD' ELSE 'GET' END",
+    "status_code": """CASE WHEN event_type = 'error' AND value > 30 THEN 500
+                           WHEN event_type = 'error' THEN 404
+                           WHEN user_id % 13 = 0 AND event_type IN ('view', 'click', 'signup') THEN 404
+                           ELSE 200 END""",
+    "bytes_sent": "CASE WHEN event_id % 103 = 102 THEN NULL ELSE floor(value * 100) END",
+    # where a source labels its clients; about one client in ten here
+    "gt_is_robot": "CASE user_id % 23 WHEN 5 THEN 1 WHEN 6 THEN 0 END",
+    "user_id": "user_id", "event_type": "event_type", "value": "value",
+}
+# a given risk and verdict, unknown for some requests
+SCORED = {
+    "risk_score": "CASE WHEN event_id % 107 <> 106 THEN round(least(value / 100, 1.0D), 4) END",
+    "is_bot": "CASE WHEN event_id % 107 <> 106 THEN int(value >= 50) END",
+}
+
+
+def _select(events: DataFrame, *columns: dict[str, str]) -> DataFrame:
+    return events.selectExpr(*[f"{sql} AS {name}" for part in columns for name, sql in part.items()])
+
+
 def access_log(events: DataFrame) -> DataFrame:
-    u, e, kind, value = (F.col(c) for c in ("user_id", "event_id", "event_type", "value"))
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    squeeze = F.when(u % 17 == 3, 30000).when(u % 5 == 1, 6000).otherwise(30).cast("bigint")
-    offset = F.floor((micros - DAY_ZERO * 1000000) / (squeeze * 1000000)).cast("bigint")
-    text = lambda number: number.cast("string")
-    ip = (F.when(e % 997 == 996, F.lit(None))
-          .when(u % 29 == 28, F.concat(F.lit("2001:db8::"), text(u)))
-          .when(u % 11 == 10, F.concat(F.lit("216.244."), text(50000 + u % 15000)))
-          .otherwise(F.concat_ws(".", F.lit("10"), text(u % 3), text(u % 7), text(u % 250))))
-    agent = F.lit(None).cast("string")
-    for slot, name in USER_AGENTS.items():
-        agent = F.when(u % 8 == slot, name).otherwise(agent)
-    return events.select(
-        "event_id",
-        ip.alias("ip"),
-        (DAY_ZERO + offset).alias("epoch_s"),
-        F.timestamp_seconds(DAY_ZERO + offset).alias("ts"),
-        F.col("ts").cast("timestamp").alias("raw_ts"),
-        agent.alias("useragent"),
-        F.when(e % 101 == 100, F.lit(None)).when(u % 13 == 4, "/robots.txt").otherwise(
-            F.concat(F.lit("/"), kind, F.lit("/"), F.get_json_object("props", "$.k"))).alias("path"),
-        F.when(kind == "signup", "POST").when(kind == "error", "HEAD").otherwise("GET").alias("method"),
-        F.when((kind == "error") & (value > 30), 500)
-        .when((kind == "error") | ((u % 13 == 0) & kind.isin("view", "click", "signup")), 404)
-        .otherwise(200).alias("status_code"),
-        F.when(e % 103 == 102, F.lit(None)).otherwise(F.floor(value * 100)).cast("bigint").alias("bytes_sent"),
-        # where a source labels its clients; about one client in ten here
-        F.when(u % 23 == 5, 1).when(u % 23 == 6, 0).cast("int").alias("gt_is_robot"),
-        "user_id", "event_type", "value",
-    )
+    return _select(events, ACCESS_LOG)
 
 
 def scored_requests(events: DataFrame) -> DataFrame:
-    """The access log with a given risk and verdict: input of the event log."""
-    unknown = F.col("event_id") % 107 == 106
-    return access_log(events).select(
-        "*",
-        F.when(~unknown, F.round(F.least(F.col("value") / 100, F.lit(1.0)), 4)).alias("risk_score"),
-        F.when(~unknown, (F.col("value") >= 50).cast("int")).alias("is_bot"),
-    )
+    """The access log with risk and verdict: input of the event log."""
+    return _select(events, ACCESS_LOG, SCORED)
 
 
 def labelled_scores(events: DataFrame) -> DataFrame:
     """Scores with a 0/1 truth for threshold searches."""
-    truth = (F.col("value") + (F.col("event_id") % 7) * 8 > 70).cast("int")
-    return (scored_requests(events).filter("risk_score is not null")
-            .select("event_id", F.col("risk_score").alias("score"), truth.alias("label")))
+    return (_select(events, {"event_id": "event_id", "score": SCORED["risk_score"],
+                             "label": "int(value + (event_id % 7) * 8 > 70)"})
+            .filter("score IS NOT NULL"))
 
 
 def forwarded_requests(events: DataFrame) -> DataFrame:
     """Requests as a proxy hands them on: a quarter names another first hop."""
-    e = F.col("event_id")
-    hop = F.concat(F.lit(" 198.51.100."), (F.col("user_id") % 200).cast("string"))
-    return access_log(events).select(
-        "*", F.when(e % 4 == 1, F.concat_ws(", ", hop, F.col("ip")))
-        .when(e % 4 == 2, "").alias("forwarded_for"))
-
+    ip = ACCESS_LOG["ip"]
+    return _select(events, ACCESS_LOG, {"forwarded_for": f"""
+        CASE event_id % 4 WHEN 1 THEN concat_ws(', ', concat(' 198.51.100.', user_id % 200), {ip})
+                          WHEN 2 THEN '' END"""})

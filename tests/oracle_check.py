@@ -60,7 +60,8 @@ def main(argv):
     sf = argv[0] if argv else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": 8, "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, oracles = gate.queries(), gate.oracle_sql()
