@@ -479,4 +479,47 @@ ORACLE: dict[str, str] = {
     "cv_folds": _F + """SELECT ip, is_robot, (row_number() OVER (PARTITION BY is_robot
         ORDER BY md5(ip || ':42'), ip) - 1) % least(5, (SELECT min(n) FROM (
           SELECT count(*) AS n FROM feats GROUP BY is_robot))) AS fold FROM feats""",
+    # a stream run over the available data emits what its watermark has passed
+    "stream_throughput": _B + f"""SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS bucket,
+        count(*) AS requests, {_BOTS} AS bots, {_HUMANS} AS humans
+        FROM (SELECT *, CAST(floor(timestamp / 300) * 300 AS BIGINT) AS s FROM bot_events)
+        WHERE s + 300 <= (SELECT max(epoch_s) - 600 FROM bot_events) GROUP BY s""",
+    "stream_rate_limit": _B + """SELECT ip AS client,
+        strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS requests
+        FROM (SELECT *, CAST(floor(timestamp / 60) * 60 AS BIGINT) AS s FROM bot_events)
+        WHERE s + 60 <= (SELECT max(epoch_s) - 600 FROM bot_events) GROUP BY ip, s
+        HAVING count(*) > 30""",
+    "stream_sessions": _with(LOG, GAPS) + """SELECT ip,
+        strftime(make_timestamp(min(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS start_ts,
+        strftime(make_timestamp(max(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS end_ts,
+        count(*) AS requests FROM sessioned GROUP BY ip, session_index
+        HAVING max(epoch_s) + 1800 <= (SELECT max(epoch_s) - 600 FROM gaps)""",
+    "stream_dedup": _B + """SELECT event_id,
+        strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%d %H:%M:%S') AS ts, ip, path, is_bot
+        FROM bot_events""",
+    "stream_alerts": _B + """SELECT ip, max(epoch_s) AS flagged_at, count(*) AS hits,
+        CAST(0 AS BIGINT) AS renewed FROM bot_events WHERE is_bot = 1
+        AND epoch_s // 60 * 60 + 60 <= (SELECT max(epoch_s) - 600 FROM bot_events WHERE is_bot = 1)
+        GROUP BY ip""",
+    "stream_score": _scored() + f""", judged AS (
+        SELECT *, {_TRUSTED.format("ip")} AS ok FROM verdicts WHERE ip IS NOT NULL)
+      SELECT event_id, ip, CASE WHEN ok THEN 0 ELSE risk END AS risk_score,
+        CAST(NOT ok AND risk >= 0.5 AS BIGINT) AS is_bot,
+        CASE WHEN ok THEN 'allowlisted' ELSE {_REASON} END AS reason,
+        CASE WHEN ok OR risk < 0.5 THEN 'allow' ELSE 'block' END AS decision,
+        CAST(CASE WHEN ok OR risk < 0.5 THEN 200 ELSE 429 END AS BIGINT) AS http_status,
+        CASE WHEN NOT ok AND risk >= 0.5 THEN 'CRITICAL' ELSE 'SAFE' END AS threat FROM judged""",
+    "stream_persist": _scored() + f""", seen AS (
+        SELECT * FROM verdicts WHERE ip IS NOT NULL AND NOT {_TRUSTED.format("ip")}),
+      per_ip AS (SELECT ip, count(*) AS events, CAST(max(epoch_s) AS DOUBLE) AS last_event,
+          max(epoch_s) FILTER (risk >= 0.5) AS flagged_at, max(req_count) AS n,
+          arg_max(risk, epoch_s) AS risk_score,
+          arg_max(CAST({_is_bot("useragent")} AS BIGINT), epoch_s) AS ua_is_known_bot
+        FROM seen GROUP BY ip)
+      SELECT ip, events, last_event, risk_score, CAST(risk_score >= 0.5 AS BIGINT) AS is_bot,
+        ua_is_known_bot,
+        CASE WHEN flagged_at > (SELECT max(epoch_s) FROM seen) - 3600 THEN flagged_at END AS flagged_at,
+        CASE WHEN flagged_at > (SELECT max(epoch_s) FROM seen) - 3600 THEN n END AS request_count_at_flag
+      FROM per_ip""",
+    "stream_features": _F + f"SELECT {_FEAT_COLS} FROM feats",
 }

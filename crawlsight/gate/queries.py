@@ -6,18 +6,19 @@ here, for comparison only; the library returns them untouched.
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import network
-from ..functions import clock
 from ..operators import (allowlist as allow, evaluation, features as feat, profiles, rollups,
                          scoring, sessions, training, validation)
-from ..schemas import FEATURES, MODEL_FEATURES
+from ..schemas import MODEL_FEATURES
 from ..session import prepare, scratch_dir
 from ..sources import (event_log, features as feature_table, groundtruth, logs, metrics,
-                       sample_log as sample)
+                       profiles as profile_store, sample_log as sample)
+from ..streaming import alerts, checks, features as live_features, monitors, run
 
 QUERIES: dict = {}
 
@@ -488,3 +489,155 @@ def choose_model(spark, sf):
 @query
 def cv_folds(spark, sf):
     return evaluation.assign_folds(features_of(spark, sf)).select("ip", "is_robot", "fold")
+
+
+# -- streams, run over the available data --------------------------------------
+
+def live_events(spark, sf) -> DataFrame:
+    scored = sample.scored_requests(sample.stream_events(spark, sf))
+    return scored.filter("ip is not null").withColumn("timestamp", F.col("epoch_s").cast("double"))
+
+
+@query
+def stream_throughput(spark, sf):
+    stream = monitors.throughput(live_events(spark, sf))
+    return run.replay(spark, stream, scratch_dir(spark, "throughput"))
+
+
+@query
+def stream_rate_limit(spark, sf):
+    stream = monitors.rate_limit_violations(live_events(spark, sf), F.col("ip"), IP_LIMIT)
+    return run.replay(spark, stream, scratch_dir(spark, "rate-limit"))
+
+
+@query
+def stream_sessions(spark, sf):
+    stream = monitors.client_sessions(live_events(spark, sf))
+    return run.replay(spark, stream, scratch_dir(spark, "sessions"))
+
+
+@query
+def stream_dedup(spark, sf):
+    columns = ["event_id", "ts", "ip", "path", "is_bot"]
+    twice = live_events(spark, sf).select(columns).unionByName(live_events(spark, sf).select(columns))
+    return run.replay(spark, monitors.deduplicated(twice), scratch_dir(spark, "dedup"))
+
+
+@query
+def stream_alerts(spark, sf):
+    stream = alerts.live_alerts(live_events(spark, sf))
+    return run.replay(spark, stream, scratch_dir(spark, "alerts"))
+
+
+@query
+def stream_summary(spark, sf):
+    folder = scratch_dir(spark, "summary")
+    run.finish(run.to_batches(monitors.summary(live_events(spark, sf)), run.snapshots(folder + "/t"),
+                              folder + "/checkpoint", once=True, mode="complete"))
+    return run.latest_snapshot(spark, folder + "/t")
+
+
+def checked(spark, sf, persist: bool) -> checks.CheckTables:
+    tables = checks.CheckTables(scratch_dir(spark, "checks"))
+    requests = live_events(spark, sf).drop("risk_score", "is_bot")
+    handler = checks.batch_handler(spark, tables, allowlist_of(spark), seeded(spark, sf),
+                                   persist=persist)
+    run.finish(run.to_batches(requests, handler, tables.folder + "/checkpoint", once=True))
+    return tables
+
+
+@query
+def stream_score(spark, sf):
+    return spark.read.parquet(checked(spark, sf, False).decisions).drop("batch_id")
+
+
+@query
+def stream_persist(spark, sf):
+    tables = checked(spark, sf, True)
+    stored = profile_store.read_profiles(spark, tables.profiles)
+    events = event_log.read_events(spark, tables.events).groupBy("ip").agg(
+        F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_event"))
+    live = profile_store.read_active_alerts(
+        spark, tables.alerts, events.agg(F.max("last_event")).scalar())
+    return (events.join(stored.select("ip", "risk_score", "is_bot", "ua_is_known_bot"), "ip")
+            .join(live.select("ip", "flagged_at", "request_count_at_flag"), "ip", "left"))
+
+
+@query
+def stream_features(spark, sf):
+    folder = scratch_dir(spark, "live-features")
+    log_of(spark, sf).repartition(4).write.parquet(folder + "/log")
+    stream = (spark.readStream.schema(log_of(spark, sf).schema)
+              .option("maxFilesPerTrigger", 1).parquet(folder + "/log"))
+    run.finish(run.to_batches(stream, live_features.partials_handler(folder),
+                              folder + "/checkpoint", once=True))
+    return live_features.current_features(spark, folder)
+
+
+# -- models ---------------------------------------------------------------------
+
+# Small models: these queries show the jobs, the library defaults are 200 trees and rounds.
+TREES, ROUNDS, DEPTH = 10, 5, 8
+
+
+def matrix_of(spark, sf) -> DataFrame:
+    """Model inputs, written once for the many passes of training."""
+    path = scratch_dir(spark, "matrix")
+    training.model_matrix(features_of(spark, sf), features=MODEL_FEATURES).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def candidates(features):
+    return {"random_forest": training.random_forest(features, TREES, DEPTH),
+            "gradient_boosting": training.gradient_boosting(features, ROUNDS)}
+
+
+def _fitted(spark, sf, name: str):
+    matrix = matrix_of(spark, sf)
+    return training.fit(candidates(MODEL_FEATURES)[name], matrix, MODEL_FEATURES), matrix
+
+
+def _train(name: str):
+    def run_query(spark, sf):
+        model, matrix = _fitted(spark, sf, name)
+        return training.probabilities(model, matrix, MODEL_FEATURES, "ip")
+
+    return run_query
+
+
+@query
+def train_rf(spark, sf):
+    return _train("random_forest")(spark, sf)
+
+
+@query
+def train_gbt(spark, sf):
+    return _train("gradient_boosting")(spark, sf)
+
+
+@query
+def rf_importances(spark, sf):
+    return training.importances(_fitted(spark, sf, "random_forest")[0], MODEL_FEATURES)
+
+
+@query
+def oof_scores(spark, sf):
+    return training.out_of_fold(candidates(MODEL_FEATURES)["random_forest"], matrix_of(spark, sf),
+                                MODEL_FEATURES, folds=3)
+
+
+@query
+def batch_score_model(spark, sf):
+    path = scratch_dir(spark, "model")
+    _fitted(spark, sf, "random_forest")[0].write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    return scoring.score_with_model(features_of(spark, sf), model, 0.35).select(
+        "ip", "risk_score", "is_bot", "reason")
+
+
+@query
+def train_groundtruth(spark, sf):
+    rows = gt_join(spark, sf)
+    features = ["n_chars", "n_words", "toxic"]
+    matrix = training.model_matrix(rows, "ID", "ROBOT", features)
+    return training.compare(matrix, features, candidates(features), "ID", folds=3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +38,18 @@ def write_updates(updates: DataFrame, path: str, batch_id, written_at: float | N
                    path, batch_id)
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Current profiles."""
-    return latest_cells(spark.read.schema(_STORED).parquet(path))
+def read_profiles(spark: SparkSession, path: str, without_batch=None) -> DataFrame:
+    """Current profiles; an empty table where nothing is stored yet.
+
+    A batch that runs again after a failure leaves its own earlier output out.
+    """
+    try:
+        stored = spark.read.schema(_STORED).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], PROFILE)
+    if without_batch is not None:
+        stored = stored.filter(F.col("batch_id") != str(without_batch))
+    return latest_cells(stored)
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
