@@ -497,10 +497,15 @@ ORACLE: dict[str, str] = {
     "stream_dedup": _B + """SELECT event_id,
         strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%d %H:%M:%S') AS ts, ip, path, is_bot
         FROM bot_events""",
-    "stream_alerts": _B + """SELECT ip, max(epoch_s) AS flagged_at, count(*) AS hits,
-        CAST(0 AS BIGINT) AS renewed FROM bot_events WHERE is_bot = 1
-        AND epoch_s // 60 * 60 + 60 <= (SELECT max(epoch_s) - 600 FROM bot_events WHERE is_bot = 1)
-        GROUP BY ip""",
+    "stream_alerts": _B + """, f AS (SELECT ip, event_id, epoch_s, CASE WHEN epoch_s - lag(epoch_s) OVER (
+          PARTITION BY ip ORDER BY epoch_s, event_id) <= 3600 THEN 0 ELSE 1 END AS fresh
+        FROM bot_events WHERE is_bot = 1),
+      p AS (SELECT *, sum(fresh) OVER (PARTITION BY ip ORDER BY epoch_s, event_id ROWS UNBOUNDED PRECEDING) AS k
+        FROM f)
+      SELECT ip, strftime(make_timestamp(min(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS first_flagged_at,
+        strftime(make_timestamp(max(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS flagged_at, count(*) AS hits,
+        strftime(make_timestamp((max(epoch_s) + 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS expires_at
+      FROM p GROUP BY ip, k HAVING max(epoch_s) + 3600 <= (SELECT max(epoch_s) - 600 FROM f)""",
     "stream_score": _scored() + f""", judged AS (
         SELECT *, {_TRUSTED.format("ip")} AS ok FROM verdicts WHERE ip IS NOT NULL)
       SELECT event_id, ip, CASE WHEN ok THEN 0 ELSE risk END AS risk_score,

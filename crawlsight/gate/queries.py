@@ -525,7 +525,7 @@ def stream_dedup(spark, sf):
 
 @query
 def stream_alerts(spark, sf):
-    stream = alerts.live_alerts(live_events(spark, sf))
+    stream = alerts.alert_periods(live_events(spark, sf))
     return run.replay(spark, stream, scratch_dir(spark, "alerts"))
 
 

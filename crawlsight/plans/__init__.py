@@ -1,0 +1 @@
+"""Whole jobs and SQL views put together from the operators."""

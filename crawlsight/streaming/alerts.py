@@ -1,55 +1,26 @@
-"""Live alerts that expire: one state value per flagged client, dropped after its TTL."""
+"""Live alerts that expire.
 
-from __future__ import annotations
+An alert holds until the TTL has passed since the client was last flagged. In event time
+that is a session window with the TTL as its gap: each further flag prolongs it, and its state
+is dropped with the watermark. Flags of one client merge inside each task before the
+shuffle. Alerts that are live right now are read from the stored alerts (`sources.profiles`),
+which the live checks write with every micro-batch.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.profiles import ALERT_TTL_SECONDS
 from .run import WATERMARK
 
-ALERT_SCHEMA = "ip string, flagged_at bigint, hits bigint, renewed boolean"
-
-
-class _LiveAlert(StatefulProcessor):
-    """Keeps the newest flag of a client; the store forgets it after the TTL."""
-
-    def __init__(self, ttl_seconds: int):
-        self._ttl_ms = ttl_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._alert = handle.getValueState("alert", "flagged_at bigint, hits bigint", self._ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        renewed = self._alert.exists()
-        newest, hits = self._alert.get() if renewed else (0, 0)
-        for chunk in rows:
-            newest = max(newest, int(chunk["flagged_at"].max()))
-            hits += int(chunk["hits"].sum())
-        self._alert.update((newest, hits))
-        yield pd.DataFrame({"ip": [key[0]], "flagged_at": [newest], "hits": [hits],
-                            "renewed": [renewed]})
-
-    def close(self) -> None:
-        pass
-
-
-def live_alerts(events: DataFrame, ttl_seconds: int = ALERT_TTL_SECONDS,
-                delay: str = WATERMARK) -> DataFrame:
-    """An alert row whenever flagged traffic of a client closes a minute.
 
-    Flags are counted per client and minute before the stateful step, which therefore
-    sees one row per client and minute however many requests there were.
-    """
-    minutes = (events.filter("is_bot = 1").withWatermark("ts", delay)
-               .groupBy("ip", F.window("ts", "1 minute").alias("w"))
-               .agg(F.max(F.unix_seconds("ts")).alias("flagged_at"),
-                    F.count(F.lit(1)).alias("hits"))
-               .select("ip", "flagged_at", "hits"))
-    return minutes.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=_LiveAlert(ttl_seconds), outputStructType=ALERT_SCHEMA,
-        outputMode="Append", timeMode="ProcessingTime")
+def alert_periods(events: DataFrame, ttl_seconds: int = ALERT_TTL_SECONDS,
+                  delay: str = WATERMARK) -> DataFrame:
+    """Expired alerts: first and last flag, number of flags, end of the alert."""
+    return (events.filter("is_bot = 1").withWatermark("ts", delay)
+            .groupBy("ip", F.session_window("ts", f"{ttl_seconds} seconds").alias("s"))
+            .agg(F.max("ts").alias("flagged_at"), F.count(F.lit(1)).alias("hits"))
+            .select("ip", F.col("s.start").alias("first_flagged_at"), "flagged_at", "hits",
+                    F.col("s.end").alias("expires_at")))
