@@ -15,7 +15,7 @@ from ..functions import network
 from ..operators import (allowlist as allow, evaluation, features as feat, profiles, rollups,
                          scoring, sessions, training, validation)
 from ..schemas import MODEL_FEATURES
-from ..session import prepare, scratch_dir
+from ..session import prepare, scratch_dir, written
 from ..sources import (event_log, features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store, sample_log as sample)
 from ..streaming import alerts, checks, features as live_features, monitors, run
@@ -582,9 +582,7 @@ TREES, ROUNDS, DEPTH = 10, 5, 8
 
 def matrix_of(spark, sf) -> DataFrame:
     """Model inputs, written once for the many passes of training."""
-    path = scratch_dir(spark, "matrix")
-    training.model_matrix(features_of(spark, sf), features=MODEL_FEATURES).write.parquet(path)
-    return spark.read.parquet(path)
+    return written(training.model_matrix(features_of(spark, sf), features=MODEL_FEATURES), "matrix")
 
 
 def candidates(features):

@@ -2,8 +2,9 @@
 
 Membership is decided once per distinct address by an equi-join: on the text for exact
 entries, on prefix length and masked address for networks, so the list may grow without a
-range join or a forced broadcast. The matched addresses are then joined to the requests;
-the optimizer broadcasts them only when their measured size allows it.
+range join or a forced broadcast. The matched addresses are written out and joined to the
+requests: the planner sees their size, broadcasts a short list, so that the requests are
+not shuffled, and shuffles for a long one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network
+from ..session import written
 
 
 def _is_power_of_two(n: Column) -> Column:
@@ -97,16 +99,20 @@ def allowlisted_addresses(addresses: DataFrame, allowlist: DataFrame) -> DataFra
             .select("ip").distinct())
 
 
+def _trusted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
+    return written(allowlisted_addresses(requests, allowlist), "allowlisted")
+
+
 def flag_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Add the boolean `allowlisted`."""
-    trusted = allowlisted_addresses(requests, allowlist).withColumn("_trusted", F.lit(True))
+    trusted = _trusted(requests, allowlist).withColumn("_trusted", F.lit(True))
     return (requests.join(trusted, "ip", "left")
             .withColumn("allowlisted", F.coalesce("_trusted", F.lit(False))).drop("_trusted"))
 
 
 def without_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
-    return requests.join(allowlisted_addresses(requests, allowlist), "ip", "left_anti")
+    return requests.join(_trusted(requests, allowlist), "ip", "left_anti")
 
 
 def only_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
-    return requests.join(allowlisted_addresses(requests, allowlist), "ip", "left_semi")
+    return requests.join(_trusted(requests, allowlist), "ip", "left_semi")

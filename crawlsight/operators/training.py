@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import model_input
-from ..schemas import MODEL_FEATURES
+from ..session import written
 from .evaluation import SEED, assign_folds, evaluate
 
 # Columns of a feature table that are no model inputs.
@@ -93,9 +93,9 @@ def out_of_fold(pipeline: Pipeline, matrix: DataFrame, features: list[str], key:
                 folds: int = 5, seed: int = SEED) -> DataFrame:
     """Probability of every row from the model that did not see its fold.
 
-    One fit per fold, each distributed; the matrix is cached for the fits.
+    One fit per fold, each distributed; the folded matrix is written once for the fits.
     """
-    folded = assign_folds(matrix, key, "label", folds, seed).persist()
+    folded = written(assign_folds(matrix, key, "label", folds, seed), "folds")
     present = [r.fold for r in folded.select("fold").distinct().collect()]  # at most `folds`
     parts = [probabilities(fit(pipeline, folded.filter(F.col("fold") != k), features),
                            folded.filter(F.col("fold") == k), features, key)
@@ -118,5 +118,5 @@ def compare(matrix: DataFrame, features: list[str], candidates: dict[str, Pipeli
     scores = reduce(DataFrame.unionByName, [
         out_of_fold(p, matrix, features, key, folds).withColumn("model", F.lit(name))
         for name, p in candidates.items()])
-    return evaluate(scores)
+    return evaluate(written(scores, "scores"))
 

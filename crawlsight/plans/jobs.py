@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import evaluation, features as feat, profiles, rollups, training
-from ..session import build_session, scratch_dir
+from ..session import build_session, written
 from ..sources import (features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store)
 
@@ -56,14 +56,10 @@ def build_features(spark: SparkSession, source: str, target: str) -> DataFrame:
 
 def _train(spark: SparkSession, matrix: DataFrame, features: list[str], target: str, key: str,
            trees: int, rounds: int, folds: int, label: str | None, dataset: str | None) -> DataFrame:
-    path = scratch_dir(spark, "matrix")
-    matrix.write.parquet(path)  # read many times by the fits
-    matrix = spark.read.parquet(path)
+    matrix = written(matrix, "matrix")
     candidates = {"random_forest": training.random_forest(features, trees),
                   "gradient_boosting": training.gradient_boosting(features, rounds)}
-    results_path = scratch_dir(spark, "results")
-    training.compare(matrix, features, candidates, key, folds).write.parquet(results_path)
-    results = spark.read.parquet(results_path)
+    results = written(training.compare(matrix, features, candidates, key, folds), "results")
     best = evaluation.choose_model(results)
     winner = best.first()["model"]
     model = training.fit(candidates[winner], matrix, features)

@@ -9,13 +9,9 @@ from pyspark.sql import functions as F
 from ..schemas import FEATURES
 
 
-def write_features(features: DataFrame, path: str, files_per_date: int = 16) -> None:
-    """Parquet partitioned by date.
-
-    Rows spread over a fixed number of files per date, so one busy date is not one task
-    and a small one is not a file per task.
-    """
-    (features.repartition("date", F.pmod(F.xxhash64("ip"), F.lit(files_per_date)))
+def write_features(features: DataFrame, path: str) -> None:
+    """Parquet partitioned by date: few files per date, a huge date split over tasks."""
+    (features.hint("rebalance", F.col("date"))
      .write.mode("overwrite").partitionBy("date").parquet(path))
 
 
