@@ -24,8 +24,11 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def round_exact(value: Column, digits: int) -> Column:
     """Round half-even on the exact binary value; for small result tables (goes through text)."""
-    text = F.replace(F.format_number(value.cast("double"), digits), F.lit(","), F.lit(""))
-    return text.cast("double")
+    number = value.cast("double")
+    text = F.replace(F.format_number(number, digits), F.lit(","), F.lit(""))
+    # the formatter always drops a lone half of the last place
+    half = 0.5 * 10.0 ** -digits
+    return F.when(number == half, F.lit(round(half, digits))).otherwise(text.cast("double"))
 
 
 def grouped_number(value: Column, digits: int) -> Column:
