@@ -104,14 +104,16 @@ def ipv6_hex(ip: Column) -> Column:
 
 
 def ipv4_network_key(number: Column, prefix_len: Column) -> Column:
+    """Text that two IPv4 numbers share exactly when their first `prefix_len` bits agree."""
     masked = F.call_function("shiftright", number, (F.lit(32) - prefix_len).cast("int"))
-    return F.concat_ws("/", F.lit("4"), prefix_len.cast("string"), masked.cast("string"))
+    return F.concat(F.lit("4/"), prefix_len.cast("string"), F.lit("/"), masked.cast("string"))
 
 
 def ipv6_network_key(digits: Column, prefix_len: Column) -> Column:
+    """The same for 32 hex digits."""
     whole = F.floor(prefix_len / F.lit(4)).cast("int")
     rest = (prefix_len - whole * 4).cast("int")
     nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).try_cast("int")
     masked = F.coalesce(F.call_function("shiftright", nibble, F.lit(4) - rest), F.lit(0))
-    return F.concat_ws("/", F.lit("6"), prefix_len.cast("string"),
-                       F.substr(digits, F.lit(1), whole), masked.cast("string"))
+    return F.concat(F.lit("6/"), prefix_len.cast("string"), F.lit("/"),
+                    F.substr(digits, F.lit(1), whole), F.lit("/"), masked.cast("string"))
