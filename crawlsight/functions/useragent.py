@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,17 +18,25 @@ KNOWN_BOT_TOKENS = (
 )
 BROWSER_TOKENS = ("chrome", "firefox", "safari", "edg", "opera", "msie", "trident")
 
-KNOWN_BOT_PATTERN = "(?i)(" + "|".join(KNOWN_BOT_TOKENS) + ")"
-BROWSER_PATTERN = "(?i)(" + "|".join(BROWSER_TOKENS) + ")"
+
+def _mentions(ua: Column, tokens: tuple[str, ...]) -> Column:
+    """Contains any token, whatever the case.
+
+    Plain substring search is several times faster than one pattern of all tokens, and a
+    token that holds another one adds nothing.
+    """
+    needed = [t for t in tokens if not any(o != t and o in t for o in tokens)]
+    low = F.lower(ua)
+    return F.coalesce(reduce(or_, [low.contains(t) for t in needed]), F.lit(False))
 
 
 def is_known_bot(ua: Column) -> Column:
-    return F.coalesce(ua.rlike(KNOWN_BOT_PATTERN), F.lit(False))
+    return _mentions(ua, KNOWN_BOT_TOKENS)
 
 
 def is_browser(ua: Column) -> Column:
     """A browser token and no automation token."""
-    return F.coalesce(ua.rlike(BROWSER_PATTERN), F.lit(False)) & ~is_known_bot(ua)
+    return _mentions(ua, BROWSER_TOKENS) & ~is_known_bot(ua)
 
 
 def is_usable(ua: Column) -> Column:
@@ -34,7 +45,10 @@ def is_usable(ua: Column) -> Column:
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the characters; 0 for missing or empty text."""
+    """Shannon entropy in bits over the characters; 0 for missing or empty text.
+
+    Costs far more than the token tests: take it per client or per distinct user agent.
+    """
     size = F.length(text)
     shares = F.transform(
         F.array_distinct(F.split(text, "")),

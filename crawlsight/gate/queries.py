@@ -633,6 +633,13 @@ def batch_score_model(spark, sf):
         "ip", "risk_score", "is_bot", "reason")
 
 
+@query
+def score_requests_model(spark, sf):
+    model, _ = _fitted(spark, sf, "random_forest")
+    scored = scoring.score_requests(requests_of(spark, sf), seeded(spark, sf), model, 0.35)
+    return scored.select("event_id", "ip", "risk_score", "is_bot", "reason")
+
+
 @query
 def train_groundtruth(spark, sf):
     rows = gt_join(spark, sf)

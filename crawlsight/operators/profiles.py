@@ -38,10 +38,14 @@ def seed_profiles(features: DataFrame, model: PipelineModel | None = None,
 
 def check_updates(scored: DataFrame, threshold: float = verdicts.DEFAULT_THRESHOLD,
                   model_version: str = RULES_VERSION) -> DataFrame:
-    """The update a scored request writes: user-agent features and score, with `updated_at`."""
+    """The update scored requests write, one row per client: score and user-agent features of
+    its newest request (by `updated_at`, then the higher risk)."""
+    newest = scored.groupBy("ip").agg(F.max(F.struct(
+        "updated_at", "risk_score", F.col("is_bot").cast("int").alias("is_bot"),
+        F.coalesce("useragent", F.lit("")).alias("useragent"))).alias("r")).select("ip", "r.*")
     ua = F.col("useragent")
-    return scored.select(
-        "ip", "updated_at", "risk_score", F.col("is_bot").cast("int").alias("is_bot"),
+    return newest.select(
+        "ip", "updated_at", "risk_score", "is_bot",
         useragent.is_known_bot(ua).cast("int").alias("ua_is_known_bot"),
         useragent.is_browser(ua).cast("int").alias("ua_is_browser"),
         useragent.char_entropy(ua).alias("ua_entropy"),

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import useragent, verdicts
 from ..functions.numbers import model_input
 from ..schemas import MODEL_FEATURES
+from ..session import written
 from .allowlist import flag_allowlisted
 
 _MODEL_COLUMNS = ("features_raw", "features", "rawPrediction", "probability", "prediction")
@@ -59,29 +60,41 @@ def explain_verdicts(df: DataFrame, threshold: float = verdicts.DEFAULT_THRESHOL
     return df.withColumn("reason", reason)
 
 
-def with_profiles(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+def _agent_columns(ua: Column) -> dict[str, Column]:
+    return {"ua_is_known_bot": useragent.is_known_bot(ua).cast("int"),
+            "ua_is_browser": useragent.is_browser(ua).cast("int"),
+            "ua_entropy": useragent.char_entropy(ua)}
+
+
+def with_profiles(requests: DataFrame, profiles: DataFrame, shared_agents: bool = False) -> DataFrame:
     """Requests with the stored profile of their client and the user-agent features of the
     request itself, which win over the stored ones when a user agent was sent.
 
-    One hot client skews only the request side; adaptive execution splits it.
+    One hot client skews only the request side; adaptive execution splits it. With
+    `shared_agents` the features are computed once per distinct user agent and joined back:
+    worth it where the entropy is used. The planner sees the size of that table.
     """
     cells = [c for c in profiles.columns if c != "ip" and c not in requests.columns]
     joined = requests.join(profiles.select("ip", *cells), "ip", "left")
     ua = F.col("useragent")
-    fresh = {
-        "ua_is_known_bot": useragent.is_known_bot(ua).cast("int"),
-        "ua_is_browser": useragent.is_browser(ua).cast("int"),
-        "ua_entropy": useragent.char_entropy(ua),
-    }
-    return joined.withColumns({
+    fresh = _agent_columns(ua)
+    if shared_agents:
+        agents = requests.select("useragent").filter(ua.isNotNull()).distinct()
+        table = written(agents.select("useragent", *[
+            col.alias(f"_{name}") for name, col in fresh.items()]), "agents")
+        joined = joined.join(table, "useragent", "left")
+        fresh = {name: F.col(f"_{name}") for name in fresh}
+    merged = joined.withColumns({
         c: F.when(ua.isNotNull(), fresh[c]).otherwise(F.col(c)) for c in fresh})
+    return merged.drop(*[f"_{c}" for c in fresh])
 
 
 def score_requests(requests: DataFrame, profiles: DataFrame, model: PipelineModel | None = None,
                    threshold: float = verdicts.DEFAULT_THRESHOLD) -> DataFrame:
     """Score requests on profile and user agent; clients without profile on the agent alone."""
     stored = profiles.drop("risk_score", "is_bot", "threshold_used", "model_version")
-    scored = score(with_profiles(requests, stored), model, threshold)
+    joined = with_profiles(requests, stored, shared_agents=model is not None)
+    scored = score(joined, model, threshold)
     zero = F.lit(0).cast("bigint")
     return scored.withColumns({"req_count": F.coalesce("req_count", zero),
                                "session_count": F.coalesce("session_count", zero)})

@@ -183,3 +183,12 @@ def test_views(spark):
     assert spark.sql("select sum(requests) from throughput_5m").first()[0] == spark.sql(
         "select count(*) from bot_events").first()[0]
     assert spark.sql("select total from top_paths order by total desc limit 1").first()[0] > 0
+
+
+def test_shared_agents_give_the_same_features(spark):
+    log = sample_log.access_log(sample_log.read_events(spark, SF))
+    stored = profiles.seed_profiles(features.ip_features(log)).drop("risk_score", "is_bot")
+    cols = ["event_id", "req_count", "ua_is_known_bot", "ua_is_browser", "ua_entropy"]
+    one = scoring.with_profiles(log, stored).select(cols)
+    two = scoring.with_profiles(log, stored, shared_agents=True).select(cols)
+    assert one.count() == two.count() and one.exceptAll(two).count() == 0
