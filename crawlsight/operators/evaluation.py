@@ -14,7 +14,6 @@ FOLDS = 5
 SEED = 42
 
 _GRID = [i / 100 for i in range(GRID_FIRST, GRID_LAST + 1)]
-SCORE_BUCKETS = 10_000
 
 
 def _or_zero(value: Column) -> Column:
@@ -75,14 +74,17 @@ def choose_threshold(sweep: DataFrame, group: list[str] | None = None,
 def auc_roc(scores: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Exact area under the ROC curve, ties counted half; NaN for a single class.
 
-    Scores are counted per distinct value, ranked inside 10,001 score buckets, and the
-    buckets are ranked against each other, so no ordered step sees all values at once.
+    Scores are counted per distinct value and cut into ranges of equal size, whatever their
+    distribution; values are ranked inside their range and the ranges against each other,
+    so no ordered step sees all values at once.
     """
     group = group or []
+    ranges = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     positive = F.sum("label").cast("bigint")
     values = (scores.groupBy(*group, "score")
               .agg(positive.alias("pos"), (F.count(F.lit(1)) - positive).alias("neg"))
-              .withColumn("bucket", F.floor(F.col("score") * SCORE_BUCKETS)))
+              .repartitionByRange(ranges, *group, "score")
+              .withColumn("bucket", F.spark_partition_id()))
     inside = (Window.partitionBy(*group, "bucket").orderBy("score")
               .rowsBetween(Window.unboundedPreceding, -1))
     across = (Window.partitionBy(*group).orderBy("bucket")

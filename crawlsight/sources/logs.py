@@ -68,7 +68,7 @@ def dump_records(lines: DataFrame) -> DataFrame:
     `lines` has a text column `value`. Everything before the first brace (the record id)
     and a trailing comma are cut; lines that hold no whole record are dropped.
     """
-    body = F.regexp_extract(F.trim("value"), r"^[^{]*(\{.*\}),*$", 1)
+    body = F.regexp_extract("value", r"^[^{]*(\{.*\})\s*,*\s*$", 1)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     schema = T.StructType(RAW_LOG.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = lines.select(F.when(body != "", F.from_json(body, schema, options)).alias("r"))
