@@ -103,6 +103,7 @@ def signals(features) -> Column:
     `features` maps a feature name to its column; a client without history gets
     the user-agent signals only.
     """
+    # Keys, labels, bands and wording of the signals.
     f = {name: _or_zero(features(name)) for name in (
         "req_count", "ua_is_known_bot", "ua_is_browser", "rate_404", "requests_per_hour",
         "unique_paths_ratio", "error_rate", "ua_entropy", "session_count")}
