@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 SESSION_BUCKET_SECONDS = 1800
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -69,11 +71,6 @@ def session_bucket_id(ip: Column, epoch: Column) -> Column:
     return F.md5(F.concat(ip, bucket.cast("string")).cast("binary"))
 
 
-def bind(value: Column, body) -> Column:
-    """`body(value)` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as a number; NULL for anything else."""
     return F.aggregate(F.split(F.when(is_ipv4(ip), ip), r"\."), F.lit(0).cast("bigint"),

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 # User-agent tokens of known automation and of browsers.
 KNOWN_BOT_TOKENS = (
     "bot", "crawl", "spider", "slurp", "googlebot", "bingbot", "baiduspider", "yandex",
@@ -26,8 +28,8 @@ def _mentions(ua: Column, tokens: tuple[str, ...]) -> Column:
     token that holds another one adds nothing.
     """
     needed = [t for t in tokens if not any(o != t and o in t for o in tokens)]
-    low = F.lower(ua)
-    return F.coalesce(reduce(or_, [low.contains(t) for t in needed]), F.lit(False))
+    found = bind(F.lower(ua), lambda low: reduce(or_, [low.contains(t) for t in needed]))
+    return F.coalesce(found, F.lit(False))
 
 
 def is_known_bot(ua: Column) -> Column:

@@ -158,7 +158,7 @@ def label_correlations(spark, sf) -> DataFrame:
 
 
 def stored_document(spark, sf) -> DataFrame:
-    results = evaluation.evaluate(two_models(spark, sf))
+    results = written(evaluation.evaluate(two_models(spark, sf)), "results")
     counts = rollups.class_balance(scores_of(spark, sf), "label")
     document = metrics.metrics_document(
         results, label_correlations(spark, sf), counts, evaluation.choose_model(results),
@@ -201,6 +201,11 @@ def seeded(spark, sf) -> DataFrame:
     return profiles.seed_profiles(features_of(spark, sf))
 
 
+def stored_profiles(spark, sf) -> DataFrame:
+    """Profiles as a table, the way scoring jobs find them."""
+    return written(seeded(spark, sf), "profiles")
+
+
 @query
 def seed_profiles(spark, sf):
     return seeded(spark, sf)
@@ -208,7 +213,7 @@ def seed_profiles(spark, sf):
 
 @query
 def profile_upsert(spark, sf):
-    old = seeded(spark, sf)
+    old = stored_profiles(spark, sf)
     scored = scoring.score_requests(log_of(spark, sf).filter("ip is not null"), old)
     updates = profiles.check_updates(scored.withColumn("updated_at", F.col("event_id")))
     return profiles.upsert(old, profiles.latest_cells(updates))
@@ -221,7 +226,7 @@ def profile_lookup(spark, sf):
 
 @query
 def active_alerts(spark, sf):
-    stored = seeded(spark, sf)
+    stored = stored_profiles(spark, sf)
     scored = scoring.score_requests(log_of(spark, sf).filter("ip is not null"), stored)
     flagged = scored.filter("is_bot").select(
         "ip", F.col("epoch_s").alias("flagged_at"), "reason",
@@ -287,7 +292,8 @@ def model_matrix(spark, sf):
                               .otherwise(rate.cast("string")))
              .withColumn("ua_entropy", F.nullif("ua_entropy", F.lit(0.0))))
     features = training.feature_columns(dirty)
-    return training.scaled_columns(training.model_matrix(dirty, features=features), features)
+    matrix = written(training.model_matrix(dirty, features=features), "matrix")
+    return training.scaled_columns(matrix, features)
 
 
 @query
@@ -305,7 +311,7 @@ def events_since(spark, sf):
 
 @query
 def score_requests(spark, sf):
-    scored = scoring.score_requests(requests_of(spark, sf), seeded(spark, sf))
+    scored = scoring.score_requests(requests_of(spark, sf), stored_profiles(spark, sf))
     return scored.select("event_id", "ip", "risk_score", "is_bot", "reason", "session_count",
                          "req_count", "last_seen", "ua_is_known_bot", "ua_is_browser")
 
@@ -313,7 +319,7 @@ def score_requests(spark, sf):
 @query
 def bulk_score(spark, sf):
     wanted = requests_of(spark, sf).select(F.col("event_id").alias("pos"), "ip")
-    return scoring.bulk_score(wanted, seeded(spark, sf), allowlist_of(spark))
+    return scoring.bulk_score(wanted, stored_profiles(spark, sf), allowlist_of(spark))
 
 
 @query
@@ -331,7 +337,7 @@ def explain_verdicts(spark, sf):
 @query
 def signal_breakdown(spark, sf):
     seen = requests_of(spark, sf).select("ip", F.coalesce("useragent", F.lit("")).alias("useragent"))
-    joined = scoring.with_profiles(seen.distinct(), seeded(spark, sf))
+    joined = scoring.with_profiles(seen.distinct(), stored_profiles(spark, sf))
     return scoring.signal_breakdown(joined, ["ip", "useragent"])
 
 
@@ -488,7 +494,8 @@ def choose_model(spark, sf):
 
 @query
 def cv_folds(spark, sf):
-    return evaluation.assign_folds(features_of(spark, sf)).select("ip", "is_robot", "fold")
+    labels = written(features_of(spark, sf).select("ip", "is_robot"), "labels")
+    return evaluation.assign_folds(labels).select("ip", "is_robot", "fold")
 
 
 # -- streams, run over the available data --------------------------------------
@@ -540,7 +547,7 @@ def stream_summary(spark, sf):
 def checked(spark, sf, persist: bool) -> checks.CheckTables:
     tables = checks.CheckTables(scratch_dir(spark, "checks"))
     requests = live_events(spark, sf).drop("risk_score", "is_bot")
-    handler = checks.batch_handler(spark, tables, allowlist_of(spark), seeded(spark, sf),
+    handler = checks.batch_handler(spark, tables, allowlist_of(spark), stored_profiles(spark, sf),
                                    persist=persist)
     run.finish(run.to_batches(requests, handler, tables.folder + "/checkpoint", once=True))
     return tables
@@ -636,7 +643,7 @@ def batch_score_model(spark, sf):
 @query
 def score_requests_model(spark, sf):
     model, _ = _fitted(spark, sf, "random_forest")
-    scored = scoring.score_requests(requests_of(spark, sf), seeded(spark, sf), model, 0.35)
+    scored = scoring.score_requests(requests_of(spark, sf), stored_profiles(spark, sf), model, 0.35)
     return scored.select("event_id", "ip", "risk_score", "is_bot", "reason")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import network
+from ..functions.binding import bind
 from ..session import written
 
 
@@ -31,20 +32,20 @@ def _prefix_length(suffix: Column, is_v4: Column) -> Column:
     """Prefix length of '24', '255.255.255.0' or '0.0.0.255'; NULL when it is none."""
     number = F.when(suffix.rlike(r"\A\d+\z"), suffix.try_cast("int"))
     bits = F.when(is_v4, 32).otherwise(128)
-    by_mask = F.when(is_v4, network.bind(network.ipv4_number(suffix), _mask_length))
+    by_mask = F.when(is_v4, bind(network.ipv4_number(suffix), _mask_length))
     return F.coalesce(F.when(number <= bits, number), by_mask).cast("int")
 
 
 def _network(base: Column, suffix: Column) -> Column:
     """Struct of prefix_len and match_key; NULL when the text is no network."""
     def keyed(is_v4, length):
-        v4 = network.bind(network.ipv4_number(base), lambda n: network.ipv4_network_key(n, length))
-        v6 = network.bind(network.ipv6_hex(base), lambda d: network.ipv6_network_key(d, length))
+        v4 = bind(network.ipv4_number(base), lambda n: network.ipv4_network_key(n, length))
+        v6 = bind(network.ipv6_hex(base), lambda d: network.ipv6_network_key(d, length))
         key = F.when(is_v4, v4).otherwise(v6)
         return F.when(length.isNotNull() & key.isNotNull(),
                       F.struct(length.alias("prefix_len"), key.alias("match_key")))
 
-    return network.bind(network.is_ipv4(base), lambda is_v4: network.bind(
+    return bind(network.is_ipv4(base), lambda is_v4: bind(
         _prefix_length(suffix, is_v4), lambda length: keyed(is_v4, length)))
 
 
@@ -87,9 +88,9 @@ def allowlisted_addresses(addresses: DataFrame, allowlist: DataFrame) -> DataFra
         F.left("match_key", F.lit(1)).alias("family"), "prefix_len"))).scalar()
     lengths = lambda family: F.filter(
         F.col("used"), lambda n: n["family"] == family)
-    v4_keys = network.bind(network.ipv4_number(ip), lambda number: F.transform(
+    v4_keys = bind(network.ipv4_number(ip), lambda number: F.transform(
         lengths("4"), lambda n: network.ipv4_network_key(number, n["prefix_len"])))
-    v6_keys = network.bind(network.ipv6_hex(ip), lambda digits: F.transform(
+    v6_keys = bind(network.ipv6_hex(ip), lambda digits: F.transform(
         lengths("6"), lambda n: network.ipv6_network_key(digits, n["prefix_len"])))
     networks = (F.when(network.is_ipv4(ip), v4_keys).when(network.is_ipv6(ip), v6_keys)
                 .otherwise(F.array().cast("array<string>")))

@@ -123,7 +123,7 @@ def assign_folds(df: DataFrame, key: str = "ip", label: str = "is_robot", folds:
 
     Rows are ranked by hash inside hash ranges; the ranges are few and are ranked against
     each other by their counts. A class never passes through one task. The number of folds
-    is at most the size of the smallest class.
+    is at most the size of the smallest class. Reads `df` three times: give it a table.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.col(key), F.lit(f":{seed}")).cast("binary")))
     prefix = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
