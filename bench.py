@@ -26,7 +26,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})  # scratch data goes to the warehouse
     spark.sparkContext.setLogLevel("ERROR")
     requests = spark.read.parquet(f"{sf_dir}/events.parquet").count()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +28,6 @@ STARTUP_SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-_own_scratch: dict[str, str] = {}
-
-
 def build_session(app_name: str = "crawlsight", master: str | None = None, **settings) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -50,18 +46,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local session without it."""
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where it is unset a session on one machine uses a folder in its warehouse; any other raises.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if sc.applicationId not in _own_scratch:
-        folder = tempfile.mkdtemp(prefix="crawlsight-")
-        sc.setCheckpointDir(folder)
-        _own_scratch[sc.applicationId] = folder
-    return _own_scratch[sc.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
