@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import binary_output, bpe, exact_dedup, simhash, ss_packing
 from .common import documents
 
 
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49408
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(ids, ranks).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ss_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_output.packed_matrices(
+        documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), WORD_BPE_IDS)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.scratch_index(spark)
     rows = exact_dedup.digests(documents(spark, sf_dir))
     return exact_dedup.judged(rows, index.add(rows))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op9_token_id_output, op10_exact_dedup)}
