@@ -6,14 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, exact_dedup, simhash, ss_packing
-from .common import documents
+from . import binary_output, bpe, exact_dedup, quality_rules, simhash, ss_packing, url_filter
+from .common import documents, labels
 
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49408
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(BYTE_RANKS)
     ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -32,6 +38,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+URL_RULES = [url_filter.UrlRule(v, r) for v, r in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+    ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "blocked_share")
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrices(
         documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), WORD_BPE_IDS)
@@ -44,4 +61,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op9_token_id_output, op10_exact_dedup)}
+    op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
+    op9_token_id_output, op10_exact_dedup)}
