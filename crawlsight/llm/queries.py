@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, exact_dedup, quality_rules, simhash, ss_packing, url_filter
-from .common import documents, labels
+from . import binary_output, bpe, brown_lm, exact_dedup, quality_rules, simhash, ss_packing, url_filter
+from .common import documents, labels, learns
 
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -49,6 +49,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "blocked_share")
 
 
+def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    in_training = learns(F.col("doc_id"), 7, 2)
+    model, counts = brown_lm.train(docs.filter(in_training))
+    return brown_lm.score(docs, model, counts).select(
+        "doc_id", (~in_training).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score", "perplexity")
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrices(
         documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), WORD_BPE_IDS)
@@ -62,4 +71,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
-    op9_token_id_output, op10_exact_dedup)}
+    op7_brown_class_lm, op9_token_id_output, op10_exact_dedup)}
