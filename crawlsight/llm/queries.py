@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_output, bpe, brown_lm, exact_dedup, quality_rules, simhash, ss_packing, url_filter
+from . import (binary_output, bpe, brown_lm, exact_dedup, quality_classifier, quality_rules, simhash,
+               ss_packing, url_filter)
 from .common import documents, labels, learns
 
 
@@ -58,6 +59,15 @@ def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score", "perplexity")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    in_training = learns(F.col("doc_id"), 3, 1)
+    space = quality_classifier.build_space(docs)
+    network = quality_classifier.fit(docs, labels(spark, sf_dir).filter(in_training), space)
+    return quality_classifier.score(docs, space, network).select(
+        "doc_id", (~in_training).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.packed_matrices(
         documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), WORD_BPE_IDS)
@@ -71,4 +81,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
-    op7_brown_class_lm, op9_token_id_output, op10_exact_dedup)}
+    op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup)}
