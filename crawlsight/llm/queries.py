@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (binary_output, bpe, brown_lm, exact_dedup, quality_classifier, quality_rules, simhash,
-               ss_packing, url_filter)
+from . import (binary_output, bpe, brown_lm, exact_dedup, quality_classifier, quality_rules, secret_scan,
+               simhash, ss_packing, url_filter)
 from .common import documents, labels, learns
 
 
@@ -50,6 +50,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "blocked_share")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return secret_scan.scan(docs, secret_scan.scanner_of(docs, path_col="source"), path_col="source")
+
+
 def op7_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     in_training = learns(F.col("doc_id"), 7, 2)
@@ -81,4 +86,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
-    op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup)}
+    op6_secret_scan, op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup)}
