@@ -8,16 +8,17 @@ met, up to a fixed number each, and only new parts go through the library.
 from __future__ import annotations
 
 import os
+from array import array
+from unicodedata import is_normalized
 
-import numpy as np
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
-WORDS_KEPT = 400_000
-PARTS_KEPT = 200_000
+WORDS_KEPT = 700_000
+PARTS_KEPT = 300_000
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict = {}
 
 
 def ship(spark: SparkSession, path: str) -> str:
@@ -33,6 +34,16 @@ def encoder(name: str) -> WordEncoder:
     return _encoders[name]
 
 
+def _byte_chars() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable Latin-1 as it is, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 class WordEncoder:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
 
@@ -48,32 +59,46 @@ class WordEncoder:
         self.split = regex.compile(r"\p{L}+|[^\s\p{L}]+")
 
     def _of_parts(self, parts: list[str]) -> None:
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.parts[part] = np.array(found.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
+        """Letters are one word of the model and need none of the library's splitting."""
+        model, known, mixed = self.tokenizer.model.tokenize, self.parts, []
+        for part in parts:
+            if not part.isalpha():
+                mixed.append(part)
+                continue
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_CHARS)
+            known[part] = array("I", [t.id for t in model(shown)]).tobytes()
+        for part, found in zip(mixed, self.tokenizer.encode_batch_fast(mixed, add_special_tokens=False)):
+            known[part] = array("I", found.ids).tobytes()
+
+    def _parts_of(self, word: bytes) -> list[str]:
+        """Stretches of letters and of other characters, in the tokenizer's normal form."""
+        text = word.decode("utf-8", "replace")
+        if text.isascii():
+            normal = text.lower()
+        elif is_normalized("NFC", text) and "\u03a3" not in text:  # a sigma's lower case depends on its place
+            normal = text.lower()
+        else:
+            normal = self.tokenizer.normalizer.normalize_str(text)
+        if normal.isalpha():
+            return [normal]
+        if "'" in text or not text.isprintable():  # contractions; blanks beyond ASCII
+            return [text]
+        return self.split.findall(normal)
+
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > PARTS_KEPT:
             self.parts.clear()
-        normal, known, split = self.tokenizer.normalizer.normalize_str, self.parts, []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if "'" in text or not text.isprintable():  # contractions; blanks beyond ASCII
-                split.append([text])
-            else:
-                split.append(self.split.findall(text.lower() if text.isascii() else normal(text)))
+        known, split = self.parts, list(map(self._parts_of, words))
         new = list({p for parts in split for p in parts if p not in known})
         for at in range(0, len(new), 20_000):
             self._of_parts(new[at:at + 20_000])
-        learnt = {w: b"".join([known[p] for p in parts]) for w, parts in zip(words, split)}
-        self.words.update(learnt)
-        return learnt
+        for word, parts in zip(words, split):
+            self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            learnt = self._learn(list({w for w, ids in zip(words, found) if ids is None}))
-            found = [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        words, known = text.split(), self.words
+        if new := set(words).difference(known):
+            self._learn(list(new))
+        return b"".join(map(known.__getitem__, words))
