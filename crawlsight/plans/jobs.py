@@ -10,45 +10,72 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import evaluation, features as feat, profiles, rollups, training
-from ..session import build_session, written
+from ..session import build_session, raise_unless_missing, written
 from ..sources import (features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store)
 
-DUMP, NDJSON = "dump", "ndjson"
+DUMP, NDJSON, PREPARED = "dump", "ndjson", "prepared"
 
 
-def prepare(spark: SparkSession, source: str, target: str, layout: str = DUMP) -> None:
-    """Convert a dump or NDJSON log to a Parquet access log partitioned by day.
-
-    Later jobs then read only the columns they use. Every request gets an `event_id`.
-    """
+def _text_log(spark: SparkSession, source: str, layout: str) -> DataFrame:
     if layout == DUMP:
-        log = logs.canonical(logs.read_dump(spark, source))
-    else:
-        log = logs.read_logs(spark, source, layout="canonical")
-    rows = logs.with_epoch(log).withColumns({
-        "event_id": F.monotonically_increasing_id(), "day": F.to_date("ts")})
-    rows.write.mode("overwrite").partitionBy("day").parquet(target)
+        return logs.canonical(logs.read_dump(spark, source))
+    return logs.read_logs(spark, source)
 
 
-def read_log(spark: SparkSession, source: str) -> DataFrame:
-    """A prepared log, or NDJSON read on the fly."""
-    if source.endswith((".ndjson", ".json", ".jsonl", ".gz")):
-        return logs.with_epoch(logs.read_logs(spark, source))
-    return spark.read.parquet(source)
+def layout_of(spark: SparkSession, source: str) -> str:
+    """What a file or folder holds, by its name's ending; text by its first line: a line of NDJSON
+    is one whole object. A folder without an ending counts as a prepared log."""
+    if not source.rstrip("/").endswith((".ndjson", ".json", ".jsonl", ".gz", ".txt")):
+        return PREPARED
+    first = spark.read.text(source).filter(F.trim("value") != "").first()
+    line = first["value"].strip() if first else "{}"
+    return NDJSON if line.startswith("{") and line.endswith("}") else DUMP
 
 
-def build_features(spark: SparkSession, source: str, target: str) -> DataFrame:
+def prepare(spark: SparkSession, source: str, target: str, layout: str = DUMP,
+            batch_id: str | None = None) -> None:
+    """Add a dump or NDJSON log to a Parquet access log partitioned by day and batch.
+
+    Later jobs then read only the columns they use. A batch is a source, or what `batch_id` names:
+    other batches stay as they are, and one that is prepared again replaces its own days. Every
+    request gets an `event_id` above those of all other batches.
+    """
+    batch = "b-" + hashlib.md5((batch_id or source).encode()).hexdigest()
+    first_id = 0
+    try:
+        stored = spark.read.parquet(target).filter(F.col("batch_id") != batch)
+        first_id = (stored.agg(F.max("event_id")).first()[0] or -1) + 1
+    except AnalysisException as error:
+        raise_unless_missing(error)
+    rows = logs.with_epoch(_text_log(spark, source, layout)).withColumns({
+        "event_id": F.monotonically_increasing_id() + F.lit(first_id).cast("long"),
+        "day": F.to_date("ts"), "batch_id": F.lit(batch)})
+    (rows.hint("rebalance", F.col("day")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(target))
+
+
+def read_log(spark: SparkSession, source: str, layout: str | None = None) -> DataFrame:
+    """A prepared log, or a dump or NDJSON (file or folder) read on the fly."""
+    layout = layout or layout_of(spark, source)
+    if layout == PREPARED:
+        return spark.read.parquet(source)
+    return logs.with_epoch(_text_log(spark, source, layout))
+
+
+def build_features(spark: SparkSession, source: str, target: str, layout: str | None = None) -> DataFrame:
     """Features of a log as Parquet by date and as CSV; the CSV is written from the Parquet."""
     path = f"{target}/features.parquet"
-    feature_table.write_features(feat.ip_features(read_log(spark, source)), path)
+    feature_table.write_features(feat.ip_features(read_log(spark, source, layout)), path)
     table = feature_table.load_features(spark, path)
     feature_table.write_features_csv(table, f"{target}/features.csv")
     return table
@@ -113,14 +140,15 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("job", choices=["prepare", "features", "train", "train-groundtruth", "seed"])
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", required=True)
-    parser.add_argument("--layout", choices=[DUMP, NDJSON], default=DUMP)
+    parser.add_argument("--layout", choices=[DUMP, NDJSON, PREPARED],
+                        help="of the input; found out where it is left away")
     parser.add_argument("--models", help="folder of a trained model, for seed")
     args = parser.parse_args(argv)
     spark = build_session()
     if args.job == "prepare":
-        prepare(spark, args.input, args.output, args.layout)
+        prepare(spark, args.input, args.output, args.layout or layout_of(spark, args.input))
     elif args.job == "features":
-        build_features(spark, args.input, args.output)
+        build_features(spark, args.input, args.output, args.layout)
     elif args.job == "train":
         train(spark, args.input, args.output)
     elif args.job == "train-groundtruth":

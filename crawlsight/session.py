@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot client is split also where that costs another shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
     # sessions of one client merge inside each input task before the shuffle
@@ -58,6 +60,12 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
+def raise_unless_missing(error) -> None:
+    """Raise a reader's error again, unless it says that nothing is stored at the path."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch root; nothing is created yet."""
     return f"{scratch_root(spark)}/crawlsight/{label}-{uuid.uuid4().hex}"

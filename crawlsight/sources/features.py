@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
+from ..session import raise_unless_missing
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Parquet partitioned by date: few files per date, a huge date split over tasks."""
+    """Replace the table by Parquet partitioned by date: few files per date, a huge date split
+    over tasks. All dates are replaced, so a client whose last day has moved stays one row."""
     (features.hint("rebalance", F.col("date"))
-     .write.mode("overwrite").partitionBy("date").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path))
 
 
 def write_features_csv(features: DataFrame, path: str) -> None:
@@ -30,11 +32,11 @@ def load_features(spark: SparkSession, parquet: str, csv: str | None = None) ->
     """The Parquet table, else the CSV, else an empty table of the same type."""
     try:
         return typed(spark.read.parquet(parquet))
-    except AnalysisException:
-        pass
+    except AnalysisException as error:
+        raise_unless_missing(error)
     if csv:
         try:
             return typed(spark.read.option("header", True).csv(csv))
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            raise_unless_missing(error)
     return spark.createDataFrame([], FEATURES)

@@ -10,9 +10,8 @@ from ..functions.clock import parse_instant
 from ..functions.numbers import to_number
 from ..schemas import CANONICAL_LOG, RAW_LOG
 
-LAYOUTS = {"canonical": CANONICAL_LOG, "raw": RAW_LOG}
-
-# Names a source may use for a column; the first one present is taken.
+# Names a source may use for a column; the first one present is taken. Where a log is read with
+# one schema of all names, that is the first one with a value in the record.
 ALIASES = {
     "path": ("path", "resource"),
     "status_code": ("status_code", "response", "status"),
@@ -21,11 +20,24 @@ ALIASES = {
 }
 
 
+# Every name a record may use, all read as text, so that one schema fits any log.
+ANY_NAMES = T.StructType([T.StructField(n, T.StringType()) for n in dict.fromkeys(
+    [*CANONICAL_LOG.names, *RAW_LOG.names, *(n for names in ALIASES.values() for n in names)])])
+LAYOUTS = {"canonical": ANY_NAMES, "raw": ANY_NAMES}
+
+
 def _pick(df: DataFrame, name: str) -> Column:
     present = [c for c in ALIASES.get(name, (name,)) if c in df.columns]
     return F.col(present[0]) if present else F.lit(None)
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """One column for all names of a column."""
+    other = [n for names in ALIASES.values() for n in names]
+    return df.select(*[c for c in df.columns if c not in other],
+                     *[F.coalesce(*names).alias(names[0]) for names in ALIASES.values()])
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Project log records onto the access-log columns and drop those without client or time.
 
@@ -54,12 +66,13 @@ def with_epoch(log: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str, layout: str | None = "canonical") -> DataFrame:
     """NDJSON access logs. `layout` names the columns; None infers them with an extra pass."""
-    reader = spark.read if layout is None else spark.read.schema(LAYOUTS[layout])
-    return canonical(reader.json(path))
+    if layout is None:
+        return canonical(spark.read.json(path))
+    return canonical(_merged(spark.read.schema(LAYOUTS[layout]).json(path)))
 
 
 def stream_logs(spark: SparkSession, path: str, layout: str = "canonical") -> DataFrame:
-    return canonical(spark.readStream.schema(LAYOUTS[layout]).json(path))
+    return canonical(_merged(spark.readStream.schema(LAYOUTS[layout]).json(path)))
 
 
 def dump_records(lines: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import METRICS
+from ..session import raise_unless_missing
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics documents as nested rows; an empty table where there is none."""
     try:
         return spark.read.schema(METRICS).option("multiLine", True).json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        raise_unless_missing(error)
         return spark.createDataFrame([], METRICS)
 
 
@@ -52,7 +54,8 @@ def model_comparison(documents: DataFrame) -> DataFrame:
 
 
 def headline(groundtruth: DataFrame, behaviour: DataFrame) -> DataFrame:
-    """Best model and its AUC: from the ground-truth document when there is one."""
+    """Best model and its AUC, from the ground-truth document when there is one; the version is
+    that of the behaviour document when there is one."""
     def pick(df: DataFrame, rank: int, kind: str) -> DataFrame:
         return df.select(
             "best_model", F.try_element_at("models", F.col("best_model"))["auc_roc"]
@@ -60,7 +63,9 @@ def headline(groundtruth: DataFrame, behaviour: DataFrame) -> DataFrame:
             {"label_kind": F.lit(kind), "_rank": F.lit(rank)})
 
     both = pick(groundtruth, 0, "ground truth").unionByName(pick(behaviour, 1, "heuristic"))
-    return both.orderBy("_rank").limit(1).drop("_rank")
+    version = behaviour.select(F.max("model_version")).scalar()
+    return both.orderBy("_rank").limit(1).drop("_rank").withColumn(
+        "model_version", F.coalesce(version, "model_version"))
 
 
 def feature_importances(documents: DataFrame, limit: int | None = 15) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators.profiles import ALERT_TTL_SECONDS, active_alerts, latest_cells, profile_rows
 from ..schemas import PROFILE
+from ..session import raise_unless_missing
 
 _STORED = T.StructType(PROFILE.fields + [T.StructField("updated_at", T.DoubleType()),
                                          T.StructField("batch_id", T.StringType())])
@@ -45,7 +46,8 @@ def read_profiles(spark: SparkSession, path: str, without_batch=None) -> DataFra
     """
     try:
         stored = spark.read.schema(_STORED).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        raise_unless_missing(error)
         return spark.createDataFrame([], PROFILE)
     if without_batch is not None:
         stored = stored.filter(F.col("batch_id") != str(without_batch))
