@@ -8,7 +8,8 @@ it. It learns from labelled findings: (text, start, stop, label, path).
 `derived_findings` labels candidates of a corpus where their form leaves no doubt: a provider's
 prefix with the right length and a random-looking value assigned to a secret-like name are
 secrets; numbers, hosts and mail addresses, words, placeholders and named digests are not. The
-others are left to the forest. The forest is fitted on at most `SAMPLE` findings.
+others are left to the forest. The forest is fitted on at most `SAMPLE` findings. It never takes
+out a provider's token in full form, since the corpus may hold none to learn from.
 
 The dictionary holds words of letters with at least 1/`DICTIONARY` of all words.
 
@@ -139,7 +140,9 @@ class Scanner:
         if self.forest is None:
             return [(*s, 1.0) for s in spans]
         x = np.array([features(text, a, b, path, self.dictionary) for a, b, _ in spans])
-        return [(*s, float(p)) for s, p in zip(spans, self.forest.probabilities(x))]
+        certain = [s[2] == "prefix" and certain_label(text, *s) == 1 for s in spans]
+        return [(*s, 1.0 if sure else float(p))
+                for s, sure, p in zip(spans, certain, self.forest.probabilities(x))]
 
     def redacted(self, text: str, path: str = "", mask: str = MASK) -> str:
         out, at = [], 0

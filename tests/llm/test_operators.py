@@ -1,0 +1,317 @@
+"""The ten operators against brute force, round trips, and awkward inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from crawlsight.llm import (binary_output, bpe, brown_lm, exact_dedup, quality_classifier, quality_rules,
+                            secret_scan, simhash, ss_packing, tokens, url_filter)
+from crawlsight.llm.components import components
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+LONG = "lorem ipsum dolor sit amet " * 4000
+TEXTS = [None, "", " \n\t", "a", "A b", "a  b", "The quick brown fox.\nThe quick brown fox.", "naïve café — 日本 🙂", LONG,
+         LONG + "end", "x" * 3000, "the quick brown fox jumps", "the quick brown fox jumps"]
+# names that operators use themselves
+CLASHING = "doc_id long, text string, fp long, digest string, kept boolean, row string, n long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, i, "d", True, "r", 1) for i, t in enumerate(TEXTS)]
+    rows += [(None, "no id", 1, "d", True, "r", 1), (3, "a", 0, "d", False, "r", 1), (3, "other", 0, "d", False, "r", 1)]
+    return spark.createDataFrame(rows, CLASHING).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], CLASHING)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_rule_counts(docs):
+    for r in quality_rules.statistics(docs.filter("doc_id <> 3")).join(docs.filter("doc_id <> 3"), "doc_id").collect():
+        w, lines = words(r.text), [x for x in (r.text or "").split("\n") if words(x)]
+        windows = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        many = {x for x in windows if windows.count(x) > 1} if len(w) < 100 else set(windows[:-1]) | {windows[0]}
+        if len(w) < 100:
+            assert r.n_repeat_words == len({i + k for i, x in enumerate(windows) if x in many for k in range(3)})
+        assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)))
+
+
+def test_rules_are_learnt_and_clean_rows_kept(spark):
+    rng = random.Random(1)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    rows = [(i, prose() if i % 2 else " ".join(w + "###" for w in prose().split()), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept = quality_rules.keep(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1, 200, 2))
+
+
+def test_no_labels_leave_the_base_rules(spark, docs):
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.keep(docs, empty).columns == docs.columns
+    judged = quality_rules.judge(docs, empty)
+    assert judged.filter("kept = base_failed").count() == 0 and judged.count() == docs.count()
+
+
+def test_bpe_agrees_with_the_library_and_round_trips():
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mine, rng = bpe.Encoder(ranks, public_tokenizers.PATTERN), random.Random(5)
+    decoder = bpe.StreamDecoder({i: t for t, i in ranks.items()})
+    names = list(ranks)
+    made = [b"".join(rng.choices(names, k=5)).decode("utf-8", "ignore") for _ in range(300)]
+    made += [c * n for c in "a -=\n" for n in (1, 100, 255, 256, 257, 1000)] + [t or "" for t in TEXTS]
+    for text in made:
+        ids = mine.encode(text).tolist()
+        assert ids == library.encode_ordinary(text)
+        cut = rng.randint(0, len(ids))
+        assert decoder.feed(ids[:cut]) + decoder.feed(ids[cut:]) + decoder.close() == text
+
+
+def test_decoder_replaces_broken_bytes_like_python():
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(2)
+    decoder = bpe.StreamDecoder({i: t for t, i in ranks.items()})
+    for _ in range(2000):
+        raw = bytes(rng.choices([65, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0xFF, 0xED, 0xA0, 0xC0, 0xF4, 0x90], k=8))
+        assert decoder.feed([ranks[raw[i:i + 1]] for i in range(8)]) + decoder.close() == raw.decode("utf-8", "replace")
+
+
+def test_bpe_columns(docs, none):
+    out = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert all(r.decoded == (r.text or "") for r in out.collect())
+    assert bpe.decode(bpe.encode(none, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+def brute_components(prints):
+    groups = [[k] for k in range(len(prints))]
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and groups[i] is not groups[j]:
+                groups[i] += groups[j]
+                for k in list(groups[j]):
+                    groups[k] = groups[i]
+    return [min(g) for g in groups]
+
+
+@pytest.mark.parametrize("bucket", [64, 1])
+def test_fingerprint_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(3)
+    prints = []
+    for _ in range(12):
+        center = rng.getrandbits(64)
+        prints += [center] + [center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(12)]
+    chain = [rng.getrandbits(64)]
+    for _ in range(20):
+        chain.append(chain[-1] ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    prints += chain + [0, 0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = spark.createDataFrame([(i, i, signed(p)) for i, p in enumerate(prints)], "doc_id long, text_key long, fp long")
+    found = {r.doc_id: r.component_id for r in simhash.groups(rows).collect()}
+    assert [found[i] for i in range(len(prints))] == brute_components(prints)
+
+
+def test_simhash_on_awkward_rows(docs, none):
+    rows = simhash.near_duplicates(docs).collect()
+    by_id = {r.doc_id: r for r in rows if r.doc_id != 3}
+    assert len(rows) == docs.count() and {by_id[i].fp for i in (0, 1, 2)} == {0}
+    assert {by_id[i].component_id for i in (0, 1, 2)} == {0} and by_id[12].component_id == 11
+    kept = simhash.dedup(docs)
+    assert kept.columns == docs.columns and kept.filter("text = 'a'").count() == 1
+    assert kept.filter("text IN ('no id', 'other')").count() == 2
+    assert simhash.dedup(none).count() == simhash.near_duplicates(none).count() == 0
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert {r.root for r in components(edges).collect()} == {0}
+
+
+def check_packing(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= capacity
+    return len(by)
+
+
+def test_packing(docs, none):
+    library = Tokenizer.from_file(WORD)
+    library.encode_special_tokens = True
+    rows = ss_packing.pack_documents(docs, WORD).collect()
+    total = 0
+    for i, text in enumerate(TEXTS):
+        if i == 3:
+            continue
+        ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        mine = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert mine == [(k, a, len(ids[a:a + 4096]), zlib.crc32(ids[a:a + 4096].tobytes()))
+                        for k, a in enumerate(range(0, len(ids), 4096))]
+    total = sum(r.length for r in rows)
+    assert check_packing(rows, 4096) == -(-total // 4096)
+    assert ss_packing.pack_documents(none, WORD).count() == 0
+
+
+def test_packing_in_many_groups(spark):
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, rng.randint(1, 100)) for i in range(3000)], "row_no long, length long")
+    rows = ss_packing.pack(items, capacity=100, group_tokens=5000).join(items, "row_no").collect()
+    assert len(rows) == 3000
+    whole = binary_output.best_fit_decreasing([r.length for r in rows], 100)  # in one group
+    assert check_packing(rows, 100) <= 1.03 * len(whole)
+    halves = spark.createDataFrame([(i, 51) for i in range(500)], "row_no long, length long")
+    rows = ss_packing.pack(halves, capacity=100, group_tokens=1000).join(halves, "row_no").collect()
+    assert check_packing(rows, 100) == 500
+
+
+def test_url_parts_and_rules(spark):
+    rules = [url_filter.UrlRule(v, r) for v, r in (("allow", "org/"), ("block", "ex.org/es/"), ("block", "com/de/"))]
+    cases = {None: ("", "", None), "": ("", "", None), "no scheme": ("", "", None),
+             "http://A.Ex.ORG/es/x?q=1#f": ("a.ex.org", "/es/x", "ex.org/es/"),
+             "http://notex.org/es/": ("notex.org", "/es/", "org/"), "x://h?a://b": ("h", "", None),
+             "http://q.com/de/\n1": ("q.com", "/de/\n1", "com/de/"), "http://com": ("com", "", None)}
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(cases)], "page_id long, url string, host string")
+    out = url_filter.judge(pages, rules, rounds=2).collect()
+    assert {r.id: (r.host, r.path, r.rule) for r in out} == dict(enumerate(cases.values()))
+    assert {r.verdict for r in out} <= {"allow", "block"}
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_secrets(spark, docs, none):
+    key, token = "AKIA" + "ABCDEFGH23456789"[:16], hashlib.sha1(b"x").hexdigest()
+    rows = []
+    for i in range(60):
+        value = hashlib.sha1(b"%d" % i).hexdigest()
+        rows.append((i, f'call me at 44123{i:05d}999888 or ab.{i}@mail7.example.com, token = "{value}" and so on'))
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    scanner = secret_scan.scanner_of(corpus)
+    text = f'é {key} then token = "{token}" card 4412341234123412 x.12@mail3.example.com end'
+    assert scanner.redacted(text) == f'é {secret_scan.MASK} then token = "{secret_scan.MASK}" card 4412341234123412 x.12@mail3.example.com end'
+    found = secret_scan.scan(corpus, scanner).filter("is_secret")
+    assert found.count() == 60
+    clean = secret_scan.redact(docs, scanner)
+    assert clean.columns == docs.columns and clean.exceptAll(docs).count() == 0 and clean.count() == docs.count()
+    assert secret_scan.scan(none, secret_scan.scanner_of(none)).count() == 0
+
+
+def test_language_model(spark, docs, none):
+    rng = random.Random(6)
+    left, right = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
+    rows = [(i, " ".join(w for _ in range(30) for w in (rng.choice(left), rng.choice(right)))) for i in range(120)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = brown_lm.train(corpus)
+    out = brown_lm.score(corpus, model, counts).collect()
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 120 * 10
+    seen = {w: n for w, n in ((bytes(r.word).decode(), r.n) for r in counts.collect())}
+    n, v = 120 * 61, len(seen) + 1
+    for r in out[:5]:
+        text = dict(rows)[r.doc_id].split()
+        base = sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in text) + np.log10(121 / (n + v + 1))
+        assert r.base_score == pytest.approx(base) and (r.n_tokens, r.n_known, r.train_tokens) == (61, 61, n)
+    assert brown_lm.score(docs, model, counts).count() == docs.count()
+    nothing, empty = brown_lm.train(none)
+    assert {(r.base_score, r.score) for r in brown_lm.score(docs.filter("doc_id < 3"), nothing, empty).collect()} == {(0.0, 0.0)}
+    assert brown_lm.score(none, nothing, empty).count() == 0
+
+
+def test_exchange_never_lowers_the_likelihood():
+    rng = np.random.default_rng(8)
+    pairs = rng.poisson(1.0, (40, 40)) + np.kron(np.array([[0, 9], [9, 0]]), np.ones((20, 20)))
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+
+    def likelihood(group):
+        member = np.eye(4)[group]
+        table = member.T @ pairs @ member
+        return f(table) - f(table.sum(0)) - f(table.sum(1))
+
+    values = [likelihood(brown_lm.exchange(pairs, 4, rounds)) for rounds in (0, 1, 2, 8)]
+    assert values == sorted(values) and values[-1] > values[0]
+
+
+def test_classifier(spark, docs, none):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        w = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60)]
+        rows.append((i, " ".join(w) if i % 3 else "## ".join(w).upper(), int(i % 3 > 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    space = quality_classifier.build_space(df.select("doc_id", "text"))
+    network = quality_classifier.fit(df.select("doc_id", "text"), df.filter("doc_id < 200").select("doc_id", "quality"), space)
+    out = {r.doc_id: r.score for r in quality_classifier.score(df.select("doc_id", "text"), space, network).collect()}
+    assert all((out[i] >= 0.5) == bool(q) for i, _, q in rows if i >= 200)
+    odd = quality_classifier.score(docs, space, network).collect()
+    assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd)
+    bare = quality_classifier.build_space(none)
+    unlearnt = quality_classifier.fit(none, df.limit(0).select("doc_id", "quality"), bare)
+    assert {r.score for r in quality_classifier.score(docs, bare, unlearnt).collect()} == {0.5}
+
+
+def test_binary_output_round_trip(docs, none):
+    encoder = tokens.WordEncoder(WORD)
+    packed = binary_output.packed_matrices(docs, WORD, 49408, capacity=256)
+    for r in packed.collect():
+        assert len(r.ids) == len(r.position_ids) == 512 and r.cu_seqlens[-1] == r.n_tokens <= 256
+    back = binary_output.segments(packed).orderBy("start").collect()
+    assert all(r.positions == list(range(len(r.ids))) for r in back)
+    for i, text in enumerate(TEXTS):
+        if i != 3:
+            ids = np.frombuffer(encoder.encode((text or "").encode()), "<u4").tolist() + [1]
+            assert [x for r in back if r.doc_id == i for x in r.ids] == ids
+    assert binary_output.packed_matrices(none, WORD, 49408).count() == 0
+
+
+def test_best_fit_decreasing_is_what_a_plain_search_gives():
+    rng = random.Random(10)
+    for _ in range(50):
+        lengths = [rng.randint(1, 50) for _ in range(80)]
+        gaps, plain = [], []
+        for i in sorted(range(80), key=lambda k: -lengths[k]):
+            fits = [g for g in gaps if g >= lengths[i]]
+            gap = min(fits) if fits else 50
+            if fits:
+                gaps.remove(gap)
+            gaps.append(gap - lengths[i])
+        mine = binary_output.best_fit_decreasing(lengths, 50)
+        assert sorted(50 - sum(lengths[i] for i in s) for s in mine) == sorted(gaps)
+
+
+def test_index_remembers_earlier_batches(spark, docs, none):
+    index = exact_dedup.scratch_index(spark)
+    first = exact_dedup.dedup(docs, index).collect()
+    assert len(first) == len({"".join(words(t)) for t in [*TEXTS, "no id", "other"]})
+    assert exact_dedup.dedup(docs, index).count() == 0
+    more = spark.createDataFrame([(100, "brand new", 0, "d", True, "r", 1), (101, "A B", 0, "d", True, "r", 1)], CLASHING)
+    assert [r.doc_id for r in exact_dedup.dedup(more.withColumn("text", F.col("text")), index).collect()] == [100, 101]
+    plan = index.read().select("digest").hint("merge").join(index.read(), "digest")._jdf.queryExecution().toString()
+    assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
+    index.drop()
+    other = exact_dedup.scratch_index(spark)
+    assert exact_dedup.dedup(none, other).count() == 0
+    other.drop()
+
+
+def test_copies_are_judged_alike(spark, docs):
+    index = exact_dedup.scratch_index(spark)
+    rows = exact_dedup.digests(docs)
+    out = exact_dedup.judged(rows, index.add(rows)).collect()
+    assert len(out) == docs.count() and sum(r.kept for r in out) == len({r.text_sha256 for r in out})
+    blank = [r for r in out if r.doc_id in (0, 1, 2)]
+    assert {(r.keep_id, r.group_size) for r in blank} == {(2, 3)}
+    index.drop()
