@@ -40,6 +40,7 @@ SHAPES = 40
 DIMENSIONS = 64
 NONZERO = 8
 WINDOW = 2
+REMEMBERED = 200_000
 HIDDEN = 32
 EPOCHS = 300
 
@@ -60,17 +61,30 @@ def index_vector(name: bytes) -> np.ndarray:
     return vector
 
 
+class Symbols(dict):
+    """The symbol of each token. Symbols found by shape are remembered, so many and short ones only."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__(numbers)
+        self.own = len(numbers)
+
+    def __missing__(self, token: bytes) -> int:
+        symbol = self.own + shape(token)
+        if len(self) < REMEMBERED and len(token) <= 32:
+            self[token] = symbol
+        return symbol
+
+
 @dataclass
 class Space:
     """Symbols by token, and the vectors of symbols; shapes follow the tokens with own symbols."""
 
-    numbers: dict[bytes, int]
+    numbers: Symbols
     vectors: np.ndarray
 
     def symbols(self, text: bytes) -> np.ndarray:
-        tokens, own = tokens_of(text), len(self.numbers)
-        found = [self.numbers.get(t, -1) for t in tokens]
-        return np.array([own + shape(t) if s < 0 else s for s, t in zip(found, tokens)], np.int64)
+        tokens = tokens_of(text)
+        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
 
     def pooled(self, text: bytes) -> np.ndarray:
         symbols = self.symbols(text)
@@ -86,14 +100,14 @@ def _context_sums(docs: DataFrame, space, text_col: str) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: Space = space.value
         size = len(here.vectors)
-        near = np.zeros(size * size, np.int64)
+        near = np.zeros(size * size)  # whole numbers, exact in doubles
         for batch in batches:
             for text in batch.column(0):
                 s = here.symbols(text.as_py())
                 for k in range(1, WINDOW + 1):
-                    np.add.at(near, s[:-k] * size + s[k:], 1)
+                    np.add.at(near, s[:-k] * size + s[k:], 1.0)
         near = near.reshape(size, size)
-        context = (near + near.T) @ here.vectors
+        context = ((near + near.T) @ here.vectors.astype(float)).astype(np.int64)
         used = np.flatnonzero(context.any(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used), *(pa.array(context[used, k]) for k in range(DIMENSIONS))], ["symbol", *sums])
@@ -108,7 +122,7 @@ def build_space(docs: DataFrame, text_col: str = "text") -> Space:
     counts = checkpointed(word_counts(docs, tokens_of, text_col))
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = frequent(counts, total, OWN)
-    numbers = {t: i for i, t in enumerate(own)}
+    numbers = Symbols({t: i for i, t in enumerate(own)})
     names = [*numbers, *(b" shape %d" % k for k in range(SHAPES))]
     index = np.array([index_vector(n) for n in names])
     context = np.zeros(index.shape)
