@@ -97,6 +97,12 @@ def _levels(value: Column, danger: float, warn: float) -> Column:
     return F.when(value > danger, "danger").when(value > warn, "warn").otherwise("ok")
 
 
+def allowlist_signal() -> Column:
+    """The only signal of an allowlisted address."""
+    return F.array(_signal("allow", "Allowlist", "trusted", "ok",
+                           "IP is on the allowlist — scoring skipped"))  # fixed wording
+
+
 def signals(features) -> Column:
     """Ordered array of {key, label, value, severity, note}.
 

@@ -363,6 +363,17 @@ ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT cip, coalesce(useragent, '') AS ua FROM requests) s
         LEFT JOIN feats f ON s.cip = f.ip)
       {_signals_sql()}""",
+    "signals_allowlisted": _with(LOG, GAPS, FEATS, FWD) + f""", base AS (
+        SELECT s.cip AS ip, s.ua AS useragent, CAST({_is_bot("s.ua")} AS BIGINT) AS known,
+          CAST({_is_web("s.ua")} AS BIGINT) AS web, coalesce(f.rate_404, 0)::DOUBLE AS r404,
+          coalesce(f.requests_per_hour, 0)::DOUBLE AS rph, coalesce(f.unique_paths_ratio, 0)::DOUBLE AS upr,
+          coalesce(f.error_rate, 0)::DOUBLE AS err, ({_entropy("s.ua")})::DOUBLE AS entropy,
+          coalesce(f.req_count, 0) AS req, coalesce(f.session_count, 0) AS sess
+        FROM (SELECT DISTINCT cip, coalesce(useragent, '') AS ua FROM requests) s
+        LEFT JOIN feats f ON s.cip = f.ip)
+      SELECT * FROM ({_signals_sql()}) WHERE NOT {_TRUSTED.format("ip")}
+      UNION ALL SELECT ip, useragent, CAST(0 AS BIGINT), 'allow', 'Allowlist', 'trusted', 'ok',
+        'IP is on the allowlist — scoring skipped' FROM base WHERE {_TRUSTED.format("ip")}""",
     "decisions": _L + f""", judged AS (
         SELECT event_id, ip, coalesce({_TRUSTED.format("ip")}, false) AS ok,
           coalesce(risk_score, 0) AS risk, coalesce(is_bot, 0) = 1 AS bot FROM access_log)
@@ -483,10 +494,18 @@ ORACLE: dict[str, str] = {
     "stream_throughput": _B + f"""SELECT strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS bucket,
         count(*) AS requests, {_BOTS} AS bots, {_HUMANS} AS humans
         FROM (SELECT *, CAST(floor(timestamp / 300) * 300 AS BIGINT) AS s FROM bot_events) GROUP BY s""",
-    "stream_rate_limit": _B + """SELECT ip AS client,
+    "stream_rate_limit": _B + f"""SELECT ip AS client,
         strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS requests
-        FROM (SELECT *, CAST(floor(timestamp / 60) * 60 AS BIGINT) AS s FROM bot_events) GROUP BY ip, s
-        HAVING count(*) > 30""",
+        FROM (SELECT *, CAST(floor(timestamp / 60) * 60 AS BIGINT) AS s FROM bot_events)
+        WHERE NOT {_TRUSTED.format("ip")} GROUP BY ip, s HAVING count(*) > 30""",
+    "stream_rate_limit_cidr": _B + f"""SELECT coalesce(nullif(cidr_block, ''), ip) AS client,
+        strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS minute, count(*) AS requests
+        FROM (SELECT *, CAST(floor(timestamp / 60) * 60 AS BIGINT) AS s FROM bot_events)
+        WHERE NOT {_TRUSTED.format("ip")} GROUP BY 1, s HAVING count(*) > 50""",
+    "stream_summary": _B + f"""SELECT count(*) AS total_events, {_BOTS} AS bot_events,
+        count(DISTINCT ip) AS unique_ips, count(DISTINCT path) AS unique_paths,
+        strftime(make_timestamp(max(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS last_event_at,
+        1 AS sketches_near FROM bot_events""",
     "stream_sessions": _with(LOG, GAPS) + """SELECT ip,
         strftime(make_timestamp(min(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS start_ts,
         strftime(make_timestamp(max(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS end_ts,

@@ -341,6 +341,14 @@ def signal_breakdown(spark, sf):
     return scoring.signal_breakdown(joined, ["ip", "useragent"])
 
 
+@query
+def signals_allowlisted(spark, sf):
+    seen = requests_of(spark, sf).select("ip", F.coalesce("useragent", F.lit("")).alias("useragent"))
+    joined = scoring.with_profiles(seen.distinct(), stored_profiles(spark, sf))
+    flagged = allow.flag_allowlisted(joined, allowlist_of(spark))
+    return scoring.signal_breakdown(flagged, ["ip", "useragent"])
+
+
 @query
 def decisions(spark, sf):
     scored = sample.scored_requests(sample.read_events(spark, sf)).select(
@@ -525,10 +533,18 @@ def stream_throughput(spark, sf):
 
 @query
 def stream_rate_limit(spark, sf):
-    stream = monitors.rate_limit_violations(finite(spark, live_events(spark, sf)), F.col("ip"), IP_LIMIT)
+    open_to_limits = allow.without_allowlisted(finite(spark, live_events(spark, sf)), allowlist_of(spark))
+    stream = monitors.rate_limit_violations(open_to_limits, F.col("ip"), IP_LIMIT)
     return run.replay(spark, stream, scratch_dir(spark, "rate-limit"))
 
 
+@query
+def stream_rate_limit_cidr(spark, sf):
+    open_to_limits = allow.without_allowlisted(finite(spark, live_events(spark, sf)), allowlist_of(spark))
+    stream = monitors.rate_limit_violations(open_to_limits, network.rate_key(F.col("ip")), SUBNET_LIMIT)
+    return run.replay(spark, stream, scratch_dir(spark, "rate-limit-cidr"))
+
+
 @query
 def stream_sessions(spark, sf):
     stream = monitors.client_sessions(finite(spark, live_events(spark, sf)))
@@ -550,10 +566,20 @@ def stream_alerts(spark, sf):
 
 @query
 def stream_summary(spark, sf):
+    """Running totals, and exact distinct counts from the event log that the stream writes."""
     folder = scratch_dir(spark, "summary")
     run.finish(run.to_batches(monitors.summary(live_events(spark, sf)), run.snapshots(folder + "/t"),
                               folder + "/checkpoint", once=True, mode="complete"))
-    return run.latest_snapshot(spark, folder + "/t")
+    run.finish(run.to_batches(
+        live_events(spark, sf), lambda batch, i: event_log.append_events(batch, folder + "/log", i),
+        folder + "/log-checkpoint", once=True))
+    exact = rollups.events_summary(event_log.read_events(spark, folder + "/log"))
+    near = lambda c: F.abs(F.col(f"s.{c}") - F.col(f"e.{c}")) <= F.col(f"e.{c}") * 0.15
+    # one row on either side; three standard errors of the sketch
+    return (run.latest_snapshot(spark, folder + "/t").alias("s")
+            .join(exact.alias("e"), F.col("s.total_events") == F.col("e.total_events"))
+            .select("s.total_events", "s.bot_events", "e.unique_ips", "e.unique_paths",
+                    "s.last_event_at", (near("unique_ips") & near("unique_paths")).alias("sketches_near")))
 
 
 def checked(spark, sf, persist: bool) -> checks.CheckTables:

@@ -4,7 +4,8 @@ Membership is decided once per distinct address by an equi-join: on the text for
 entries, on prefix length and masked address for networks, so the list may grow without a
 range join or a forced broadcast. The matched addresses are written out and joined to the
 requests: the planner sees their size, broadcasts a short list, so that the requests are
-not shuffled, and shuffles for a long one.
+not shuffled, and shuffles for a long one. A stream has no distinct addresses to look up
+first: it is anti-joined with the list once per prefix length in use.
 """
 
 from __future__ import annotations
@@ -111,7 +112,29 @@ def flag_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
             .withColumn("allowlisted", F.coalesce("_trusted", F.lit(False))).drop("_trusted"))
 
 
+def _stream_without(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
+    """Anti-joins of a stream with the exact entries and the networks of each prefix length."""
+    ip, key = F.col("ip"), F.col("match_key")
+    entries = written(allowlist.select("kind", "prefix_len", "match_key").distinct(), "allowlist")
+    networks = entries.filter("kind = 'cidr'").withColumn("family", F.left(key, F.lit(1)))
+    lengths = networks.select("family", "prefix_len").distinct().collect()  # 162 pairs at most
+    rest = requests.join(entries.filter("kind = 'exact'").select("match_key"),
+                         exact_key(ip) == key, "left_anti")
+    for family, length in sorted(map(tuple, lengths)):
+        v4 = family == "4"
+        number = network.ipv4_number(ip) if v4 else network.ipv6_hex(ip)
+        network_key = network.ipv4_network_key if v4 else network.ipv6_network_key
+        fits = network.is_ipv4(ip) if v4 else ~network.is_ipv4(ip) & network.is_ipv6(ip)
+        same = networks.filter((F.col("family") == family) & (F.col("prefix_len") == length))
+        rest = rest.join(same.select("match_key"),
+                         F.when(fits, network_key(number, F.lit(length))) == key, "left_anti")
+    return rest
+
+
 def without_allowlisted(requests: DataFrame, allowlist: DataFrame) -> DataFrame:
+    """Requests of other addresses; `requests` may be a stream."""
+    if requests.isStreaming:
+        return _stream_without(requests, allowlist)
     return requests.join(_trusted(requests, allowlist), "ip", "left_anti")
 
 

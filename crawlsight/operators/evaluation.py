@@ -135,7 +135,6 @@ def assign_folds(df: DataFrame, key: str = "ip", label: str = "is_robot", folds:
                 .agg(F.greatest(F.least(F.min("_n"), F.lit(folds)), F.lit(1))))
     inside = Window.partitionBy(label, "_b").orderBy("_h", key)
     rank = F.col("_o") + F.row_number().over(inside) - 1
-    # at most 2 x buckets offset rows
-    return (ranged.join(F.broadcast(offsets), [label, "_b"])
+    return (ranged.join(offsets, [label, "_b"])
             .withColumn("fold", F.pmod(rank, smallest.scalar()).cast("int"))
             .drop("_h", "_b", "_o"))

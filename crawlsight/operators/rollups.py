@@ -220,14 +220,13 @@ def events_timeseries(events: DataFrame, bucket_seconds: int = 300) -> DataFrame
 def timeseries_share(events: DataFrame, bucket_seconds: int = 300) -> DataFrame:
     """Time series with totals, robot percentage and the mean of the totals.
 
-    One row per time bucket is left when the mean is taken, so its single window
-    partition grows with the covered time, not with the log.
+    The mean is a scalar aggregate over the same buckets, so no task sees all of them.
     """
     series = events_timeseries(events, bucket_seconds).withColumn(
         "total", F.col("bots") + F.col("humans"))
     pct = F.coalesce(ratio(F.col("bots"), F.col("total")) * 100, F.lit(0.0))
     return series.withColumn("bot_pct", pct).withColumn(
-        "mean_total", F.avg("total").over(Window.partitionBy()))
+        "mean_total", series.agg(F.avg("total")).scalar())
 
 
 def throughput(events: DataFrame, bucket_seconds: int = 300) -> DataFrame:

@@ -135,8 +135,14 @@ def bulk_score(wanted: DataFrame, profiles: DataFrame, allowlist: DataFrame,
 
 
 def signal_breakdown(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per signal of each row of `df`, identified by `keys` and `pos`."""
-    return (df.select(*keys, F.posexplode(verdicts.signals(F.col)).alias("pos", "signal"))
+    """One row per signal of each row of `df`, identified by `keys` and `pos`.
+
+    Rows that `df.allowlisted` marks have the allowlist signal alone.
+    """
+    found = verdicts.signals(F.col)
+    if "allowlisted" in df.columns:
+        found = F.when(F.col("allowlisted"), verdicts.allowlist_signal()).otherwise(found)
+    return (df.select(*keys, F.posexplode(found).alias("pos", "signal"))
             .select(*keys, "pos", "signal.*"))
 
 

@@ -14,7 +14,7 @@ MAX_PATH = 2048
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Add `reject_reason`, NULL for a valid request; the address is trimmed."""
-    ip = F.trim("ip")
+    ip = F.regexp_replace("ip", r"^\s+|\s+$", "")
     reason = (
         F.when(F.coalesce(ip, F.lit("")) == "", "ip must not be empty")
         .when(~network.is_client_address(ip), "ip is not an address")

@@ -77,7 +77,8 @@ def batch_handler(spark: SparkSession, tables: CheckTables, allowlist: DataFrame
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = profile_store.read_profiles(spark, tables.profiles, without_batch=batch_id)
         current = stored if base_profiles is None else profile_ops.upsert(base_profiles, stored)
-        decided = check(batch, current, allowlist, model, threshold).persist()
+        # the entropy is taken once per client by the profile updates, not per request
+        decided = check(batch, current, allowlist, model, threshold).drop("ua_entropy").persist()
         try:
             keep_decisions(decided.select("event_id", "ip", "risk_score", "is_bot", "reason",
                                           "decision", "http_status", "threat"), batch_id)

@@ -2,6 +2,7 @@ import ipaddress
 import random
 
 from crawlsight.operators import allowlist, validation
+from crawlsight.streaming import run
 
 LINES = ["# comment", "", "  127.0.0.1  ", "::1", "10.0.0.0/24", "10.0.0.77/24", "192.168.0.0/255.255.0.0",
          "172.16.0.0/0.15.255.255", "10.1.0.0/33", "10.1.0.0/x", "2001:db8::/33", "fd00::1/126", "1.2.3/24",
@@ -82,3 +83,16 @@ def test_request_rules(spark):
     assert [r.reject_reason is None for r in validation.validate_requests(df).collect()] == [
         True, True, False, False, False, False, True, True, False, True, False]
     assert validation.valid_requests(df).count() == 5
+
+
+def test_a_stream_is_exempted_like_its_batch(spark, folder):
+    lines = ["10.1.0.0/16", "10.2.3.0/24", "2001:db8::/32", "9.9.9.9", "fe80::1"]
+    allow = allowlist.parse_allowlist(spark.createDataFrame([(x,) for x in lines], "value string"))
+    ips = ["10.1.2.3", "10.2.3.4", "10.2.4.4", "2001:db8::5", "2001:db9::5", "9.9.9.9", "9.9.9.8", "fe80::1",
+           "unknown", "", None, "10.1.2.3"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "n long, ip string")
+    rows.write.parquet(folder + "/in")
+    stream = allowlist.without_allowlisted(spark.readStream.schema(rows.schema).parquet(folder + "/in"), allow)
+    kept = run.replay(spark, stream, folder + "/out").collect()
+    assert sorted(r.n for r in kept) == [2, 4, 6, 8, 9, 10]
+    assert sorted(r.n for r in allowlist.without_allowlisted(rows, allow).collect()) == [2, 4, 6, 8, 9, 10]
