@@ -543,4 +543,19 @@ ORACLE: dict[str, str] = {
         CASE WHEN flagged_at > (SELECT max(epoch_s) FROM seen) - 3600 THEN n END AS request_count_at_flag
       FROM per_ip""",
     "stream_features": _F + f"SELECT {_FEAT_COLS} FROM feats",
+    # the features determine the label, so a fitted model repeats it
+    "train_rf": _F + "SELECT ip, is_robot AS label, is_robot AS verdict FROM feats",
+    "train_gbt": _F + "SELECT ip, is_robot AS label, is_robot AS verdict FROM feats",
+    "rf_importances": "SELECT unnest([" + ", ".join(f"'{c}'" for c in _MODEL_FEATURES)
+                      + "]) AS feature, 1 AS valid, 1.0::DOUBLE AS total",
+    "oof_scores": _F + """SELECT ip, is_robot AS label, (row_number() OVER (PARTITION BY is_robot
+        ORDER BY md5(ip || ':42'), ip) - 1) % least(5, (SELECT min(n) FROM (
+          SELECT count(*) AS n FROM feats GROUP BY is_robot))) AS fold, 1 AS valid, 1 AS mostly_right FROM feats""",
+    "train_groundtruth": """SELECT unnest(['random_forest', 'gradient_boosting']) AS model,
+        1 AS threshold_in_grid, 1 AS better_than_chance""",
+    "score_requests_model": _scored("requests", "cip", FWD) + """SELECT event_id, ip,
+        coalesce(req_count, 0) AS req_count, coalesce(session_count, 0) AS session_count, last_seen,
+        known AS ua_is_known_bot, web AS ua_is_browser, 1 AS valid, 1 AS by_threshold FROM verdicts""",
 }
+ORACLE["batch_score_model"] = ORACLE["explain_verdicts"].replace(
+    f"SELECT ip, {_RISK} AS risk_score,", "SELECT ip, 1 AS valid, is_robot AS is_bot,")

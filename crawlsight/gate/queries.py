@@ -621,18 +621,14 @@ def stream_features(spark, sf):
 
 # -- models ---------------------------------------------------------------------
 
-# Small models: these queries show the jobs, the library defaults are 200 trees and rounds.
-TREES, ROUNDS, DEPTH = 10, 5, 8
-
-
 def matrix_of(spark, sf) -> DataFrame:
     """Model inputs, written once for the many passes of training."""
     return written(training.model_matrix(features_of(spark, sf), features=MODEL_FEATURES), "matrix")
 
 
 def candidates(features):
-    return {"random_forest": training.random_forest(features, TREES, DEPTH),
-            "gradient_boosting": training.gradient_boosting(features, ROUNDS)}
+    return {"random_forest": training.random_forest(features),
+            "gradient_boosting": training.gradient_boosting(features)}
 
 
 def _fitted(spark, sf, name: str):
@@ -641,9 +637,11 @@ def _fitted(spark, sf, name: str):
 
 
 def _train(name: str):
+    """Verdicts of a model about the rows it has learnt from; the scores themselves have no SQL."""
     def run_query(spark, sf):
         model, matrix = _fitted(spark, sf, name)
-        return training.probabilities(model, matrix, MODEL_FEATURES, "ip")
+        scores = training.probabilities(model, matrix, MODEL_FEATURES, "ip")
+        return scores.select("ip", "label", (F.col("score") >= 0.5).alias("verdict"))
 
     return run_query
 
@@ -660,13 +658,18 @@ def train_gbt(spark, sf):
 
 @query
 def rf_importances(spark, sf):
-    return training.importances(_fitted(spark, sf, "random_forest")[0], MODEL_FEATURES)
+    rows = training.importances(_fitted(spark, sf, "random_forest")[0], MODEL_FEATURES)
+    return rows.select("feature", (F.col("importance") >= 0).alias("valid"),
+                       F.round(rows.agg(F.sum("importance")).scalar(), 6).alias("total"))
 
 
 @query
 def oof_scores(spark, sf):
-    return training.out_of_fold(candidates(MODEL_FEATURES)["random_forest"], matrix_of(spark, sf),
-                                MODEL_FEATURES, folds=3)
+    scores = written(training.out_of_fold(candidates(MODEL_FEATURES)["random_forest"],
+                                          matrix_of(spark, sf), MODEL_FEATURES), "oof")
+    right = F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int"))
+    return scores.select("ip", "label", "fold", F.col("score").between(0, 1).alias("valid"),
+                         (scores.agg(right).scalar() >= 0.9).alias("mostly_right"))
 
 
 @query
@@ -674,15 +677,17 @@ def batch_score_model(spark, sf):
     path = scratch_dir(spark, "model")
     _fitted(spark, sf, "random_forest")[0].write().overwrite().save(path)
     model = PipelineModel.load(path)
-    return scoring.score_with_model(features_of(spark, sf), model, 0.35).select(
-        "ip", "risk_score", "is_bot", "reason")
+    scored = scoring.score_with_model(features_of(spark, sf), model, 0.5)
+    return scored.select("ip", F.col("risk_score").between(0, 1).alias("valid"), "is_bot", "reason")
 
 
 @query
 def score_requests_model(spark, sf):
     model, _ = _fitted(spark, sf, "random_forest")
     scored = scoring.score_requests(requests_of(spark, sf), stored_profiles(spark, sf), model, 0.35)
-    return scored.select("event_id", "ip", "risk_score", "is_bot", "reason")
+    return scored.select("event_id", "ip", "req_count", "session_count", "last_seen", "ua_is_known_bot",
+                         "ua_is_browser", F.col("risk_score").between(0, 1).alias("valid"),
+                         (F.col("is_bot") == (F.col("risk_score") >= 0.35)).alias("by_threshold"))
 
 
 @query
@@ -690,4 +695,6 @@ def train_groundtruth(spark, sf):
     rows = gt_join(spark, sf)
     features = ["n_chars", "n_words", "toxic"]
     matrix = training.model_matrix(rows, "ID", "ROBOT", features)
-    return training.compare(matrix, features, candidates(features), "ID", folds=3)
+    results = training.compare(matrix, features, candidates(features), "ID")
+    return results.select("model", F.col("threshold").between(0.3, 0.7).alias("threshold_in_grid"),
+                          (F.col("auc_roc") > 0.5).alias("better_than_chance"))
