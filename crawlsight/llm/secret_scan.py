@@ -57,8 +57,8 @@ PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36
 
 _NAMES = "|".join(sorted((re.escape(n) for n in SECRET_NAMES), key=len, reverse=True))
 _PREFIXED = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(PREFIXED)})(?![0-9A-Za-z])")
-_ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{_NAMES})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>|,;]{{8,512}})")
-_RUN = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]{0,200}[0-9])[0-9A-Za-z+/_=.-]{16,}")
+_ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{_NAMES})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>|,;]{{8,}})")
+_RUN = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]*[0-9])[0-9A-Za-z+/_=.-]{16,}")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 FEATURES = ("length", "letters", "digits", "kinds", "moves", "entropy", "hex", "dictionary", "longest_word",
@@ -75,13 +75,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
     rank = {"prefix": 0, "assigned": 1, "run": 2}
     last = -1
-    # sweep from the left: candidates that overlap form a chain, of which the best one is kept
+    # sweep from the left: of candidates that overlap the best one is kept
     for start, stop, name in sorted(found):
         if start >= last:
             taken.append((start, stop, name))
+        elif {name, taken[-1][2]} == {"assigned", "prefix"}:  # a provider's token within a value: all of the value
+            taken[-1] = (min(start, taken[-1][0]), max(stop, taken[-1][1]), "prefix")
         elif rank[name] < rank[taken[-1][2]]:
-            taken[-1] = (min(start, taken[-1][0]) if name != "prefix" else start, stop, name)
-        last = max(last, taken[-1][1])
+            taken[-1] = (start, stop, name)
+        last = taken[-1][1]
     return taken
 
 

@@ -211,6 +211,17 @@ def test_secrets(spark, docs, none):
     assert secret_scan.scan(none, secret_scan.scanner_of(none)).count() == 0
 
 
+def test_candidates_are_whole():
+    key, other = "AKIA" + "ABCDEFGH23456789", "AKIA" + "Z" * 16
+    long = "q" * 1000 + "7" + "r" * 1000
+    spans = lambda t: [(t[a:b], name) for a, b, name in secret_scan.candidates(t)]
+    assert spans(f"token={long} x") == [(long, "assigned")]
+    assert spans(f"see {long} x") == [(long, "run")]
+    assert spans(f"a1/{key}/{other}/b") == [(key, "prefix"), (other, "prefix")]
+    assert spans(f"password: ab-{key}-tail1, next") == [(f"ab-{key}-tail1", "prefix")]
+    assert spans("x" * 100_000) == [] and spans("") == []
+
+
 def test_language_model(spark, docs, none):
     rng = random.Random(6)
     left, right = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(30)]
