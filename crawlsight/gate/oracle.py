@@ -559,3 +559,6 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["batch_score_model"] = ORACLE["explain_verdicts"].replace(
     f"SELECT ip, {_RISK} AS risk_score,", "SELECT ip, 1 AS valid, is_robot AS is_bot,")
+
+# alerts stored by a stream are those of the whole log
+ORACLE["stream_alerts_live"] = ORACLE["active_alerts"]

@@ -224,15 +224,18 @@ def profile_lookup(spark, sf):
     return profiles.profile_lookup(profiles.as_families(seeded(spark, sf)))
 
 
+def flagged_requests(scored: DataFrame) -> DataFrame:
+    return scored.filter("is_bot").select(
+        "ip", F.col("epoch_s").alias("flagged_at"), "reason",
+        F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("request_count"))
+
+
 @query
 def active_alerts(spark, sf):
     stored = stored_profiles(spark, sf)
     scored = scoring.score_requests(log_of(spark, sf).filter("ip is not null"), stored)
-    flagged = scored.filter("is_bot").select(
-        "ip", F.col("epoch_s").alias("flagged_at"), "reason",
-        F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("request_count"))
     now = log_of(spark, sf).agg(F.max("epoch_s")).scalar()
-    return profiles.active_alerts(profiles.alerts(flagged, stored), now)
+    return profiles.active_alerts(profiles.alerts(flagged_requests(scored), stored), now)
 
 
 @query
@@ -564,6 +567,21 @@ def stream_alerts(spark, sf):
     return run.replay(spark, stream, scratch_dir(spark, "alerts"))
 
 
+@query
+def stream_alerts_live(spark, sf):
+    folder = scratch_dir(spark, "live-alerts")
+    stored = stored_profiles(spark, sf)
+    keep = alerts.alert_handler(folder + "/alerts", stored)
+
+    def handle(batch, batch_id):
+        keep(flagged_requests(scoring.score_requests(batch, stored)), batch_id)
+
+    requests = live_events(spark, sf).drop("risk_score", "is_bot")
+    run.finish(run.to_batches(requests, handle, folder + "/checkpoint", once=True))
+    now = log_of(spark, sf).agg(F.max("epoch_s")).scalar()
+    return profile_store.read_active_alerts(spark, folder + "/alerts", now)
+
+
 @query
 def stream_summary(spark, sf):
     """Running totals, and exact distinct counts from the event log that the stream writes."""

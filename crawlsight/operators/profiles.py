@@ -90,9 +90,14 @@ def alerts(flagged: DataFrame, profiles: DataFrame) -> DataFrame:
         .alias("request_count_at_flag"))
 
 
-def active_alerts(alert_rows: DataFrame, now: Column, ttl: int = ALERT_TTL_SECONDS) -> DataFrame:
-    """Newest alert per client that has not expired at `now` (epoch seconds)."""
-    live = alert_rows.filter((F.col("flagged_at") > now - ttl) & (F.col("flagged_at") <= now))
+def newest_alerts(alert_rows: DataFrame) -> DataFrame:
+    """Newest alert per client; within one second the one with most requests."""
     newest = F.max(F.struct("flagged_at", "request_count_at_flag", "reason"))
-    return live.groupBy("ip").agg(newest.alias("a")).select(
+    return alert_rows.groupBy("ip").agg(newest.alias("a")).select(
         "ip", "a.flagged_at", "a.reason", "a.request_count_at_flag")
+
+
+def active_alerts(alert_rows: DataFrame, now: Column, ttl: int = ALERT_TTL_SECONDS) -> DataFrame:
+    """Newest alert per client that has not expired at `now` (epoch seconds)."""
+    return newest_alerts(alert_rows.filter(
+        (F.col("flagged_at") > now - ttl) & (F.col("flagged_at") <= now)))

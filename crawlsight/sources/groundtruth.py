@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEY, LABEL = "ID", "ROBOT"
@@ -28,12 +29,17 @@ def _schema(columns: list[str]) -> T.StructType:
 
 def read_feature_set(spark: SparkSession, folder: str, prefix: str,
                      columns: list[str] | None = None) -> DataFrame:
-    """`prefix*.csv` in a folder; without `columns` the header names them. Values stay text
-    until the model matrix converts them."""
+    """`prefix*.csv` in a folder, the first by name (a file, or a folder of files with one header);
+    without `columns` the header names them. Values stay text until the model matrix converts them."""
+    matches = spark.read.format("binaryFile").load(f"{folder}/{prefix}*.csv")  # names only are read
+    name = F.regexp_extract("path", f"/(\\Q{prefix}\\E[^/]*\\.csv)(?:/[^/]*)?$", 1)
+    first = matches.select(F.min(name)).first()[0]
+    if not first:
+        raise FileNotFoundError(f"no {prefix}*.csv in {folder}")
     reader = spark.read.option("header", True)
     if columns:
         reader = reader.schema(_schema(columns))
-    return reader.csv(f"{folder}/{prefix}*.csv")
+    return reader.csv(f"{folder}/{first}")
 
 
 def join_feature_sets(simple: DataFrame, semantic: DataFrame) -> DataFrame:

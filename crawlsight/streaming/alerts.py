@@ -1,21 +1,34 @@
 """Live alerts that expire.
 
-An alert holds until the TTL has passed since the client was last flagged. In event time
-that is a session window with the TTL as its gap: each further flag prolongs it, and its state
-is dropped with the watermark. Flags of one client merge inside each task before the
-shuffle. Alerts that are live right now are read from the stored alerts (`sources.profiles`),
-which the live checks write with every micro-batch.
+An alert holds until the TTL has passed since the client was last flagged. `alert_handler` stores
+alerts with the micro-batch that flags the client, so they are seen from then on; expiry is
+applied on read (`sources.profiles.read_active_alerts`). `alert_periods` is their history: in
+event time an alert is a session window with the TTL as its gap. Each further flag prolongs it,
+and its state is dropped with the watermark. Flags of one client merge inside each task before
+the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.profiles import ALERT_TTL_SECONDS
+from ..operators.profiles import ALERT_TTL_SECONDS, alerts, newest_alerts
+from ..sources.profiles import write_alerts
 from .run import WATERMARK
 
 
+def alert_handler(path: str, profiles: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Handler for `run.to_batches` over flagged requests (`ip`, `flagged_at`, `reason`, optional
+    `request_count`): stores each client's newest alert of the micro-batch at once."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_alerts(newest_alerts(alerts(batch, profiles)), path, batch_id)
+
+    return handle
+
+
 def alert_periods(events: DataFrame, ttl_seconds: int = ALERT_TTL_SECONDS,
                   delay: str = WATERMARK) -> DataFrame:
     """Expired alerts: first and last flag, number of flags, end of the alert."""

@@ -16,6 +16,9 @@ from ..sources import event_log, profiles as profile_store
 from .run import snapshots
 
 
+FOLD_EVERY = 32  # micro-batches
+
+
 @dataclass(frozen=True)
 class CheckTables:
     """Paths below one folder."""
@@ -71,12 +74,19 @@ def batch_handler(spark: SparkSession, tables: CheckTables, allowlist: DataFrame
                   persist: bool = True) -> Callable[[DataFrame, int], None]:
     """Handler for `run.to_batches` over requests (`event_id`, `ip`, `timestamp`, `useragent`,
     `path`). Profiles are the stored ones on top of `base_profiles`; decisions are always kept,
-    events, profiles and alerts with `persist`."""
+    events, profiles and alerts with `persist`.
+
+    A micro-batch reads the profiles of its own clients, and every `FOLD_EVERY`th folds what the
+    earlier ones have stored, so its cost does not grow with their number."""
     keep_decisions = snapshots(tables.decisions)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        stored = profile_store.read_profiles(spark, tables.profiles, without_batch=batch_id)
-        current = stored if base_profiles is None else profile_ops.upsert(base_profiles, stored)
+        if persist and batch_id % FOLD_EVERY == 0:
+            profile_store.fold(spark, tables.profiles, without_batch=batch_id)
+        clients = validation.valid_requests(batch).select("ip").distinct().persist()
+        current = profile_store.read_profiles(spark, tables.profiles, batch_id, clients)
+        if base_profiles is not None:
+            current = profile_ops.upsert(base_profiles.join(clients, "ip", "left_semi"), current)
         # the entropy is taken once per client by the profile updates, not per request
         decided = check(batch, current, allowlist, model, threshold).drop("ua_entropy").persist()
         try:
@@ -86,5 +96,6 @@ def batch_handler(spark: SparkSession, tables: CheckTables, allowlist: DataFrame
                 persist_checks(decided, current, tables, batch_id, threshold, model_version)
         finally:
             decided.unpersist()
+            clients.unpersist()
 
     return handle

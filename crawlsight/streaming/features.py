@@ -20,9 +20,13 @@ _PARTS = ("seconds", "paths", "agents")
 def partials_handler(folder: str) -> Callable[[DataFrame, int], None]:
     """Batch handler that stores the partials of a micro-batch of the log."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        parts = feat.partials(batch)
-        for name in _PARTS:
-            snapshots(f"{folder}/{name}")(getattr(parts, name), batch_id)
+        batch = batch.persist()  # read once for three tables
+        try:
+            parts = feat.partials(batch)
+            for name in _PARTS:
+                snapshots(f"{folder}/{name}")(getattr(parts, name), batch_id)
+        finally:
+            batch.unpersist()
 
     return handle
 

@@ -149,6 +149,37 @@ def test_groundtruth(spark, folder):
     assert sorted(map(tuple, rows.collect())) == [("1", "2", "1", "5"), ("2", "inf", "0", "6")]
 
 
+def test_groundtruth_takes_the_first_match(spark, folder):
+    write(f"{folder}/simple_features_b.csv", "ROBOT,A,ID\n1,9,7\n")
+    write(f"{folder}/simple_features_a.csv", "ID,A,ROBOT\n1,2,1\n")
+    spark.createDataFrame([(1, 5)], "ID int, B int").write.option("header", True).csv(f"{folder}/semantic_features.csv")
+    assert [tuple(r) for r in groundtruth.read_groundtruth(spark, folder).collect()] == [("1", "2", "1", "5")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        groundtruth.read_feature_set(spark, folder, "other")
+
+
+def test_profile_store_folds_and_reads_by_bucket(spark, folder):
+    path = folder + "/profiles"
+    store.fold(spark, path)
+    for i in range(7):
+        if i % 3 == 0:
+            store.fold(spark, path, without_batch=i)
+        rows = spark.createDataFrame([(f"10.0.0.{k}", 1, i * 100 + k if k != i else None, k / 10) for k in range(i, i + 4)],
+                                     "ip string, updated_at long, req_count long, risk_score double")
+        for _ in range(2):
+            store.write_updates(rows, path, i, written_at=i)
+    batches = {r.batch_id[:5] for r in spark.read.parquet(path).select("batch_id").distinct().collect()}
+    assert batches == {"base-", "6"}
+    newest = lambda k: max((i for i in range(7) if i < k <= i + 3), default=None)
+    want = {f"10.0.0.{k}": None if newest(k) is None else newest(k) * 100 + k for k in range(10)}
+    assert {r.ip: r.req_count for r in store.read_profiles(spark, path).collect()} == want
+    clients = spark.createDataFrame([("10.0.0.3",), ("10.0.0.3",), ("new",)], "ip string")
+    some = store.read_profiles(spark, path, clients=clients)
+    assert {r.ip: r.req_count for r in some.collect()} == {"10.0.0.3": want["10.0.0.3"]}
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().executedPlan().toString()
+    assert {r.ip for r in store.read_profiles(spark, path, without_batch=6).collect()} == {f"10.0.0.{k}" for k in range(9)}
+
+
 def test_missing_metrics(spark):
     assert metrics.read_metrics(spark, "/nowhere").count() == 0
     assert metrics.model_comparison(metrics.read_metrics(spark, "/nowhere")).count() == 0

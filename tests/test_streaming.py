@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from crawlsight.operators import allowlist, features
 from crawlsight.sources import event_log, profiles as store
-from crawlsight.streaming import checks, features as live, monitors, run
+from crawlsight.streaming import alerts, checks, features as live, monitors, run
 
 from test_sessions_features import SCHEMA, check_features, random_log
 
@@ -49,6 +49,20 @@ def test_checks_are_repeatable_and_use_earlier_batches(spark, folder):
     assert [(r.ip, r.flagged_at) for r in live_alerts] == [("1.1.1.1", 100)]
 
 
+def test_alerts_are_seen_with_the_batch_that_flags(spark, folder):
+    profiles = spark.createDataFrame([("a", 42)], "ip string, req_count long")
+    keep = alerts.alert_handler(folder + "/alerts", profiles)
+    flags = lambda *rows: spark.createDataFrame(rows, "ip string, flagged_at long, reason string")
+    now = lambda t: {(r.ip, r.flagged_at, r.reason, r.request_count_at_flag) for r in
+                     store.read_active_alerts(spark, folder + "/alerts", F.lit(t)).collect()}
+    keep(flags(("a", 100, "r1"), ("a", 90, "r0"), ("b", 200, "r")), 0)
+    assert now(200) == {("a", 100, "r1", 42), ("b", 200, "r", 0)}
+    for _ in range(2):
+        keep(flags(("a", 3000, "r2")), 1)
+    assert now(3750) == {("a", 3000, "r2", 42), ("b", 200, "r", 0)} and now(3800) == {("a", 3000, "r2", 42)}
+    assert now(6600) == set()
+
+
 def test_late_requests_miss_closed_windows_only(spark, folder):
     def arrive(name, rows):
         spark.createDataFrame(rows, "event_id long, s long, is_bot int").selectExpr(
