@@ -11,7 +11,7 @@ walking back from each, are written after every `LOOKAHEAD` bytes. States and tr
 made when they are first met, and dropped all at once when there are more than `STATES_KEPT`.
 
 The text is first split by a pattern, and each match is encoded on its own, without special
-tokens. Workers remember up to `MATCHES_KEPT` matches.
+tokens. Workers remember up to `MATCHES_KEPT` matches of at most `MATCH_LENGTH_KEPT` characters.
 
 Decoding. `StreamDecoder` takes ids in any portions and returns the text that is complete so far;
 at most three bytes wait between portions. Bytes that are not UTF-8 become U+FFFD, one for each
@@ -38,6 +38,7 @@ STATES_KEPT = 300_000
 LOOKAHEAD = 256
 PAIRS_KEPT = 500_000
 MATCHES_KEPT = 600_000
+MATCH_LENGTH_KEPT = 64  # characters
 
 _ROOT = 0
 
@@ -197,7 +198,9 @@ class Encoder:
                 match = matches[i]
                 ids = known.get(match)
                 if ids is None:
-                    ids = known[match] = array("i", encode(match.encode())).tobytes()
+                    ids = array("i", encode(match.encode())).tobytes()
+                    if len(match) <= MATCH_LENGTH_KEPT:
+                        known[match] = ids
                 found[i] = ids
         return np.frombuffer(b"".join(found), "<i4")
 

@@ -2,7 +2,7 @@
 
 The tokenizers files used here drop white space and never merge across it, so a text's ids are
 those of its words one after the other. Workers keep the ids of words and word parts they have
-met, up to a fixed number each, and only new parts go through the library.
+met, up to a fixed number and size, and only new parts go through the library.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 WORDS_KEPT = 700_000
 PARTS_KEPT = 300_000
+BYTES_KEPT = 64_000_000  # of words; few words may be very long
 
 _encoders: dict = {}
 
@@ -55,6 +56,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0  # bytes of the words kept
         # letters are merged together; digits stand alone and so need no part of their own
         self.split = regex.compile(r"\p{L}+|[^\s\p{L}]+")
 
@@ -93,11 +95,15 @@ class WordEncoder:
         for at in range(0, len(new), 20_000):
             self._of_parts(new[at:at + 20_000])
         for word, parts in zip(words, split):
+            self.held += len(word)
             self.words[word] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, text: bytes) -> bytes:
-        if len(self.words) > WORDS_KEPT:
+        if self.held > BYTES_KEPT:
+            self.parts.clear()
+        if len(self.words) > WORDS_KEPT or self.held > BYTES_KEPT:
             self.words.clear()
+            self.held = 0
         words, known = text.split(), self.words
         if new := set(words).difference(known):
             self._learn(list(new))
