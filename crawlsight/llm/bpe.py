@@ -41,6 +41,7 @@ MATCHES_KEPT = 600_000
 MATCH_LENGTH_KEPT = 64  # characters
 
 _ROOT = 0
+_PLACE = 24  # a place is a node above these bits, which hold the token before it plus one, or zero
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +57,7 @@ class Transducer:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
+        self.depth: list[int] = [0]  # of a node, which is how many bytes ago its token started
         for token, rank in ranks.items():
             node = _ROOT
             for byte in token:
@@ -64,20 +66,22 @@ class Transducer:
                 if node < 0:
                     node = self.child[step] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[step >> 8] + 1)
             self.ends[node] = rank
         self.grows = [False] * len(self.ends)  # whether a longer token goes on from the node
         for step in self.child:
             self.grows[step >> 8] = True
         self.size = {rank: len(token) for rank, token in self.tokens.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[bytes, int, int]]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((_ROOT, -1, 0),)
+        start = (_ROOT,)
         self.numbers = {start: 0}
         self.states = [start]
-        self.step: dict[int, tuple[int, int]] = {}
+        self.last = [-1]  # the token that ends where the state is reached
+        self.step: dict[int, int] = {}
 
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
         """The tokens that stand at the edge of `token` while it is merged: bytes, and the ranks
@@ -109,73 +113,82 @@ class Transducer:
         They are not if some merge across their border comes before the merges that take the two
         tokens at the border away. Of equal ranks the leftmost merge is first.
         """
-        known = self.pairs.get((left, right))
+        pair = left << _PLACE | right
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) > PAIRS_KEPT:
                 self.pairs.clear()
-            known = True
-            for a, a_comes, a_goes in self._spine(left, True):
-                for b, b_comes, b_goes in self._spine(right, False):
-                    rank = self.ranks.get(a + b, 1 << 30)
-                    if a_comes < rank < a_goes and b_comes < rank <= b_goes and rank < 1 << 30:
-                        known = False
-            self.pairs[left, right] = known
+            known = self.pairs[pair] = self._agree(left, right)
         return known
 
-    def _advance(self, number: int, byte: int) -> tuple[int, int]:
-        """The next state, and the token that ends with this byte."""
-        live, end = [], -1
-        for node, last, age in self.states[number]:
-            node = self.child.get(node << 8 | byte, -1)
-            if node < 0:
+    def _agree(self, left: int, right: int) -> bool:
+        rank_of, none, after = self.ranks.get, 1 << 30, self._spine(right, False)
+        for a, a_comes, a_goes in self._spine(left, True):
+            for b, b_comes, b_goes in after:
+                rank = rank_of(a + b, none)
+                if rank < none and a_comes < rank < a_goes and b_comes < rank <= b_goes:
+                    return False
+        return True
+
+    def _advance(self, number: int, byte: int) -> int:
+        """The next state."""
+        live, end, child = [], -1, self.child.get
+        for place in self.states[number]:
+            node = child(place >> _PLACE << 8 | byte)
+            if node is None:
                 continue
+            before = place & (1 << _PLACE) - 1
             token = self.ends[node]
-            if end < 0 and token >= 0 and (last < 0 or self.agree(last, token)):
+            if end < 0 and token >= 0 and (not before or self.agree(before - 1, token)):
                 end = token
             if self.grows[node]:
-                live.append((node, last, age + 1))
+                live.append(node << _PLACE | before)
         if end < 0:
             raise ValueError("a byte that no token covers")
-        state = (*live, (_ROOT, end, 0))
-        if state not in self.numbers:
-            self.numbers[state] = len(self.states)
+        live.append(end + 1)  # at the root
+        state = tuple(live)
+        to = self.numbers.get(state)
+        if to is None:
+            to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        return self.numbers[state], end
+            self.last.append(end)
+        return to
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > STATES_KEPT:
             self._forget()
         out: list[int] = []
-        ends: list[int] = []  # the token that ends at each byte not yet written
-        state, known = 0, self.step.get
+        path: list[int] = []  # the states after each byte not yet written
+        state, known, add = 0, self.step.get, path.append
         for at in range(0, len(data), LOOKAHEAD):
             if at:
-                written = self._common(ends, [age for _, _, age in self.states[state]])
-                out += self._back(ends, written)
-                del ends[:written]
+                written = self._common(path, [self.depth[p >> _PLACE] for p in self.states[state]])
+                out += self._back(path, written)
+                del path[:written]
             for byte in data[at:at + LOOKAHEAD]:
-                to = known(state << 8 | byte)
-                if to is None:
-                    to = self.step[state << 8 | byte] = self._advance(state, byte)
-                state, token = to
-                ends.append(token)
-        return out + self._back(ends, len(ends))
-
-    def _back(self, ends: list[int], at: int) -> list[int]:
-        path = []
+                move = state << 8 | byte
+                state = known(move)
+                if state is None:
+                    state = self.step[move] = self._advance(move >> 8, byte)
+                add(state)
+        return out + self._back(path, len(path))
+
+    def _back(self, path: list[int], at: int) -> list[int]:
+        tokens, last, size = [], self.last, self.size
         while at:
-            path.append(ends[at - 1])
-            at -= self.size[ends[at - 1]]
-        path.reverse()
-        return path
+            token = last[path[at - 1]]
+            tokens.append(token)
+            at -= size[token]
+        tokens.reverse()
+        return tokens
 
-    def _common(self, ends: list[int], ages: list[int]) -> int:
+    def _common(self, path: list[int], ages: list[int]) -> int:
         """The last boundary that lies on the ways back from all live positions."""
-        at = {len(ends) - age for age in ages}
+        at = {len(path) - age for age in ages}
         while len(at) > 1:
             far = max(at)
             at.remove(far)
-            at.add(far - self.size[ends[far - 1]])
+            at.add(far - self.size[self.last[path[far - 1]]])
         return at.pop()
 
 
