@@ -192,30 +192,31 @@ class Transducer:
         return at.pop()
 
 
+class Matches(dict):
+    """The ids of each match, as bytes; short ones are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.transducer = Transducer(ranks)
+
+    def __missing__(self, match: str) -> bytes:
+        ids = array("i", self.transducer.encode(match.encode())).tobytes()
+        if len(match) <= MATCH_LENGTH_KEPT:
+            self[match] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts: the pattern's matches, each by the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+        self.known = Matches(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        matches = self.split(text)
-        found = list(map(self.known.get, matches))
-        if None in found:
-            if len(self.known) > MATCHES_KEPT:
-                self.known.clear()
-            known, encode = self.known, self.transducer.encode
-            for i in [i for i, ids in enumerate(found) if ids is None]:
-                match = matches[i]
-                ids = known.get(match)
-                if ids is None:
-                    ids = array("i", encode(match.encode())).tobytes()
-                    if len(match) <= MATCH_LENGTH_KEPT:
-                        known[match] = ids
-                found[i] = ids
-        return np.frombuffer(b"".join(found), "<i4")
+        if len(self.known) > MATCHES_KEPT:
+            self.known.clear()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), "<i4")
 
 
 class StreamDecoder:
@@ -225,6 +226,7 @@ class StreamDecoder:
         self.tokens = tokens
         self.waiting = b""
         self.known: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self.whole: dict[int, str] = {}  # tokens that are whole characters
 
     @staticmethod
     def _bounds(lead: int) -> tuple[int, int, int]:
@@ -257,11 +259,21 @@ class StreamDecoder:
         return "".join(text), b""
 
     def feed(self, ids) -> str:
-        known, waiting, text = self.known, self.waiting, []
+        known, waiting, whole, text = self.known, self.waiting, self.whole.get, []
+        if not waiting:
+            text = list(map(whole, ids))
+            if None not in text:
+                return "".join(text)
+            text = []
         for i in ids:
+            if not waiting and (part := whole(i)) is not None:
+                text.append(part)
+                continue
             to = known.get((waiting, i))
             if to is None:
                 to = known[waiting, i] = self._run(waiting + self.tokens[i])
+                if not waiting and not to[1]:
+                    self.whole[i] = to[0]
             part, waiting = to
             text.append(part)
         self.waiting = waiting
