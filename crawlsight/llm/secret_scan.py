@@ -7,9 +7,11 @@ it. It learns from labelled findings: (text, start, stop, label, path).
 
 `derived_findings` labels candidates of a corpus where their form leaves no doubt: a provider's
 prefix with the right length and a random-looking value assigned to a secret-like name are
-secrets; numbers, hosts and mail addresses, words, placeholders and named digests are not. The
-others are left to the forest. The forest is fitted on at most `SAMPLE` findings. It never takes
-out a provider's token in full form, since the corpus may hold none to learn from.
+secrets; numbers, hosts and mail addresses, words, placeholders and values directly named as a
+digest or the like are not. The others are left to the forest, among them values whose name is
+both secret-like and harmless. The forest is fitted on at most `SAMPLE` findings. It never takes
+out a provider's token in full form, whatever the words before it, since the corpus may hold none
+to learn from; only a token that is itself a placeholder is none.
 
 The dictionary holds words of letters with at least 1/`DICTIONARY` of all words.
 
@@ -49,6 +51,8 @@ SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "a
 HARMLESS_NAMES = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "uuid", "guid", "isbn",
                   "version", "phone", "card", "order", "invoice", "id", "ref", "build", "rev", "revision")
 PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "xxxx", "your_", "your-", "sample", "test", "1234567")
+# A token is a placeholder by these: shorter ones turn up in random tokens by chance.
+TOKEN_PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxxxx", "your_", "your-", "sample", "1234567")
 PATH_HINTS = ("test", "example", "sample", "doc", "mock", "spec", "fixture")
 # Prefixes of providers' tokens.
 PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}",
@@ -60,6 +64,9 @@ _PREFIXED = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(PREFIXED)})(?![0-9A-Za-z]
 _ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{_NAMES})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>|,;]{{8,}})")
 _RUN = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]*[0-9])[0-9A-Za-z+/_=.-]{16,}")
 _WORDS = re.compile(r"[^\W\d_]+")
+_NAME_BEFORE = re.compile(r"([\w.-]+)[\"'`]?(?:\s{0,3}(?:=>|[:=])\s{0,3}|\s{1,3})(?:bearer\s+|basic\s+)?[\"'`]?$", re.I)
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*")
+_SECRET_NAME = re.compile(rf"(?:.*(?:{'|'.join(n for n in SECRET_NAMES if len(n) > 4)})|.*(?<![a-z])(?:auth|pwd))$")
 
 FEATURES = ("length", "letters", "digits", "kinds", "moves", "entropy", "hex", "dictionary", "longest_word",
             "path_depth", "path_hint", "secret_before", "harmless_before", "assigned", "quoted", "at_sign",
@@ -91,13 +98,31 @@ def kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def secret_name(name: str) -> bool:
+    """Whether a name has a part, or two, that secrets are assigned to."""
+    parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+    return any(w in SECRET_NAMES or _SECRET_NAME.match(w) for w in parts) or any(
+        f"{a}_{b}" in SECRET_NAMES for a, b in zip(parts, parts[1:]))
+
+
+def harmless_name(before: str) -> bool:
+    """Whether what follows `before` is directly named as something harmless."""
+    m = _NAME_BEFORE.search(before)
+    parts = _NAME_PARTS.findall(m[1]) if m else []
+    return bool(parts) and parts[-1].lower() in HARMLESS_NAMES
+
+
+def placeholder_token(token: str) -> bool:
+    return len(set(token)) < 6 or any(p in token.lower() for p in TOKEN_PLACEHOLDERS)
+
+
 def features(text: str, start: int, stop: int, path: str, dictionary: frozenset[str]) -> list[float]:
     """`FEATURES` of a candidate."""
     value = text[start:stop]
     size = max(len(value), 1)
     kinds = [kind(c) for c in value]
     before, after = text[max(0, start - 60):start], text[stop:stop + 40]
-    near = [w.lower() for w in re.findall(r"[\w-]+", before)[-3:]]
+    near = re.findall(r"[\w-]+", before)[-3:]
     words = [w.lower() for w in _WORDS.findall(value)]
     known = [w for w in words if w in dictionary]
     shares = [value.count(c) / size for c in set(value)]
@@ -107,8 +132,8 @@ def features(text: str, start: int, stop: int, path: str, dictionary: frozenset[
             sum(a != b for a, b in zip(kinds, kinds[1:])) / size, -sum(p * math.log2(p) for p in shares),
             sum(c in "0123456789abcdefABCDEF" for c in value) / size, sum(map(len, known)) / size,
             float(max(map(len, words), default=0)), float(places.count("/")),
-            float(any(h in places for h in PATH_HINTS)), float(any(w in SECRET_NAMES for w in near)),
-            float(any(w in HARMLESS_NAMES for w in near)), float(before.rstrip().rstrip("\"'").rstrip().endswith(("=", ":"))),
+            float(any(h in places for h in PATH_HINTS)), float(any(map(secret_name, near))),
+            float(harmless_name(before)), float(before.rstrip().rstrip("\"'").rstrip().endswith(("=", ":"))),
             float(before.endswith(("\"", "'"))), float("@" in value + after[:1]),
             float(any(p in low for p in PLACEHOLDERS)),
             float(follow[0].lower() in dictionary) if follow else 0.0]
@@ -117,12 +142,15 @@ def features(text: str, start: int, stop: int, path: str, dictionary: frozenset[
 def certain_label(text: str, start: int, stop: int, pattern: str) -> int | None:
     """1 or 0 where a candidate's form leaves no doubt."""
     value, low = text[start:stop], text[start:stop].lower()
-    before = text[max(0, start - 60):start].lower()
-    near = re.findall(r"[\w-]+", before)[-2:]
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    if any(p in low for p in PLACEHOLDERS) or any(w in HARMLESS_NAMES for w in near):
+    if pattern == "prefix":
+        return int(not all(placeholder_token(m[0]) for m in _PREFIXED.finditer(value)))
+    if any(p in low for p in PLACEHOLDERS):
         return 0
-    if pattern == "prefix" or pattern == "assigned" and mixed and len(set(value)) >= 6:
+    before = text[max(0, start - 60):start]
+    if harmless_name(before):
+        return None if any(map(secret_name, re.findall(r"[\w-]+", before)[-3:])) else 0
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    if pattern == "assigned" and mixed and len(set(value)) >= 6:
         return 1
     if re.fullmatch(r"[\d.+/_=-]+|[^\W\d_]+", value) or re.search(r"@|[a-z]\.[a-z]{2,}", low):
         return 0
