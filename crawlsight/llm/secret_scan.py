@@ -1,7 +1,9 @@
 """Secrets in texts: pattern candidates, of which a random forest takes out the false ones.
 
-Candidates are long runs of key characters with a digit, values assigned to a secret-like name,
-and tokens with a provider's prefix. The forest sees a candidate's length, how it moves between
+Candidates are long runs of key characters with a digit or with changes of case, values of any
+length assigned to a name that holds a secret-like one (a quoted value up to its closing quote, an
+unquoted one up to a blank, quote or `<>|,;`), what follows Bearer, passwords in URLs, private
+keys in PEM, and tokens with a provider's prefix. The forest sees a candidate's length, how it moves between
 kinds of characters, how much of it words of the dictionary cover, its path, and the words around
 it. It learns from labelled findings: (text, start, stop, label, path).
 
@@ -55,16 +57,45 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "xxxx", "your_",
 TOKEN_PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxxxx", "your_", "your-", "sample", "1234567")
 PATH_HINTS = ("test", "example", "sample", "doc", "mock", "spec", "fixture")
 # Prefixes of providers' tokens.
+PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"github_pat_[0-9A-Za-z_]{22,}",
+            r"glpat-[0-9A-Za-z_-]{20,}", r"xox[abeoprs]-[0-9A-Za-z-]{10,}", r"xapp-[0-9A-Za-z-]{20,}",
+            r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", r"whsec_[0-9A-Za-z+/=]{24,}", r"AIza[0-9A-Za-z_-]{35}",
+            r"ya29\.[0-9A-Za-z_-]{20,}", r"sk-(?=[\w-]*[0-9])(?=[\w-]*[A-Z])[0-9A-Za-z_-]{20,}",
+            r"npm_[0-9A-Za-z]{36}", r"pypi-[0-9A-Za-z_-]{50,}", r"hf_[0-9A-Za-z]{30,}", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}",
+            r"dop_v1_[0-9a-f]{64}", r"SG\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{32,}",
+            r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}")
+
+_NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "api-key",
+                "access_key", "access-key", "private_key", "client_secret", "credential", "credentials",
+                "auth", "bearer", "authorization")
+HARMLESS_NAMES = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "uuid", "guid", "isbn",
+                  "version", "phone", "card", "order", "invoice", "id", "ref", "build", "rev", "revision")
+PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "xxxx", "your_", "your-", "sample", "test", "1234567")
+# A token is a placeholder by these: shorter ones turn up in random tokens by chance.
+TOKEN_PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxxxx", "your_", "your-", "sample", "1234567")
+PATH_HINTS = ("test", "example", "sample", "doc", "mock", "spec", "fixture")
+# Prefixes of providers' tokens.
 PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}",
             r"sk_live_[0-9A-Za-z]{16,}", r"AIza[0-9A-Za-z_-]{35}",
             r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}")
 
 _NAMES = "|".join(sorted((re.escape(n) for n in SECRET_NAMES), key=len, reverse=True))
 _PREFIXED = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(PREFIXED)})(?![0-9A-Za-z])")
-_ASSIGNED = re.compile(rf"(?i)(?<![a-z])(?:{_NAMES})[\"']?\s{{0,3}}(?:=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>|,;]{{8,}})")
-_RUN = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]*[0-9])[0-9A-Za-z+/_=.-]{16,}")
+_ANY_NAME = re.compile(_NAMES, re.I)
+_SEPARATOR = re.compile(r"=>|:=|={1,3}|:")
+_VALUE = re.compile(r"""(?x) \s{0,3}
+    (?: \\? (?P<quote>["'`]) (?: (?i:bearer|basic) \s+ )? (?P<quoted> (?: \\. | (?!(?P=quote)) [^\\\n] )++ ) (?P=quote)
+      | ["'`]? (?: (?i:bearer|basic) \s+ )? (?P<bare> [^\s"'<>|,;]+ ) )""")
+_BEARER = re.compile(r"(?i)(?<![0-9a-z])bearer\s+([0-9a-z+/_=.~-]{8,})")
+_URL = re.compile(r"://[^\s/@:\"'<>]*+:([^\s/@\"'<>]++)@")
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_PEM_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+_PEM_LINES = re.compile(r"(?:(?:\s|\\[rn])*[0-9A-Za-z+/=]{16,})*+")
+_RUN = re.compile(r"(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]*[0-9])[0-9A-Za-z+/_=.-]{16,}"
+                  r"|(?<![0-9A-Za-z+/_=.-])(?=[0-9A-Za-z+/_=.-]*[a-z][A-Z]+[a-z]+[A-Z])[0-9A-Za-z+/_=.-]{16,}")
 _WORDS = re.compile(r"[^\W\d_]+")
 _NAME_BEFORE = re.compile(r"([\w.-]+)[\"'`]?(?:\s{0,3}(?:=>|[:=])\s{0,3}|\s{1,3})(?:bearer\s+|basic\s+)?[\"'`]?$", re.I)
+_CASES = re.compile(r"[a-z][A-Z]+[a-z]+[A-Z]")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+[0-9]*|[A-Z]+[0-9]*")
 _SECRET_NAME = re.compile(rf"(?:.*(?:{'|'.join(n for n in SECRET_NAMES if len(n) > 4)})|.*(?<![a-z])(?:auth|pwd))$")
 
@@ -73,21 +104,48 @@ FEATURES = ("length", "letters", "digits", "kinds", "moves", "entropy", "hex", "
             "placeholder", "word_after")
 
 
+def assigned_values(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of values after a separator and a name that holds a secret-like one."""
+    for m in _SEPARATOR.finditer(text):
+        stop = m.start()
+        while stop and m.start() - stop < 3 and text[stop - 1].isspace():
+            stop -= 1
+        for c in ("\"'`", "\\"):
+            stop -= bool(stop and text[stop - 1] in c)
+        start = stop
+        while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+            start -= 1
+        if start < stop and _ANY_NAME.search(text, start, stop) and (v := _VALUE.match(text, m.end())):
+            yield v.span("quoted" if v["quoted"] else "bare")
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys up to their end line, or without one up to the last line of the key."""
+    at, ends = 0, True
+    while m := _PEM.search(text, at):
+        end = _PEM_END.search(text, m.end()) if ends else None
+        ends = end is not None
+        at = end.end() if end else _PEM_LINES.match(text, m.end()).end()
+        yield m.start(), at
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, pattern) in order, without overlaps; the more telling pattern wins."""
     found: list[tuple[int, int, str]] = [(*m.span(), "prefix") for m in _PREFIXED.finditer(text)]
-    for pattern, group, name in ((_ASSIGNED, 1, "assigned"), (_RUN, 0, "run")):
+    found += [(*span, "pem") for span in pem_blocks(text)]
+    found += [(*span, "assigned") for span in assigned_values(text)]
+    for pattern, group, name in ((_BEARER, 1, "assigned"), (_URL, 1, "assigned"), (_RUN, 0, "run")):
         for m in pattern.finditer(text):
             found.append((*m.span(group), name))
     taken: list[tuple[int, int, str]] = []
-    rank = {"prefix": 0, "assigned": 1, "run": 2}
+    rank = {"pem": 0, "prefix": 1, "assigned": 2, "run": 3}
     last = -1
     # sweep from the left: of candidates that overlap the best one is kept
     for start, stop, name in sorted(found):
         if start >= last:
             taken.append((start, stop, name))
-        elif {name, taken[-1][2]} == {"assigned", "prefix"}:  # a provider's token within a value: all of the value
-            taken[-1] = (min(start, taken[-1][0]), max(stop, taken[-1][1]), "prefix")
+        elif "run" not in (name, taken[-1][2]):  # a provider's token within a value and the like: all of both
+            taken[-1] = (taken[-1][0], max(stop, taken[-1][1]), min(name, taken[-1][2], key=rank.get))
         elif rank[name] < rank[taken[-1][2]]:
             taken[-1] = (start, stop, name)
         last = taken[-1][1]
@@ -142,6 +200,8 @@ def features(text: str, start: int, stop: int, path: str, dictionary: frozenset[
 def certain_label(text: str, start: int, stop: int, pattern: str) -> int | None:
     """1 or 0 where a candidate's form leaves no doubt."""
     value, low = text[start:stop], text[start:stop].lower()
+    if pattern == "pem":
+        return 1
     if pattern == "prefix":
         return int(not all(placeholder_token(m[0]) for m in _PREFIXED.finditer(value)))
     if any(p in low for p in PLACEHOLDERS):
@@ -150,8 +210,14 @@ def certain_label(text: str, start: int, stop: int, pattern: str) -> int | None:
     if harmless_name(before):
         return None if any(map(secret_name, re.findall(r"[\w-]+", before)[-3:])) else 0
     mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-    if pattern == "assigned" and mixed and len(set(value)) >= 6:
-        return 1
+    if pattern == "assigned":
+        named = [w for w in re.findall(r"[\w-]+", before)[-2:] if secret_name(w)]
+        if mixed and len(set(value)) >= 6:
+            return 1 if named or text[start - 1:start] == ":" and text[stop:stop + 1] == "@" else None
+        # only words are beyond doubt: a short value, or one of letters in no word's case, may be a password
+        return 0 if re.fullmatch(r"[^\W\d_]?[^\W\d_A-Z]+|[A-Z]+", value) and len(value) < 16 else None
+    if _CASES.search(value):
+        return None
     if re.fullmatch(r"[\d.+/_=-]+|[^\W\d_]+", value) or re.search(r"@|[a-z]\.[a-z]{2,}", low):
         return 0
     return None
@@ -170,7 +236,7 @@ class Scanner:
         if self.forest is None:
             return [(*s, 1.0) for s in spans]
         x = np.array([features(text, a, b, path, self.dictionary) for a, b, _ in spans])
-        certain = [s[2] == "prefix" and certain_label(text, *s) == 1 for s in spans]
+        certain = [s[2] in ("pem", "prefix") and certain_label(text, *s) == 1 for s in spans]
         return [(*s, 1.0 if sure else float(p))
                 for s, sure, p in zip(spans, certain, self.forest.probabilities(x))]
 
