@@ -2,7 +2,8 @@
 
 The tokenizers files used here drop white space and never merge across it, so a text's ids are
 those of its words one after the other. Workers keep the ids of words and word parts they have
-met, up to a fixed number and size, and only new parts go through the library.
+met, up to a fixed number and size, and only new parts go through the library. The file's added
+tokens hold no white space either, and get their own ids where a text holds them.
 """
 
 from __future__ import annotations
@@ -53,7 +54,9 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # the file's added tokens count as such in a text; words that hold one go through the library whole
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.held = 0  # bytes of the words kept
@@ -75,6 +78,8 @@ class WordEncoder:
     def _parts_of(self, word: bytes) -> list[str]:
         """Stretches of letters and of other characters, in the tokenizer's normal form."""
         text = word.decode("utf-8", "replace")
+        if self.added.search(text):
+            return [text]
         if text.isascii():
             normal = text.lower()
         elif is_normalized("NFC", text) and "\u03a3" not in text:  # a sigma's lower case depends on its place

@@ -169,6 +169,22 @@ def test_packing(docs, none):
     assert ss_packing.pack_documents(none, WORD).count() == 0
 
 
+def test_added_tokens_in_a_text_are_those_of_the_plain_call(spark):
+    library, rng = Tokenizer.from_file(WORD), random.Random(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", " ", "\n", "don't", "'s", "Σ", "ΑΣ",
+             "e\u0301", "\u0301", "naïve", "日本", "42", "\u00a0", "a", "!!"]
+    texts = ["end of story <|endoftext|> next"] + ["".join(rng.choices(parts, k=8)) for _ in range(400)]
+    encoder = tokens.WordEncoder(WORD)
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [806, 539, 1134, 49407, 1131]
+    assert [np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() for t in texts] == ids
+    df = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    crcs = {r.doc_id: r.ids_crc32 for r in ss_packing.pack_documents(df, WORD).collect()}
+    assert crcs == {i: zlib.crc32(np.array(x + [1], "<u4").tobytes()) for i, x in enumerate(ids[:50])}
+    packed = binary_output.segments(binary_output.packed_matrices(df, WORD, 49408, capacity=256)).collect()
+    assert {r.doc_id: list(r.ids) for r in packed} == {i: x + [1] for i, x in enumerate(ids[:50])}
+
+
 def test_packing_in_many_groups(spark):
     rng = random.Random(4)
     items = spark.createDataFrame([(i, rng.randint(1, 100)) for i in range(3000)], "row_no long, length long")
