@@ -4,11 +4,13 @@ Words fall into classes by exchange clustering: a word moves to the class that r
 likelihood of the corpus' class bigrams most, until few words move. A text's probability is the
 product of class transitions and of word emissions within the class.
 
-Clustering treats every word with at least 1/`CLUSTERED` of the training tokens on its own and
-all others by their ending: words whose last two bytes hash alike form one symbol, so every word
-has a class and the matrix of symbol bigrams has a fixed size, whatever the corpus. Counts are
-taken over all training texts. Emissions use each word's own count. Words with at least 1/`SENT`
-of the tokens are sent to the tasks with their counts; the others are joined by shuffle.
+The driver finds first classes by exchange over symbols: a word with at least 1/`CLUSTERED` of the
+tokens is a symbol, all others go by the hash of their last two bytes. From these, in `MOVES` rounds
+over the corpus, every other word seen `LEAST` times or more moves to the class under which its own
+neighbours' classes are likeliest, whatever share of the corpus it has; only words seen less often
+stay with their ending. Up to `SENT` of the most frequent words are sent to the tasks with their
+counts and classes. The classes of all others are found by shuffle, text by text, in the rounds, in
+the final class bigrams and in the score alike.
 
 P(c | b) = (n(b, c) + T(b) P(c)) / (n(b) + T(b)), T(b) the number of classes seen after b;
 P(w | c) = (n(w) + 1) / (n(c) + V(c) + 1), V(c) the number of known words of the class.
@@ -29,16 +31,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_bytes
-from .vocabulary import frequent, word_counts
+from .vocabulary import most_frequent, word_counts
 
 CLASSES = 64
 CLUSTERED = 1024
-SENT = 1 << 19
+SENT = 1 << 18
+LEAST = 4
+MOVES = 2
+HELD = 1 << 21  # neighbour counts a task holds before it passes them on
 ENDINGS = 256
 ROUNDS = 12
 
@@ -110,13 +116,13 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
 
 @dataclass
 class BrownModel:
-    """What tasks need: words by number with count and symbol, and the classes' tables."""
+    """What tasks need: the words sent, by number, with count and class, and the classes' tables."""
 
     numbers: dict[bytes, int]     # words sent to the tasks; the end token is number 0, without a word
+    least: int                    # count from which words are sent
     log_count: np.ndarray         # log10(n + 1) by number
-    symbol: np.ndarray            # by number
-    clustered: int                # symbols below are words of their own, above are endings
-    group: np.ndarray             # class by symbol
+    group: np.ndarray             # class by number
+    ending_group: np.ndarray      # class by ending
     log_move: np.ndarray          # log10 P(class | class before)
     log_class: np.ndarray         # log10(n(c) + V(c) + 1)
     tokens: int
@@ -155,51 +161,312 @@ def _pair_counts(docs: DataFrame, numbers, symbol: np.ndarray, clustered: int, t
             .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[BrownModel, DataFrame]:
-    """The model, and the table (word, n) of all words of the training texts."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by the first column, cut where its value changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cut = pc.index(batch.column(0), batch.column(0)[batch.num_rows - 1]).as_py()
+        if cut or held and held[-1].column(0)[0] != batch.column(0)[0]:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbered(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, dict[bytes, int]]:
+    """Numbers of a text's words between two ends, -1 and less for its words that were not sent, and those words."""
+    local: dict[bytes, int] = {}
+    get = known.get
+    row = [0, *(k if (k := get(w)) is not None else -1 - local.setdefault(w, len(local)) for w in words), 0]
+    return np.array(row, np.int64), local
+
+
+def _open_pairs(row: np.ndarray) -> np.ndarray:
+    """Neighbours of which one at least was not sent, one after the other."""
+    pairs = np.stack([row[:-1], row[1:]], 1)
+    return pairs[(pairs < 0).any(1)].astype(np.int32)
+
+
+_OPEN = "text_no long, local int, word binary, pairs binary"
+
+
+def _open_texts(docs: DataFrame, numbers, unsent: DataFrame, text_col: str) -> DataFrame:
+    """(text_no, local, word, pairs, n, class), by text: its open pairs, then its words that were not sent."""
+    names = [f.split()[0] for f in _OPEN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_no = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(0):
+                row, local = _numbered(words_of(text.as_py()), numbers.value)
+                if local:
+                    out[0].extend([text_no] * (len(local) + 1))
+                    out[1].extend(range(-1, len(local)))
+                    out[2].append(b" " + text_no.to_bytes(8, "little"))  # spreads evenly; no word has a blank
+                    out[2].extend(local)
+                    out[3].append(_open_pairs(row).tobytes())
+                    out[3].extend([None] * len(local))
+                text_no += 1
+                if len(out[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OPEN_KINDS)], names)
+                    out = [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OPEN_KINDS)], names)
+
+    rows = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, _OPEN)
+    return (rows.join(unsent, "word", "left").select("text_no", "local", "word", "pairs", "n", "class")
+            .repartition("text_no").sortWithinPartitions("text_no", "local"))
+
+
+_OPEN_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _resolved(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Open pairs of a table's texts, with words not sent as -1 - row; their classes; the text's first row."""
+    local = table.column("local").to_numpy()
+    classes = table.column("class").fill_null(0).to_numpy()
+    heads = np.flatnonzero(local < 0)
+    raw = table.column("pairs").take(heads).to_pylist()
+    pairs = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
+    head = np.repeat(heads, [len(p) // 8 for p in raw])[:, None]
+    pairs = np.where(pairs < 0, pairs - head - 1, pairs)  # -1 - local becomes -1 - row
+    found = np.where(pairs < 0, classes[np.where(pairs < 0, -1 - pairs, 0)], group[np.maximum(pairs, 0)])
+    return pairs, found, head[:, 0]
+
+
+_NEAR = "word binary, cells binary, n binary"
+
+
+def _near_rows(names: list[bytes], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row per word of counts by neighbour: class before, or CLASSES + class after; `keys` ascend."""
+    owner = keys // (2 * CLASSES)
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    ends = np.append(cuts[1:], len(keys))
+    cells, n = (keys % (2 * CLASSES)).astype(np.uint8), n.astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([names[i] for i in owner[cuts].tolist()], pa.binary()),
+         pa.array([cells[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+         pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["word", "cells", "n"])
+
+
+def _number_name(number: int) -> bytes:
+    return b" " + number.to_bytes(4, "big")
+
+
+class _NumberNames:
+    __getitem__ = staticmethod(_number_name)
+
+
+def _near_sent(docs: DataFrame, numbers, group, fixed: int, text_col: str) -> DataFrame:
+    """Neighbours' classes of words sent, from `fixed` on, where the neighbour was sent too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, keys, n = group.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], n[:0])
+            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
+
+        for batch in batches:
+            for text in batch.column(0):
+                row, _ = _numbered(words_of(text.as_py()), numbers.value)
+                left, right = row[:-1], row[1:]
+                both = (left >= 0) & (right >= 0)
+                a, b = both & (right >= fixed), both & (left >= fixed)
+                held += [right[a] * 2 * CLASSES + classes[left[a]], left[b] * 2 * CLASSES + CLASSES + classes[right[b]]]
+                waiting += len(row)
+                if waiting > HELD // 2:
+                    keys, n = folded()
+                    held, waiting = [], 0
+                    if len(keys) > HELD:
+                        yield _near_rows(_NumberNames(), keys, n)
+                        keys, n = keys[:0], n[:0]
+        keys, n = folded()
+        yield _near_rows(_NumberNames(), keys, n)
+
+    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, _NEAR)
+
+
+def _near_open(texts: DataFrame, group, fixed: int) -> DataFrame:
+    """The same from pairs of which one word at least was not sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            pairs, found, _ = _resolved(table, group.value)
+            seen = table.column("n").fill_null(0).to_numpy() >= LEAST
+            words = table.column("word").to_pylist()
+            # words of the table first, then those sent
+            owner = np.where(pairs < 0, -1 - pairs, pairs + len(words))
+            keys = np.concatenate([owner[:, 1] * 2 * CLASSES + found[:, 0], owner[:, 0] * 2 * CLASSES + CLASSES + found[:, 1]])
+            moves = np.where(pairs < 0, seen[np.where(pairs < 0, -1 - pairs, 0)], pairs >= fixed)
+            keys, n = np.unique(keys[np.concatenate([moves[:, 1], moves[:, 0]])], return_counts=True)
+            cut = np.searchsorted(keys, len(words) * 2 * CLASSES)
+            yield _near_rows(words, keys[:cut], n[:cut])
+            yield _near_rows(_NumberNames(), keys[cut:] - len(words) * 2 * CLASSES, n[cut:])
+
+    return texts.mapInArrow(run, _NEAR)
+
+
+def likeliest(near: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class under which each word's neighbours are likeliest, the word itself left out of its old class; -1 is none.
+
+    `near` has a row per word: counts of classes before, then of classes after.
+    """
+    def logs(t: np.ndarray) -> np.ndarray:
+        t = np.maximum(t, 0) + 0.1
+        return np.log(t / t.sum(-1, keepdims=True))
+
+    # by class: neighbours before it, then after it; shares of the class's own count, as in the gain of `exchange`
+    around = np.hstack([table.T, table])
+    fit = near @ np.hstack([logs(table.T), logs(table)]).T
+    for i in np.flatnonzero(old >= 0).tolist():
+        rest = around[old[i]] - near[i]
+        fit[i, old[i]] = near[i] @ np.concatenate([logs(rest[:CLASSES]), logs(rest[CLASSES:])])
+    return fit.argmax(1)
+
+
+def _moved(near: DataFrame, group, table: np.ndarray, before: DataFrame) -> DataFrame:
+    """(word, class) of the words whose neighbours `near` counts; words sent by their number."""
+    rows = (near.select("word", "cells", "n", F.lit(None).cast("int").alias("class"))
+            .unionByName(before.select("word", F.lit(None).cast("binary").alias("cells"),
+                                       F.lit(None).cast("binary").alias("n"), "class"))
+            .repartition("word").sortWithinPartitions("word"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_groups(batches):
+            words = np.array([*part.column("word").to_pylist(), None], object)[:-1]
+            first = np.flatnonzero([True, *(words[1:] != words[:-1])])
+            index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+            for at in range(0, len(first), 8192):
+                to = min(at + 8192, len(first))
+                a, b = first[at], first[to] if to < len(first) else len(words)
+                some = part.slice(a, b - a)
+                cells = [x or b"" for x in some.column("cells").to_pylist()]
+                n = np.frombuffer(b"".join(x or b"" for x in some.column("n").to_pylist()), np.int64)
+                owner = np.repeat(index[a:b] - at, [len(x) for x in cells])
+                sums = np.bincount(owner * 2 * CLASSES + np.frombuffer(b"".join(cells), np.uint8), n,
+                                   (to - at) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+                old = np.full(to - at, -1)
+                known = some.column("class").fill_null(-1).to_numpy()
+                np.maximum.at(old, index[a:b] - at, known)
+                names = words[first[at:to]]
+                for i, w in enumerate(names):
+                    if w[:1] == b" ":
+                        old[i] = group.value[int.from_bytes(w[1:], "big")]
+                used = sums.any(1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[used].tolist(), pa.binary()),
+                     pa.array(likeliest(sums[used], old[used], table), pa.int32())], ["word", "class"])
+
+    return rows.mapInArrow(run, "word binary, class int")
+
+
+def _class_moves(docs: DataFrame, numbers, group, texts: DataFrame, text_col: str) -> np.ndarray:
+    """Counts of class bigrams over all pairs."""
+
+    def table_of(counted: np.ndarray) -> pa.RecordBatch:
+        used = np.flatnonzero(counted)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(counted[used])], ["pair", "n"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                row, _ = _numbered(words_of(text.as_py()), numbers.value)
+                both = (row[:-1] >= 0) & (row[1:] >= 0)
+                np.add.at(counted, group.value[row[:-1][both]] * CLASSES + group.value[row[1:][both]], 1)
+        yield table_of(counted)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = np.zeros(CLASSES * CLASSES, np.int64)
+        for table in _whole_groups(batches):
+            _, found, _ = _resolved(table, group.value)
+            np.add.at(counted, found[:, 0] * CLASSES + found[:, 1], 1)
+        yield table_of(counted)
+
+    found = (docs.select(text_bytes(text_col).alias("text")).mapInArrow(sent, "pair long, n long")
+             .unionByName(texts.mapInArrow(others, "pair long, n long"))
+             .groupBy("pair").agg(F.sum("n").alias("n")).toPandas())
+    moves = np.zeros(CLASSES * CLASSES)
+    moves[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
+    return moves.reshape(CLASSES, CLASSES)
+
+
+def _ending_class(word: Column, ending_group: np.ndarray) -> Column:
+    return F.element_at(F.lit([int(c) for c in ending_group]), ending_of(word) + 1)
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = MOVES) -> tuple[BrownModel, DataFrame]:
+    """The model, and the table (word, n, class) of all words of the training texts."""
     spark = docs.sparkSession
     counts = checkpointed(word_counts(docs, words_of, text_col))
     n_texts = docs.count()
     n_words, n_distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = (n_words or 0) + n_texts, n_distinct + bool(n_texts)
-    sent = frequent(counts, tokens, SENT)
-    own = [w for w, n in sent.items() if n * CLUSTERED >= tokens]
-    clustered = 1 + len(own)  # symbol 0 is the end
-    symbol = np.array([0, *range(1, clustered), *(clustered + ending(w) for w in list(sent)[len(own):]), 0], np.int64)
-    numbers = {w: i for i, w in enumerate(sent, 1)}
-
-    shared = spark.sparkContext.broadcast(numbers)
-    found = _pair_counts(docs, shared, symbol, clustered, text_col).toPandas()
+    sent, least = most_frequent(counts, SENT)
+    clustered = 1 + sum(n * CLUSTERED >= tokens for n in sent.values())  # symbol 0 is the end
+    symbol = np.array([0, *range(1, clustered), *(clustered + ending(w) for w in list(sent)[clustered - 1:]), 0], np.int64)
+    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(sent, 1)})
+
+    found = _pair_counts(docs, numbers, symbol, clustered, text_col).toPandas()
     size = clustered + ENDINGS
     pairs = np.zeros(size * size)
     pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
     pairs = pairs.reshape(size, size)
-    group = exchange(pairs)
-
+    by_symbol = exchange(pairs)
     member = np.zeros((size, CLASSES))
-    member[np.arange(size), group] = 1
+    member[np.arange(size), by_symbol] = 1
     moves = member.T @ pairs @ member
+    group, ending_group = by_symbol[symbol[:-1]], by_symbol[clustered:]
+
+    rare = counts.filter(F.col("n") < least)
+    unsent = rare.withColumn("class", _ending_class(F.col("word"), ending_group))
+    often = np.array([n_texts, *sent.values()]) >= LEAST
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(group)
+        near = _near_sent(docs, numbers, shared, clustered, text_col).unionByName(
+            _near_open(_open_texts(docs, numbers, unsent, text_col), shared, clustered))
+        moved = checkpointed(_moved(near, shared, moves, unsent.filter(F.col("n") >= LEAST)))
+        is_sent = F.substring("word", 1, 1) == F.lit(b" ")
+        group = group.copy()
+        for word, c in moved.filter(is_sent).toPandas().itertuples(index=False):
+            number = int.from_bytes(bytes(word)[1:], "big")
+            if often[number]:
+                group[number] = c
+        unsent = rare.join(moved.filter(~is_sent), "word", "left").withColumn(
+            "class", F.coalesce("class", _ending_class(F.col("word"), ending_group)))
+        unsent = checkpointed(unsent.select("word", "n", "class"))
+        shared = spark.sparkContext.broadcast(group)
+        moves = _class_moves(docs, numbers, shared, _open_texts(docs, numbers, unsent, text_col), text_col)
+
     share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
     seen = np.maximum((moves > 0).sum(1, keepdims=True), 1)
     log_move = np.log10((moves + seen * share) / (moves.sum(1, keepdims=True) + seen))
-
-    # words and tokens by symbol: one word each for those of their own, and all others by ending
-    kinds, used = np.zeros(size), np.zeros(size)
-    kinds[:clustered] = 1
-    used[:clustered] = [n_texts, *(sent[w] for w in own)]
-    others = counts.filter(F.col("n") * CLUSTERED < F.lit(tokens)).groupBy(
-        ending_of(F.col("word")).alias("e")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-    for e, k, n in others.collect():
-        kinds[clustered + e], used[clustered + e] = k, n
-    log_class = np.log10(member.T @ used + member.T @ kinds + 1)
+    kinds = np.bincount(group, minlength=CLASSES).astype(float)
+    used = np.bincount(group, [n_texts, *sent.values()], CLASSES)
+    for c, k, n in unsent.groupBy("class").agg(F.count(F.lit(1)), F.sum("n")).collect():
+        kinds[c] += k
+        used[c] += n
+    log_class = np.log10(used + kinds + 1)
     if not tokens:
         log_move, log_class = np.zeros_like(log_move), np.zeros_like(log_class)
     log_count = np.log10(np.array([n_texts, *sent.values()], float) + 1)
-    return BrownModel(numbers, log_count, symbol, clustered, group, log_move, log_class, tokens, distinct), counts
+    known = spark.createDataFrame(
+        pa.table({"word": pa.array(list(sent), pa.binary()), "n": pa.array(list(sent.values()), pa.int64()),
+                  "class": pa.array(group[1:], pa.int32())}))
+    return (BrownModel(numbers.value, least, log_count, group, ending_group, log_move, log_class, tokens, distinct),
+            unsent.select("word", "n", "class").unionByName(known))
 
 
-_PARTS = ("text_no long, word binary, times int, doc_id long, n_tokens long, known long, base double, "
-          "model double")
+_PARTS = ("text_no long, local int, word binary, times int, doc_id long, n_tokens long, known long, base double, "
+          "model double, pairs binary")
+_SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "doc_id",
@@ -207,61 +474,71 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     A task adds up what it knows of a text, and passes on the words that were not sent to it, each
-    once per text, to be joined with their counts.
+    once per text, to be joined with their counts and classes, and the pairs that hold them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = counts.filter(F.col("n") * SENT < F.lit(model.tokens))
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    rare = counts.filter(F.col("n") < model.least)
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
+             pa.float64(), pa.binary()]
     names = [f.split()[0] for f in _PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: BrownModel = shared.value
-        number, text_no = m.numbers.get, TaskContext.get().partitionId() << 40
-        sums: list[tuple] = []
-        unsent: list[list] = [[], [], []]
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            # a text's own row goes under a key that no word has, so that these rows spread evenly
-            own = [pa.array(c, t) for c, t in zip(zip(*sums), (kinds[0], *kinds[3:]))]
-            keys = pa.array([b" " + t[0].to_bytes(8, "little") for t in sums], pa.binary())
-            yield pa.RecordBatch.from_arrays([own[0], keys, pa.nulls(len(sums), kinds[2]), *own[1:]], names)
-            words = [pa.array(c, t) for c, t in zip(unsent, kinds)]
-            yield pa.RecordBatch.from_arrays([*words, *(pa.nulls(len(unsent[0]), t) for t in kinds[3:])], names)
-            sums.clear()
-            for column in unsent:
-                column.clear()
+        text_no = TaskContext.get().partitionId() << 40
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[]] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(text.as_py())
-                numbers = np.array([number(w, -1) for w in words], np.int64)
-                symbols = np.append(_symbols(numbers, words, m.symbol, m.clustered), 0)
-                groups = m.group[symbols]
-                sent = m.log_count[numbers[numbers >= 0]].sum() + m.log_count[0]
-                n = len(words) + 1
-                moves = m.log_move[np.append(m.group[0], groups[:-1]), groups]
-                sums.append((text_no, doc, n, int((numbers >= 0).sum()) + bool(m.tokens),
-                             sent - n * m.log_total, sent + moves.sum() - m.log_class[groups].sum()))
-                times = Counter([words[i] for i in np.flatnonzero(numbers < 0).tolist()])
-                unsent[0].extend([text_no] * len(times))
-                unsent[1].extend(times.keys())
-                unsent[2].extend(times.values())
+                row, local = _numbered(words_of(text.as_py()), m.numbers)
+                inner = row[1:]
+                sent = inner[inner >= 0]
+                n, both = len(inner), (row[:-1] >= 0) & (row[1:] >= 0)
+                rest = m.log_count[sent].sum()
+                moves = m.log_move[m.group[row[:-1][both]], m.group[row[1:][both]]].sum()
+                # a text's own row goes under a key that no word has, so that these rows spread evenly
+                out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), None, doc, n,
+                            len(sent) - (not m.tokens), rest - n * m.log_total, rest + moves - m.log_class[m.group[sent]].sum(),
+                            _open_pairs(row).tobytes()))
+                if local:
+                    times = np.bincount(-1 - inner[inner < 0]).tolist()
+                    out += [(text_no, k, w, times[k], None, None, None, None, None, None) for w, k in local.items()]
                 text_no += 1
-                if len(unsent[0]) > 50_000:
-                    yield from rows()
-            if sums:
-                yield from rows()
+                if len(out) > 50_000:
+                    yield rows()
+            if out:
+                yield rows()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: BrownModel = shared.value
+        for table in _whole_groups(batches):
+            local = table.column("local").to_numpy()
+            heads = np.flatnonzero(local < 0)
+            times = table.column("times").fill_null(0).to_numpy()
+            n = table.column("n").fill_null(0).to_numpy()
+            classes = table.column("class").to_numpy(zero_copy_only=False).astype(float)
+            unseen = np.flatnonzero(np.isnan(classes) & (local >= 0))
+            words = table.column("word").take(unseen).to_pylist()
+            classes[unseen] = [m.ending_group[ending(w)] for w in words]
+            classes = np.nan_to_num(classes).astype(np.int64)
+            table = table.set_column(table.column_names.index("class"), "class", pa.array(classes))
+            _, found, head = _resolved(table, m.group)
+            rest = np.add.reduceat(times * np.log10(n + 1.0), heads)
+            emitted = np.add.reduceat(times * m.log_class[classes], heads)
+            moved = np.bincount(np.searchsorted(heads, head), m.log_move[found[:, 0], found[:, 1]], len(heads))
+            own = {c: table.column(c).take(heads).to_numpy() for c in ("n_tokens", "known", "base", "model")}
+            total = own["model"] + rest - emitted + moved
+            yield pa.RecordBatch.from_arrays(
+                [table.column("doc_id").take(heads).combine_chunks(), pa.array(own["n_tokens"]),
+                 pa.array(own["known"] + np.add.reduceat(times * (n > 0), heads)),
+                 pa.array(np.full(len(heads), m.tokens)), pa.array(own["base"] + rest), pa.array(total),
+                 pa.array(10.0 ** (-total / own["n_tokens"]))], [f.split()[0] for f in _SCORED.split(", ")])
 
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
                         ).mapInArrow(run, _PARTS)
-    times = F.when(F.col("n").isNotNull(), F.col("times"))
-    zero = F.lit(0)
-    texts = parts.join(rare, "word", "left").groupBy("text_no").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.coalesce(F.sum(times), zero)).alias("n_known"),
-        F.coalesce(F.sum(times * F.log10(F.col("n") + 1)), zero).alias("rest"),
-        F.max("base").alias("base"), F.max("model").alias("model"))
-    return texts.select(
-        "doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("rest")).alias("base_score"), (F.col("model") + F.col("rest")).alias("score"),
-        F.pow(F.lit(10.0), -(F.col("model") + F.col("rest")) / F.col("n_tokens")).alias("perplexity"))
+    return (parts.join(rare, "word", "left").select("text_no", *[c for c in names if c != "text_no"], "n", "class")
+            .repartition("text_no").sortWithinPartitions("text_no", "local").mapInArrow(finish, _SCORED))

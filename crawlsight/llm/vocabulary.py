@@ -40,3 +40,12 @@ def frequent(counts: DataFrame, total: int, share: int) -> dict[bytes, int]:
     """Words with at least 1/share of all `total` occurrences; there are `share` of them at most."""
     rows = counts.filter(F.col("n") * share >= F.lit(total)).toPandas()
     return dict(sorted(zip(map(bytes, rows["word"]), rows["n"].tolist()), key=lambda r: (-r[1], r[0])))
+
+
+def most_frequent(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
+    """The most frequent words, `most` at most and those of one count together, and the least count among them."""
+    by_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("kinds")).toPandas().sort_values("n", ascending=False)
+    fits = by_count["n"][by_count["kinds"].cumsum() <= most]
+    least = int(fits.iloc[-1]) if len(fits) else int(by_count["n"].max()) + 1 if len(by_count) else 1
+    rows = counts.filter(F.col("n") >= least).toPandas()
+    return dict(sorted(zip(map(bytes, rows["word"]), rows["n"].tolist()), key=lambda r: (-r[1], r[0]))), least

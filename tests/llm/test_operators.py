@@ -298,6 +298,35 @@ def test_language_model(spark, docs, none):
     assert brown_lm.score(none, nothing, empty).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 18, 300])
+def test_rare_words_are_classed_by_their_own_neighbours(spark, monkeypatch, sent):
+    monkeypatch.setattr(brown_lm, "SENT", sent)
+    rng = random.Random(13)
+    # halves that differ in their neighbours alone, not in their endings; each word is far below 1/1024 of the tokens
+    left, right = ([f"{h}{k}{rng.choice('klmnop')}{rng.choice('klmnop')}" for k in range(1500)] for h in "ab")
+    rows = [(i, " ".join(w for _ in range(40) for w in rng.choice((('x', rng.choice(left)), ('y', rng.choice(right)))))) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, counts = brown_lm.train(corpus)
+    known = {bytes(r.word).decode(): (r.n, r["class"]) for r in counts.collect()}
+    halves = {}
+    for w, (n, c) in known.items():
+        if n >= brown_lm.LEAST and len(w) > 1:
+            halves.setdefault(c, []).append(w[0])
+    right_ones = sum(max(h.count("a"), h.count("b")) for h in halves.values())
+    assert right_ones >= 0.9 * sum(map(len, halves.values())) and len(known) > 2500
+    # scores are those of the class bigrams, word by word, whether sent or not
+    end = model.group[0]
+    group = lambda w: known[w][1]
+    size = 10 ** model.log_class
+    for r in brown_lm.score(corpus, model, counts).collect()[:20]:
+        words, total, last = dict(rows)[r.doc_id].split(), 0.0, end
+        for w in words:
+            total += model.log_move[last, group(w)] + np.log10((known[w][0] + 1) / size[group(w)])
+            last = group(w)
+        total += model.log_move[last, end] + np.log10(401 / size[end])
+        assert r.score == pytest.approx(total) and r.n_known == r.n_tokens == len(words) + 1
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(8)
     pairs = rng.poisson(1.0, (40, 40)) + np.kron(np.array([[0, 9], [9, 0]]), np.ones((20, 20)))
