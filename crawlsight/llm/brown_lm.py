@@ -31,12 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes
+from .common import checkpointed, text_bytes, whole_groups
 from .vocabulary import most_frequent, word_counts
 
 CLASSES = 64
@@ -161,21 +160,6 @@ def _pair_counts(docs: DataFrame, numbers, symbol: np.ndarray, clustered: int, t
             .groupBy("pair").agg(F.sum("n").alias("n")))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by the first column, cut where its value changes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cut = pc.index(batch.column(0), batch.column(0)[batch.num_rows - 1]).as_py()
-        if cut or held and held[-1].column(0)[0] != batch.column(0)[0]:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _numbered(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, dict[bytes, int]]:
     """Numbers of a text's words between two ends, -1 and less for its words that were not sent, and those words."""
     local: dict[bytes, int] = {}
@@ -297,7 +281,7 @@ def _near_open(texts: DataFrame, group, fixed: int) -> DataFrame:
     """The same from pairs of which one word at least was not sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches):
             pairs, found, _ = _resolved(table, group.value)
             seen = table.column("n").fill_null(0).to_numpy() >= LEAST
             words = table.column("word").to_pylist()
@@ -339,7 +323,7 @@ def _moved(near: DataFrame, group, table: np.ndarray, before: DataFrame) -> Data
             .repartition("word").sortWithinPartitions("word"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_groups(batches):
+        for part in whole_groups(batches):
             words = np.array([*part.column("word").to_pylist(), None], object)[:-1]
             first = np.flatnonzero([True, *(words[1:] != words[:-1])])
             index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
@@ -385,7 +369,7 @@ def _class_moves(docs: DataFrame, numbers, group, texts: DataFrame, text_col: st
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = np.zeros(CLASSES * CLASSES, np.int64)
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches):
             _, found, _ = _resolved(table, group.value)
             np.add.at(counted, found[:, 0] * CLASSES + found[:, 1], 1)
         yield table_of(counted)
@@ -515,7 +499,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: BrownModel = shared.value
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches):
             local = table.column("local").to_numpy()
             heads = np.flatnonzero(local < 0)
             times = table.column("times").fill_null(0).to_numpy()

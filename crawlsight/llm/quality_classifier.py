@@ -1,16 +1,17 @@
 """Quality scores from random-indexing word vectors and a small network.
 
-Every symbol has a fixed sparse index vector of +1 and -1 drawn from its bytes. A symbol's context
-vector is the sum of the index vectors of its neighbours, up to `WINDOW` away, over the whole
-corpus: tasks add up whole numbers and Spark adds the tasks' sums, so the result does not depend
-on their order. A text is the mean of its symbols' context and index vectors, frequent symbols
-weighing less. A two-layer network learns labels from it, and a temperature fitted on rows kept
-back from its training calibrates the probabilities.
-
-Symbols are the tokens with at least 1/`OWN` of all occurrences, and for the others their shape
-(case, length, letters beyond ASCII), so tables sent to tasks have a fixed size. The network is
-fitted on at most `SAMPLE` labelled rows, those with the smallest hash of their id; word counts
-and vectors are taken over all texts.
+Every token has a fixed sparse index vector of +1 and -1 drawn from its bytes. Its context vector is
+the sum of the index vectors of its neighbours, up to `WINDOW` away, over the whole corpus: tasks add
+up whole numbers and Spark adds the tasks' sums, so the result does not depend on their order. A text
+is the mean of its tokens' context and index vectors, frequent tokens weighing less. A two-layer
+network learns labels from it, and a temperature fitted on rows kept back from its training
+calibrates the probabilities.
+
+All tokens have vectors of their own, whatever their share. Up to `SENT` of the most frequent ones
+are sent to the tasks; the context vectors of all others are joined by shuffle and summed by text,
+for scores after the network's first layer, which is linear up to there. The network is fitted on at
+most `SAMPLE` labelled rows, those with the smallest hash of their id; counts and vectors are taken
+over all texts.
 
 Defined results: tokens are runs of letters, of digits or of other characters than white space.
 A null or empty text has the zero vector and is scored like any other. Rows are scored one by one,
@@ -23,115 +24,242 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes
-from .vocabulary import frequent, word_counts
+from .common import checkpointed, text_bytes, whole_groups
+from .vocabulary import most_frequent
 
 SAMPLE = 20_000
-OWN = 2048
-SHAPES = 40
+SENT = 1 << 17
+HELD = 150_000  # distinct tokens a task holds before it passes their sums on
+CHUNK = 200_000  # tokens added up at a time
 DIMENSIONS = 64
 NONZERO = 8
 WINDOW = 2
-REMEMBERED = 200_000
 HIDDEN = 32
 EPOCHS = 300
 
 tokens_of = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").findall
 
 
-def shape(token: bytes) -> int:
-    case = 3 if not token[:1].isalpha() and token[0] < 128 else 2 if token.isupper() and len(
-        token) > 1 else 1 if token[:1].isupper() else 0
-    size = sum(len(token) > n for n in (2, 4, 7, 11))
-    return (case * 5 + size) * 2 + (not token.isascii())
+def index_vectors(names: list[bytes]) -> np.ndarray:
+    """A row per name: one +1 or -1 in each of `NONZERO` stretches of dimensions, by four mixed bits of its hash."""
+    h = np.array([zlib.crc32(n) for n in names], np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    bits = (h[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(4))).astype(np.int64) & 15
+    width = DIMENSIONS // NONZERO
+    vectors = np.zeros((len(names), DIMENSIONS), np.int8)
+    vectors[np.arange(len(names))[:, None], np.arange(NONZERO) * width + bits % width] = (bits // width) * 2 - 1
+    return vectors
 
 
-def index_vector(name: bytes) -> np.ndarray:
-    draw = np.random.default_rng(zlib.crc32(name))
-    vector = np.zeros(DIMENSIONS, np.int64)
-    vector[draw.choice(DIMENSIONS, NONZERO, replace=False)] = draw.integers(0, 2, NONZERO) * 2 - 1
-    return vector
+def _packed(sums: np.ndarray) -> list[bytes]:
+    """Rows of whole numbers in the fewest bytes; the length tells the kind."""
+    top = np.abs(sums).max(1, initial=0)
+    out = [b""] * len(sums)
+    for kind, low, high in (("<i1", -1, 127), ("<i2", 127, 32767), ("<i8", 32767, np.inf)):
+        some = np.flatnonzero((top > low) & (top <= high))
+        raw, size = sums[some].astype(kind).tobytes(), DIMENSIONS * int(kind[2])
+        for k, i in enumerate(some.tolist()):
+            out[i] = raw[k * size:(k + 1) * size]
+    return out
 
 
-class Symbols(dict):
-    """The symbol of each token. Symbols found by shape are remembered, so many and short ones only."""
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out, sizes = np.zeros((len(rows), DIMENSIONS), np.int64), np.array([len(r) for r in rows], np.int64)
+    for width in (1, 2, 8):
+        some = np.flatnonzero(sizes == width * DIMENSIONS)
+        out[some] = np.frombuffer(b"".join([rows[i] for i in some.tolist()]), f"<i{width}").reshape(-1, DIMENSIONS)
+    return out
 
-    def __init__(self, numbers: dict[bytes, int]):
-        super().__init__(numbers)
-        self.own = len(numbers)
 
-    def __missing__(self, token: bytes) -> int:
-        symbol = self.own + shape(token)
-        if len(self) < REMEMBERED and len(token) <= 32:
-            self[token] = symbol
-        return symbol
+_SUMS = "word binary, n long, context binary"
 
 
-@dataclass
-class Space:
-    """Symbols by token, and the vectors of symbols; shapes follow the tokens with own symbols."""
-
-    numbers: Symbols
-    vectors: np.ndarray
-
-    def symbols(self, text: bytes) -> np.ndarray:
-        tokens = tokens_of(text)
-        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, len(tokens))
+def _sums_batch(words: list[bytes], n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)),
+                                       pa.array(_packed(sums), pa.binary())], ["word", "n", "context"])
 
-    def pooled(self, text: bytes) -> np.ndarray:
-        symbols = self.symbols(text)
-        times = np.bincount(symbols, minlength=len(self.vectors))
-        used = np.flatnonzero(times)
-        return times[used] @ self.vectors[used] / max(len(symbols), 1)
 
-
-def _context_sums(docs: DataFrame, space, text_col: str) -> DataFrame:
-    """symbol and the sums of its neighbours' index vectors, a column per dimension."""
-    sums = [f"v{k}" for k in range(DIMENSIONS)]
+def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n, context) of all tokens: their count, and the sums of their neighbours' index vectors."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: Space = space.value
-        size = len(here.vectors)
-        near = np.zeros(size * size)  # whole numbers, exact in doubles
+        known: dict[bytes, int] = {}
+        n, sums = np.zeros(2 * HELD, np.int64), np.zeros((2 * HELD, DIMENSIONS), np.int32)
+
+        def chunk(row: list[bytes]) -> None:
+            nonlocal n, sums
+            here: dict[bytes, int] = {}
+            ids = np.array([here.setdefault(t, len(here)) for t in row], np.int64)
+            names = list(here)
+            index = index_vectors(names)
+            index[here[b""]] = 0  # stands between texts
+            vectors = index[ids]
+            near = np.zeros(vectors.shape, np.int8)
+            for k in range(1, WINDOW + 1):
+                near[k:] += vectors[:-k]
+                near[:-k] += vectors[k:]
+            order = np.argsort(ids, kind="stable")
+            cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            added = np.add.reduceat(near[order], cuts, axis=0, dtype=np.int32)
+            times = np.bincount(ids, minlength=len(names))
+            keep = np.flatnonzero([bool(t) for t in names])
+            to = np.array([known.setdefault(names[i], len(known)) for i in keep.tolist()], np.int64)
+            if len(known) > len(n):
+                more = len(known) + HELD - len(n)
+                n, sums = np.pad(n, (0, more)), np.pad(sums, ((0, more), (0, 0)))
+            n[to] += times[keep]
+            sums[to] += added[keep]
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            words = list(known)
+            for at in range(0, len(words), 20_000):
+                some = words[at:at + 20_000]
+                yield _sums_batch(some, n[at:at + len(some)], sums[at:at + len(some)])
+            known.clear()
+            n[:] = 0
+            sums[:] = 0
+
+        row = [b""] * WINDOW
         for batch in batches:
             for text in batch.column(0):
-                s = here.symbols(text.as_py())
-                for k in range(1, WINDOW + 1):
-                    np.add.at(near, s[:-k] * size + s[k:], 1.0)
-        near = near.reshape(size, size)
-        context = ((near + near.T) @ here.vectors.astype(float)).astype(np.int64)
-        used = np.flatnonzero(context.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *(pa.array(context[used, k]) for k in range(DIMENSIONS))], ["symbol", *sums])
+                row += tokens_of(text.as_py())
+                row += [b""] * WINDOW
+                if len(row) >= CHUNK:
+                    chunk(row)
+                    row = [b""] * WINDOW
+                    if len(known) > HELD:
+                        yield from passed_on()
+        chunk(row)
+        yield from passed_on()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            words = np.array([*table.column("word").to_pylist(), None], object)[:-1]
+            first = np.flatnonzero([True, *(words[1:] != words[:-1])])
+            counts = np.add.reduceat(table.column("n").to_numpy(), first)
+            yield _sums_batch(words[first].tolist(), counts,
+                              np.add.reduceat(_unpacked(table.column("context").to_pylist()), first, axis=0))
+
+    return (docs.select(text_bytes(text_col).alias("text")).mapInArrow(add, _SUMS)
+            .repartition("word").sortWithinPartitions("word").mapInArrow(total, _SUMS))
+
+
+def token_vectors(words: list[bytes], n: np.ndarray, context: list[bytes], total: int) -> np.ndarray:
+    """Weighted context and index vectors, side by side; a token that the corpus lacks has no context."""
+    sums = _unpacked(context).astype(float)
+    sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
+    weight = 1e-2 / (1e-2 + n / max(total, 1))
+    return np.hstack([sums, index_vectors(words) / np.sqrt(NONZERO)]) * weight[:, None]
 
-    return (docs.select(text_bytes(text_col).alias("text"))
-            .mapInArrow(add, "symbol long, " + ", ".join(f"{c} long" for c in sums))
-            .groupBy("symbol").agg(*[F.sum(c).alias(c) for c in sums]))
+
+@dataclass
+class Space:
+    """Tokens sent to the tasks by number and their vectors, and the table (word, n, context) of all others."""
+
+    numbers: dict[bytes, int]
+    vectors: np.ndarray
+    rare: DataFrame
+    total: int
 
 
 def build_space(docs: DataFrame, text_col: str = "text") -> Space:
-    spark = docs.sparkSession
-    counts = checkpointed(word_counts(docs, tokens_of, text_col))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    own = frequent(counts, total, OWN)
-    numbers = Symbols({t: i for i, t in enumerate(own)})
-    names = [*numbers, *(b" shape %d" % k for k in range(SHAPES))]
-    index = np.array([index_vector(n) for n in names])
-    context = np.zeros(index.shape)
-    sums = _context_sums(docs, spark.sparkContext.broadcast(Space(numbers, index)), text_col).toPandas()
-    context[sums["symbol"].to_numpy(np.int64)] = sums.drop(columns="symbol").to_numpy(float)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1)
-    share = np.array([*own.values(), *[0] * SHAPES]) / max(total, 1)
-    weight = (1e-2 / (1e-2 + share))[:, None]
-    return Space(numbers, np.hstack([context, index / np.sqrt(NONZERO)]) * weight)
+    table = checkpointed(context_sums(docs, text_col))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    sent, least = most_frequent(table.select("word", "n"), SENT)
+    numbers = {t: i for i, t in enumerate(sent)}
+    rows = table.filter(F.col("n") >= least).toPandas()
+    vectors = np.zeros((len(sent), 2 * DIMENSIONS), np.float32)
+    words = list(map(bytes, rows["word"]))
+    for at in range(0, len(words), 10_000):
+        some = words[at:at + 10_000]
+        vectors[[numbers[w] for w in some]] = token_vectors(
+            some, rows["n"].to_numpy(float)[at:at + 10_000], list(map(bytes, rows["context"][at:at + 10_000])), total)
+    return Space(numbers, vectors, table.filter(F.col("n") < least), total)
+
+
+_PARTS = "text_no long, local int, word binary, times int, doc_id long, label int, vector binary"
+_PLACED = "text_no long, local int, times int, doc_id long, label int, vector binary"
+_POOLED = "doc_id long, label int, vector binary"
+
+
+def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, label, vector) of every row of (doc_id, label, text): its mean vector, times `matrix` if given."""
+    spark, total = texts.sparkSession, space.total
+    matrix = np.eye(2 * DIMENSIONS) if matrix is None else matrix
+    shared = spark.sparkContext.broadcast((space.numbers, (space.vectors @ matrix.astype(np.float32))))
+    by_part = spark.sparkContext.broadcast(matrix)
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    names, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, vectors = shared.value
+        text_no, out = TaskContext.get().partitionId() << 40, []
+        for batch in batches:
+            for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found, local = [], Counter()
+                tokens = tokens_of(text.as_py())
+                for t in tokens:
+                    k = known.get(t)
+                    if k is None:
+                        local[t] += 1
+                    else:
+                        found.append(k)
+                used, times = np.unique(np.array(found, np.int64), return_counts=True)
+                # a text's own row goes under a key that no token has, so that these rows spread evenly
+                out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), len(tokens), doc, label,
+                            (times @ vectors[used].astype(float)).tobytes()))
+                out += [(text_no, k, t, c, None, None, None) for k, (t, c) in enumerate(local.items())]
+                text_no += 1
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                out = []
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(6).to_pylist()
+            some = np.flatnonzero(batch.column(1).to_numpy() >= 0)
+            rows = batch.take(pa.array(some))
+            found = token_vectors(rows.column(2).to_pylist(), rows.column(7).fill_null(0).to_numpy(zero_copy_only=False).astype(float),
+                                  [c or b"" for c in rows.column(8).to_pylist()], total)
+            found = (found * rows.column(3).to_numpy()[:, None] @ by_part.value).astype("<f4")
+            for i, v in zip(some.tolist(), found):
+                vectors[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4, 5)), pa.array(vectors, pa.binary())],
+                                             [n for n in names if n != "word"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            local = table.column("local").to_numpy()
+            heads, raw = np.flatnonzero(local < 0), table.column("vector").to_pylist()
+            values = np.zeros((len(raw), width))
+            values[heads] = np.frombuffer(b"".join([raw[i] for i in heads.tolist()]), "<f8").reshape(-1, width)
+            rest = np.flatnonzero(local >= 0)
+            values[rest] = np.frombuffer(b"".join([raw[i] for i in rest.tolist()]), "<f4").reshape(-1, width)
+            values = np.add.reduceat(values, heads, axis=0)
+            values /= np.maximum(table.column("times").take(heads).to_numpy(), 1)[:, None]
+            own = table.take(heads)
+            yield pa.RecordBatch.from_arrays(
+                [own.column("doc_id").combine_chunks(), own.column("label").combine_chunks(),
+                 pa.array([v.tobytes() for v in values], pa.binary())], ["doc_id", "label", "vector"])
+
+    return (texts.select("doc_id", "label", "text").mapInArrow(split, _PARTS)
+            .join(space.rare, "word", "left").select(*names, "n", "context").mapInArrow(place, _PLACED)
+            .repartition("text_no").sortWithinPartitions("text_no", "local").mapInArrow(summed, _POOLED))
 
 
 @dataclass
@@ -199,16 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: Space, label_col: str = "qual
               .filter("doc_id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["doc_id"])
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(space)
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = [shared.value.pooled(t.as_py()).astype("<f8").tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())],
-                                             ["doc_id", "label", "vector"])
-
-    rows = (texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-            .mapInArrow(pool, "doc_id long, label int, vector binary")
+    rows = (pooled(texts.join(F.broadcast(chosen), "doc_id"), space)
             .orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(2 * sample).toPandas())
     x = np.frombuffer(b"".join(map(bytes, rows["vector"])), "<f8").reshape(len(rows), -1 if len(rows) else space.vectors.shape[1])
     kept_back = np.array([zlib.crc32(b"kept back %d" % i) % 5 == 0 for i in rows["doc_id"]], bool)
@@ -218,13 +337,16 @@ def fit(docs: DataFrame, labels: DataFrame, space: Space, label_col: str = "qual
 def score(docs: DataFrame, space: Space, network: Network, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id and score (the probability of label 1) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((space, network))
+    first = network.w1 / network.scale[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, net = shared.value
         for batch in batches:
-            x = np.array([here.pooled(t.as_py()) for t in batch.column(1)]).reshape(-1, here.vectors.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probabilities(x))], ["doc_id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
-                       ).mapInArrow(run, "doc_id long, score double")
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(batch.num_rows, first.shape[1])
+            hidden = np.tanh(x - network.mean @ first + network.b1)
+            logits = (hidden @ network.w2 + network.b2) / network.temperature
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))],
+                                             ["doc_id", "score"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("label"),
+                        text_bytes(text_col).alias("text"))
+    return pooled(texts, space, first).mapInArrow(run, "doc_id long, score double")

@@ -359,6 +359,34 @@ def test_classifier(spark, docs, none):
     assert {r.score for r in quality_classifier.score(docs, bare, unlearnt).collect()} == {0.5}
 
 
+def test_rare_words_of_one_shape_tell_texts_apart(spark, monkeypatch):
+    rng = random.Random(14)
+    kinds = [["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(60)), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    texts = df.select("doc_id", "text")
+
+    def scores():
+        space = quality_classifier.build_space(texts)
+        network = quality_classifier.fit(texts, df.filter("doc_id < 400").select("doc_id", "quality"), space)
+        return {r.doc_id: r.score for r in quality_classifier.score(texts, space, network).collect()}
+
+    some = scores()
+    assert sum((some[i] >= 0.5) == bool(q) for i, _, q in rows if i >= 400) >= 170
+    monkeypatch.setattr(quality_classifier, "SENT", 500)  # the others by shuffle
+    assert scores() == pytest.approx(some, abs=1e-3)
+    table = {bytes(r.word): (r.n, bytes(r.context)) for r in quality_classifier.context_sums(texts).collect()}
+    brute, n = {}, {}
+    for _, t, _ in rows:
+        w = t.encode().split()
+        v = quality_classifier.index_vectors(w).astype(int)
+        for i, x in enumerate(w):
+            n[x] = n.get(x, 0) + 1
+            brute[x] = brute.get(x, 0) + sum(v[k] for k in range(max(0, i - 2), min(len(w), i + 3)) if k != i)
+    assert {w: c for w, (c, _) in table.items()} == n
+    assert all((quality_classifier._unpacked([b])[0] == brute[w]).all() for w, (_, b) in table.items())
+
+
 def test_binary_output_round_trip(docs, none):
     encoder = tokens.WordEncoder(WORD)
     packed = binary_output.packed_matrices(docs, WORD, 49408, capacity=256)
