@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (binary_output, bpe, brown_lm, exact_dedup, quality_classifier, quality_rules, secret_scan,
-               simhash, ss_packing, url_filter)
+               simhash, ss_packing, url_filter, whitening)
 from .common import documents, labels, learns
 
 
@@ -84,6 +84,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.judged(rows, index.add(rows))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
-    op6_secret_scan, op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup)}
+    op6_secret_scan, op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup,
+    op13_embedding_whitening)}
