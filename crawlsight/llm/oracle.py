@@ -13,4 +13,41 @@ ORACLE = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256
         FROM rows JOIN best USING (h)
     """,
+    "op12_benchmark_decontamination": r"""
+        WITH doc AS (
+            SELECT doc_id, row_number() OVER () AS row_no,
+                   list_filter(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+            FROM documents),
+        item AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id,
+                   list_filter(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+            FROM benchmark),
+        wins AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(
+                range(1, len(w) - least(len(w), 10) + 2),
+                i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win
+            FROM item WHERE len(w) > 0),
+        cut AS (
+            SELECT row_no, k, unnest(range(1, len(w) - k + 2)) AS i, w
+            FROM doc, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k),
+        hit AS (
+            SELECT row_no, i, k, item_id
+            FROM (SELECT row_no, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM cut) c
+            JOIN wins USING (k, win)),
+        places AS (
+            SELECT row_no, count(DISTINCT spot) AS n_hit
+            FROM (SELECT row_no, unnest(range(i, i + k)) AS spot FROM hit) GROUP BY row_no),
+        named AS (
+            SELECT row_no, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+            FROM hit GROUP BY row_no)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN places USING (row_no) LEFT JOIN named USING (row_no)
+    """,
 }
