@@ -9,7 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_root
+from ..session import remove, scratch_dir, scratch_root
+
+# A table of known size is sent to every task up to these bounds; beyond them its join is by shuffle.
+SENT_ROWS, SENT_BYTES = 1 << 18, 1 << 24
 
 # A key with at least 1/1024 of all rows is hot; there are 1024 such keys at most.
 HOT_SHARE = 1024
@@ -23,6 +26,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of one run below the shared folder; `drop` removes them when their readers are done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_dir(self.spark, label)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+def sent(table: DataFrame, n_rows: int, n_bytes: int = 0) -> DataFrame:
+    """`table` marked for broadcast if its counted size is within the bounds."""
+    return F.broadcast(table) if n_rows <= SENT_ROWS and n_bytes <= SENT_BYTES else table
+
+
 def text_bytes(name: str) -> Column:
     """A text column as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")

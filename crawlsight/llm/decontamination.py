@@ -24,13 +24,10 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import remove, scratch_dir
-from .common import checkpointed
+from .common import Scratch, checkpointed, sent
 
 WINDOW = 10
 SHINGLE = 5
-# A benchmark side is sent to every task up to these bounds; beyond them the same join is by shuffle.
-SENT_ROWS, SENT_BYTES = 1 << 18, 1 << 24
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -65,27 +62,6 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
     return split.select("item_id", F.explode(cut).alias("words")).distinct()
 
 
-def _sent(table: DataFrame, n_rows: int, n_bytes: int) -> DataFrame:
-    return F.broadcast(table) if n_rows <= SENT_ROWS and n_bytes <= SENT_BYTES else table
-
-
-class _Scratch:
-    """Tables of one run below the shared folder; `drop` removes those whose readers are done."""
-
-    def __init__(self, spark):
-        self.spark, self.paths = spark, []
-
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
-        path = scratch_dir(self.spark, label)
-        df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        for path in self.paths:
-            remove(self.spark, path)
-
-
 def occurrences(tokens: DataFrame, wanted: DataFrame, keep) -> DataFrame:
     """(row_no, start, words): where the windows `wanted` (distinct `words`) occur in `tokens` (row_no, words)."""
     n_windows, n_bytes = wanted.agg(
@@ -99,7 +75,7 @@ def occurrences(tokens: DataFrame, wanted: DataFrame, keep) -> DataFrame:
         F.when(F.least(F.size("words"), F.lit(SHINGLE)) == k, _shingles(F.col("words"), k)) for k in lengths], empty)))
     parts = keep(parts.withColumnRenamed("at", "place"), "window-shingles")
     n_parts = n_windows * (WINDOW - SHINGLE + 1)
-    known = _sent(parts.select("shingle").distinct(), n_parts, 0)
+    known = sent(parts.select("shingle").distinct(), n_parts, 0)
 
     # every place of such a shingle in the documents; the texts' words are not carried along
     cut = F.concat(empty, *[F.coalesce(_shingles(F.col("words"), k), empty) for k in lengths])
@@ -108,13 +84,13 @@ def occurrences(tokens: DataFrame, wanted: DataFrame, keep) -> DataFrame:
 
     # the rarest shingle of each window is its necessary prefix; ties go to the first place
     rarity = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    prefix = (parts.join(_sent(rarity, n_parts, 0), "shingle", "left")
+    prefix = (parts.join(sent(rarity, n_parts, 0), "shingle", "left")
               .groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p"))
               .filter("p.n > 0")
               .select(F.col("p.shingle").alias("shingle"), F.col("p.place").alias("place"),
                       F.size("words").alias("length")).distinct())
     begin = F.col("at") - F.col("place")
-    candidates = (found.join(_sent(prefix, n_windows, 0), "shingle")
+    candidates = (found.join(sent(prefix, n_windows, 0), "shingle")
                   .filter((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
                   .select("row_no", begin.alias("start"), "length").distinct())
 
@@ -122,13 +98,13 @@ def occurrences(tokens: DataFrame, wanted: DataFrame, keep) -> DataFrame:
     at_rows = candidates.groupBy("row_no").agg(F.collect_list(F.struct("start", "length")).alias("places"))
     seen = tokens.join(at_rows, "row_no").select("row_no", F.inline(F.transform("places", lambda p: F.struct(
         p["start"].alias("start"), _run(F.col("words"), p["start"], p["length"]).alias("words")))))
-    return seen.join(_sent(wanted, n_windows, n_bytes), "words")
+    return seen.join(sent(wanted, n_windows, n_bytes), "words")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    scratch = _Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     tokens = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
                                       words(F.col(text_col)).alias("words")), "document-words")
     per_item = scratch.keep(windows(items, item_id_col, item_text_col), "item-windows")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (binary_output, bpe, brown_lm, decontamination, exact_dedup, quality_classifier, quality_rules, secret_scan,
+from . import (binary_output, bpe, brown_lm, collocations, decontamination, exact_dedup, quality_classifier, quality_rules, secret_scan,
                simhash, ss_packing, url_filter, whitening)
 from .common import documents, labels, learns
 
@@ -84,6 +84,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.judged(rows, index.add(rows))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.contamination(documents(spark, sf_dir), items).drop("item_ids")
@@ -97,4 +101,4 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_byte_bpe, op3_simhash_near_dedup, op4_best_fit_packing, op5_url_filter,
     op6_secret_scan, op7_brown_class_lm, op8_quality_classifier, op9_token_id_output, op10_exact_dedup,
-    op12_benchmark_decontamination, op13_embedding_whitening)}
+    op11_phrase_collocation, op12_benchmark_decontamination, op13_embedding_whitening)}
