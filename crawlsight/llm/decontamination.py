@@ -24,7 +24,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpointed, sent
+from .common import SENT_ROWS, Scratch, checkpointed, sent
 
 WINDOW = 10
 SHINGLE = 5
@@ -90,9 +90,14 @@ def occurrences(tokens: DataFrame, wanted: DataFrame, keep) -> DataFrame:
               .select(F.col("p.shingle").alias("shingle"), F.col("p.place").alias("place"),
                       F.size("words").alias("length")).distinct())
     begin = F.col("at") - F.col("place")
-    candidates = (found.join(sent(prefix, n_windows, 0), "shingle")
-                  .filter((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
-                  .select("row_no", begin.alias("start"), "length").distinct())
+    candidates = keep(found.join(sent(prefix, n_windows), "shingle")
+                      .filter((begin >= 0) & (begin + F.col("length") <= F.col("n_words")))
+                      .select("row_no", begin.alias("start"), "length").distinct(), "candidates")
+    # where few documents have candidates, the words of the others are not shuffled
+    candidate_rows = candidates.select("row_no").distinct()
+    n_rows = candidate_rows.count()
+    if n_rows <= SENT_ROWS:
+        tokens = tokens.join(F.broadcast(candidate_rows), "row_no", "left_semi")
 
     # the document's own words at each candidate place; a document's places are no more than its words
     at_rows = candidates.groupBy("row_no").agg(F.collect_list(F.struct("start", "length")).alias("places"))
