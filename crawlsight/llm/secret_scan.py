@@ -65,20 +65,6 @@ PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36
             r"dop_v1_[0-9a-f]{64}", r"SG\.[0-9A-Za-z_-]{16,}\.[0-9A-Za-z_-]{32,}",
             r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}")
 
-_NAMES = ("token", "secret", "password", "passwd", "pwd", "passphrase", "apikey", "api_key", "api-key",
-                "access_key", "access-key", "private_key", "client_secret", "credential", "credentials",
-                "auth", "bearer", "authorization")
-HARMLESS_NAMES = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "uuid", "guid", "isbn",
-                  "version", "phone", "card", "order", "invoice", "id", "ref", "build", "rev", "revision")
-PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "xxxx", "your_", "your-", "sample", "test", "1234567")
-# A token is a placeholder by these: shorter ones turn up in random tokens by chance.
-TOKEN_PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxxxx", "your_", "your-", "sample", "1234567")
-PATH_HINTS = ("test", "example", "sample", "doc", "mock", "spec", "fixture")
-# Prefixes of providers' tokens.
-PREFIXED = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}",
-            r"sk_live_[0-9A-Za-z]{16,}", r"AIza[0-9A-Za-z_-]{35}",
-            r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}")
-
 _NAMES = "|".join(sorted((re.escape(n) for n in SECRET_NAMES), key=len, reverse=True))
 _PREFIXED = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(PREFIXED)})(?![0-9A-Za-z])")
 _ANY_NAME = re.compile(_NAMES, re.I)
