@@ -18,8 +18,9 @@ share a shard. An empty table gives no rows. Columns beside id, text and languag
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count as numbered
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ MIN_COUNT, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 SHARDS = 4
 BITS = 26             # the bit table has 2^26 bits, 8 MB, whatever the corpus
 BLOCK_BITS = 20       # of one group that packs its part
-WORDS = 1 << 20       # words of a task's chunk
+WORDS = 1 << 19       # words of a task's chunk
 PIECE = 1 << 20       # bytes of a piece that are split at once
 HELD = 300_000        # distinct words a task holds before it passes their counts on
 
@@ -59,15 +60,14 @@ class Chunk:
     """Words of many documents as numbers, and for every place what phrases may begin there."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = defaultdict(numbered().__next__)
         self.ids: list[int] = []
         self.lengths: list[int] = []
         self.carried: list[int] = []
         self.owner: list[int] = []
 
     def add(self, words: list[bytes], carried: int, owner: int) -> None:
-        numbers = self.numbers
-        self.ids += [numbers.setdefault(w, len(numbers)) for w in words]
+        self.ids.extend(map(self.numbers.__getitem__, words))
         self.lengths.append(len(words))
         self.carried.append(carried)
         self.owner.append(owner)
@@ -78,13 +78,18 @@ class Chunk:
         lengths = np.array(self.lengths)
         ends = np.cumsum(lengths)
         at = np.arange(len(self.ids))
-        self.left = np.repeat(ends, lengths) - at
-        self.new = np.repeat(ends - lengths + np.array(self.carried), lengths) - at  # places up to the first new word
-        self.owners = np.repeat(np.array(self.owner), lengths)
+        self.left = (np.repeat(ends, lengths) - at).astype(np.int32)
+        # places up to the first new word
+        self.new = (np.repeat(ends - lengths + np.array(self.carried), lengths) - at).astype(np.int32)
+        self.owners = np.repeat(np.array(self.owner, np.int32), lengths)
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        self.hashes = [hashes[self.ids]]
-        for k in range(2, LONGEST + 1):
-            self.hashes.append(_mixed(self.hashes[-1], self._ahead(self.hashes[0], k - 1)))
+        self._hashes = [hashes[self.ids]]
+
+    def hashes(self, k: int) -> np.ndarray:
+        """A hash of the k words from each place on."""
+        while len(self._hashes) < k:
+            self._hashes.append(_mixed(self._hashes[-1], self._ahead(self._hashes[0], len(self._hashes))))
+        return self._hashes[k - 1]
 
     @staticmethod
     def _ahead(values: np.ndarray, by: int) -> np.ndarray:
@@ -94,7 +99,7 @@ class Chunk:
 
     def grown(self, k: int, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Places where a phrase of k words begins whose both parts are in the bit table, not counted before."""
-        part = _has(table, self.hashes[k - 2] ^ seeds)
+        part = _has(table, self.hashes(k - 1) ^ seeds)
         return np.flatnonzero(part & self._ahead(part, 1) & self._whole(k))
 
     def _whole(self, k: int) -> np.ndarray:
@@ -102,7 +107,7 @@ class Chunk:
 
     def members(self, k: int, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Places where a phrase of k words in the bit table begins."""
-        return np.flatnonzero(self._whole(k) & _has(table, self.hashes[k - 1] ^ seeds))
+        return np.flatnonzero(self._whole(k) & _has(table, self.hashes(k) ^ seeds))
 
     def exact(self, k: int, places: np.ndarray) -> np.ndarray:
         """One number per different phrase of k words among the places, without hashing."""
@@ -207,7 +212,7 @@ def _level_keys(texts: DataFrame, k: int, table) -> DataFrame:
             groups = np.array([g for g, in owners], np.int64)
             of_place = groups[chunk.owners]
             places = chunk.grown(k, of_place.view(np.uint64), table.value)
-            keys = chunk.hashes[k - 1][places] ^ of_place[places].view(np.uint64)
+            keys = chunk.hashes(k)[places] ^ of_place[places].view(np.uint64)
             # a key holds its group's seed; where two groups met in one key, the first takes both counts
             keys, first, n = np.unique(keys, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -231,10 +236,10 @@ def _phrase_counts(texts: DataFrame, table) -> DataFrame:
                 _, first, n = np.unique(chunk.exact(k, places) * len(names) + lang_of[places],
                                         return_index=True, return_counts=True)
                 at = places[first]
-                words, ids = chunk.words, chunk.ids
+                spelt = [map(chunk.words.__getitem__, chunk.ids[at + step].tolist()) for step in range(k)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([names[i] for i in lang_of[at]], pa.string()),
-                    pa.array([b" ".join([words[j] for j in ids[i:i + k]]) for i in at], pa.binary()),
+                    pa.array(names, pa.string()).take(pa.array(lang_of[at])),
+                    pa.array(map(b" ".join, zip(*spelt)), pa.binary()),
                     pa.array(np.full(len(at), k, np.int32)), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
 
     return (texts.select("lang", "lang_seed", "text")
