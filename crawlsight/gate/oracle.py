@@ -522,6 +522,20 @@ ORACLE: dict[str, str] = {
         strftime(make_timestamp(max(epoch_s) * 1000000), '%Y-%m-%d %H:%M:%S') AS flagged_at, count(*) AS hits,
         strftime(make_timestamp((max(epoch_s) + 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS expires_at
       FROM p GROUP BY ip, k""",
+    "stream_alert_transitions": _B + """, m AS (SELECT ip, epoch_s // 60 AS minute, min(epoch_s) AS f, max(epoch_s) AS l,
+          count(*) AS n FROM bot_events WHERE is_bot = 1 AND ip IS NOT NULL GROUP BY ALL),
+      g AS (SELECT *, CASE WHEN f - lag(l) OVER (PARTITION BY ip ORDER BY minute) <= 3600 THEN 0 ELSE 1 END AS fresh FROM m),
+      p AS (SELECT *, sum(fresh) OVER (PARTITION BY ip ORDER BY minute ROWS UNBOUNDED PRECEDING) AS k FROM g),
+      h AS (SELECT *, CAST(sum(n) OVER (PARTITION BY ip, k ORDER BY minute ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits FROM p),
+      t AS (SELECT ip, CASE fresh WHEN 1 THEN 'raised' ELSE 'extended' END AS transition,
+          CASE fresh WHEN 1 THEN f ELSE l END AS at_s, hits, l + 3600 AS end_s FROM h
+        UNION ALL SELECT ip, 'expired', max(l) + 3600, CAST(sum(n) AS BIGINT), max(l) + 3600 FROM p GROUP BY ip, k)
+      SELECT ip, transition, strftime(make_timestamp(at_s * 1000000), '%Y-%m-%d %H:%M:%S') AS at, hits,
+        strftime(make_timestamp(end_s * 1000000), '%Y-%m-%d %H:%M:%S') AS expires_at FROM t""",
+    "stream_sliding_rate": _B + """, w AS (SELECT ip, (epoch_s // 300 - k) * 300 AS s
+        FROM bot_events, range(12) r(k) WHERE ip IS NOT NULL)
+      SELECT ip, strftime(make_timestamp(s * 1000000), '%Y-%m-%d %H:%M:%S') AS window_start,
+        count(*) AS requests FROM w GROUP BY ip, s""",
     "stream_score": _scored() + f""", judged AS (
         SELECT *, {_TRUSTED.format("ip")} AS ok FROM verdicts WHERE ip IS NOT NULL)
       SELECT event_id, ip, CASE WHEN ok THEN 0 ELSE risk END AS risk_score,
@@ -550,7 +564,9 @@ ORACLE: dict[str, str] = {
                       + "]) AS feature, 1 AS valid, 1.0::DOUBLE AS total",
     "oof_scores": _F + """SELECT ip, is_robot AS label, (row_number() OVER (PARTITION BY is_robot
         ORDER BY md5(ip || ':42'), ip) - 1) % least(5, (SELECT min(n) FROM (
-          SELECT count(*) AS n FROM feats GROUP BY is_robot))) AS fold, 1 AS valid, 1 AS mostly_right FROM feats""",
+          SELECT count(*) AS n FROM feats GROUP BY is_robot))) AS fold, 1 AS valid FROM feats""",
+    "oof_sweep": _F + """SELECT percent, 1 AS same, (SELECT count(*) FROM feats WHERE is_robot = 1) AS positives
+        FROM range(30, 71) r(percent)""",
     "train_groundtruth": """SELECT unnest(['random_forest', 'gradient_boosting']) AS model,
         1 AS threshold_in_grid, 1 AS better_than_chance""",
     "score_requests_model": _scored("requests", "cip", FWD) + """SELECT event_id, ip,
@@ -562,3 +578,9 @@ ORACLE["batch_score_model"] = ORACLE["explain_verdicts"].replace(
 
 # alerts stored by a stream are those of the whole log
 ORACLE["stream_alerts_live"] = ORACLE["active_alerts"]
+ORACLE["prepare_twice"] = _B + """, d AS (
+    SELECT event_id, CAST(raw_ts AS DATE) AS day FROM access_log WHERE ip IS NOT NULL),
+  kept AS (SELECT * FROM d WHERE event_id = 1
+    UNION ALL SELECT * FROM d WHERE event_id % 2 = 0 AND day <> (SELECT max(day) FROM d))
+  SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS requests, count(*) AS ids,
+    count(DISTINCT event_id % 2) AS batches FROM kept GROUP BY day"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import network
+from ..plans import jobs
 from ..operators import (allowlist as allow, evaluation, features as feat, profiles, rollups,
                          scoring, sessions, training, validation)
 from ..schemas import MODEL_FEATURES
@@ -567,6 +568,18 @@ def stream_alerts(spark, sf):
     return run.replay(spark, stream, scratch_dir(spark, "alerts"))
 
 
+@query
+def stream_alert_transitions(spark, sf):
+    stream = alerts.alert_transitions(finite(spark, live_events(spark, sf)))
+    return run.replay(spark, stream, scratch_dir(spark, "alert-transitions"))
+
+
+@query
+def stream_sliding_rate(spark, sf):
+    stream = monitors.sliding_rate(finite(spark, live_events(spark, sf)))
+    return run.replay(spark, stream, scratch_dir(spark, "sliding-rate"))
+
+
 @query
 def stream_alerts_live(spark, sf):
     folder = scratch_dir(spark, "live-alerts")
@@ -685,9 +698,27 @@ def rf_importances(spark, sf):
 def oof_scores(spark, sf):
     scores = written(training.out_of_fold(candidates(MODEL_FEATURES)["random_forest"],
                                           matrix_of(spark, sf), MODEL_FEATURES), "oof")
-    right = F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int"))
-    return scores.select("ip", "label", "fold", F.col("score").between(0, 1).alias("valid"),
-                         (scores.agg(right).scalar() >= 0.9).alias("mostly_right"))
+    return scores.select("ip", "label", "fold", F.col("score").between(0, 1).alias("valid"))
+
+
+_SWEEP_OF_STORED = """
+    WITH grid AS (SELECT explode(sequence(30, 70)) AS t), at AS (
+        SELECT t, count_if(score >= t / 100D AND label = 1) AS tp, count_if(score >= t / 100D AND label = 0) AS fp,
+               count_if(score < t / 100D AND label = 1) AS fn FROM {scores}, grid GROUP BY t)
+    SELECT CAST(t AS BIGINT) AS percent, tp AS sql_tp, fp AS sql_fp, fn AS sql_fn FROM at"""
+
+
+@query
+def oof_sweep(spark, sf):
+    """The sweep over stored out-of-fold scores against plain SQL over those same scores."""
+    scores = written(training.out_of_fold(candidates(MODEL_FEATURES)["random_forest"],
+                                          matrix_of(spark, sf), MODEL_FEATURES), "oof-sweep")
+    mine = evaluation.threshold_sweep(scores).withColumn(
+        "percent", F.round(F.col("threshold") * 100).cast("bigint"))
+    plain_sql = spark.sql(_SWEEP_OF_STORED, scores=scores)
+    same = (F.col("tp") == F.col("sql_tp")) & (F.col("fp") == F.col("sql_fp")) & (F.col("fn") == F.col("sql_fn"))
+    return mine.join(plain_sql, "percent", "full_outer").select(
+        "percent", F.coalesce(same, F.lit(False)).alias("same"), (F.col("tp") + F.col("fn")).alias("positives"))
 
 
 @query
@@ -716,3 +747,25 @@ def train_groundtruth(spark, sf):
     results = training.compare(matrix, features, candidates(features), "ID")
     return results.select("model", F.col("threshold").between(0.3, 0.7).alias("threshold_in_grid"),
                           (F.col("auc_roc") > 0.5).alias("better_than_chance"))
+
+
+# -- jobs -------------------------------------------------------------------------
+
+@query
+def prepare_twice(spark, sf):
+    """A log of two sources after one of them was prepared again without its last day."""
+    folder = scratch_dir(spark, "prepare")
+    log = log_of(spark, sf).filter("ip IS NOT NULL").select(
+        "ip", F.date_format("raw_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "useragent", "path",
+        "method", "status_code", "bytes_sent", "event_id")
+    last_day = log.agg(F.max(F.substring("timestamp", 1, 10))).scalar()
+    logs.write_ndjson(log.filter("event_id % 2 = 0").drop("event_id"), folder + "/even")
+    logs.write_ndjson(log.filter("event_id = 1").drop("event_id"), folder + "/one")
+    for name in ("one", "even"):
+        jobs.prepare(spark, f"{folder}/{name}", folder + "/log", jobs.NDJSON)
+    logs.write_ndjson(log.filter((F.col("event_id") % 2 == 0) & (F.substring("timestamp", 1, 10) != last_day))
+                      .drop("event_id"), folder + "/even")
+    jobs.prepare(spark, folder + "/even", folder + "/log", jobs.NDJSON)
+    return jobs.read_log(spark, folder + "/log").groupBy("day").agg(
+        F.count(F.lit(1)).alias("requests"), F.countDistinct("event_id").alias("ids"),
+        F.countDistinct("batch_id").alias("batches"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import evaluation, features as feat, profiles, rollups, training
-from ..session import build_session, raise_unless_missing, written
+from ..session import build_session, raise_unless_missing, remove, written
 from ..sources import (features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store)
 
@@ -47,28 +48,42 @@ def prepare(spark: SparkSession, source: str, target: str, layout: str = DUMP,
     """Add a dump or NDJSON log to a Parquet access log partitioned by day and batch.
 
     Later jobs then read only the columns they use. A batch is a source, or what `batch_id` names:
-    other batches stay as they are, and one that is prepared again replaces its own days. Every
-    request gets an `event_id` above those of all other batches.
+    other batches stay as they are, and one that is prepared again is replaced, days that it no longer
+    has included. Every request gets an `event_id` above those of all other batches. Rows carry the run
+    that wrote them; what an earlier run of the batch left is removed once the new rows are stored. A
+    job that dies in between leaves both, and the next run of the batch removes them.
     """
-    batch = "b-" + hashlib.md5((batch_id or source).encode()).hexdigest()
+    batch, run = "b-" + hashlib.md5((batch_id or source).encode()).hexdigest(), uuid.uuid4().hex
     first_id = 0
     try:
         stored = spark.read.parquet(target).filter(F.col("batch_id") != batch)
-        first_id = (stored.agg(F.max("event_id")).first()[0] or -1) + 1
+        first_id = stored.agg(F.coalesce(F.max("event_id") + 1, F.lit(0))).first()[0]
     except AnalysisException as error:
         raise_unless_missing(error)
     rows = logs.with_epoch(_text_log(spark, source, layout)).withColumns({
-        "event_id": F.monotonically_increasing_id() + F.lit(first_id).cast("long"),
+        "event_id": F.monotonically_increasing_id() + F.lit(first_id).cast("long"), "run_id": F.lit(run),
         "day": F.to_date("ts"), "batch_id": F.lit(batch)})
     (rows.hint("rebalance", F.col("day")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(target))
+    _remove_other_runs(spark, target, batch, run)
+
+
+def _remove_other_runs(spark: SparkSession, target: str, batch: str, run: str) -> None:
+    """Delete the batch's days that `run` did not write."""
+    try:
+        stored = spark.read.schema("run_id string, day string, batch_id string").parquet(target)
+    except AnalysisException as error:
+        return raise_unless_missing(error)  # a first batch without a single row
+    left = stored.filter((F.col("batch_id") == batch) & ~F.col("run_id").eqNullSafe(F.lit(run)))
+    for row in left.select("day").distinct().collect():
+        remove(spark, f"{target}/day={row['day']}/batch_id={batch}")
 
 
 def read_log(spark: SparkSession, source: str, layout: str | None = None) -> DataFrame:
     """A prepared log, or a dump or NDJSON (file or folder) read on the fly."""
     layout = layout or layout_of(spark, source)
     if layout == PREPARED:
-        return spark.read.parquet(source)
+        return spark.read.parquet(source).drop("run_id")
     return logs.with_epoch(_text_log(spark, source, layout))
 
 

@@ -32,6 +32,21 @@ def rate_limit_violations(events: DataFrame, key: Column, limit: int,
             .select("client", F.col("w.start").alias("minute"), "requests"))
 
 
+def sliding_rate(events: DataFrame, window: str = "1 hour", step: str = "5 minutes",
+                 delay: str = WATERMARK) -> DataFrame:
+    """Requests per client in overlapping windows.
+
+    Two chained aggregations: events are counted once per client and step, and closed steps, not
+    events, are added up into the windows that overlap.
+    """
+    steps = (events.filter(F.col("ip").isNotNull()).withWatermark("ts", delay)
+             .groupBy("ip", F.window("ts", step).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+             .select("ip", "n", F.window_time("step").alias("at")))
+    return (steps.groupBy("ip", F.window("at", window, step).alias("w"))
+            .agg(F.sum("n").alias("requests"))
+            .select("ip", F.col("w.start").alias("window_start"), "requests"))
+
+
 def client_sessions(requests: DataFrame, gap_seconds: int = SESSION_GAP_SECONDS,
                     delay: str = WATERMARK) -> DataFrame:
     """Finished sessions with first and last request.
