@@ -584,3 +584,8 @@ ORACLE["prepare_twice"] = _B + """, d AS (
     UNION ALL SELECT * FROM d WHERE event_id % 2 = 0 AND day <> (SELECT max(day) FROM d))
   SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS requests, count(*) AS ids,
     count(DISTINCT event_id % 2) AS batches FROM kept GROUP BY day"""
+ORACLE["stream_persist_versioned"] = ORACLE["stream_persist"]
+ORACLE["stream_features_tiered"] = ORACLE["stream_features"]
+ORACLE["profiles_at_version"] = _F + """SELECT ip, req_count AS first_req_count, CAST(is_robot AS DOUBLE) AS first_risk_score,
+    CASE WHEN is_robot = 1 THEN -1 ELSE req_count END AS newest_req_count,
+    CASE WHEN req_count > 50 THEN 0.5 ELSE CAST(is_robot AS DOUBLE) END AS newest_risk_score FROM feats"""

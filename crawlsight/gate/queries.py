@@ -19,7 +19,8 @@ from ..schemas import MODEL_FEATURES
 from ..session import prepare, scratch_dir, written
 from ..sources import (event_log, features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store, sample_log as sample)
-from ..streaming import alerts, checks, features as live_features, monitors, run
+from ..sources.versioned_profiles import VersionedProfiles
+from ..streaming import alerts, cells, checks, features as live_features, monitors, run
 
 QUERIES: dict = {}
 
@@ -613,11 +614,12 @@ def stream_summary(spark, sf):
                     "s.last_event_at", (near("unique_ips") & near("unique_paths")).alias("sketches_near")))
 
 
-def checked(spark, sf, persist: bool) -> checks.CheckTables:
+def checked(spark, sf, persist: bool, versioned: bool = False) -> checks.CheckTables:
     tables = checks.CheckTables(scratch_dir(spark, "checks"))
+    versions = VersionedProfiles(spark, tables.profiles) if versioned else None
     requests = live_events(spark, sf).drop("risk_score", "is_bot")
     handler = checks.batch_handler(spark, tables, allowlist_of(spark), stored_profiles(spark, sf),
-                                   persist=persist)
+                                   persist=persist, versions=versions)
     run.finish(run.to_batches(requests, handler, tables.folder + "/checkpoint", once=True))
     return tables
 
@@ -627,10 +629,7 @@ def stream_score(spark, sf):
     return spark.read.parquet(checked(spark, sf, False).decisions).drop("batch_id")
 
 
-@query
-def stream_persist(spark, sf):
-    tables = checked(spark, sf, True)
-    stored = profile_store.read_profiles(spark, tables.profiles)
+def persisted(spark, tables: checks.CheckTables, stored) -> DataFrame:
     events = event_log.read_events(spark, tables.events).groupBy("ip").agg(
         F.count(F.lit(1)).alias("events"), F.max("timestamp").alias("last_event"))
     live = profile_store.read_active_alerts(
@@ -639,6 +638,46 @@ def stream_persist(spark, sf):
             .join(live.select("ip", "flagged_at", "request_count_at_flag"), "ip", "left"))
 
 
+@query
+def stream_persist(spark, sf):
+    tables = checked(spark, sf, True)
+    return persisted(spark, tables, profile_store.read_profiles(spark, tables.profiles))
+
+
+@query
+def stream_persist_versioned(spark, sf):
+    """Live checks on the versioned store, read after its deltas were folded and buckets split."""
+    tables = checked(spark, sf, True, versioned=True)
+    store = VersionedProfiles(spark, tables.profiles, rows=20)
+    store.fold()
+    return persisted(spark, tables, store.read())
+
+
+@query
+def profiles_at_version(spark, sf):
+    """Request counts and risks of an early version of the store and of the newest one."""
+    store = VersionedProfiles(spark, scratch_dir(spark, "versions"), rows=20)
+    rows = features_of(spark, sf).select("ip", F.lit(0.0).alias("updated_at"), "req_count", "is_robot", "rate_404")
+    first = store.append(rows.withColumn("risk_score", F.col("is_robot").cast("double")), "first", written_at=1)
+    store.fold()
+    store.append(rows.filter("req_count > 50").select("ip", "updated_at", F.lit(0.5).alias("risk_score")), "second", written_at=2)
+    store.fold()
+    store.append(rows.filter("is_robot = 1").select("ip", "updated_at", F.lit(-1).alias("req_count")), "third", written_at=3)
+    side = lambda df, name: df.select("ip", *[F.col(c).alias(f"{name}_{c}") for c in ("req_count", "risk_score")])
+    return side(store.read(), "newest").join(side(store.read(first), "first"), "ip")
+
+
+@query
+def stream_features_tiered(spark, sf):
+    folder = scratch_dir(spark, "tiered-features")
+    log_of(spark, sf).hint("rebalance").write.option("maxRecordsPerFile", 500).parquet(folder + "/log")
+    stream = (spark.readStream.schema(log_of(spark, sf).schema)
+              .option("maxFilesPerTrigger", 2).parquet(folder + "/log"))
+    store = cells.FeatureCells(spark, folder + "/cells", fanout=3)
+    run.finish(run.to_batches(stream, store.add, folder + "/checkpoint", once=True))
+    return store.features()
+
+
 @query
 def stream_features(spark, sf):
     folder = scratch_dir(spark, "live-features")

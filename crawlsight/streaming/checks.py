@@ -13,6 +13,7 @@ from ..functions import verdicts
 from ..operators import profiles as profile_ops
 from ..operators import scoring, validation
 from ..sources import event_log, profiles as profile_store
+from ..sources.versioned_profiles import VersionedProfiles
 from .run import snapshots
 
 
@@ -51,8 +52,10 @@ def check(requests: DataFrame, profiles: DataFrame, allowlist: DataFrame,
 
 def persist_checks(decided: DataFrame, profiles: DataFrame, tables: CheckTables, batch_id,
                    threshold: float = verdicts.DEFAULT_THRESHOLD,
-                   model_version: str = profile_ops.RULES_VERSION) -> None:
-    """Write events, profile updates and alerts of checked requests as one batch.
+                   model_version: str = profile_ops.RULES_VERSION,
+                   versions: VersionedProfiles | None = None) -> None:
+    """Write events, profile updates and alerts of checked requests as one batch; profiles go to
+    `versions` where it is given.
 
     Allowlisted requests leave no trace. Each table replaces the batch when it runs again.
     """
@@ -61,7 +64,10 @@ def persist_checks(decided: DataFrame, profiles: DataFrame, tables: CheckTables,
                             tables.events, batch_id)
     updates = profile_ops.check_updates(
         seen.withColumn("updated_at", F.col("timestamp")), threshold, model_version)
-    profile_store.write_updates(updates, tables.profiles, batch_id)
+    if versions is None:
+        profile_store.write_updates(updates, tables.profiles, batch_id)
+    else:
+        versions.append(updates, batch_id)
     flagged = (seen.filter("is_bot").groupBy("ip", "reason")
                .agg(F.max("timestamp").cast("bigint").alias("flagged_at")))
     profile_store.write_alerts(profile_ops.alerts(flagged, profiles), tables.alerts, batch_id)
@@ -71,20 +77,26 @@ def batch_handler(spark: SparkSession, tables: CheckTables, allowlist: DataFrame
                   base_profiles: DataFrame | None = None, model: PipelineModel | None = None,
                   threshold: float = verdicts.DEFAULT_THRESHOLD,
                   model_version: str = profile_ops.RULES_VERSION,
-                  persist: bool = True) -> Callable[[DataFrame, int], None]:
+                  persist: bool = True, versions: VersionedProfiles | None = None) -> Callable[[DataFrame, int], None]:
     """Handler for `run.to_batches` over requests (`event_id`, `ip`, `timestamp`, `useragent`,
     `path`). Profiles are the stored ones on top of `base_profiles`; decisions are always kept,
     events, profiles and alerts with `persist`.
 
     A micro-batch reads the profiles of its own clients, and every `FOLD_EVERY`th folds what the
-    earlier ones have stored, so its cost does not grow with their number."""
+    earlier ones have stored, so its cost does not grow with their number. With `versions` the
+    profiles lie in that store, whose buckets grow in number with it, so that neither does the
+    cost of a micro-batch grow with the number of clients."""
     keep_decisions = snapshots(tables.decisions)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if persist and batch_id % FOLD_EVERY == 0:
-            profile_store.fold(spark, tables.profiles, without_batch=batch_id)
+            if versions is None:
+                profile_store.fold(spark, tables.profiles, without_batch=batch_id)
+            else:
+                versions.fold(without_batch=batch_id)
         clients = validation.valid_requests(batch).select("ip").distinct().persist()
-        current = profile_store.read_profiles(spark, tables.profiles, batch_id, clients)
+        current = (profile_store.read_profiles(spark, tables.profiles, batch_id, clients) if versions is None
+                   else versions.read(without_batch=batch_id, clients=clients))
         if base_profiles is not None:
             current = profile_ops.upsert(base_profiles.join(clients, "ip", "left_semi"), current)
         # the entropy is taken once per client by the profile updates, not per request
@@ -93,7 +105,7 @@ def batch_handler(spark: SparkSession, tables: CheckTables, allowlist: DataFrame
             keep_decisions(decided.select("event_id", "ip", "risk_score", "is_bot", "reason",
                                           "decision", "http_status", "threat"), batch_id)
             if persist:
-                persist_checks(decided, current, tables, batch_id, threshold, model_version)
+                persist_checks(decided, current, tables, batch_id, threshold, model_version, versions)
         finally:
             decided.unpersist()
             clients.unpersist()
