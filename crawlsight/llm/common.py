@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -44,6 +45,21 @@ class Scratch:
         self.paths.clear()
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block, a query's shuffle files go when it ends. For steps whose result is written or collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def sent(table: DataFrame, n_rows: int, n_bytes: int = 0) -> DataFrame:
     """`table` marked for broadcast if its counted size is within the bounds."""
     return F.broadcast(table) if n_rows <= SENT_ROWS and n_bytes <= SENT_BYTES else table

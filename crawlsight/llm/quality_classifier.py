@@ -16,7 +16,7 @@ over all texts.
 Defined results: tokens are runs of letters, of digits or of other characters than white space.
 A null or empty text has the zero vector and is scored like any other. Rows are scored one by one,
 repeated rows alike. Without labels of both kinds the score is the share of label 1 among the
-labels, or 0.5 without any. Null labels are not used. Columns beside id and text are not read. An
+labels, or 0.5 without any. Null labels are not used; of clashing labels of one id the least is taken. Columns beside id and text are not read. An
 empty table gives an empty result.
 """
 
@@ -24,9 +24,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as numbered
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes, whole_groups
+from .common import Scratch, freed_shuffles, text_bytes, whole_groups
 from .vocabulary import most_frequent
 
 SAMPLE = 20_000
@@ -44,6 +45,8 @@ CHUNK = 200_000  # tokens added up at a time
 DIMENSIONS = 64
 NONZERO = 8
 WINDOW = 2
+FEW = 3          # occurrences up to which a token's neighbours are sent as hashes, in fewer bytes than their sum
+LONGEST = 64     # bytes of a token that is sent to the tasks; longer ones go by shuffle, whatever their number
 HIDDEN = 32
 EPOCHS = 300
 
@@ -51,15 +54,22 @@ tokens_of = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").f
 
 
 def index_vectors(names: list[bytes]) -> np.ndarray:
-    """A row per name: one +1 or -1 in each of `NONZERO` stretches of dimensions, by four mixed bits of its hash."""
-    h = np.array([zlib.crc32(n) for n in names], np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    """A row per name."""
+    return index_of_hashes(np.array([zlib.crc32(n) for n in names], np.uint32))
+
+
+def index_of_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A row per hash: one +1 or -1 in each of `NONZERO` stretches of dimensions, by four mixed bits; hash 0, which
+    nothing between texts has, is the zero vector."""
+    h = hashes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     h ^= h >> np.uint64(31)
     bits = (h[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(4))).astype(np.int64) & 15
     width = DIMENSIONS // NONZERO
-    vectors = np.zeros((len(names), DIMENSIONS), np.int8)
-    vectors[np.arange(len(names))[:, None], np.arange(NONZERO) * width + bits % width] = (bits // width) * 2 - 1
+    vectors = np.zeros((len(h), DIMENSIONS), np.int8)
+    vectors[np.arange(len(h))[:, None], np.arange(NONZERO) * width + bits % width] = (bits // width) * 2 - 1
+    vectors[hashes == 0] = 0
     return vectors
 
 
@@ -76,7 +86,13 @@ def _packed(sums: np.ndarray) -> list[bytes]:
 
 
 def _unpacked(rows: list[bytes]) -> np.ndarray:
+    """Sums of whole numbers from `_packed` rows, or from neighbours' hashes where there are few."""
     out, sizes = np.zeros((len(rows), DIMENSIONS), np.int64), np.array([len(r) for r in rows], np.int64)
+    few = np.flatnonzero((sizes > 0) & (sizes < DIMENSIONS))
+    if len(few):
+        vectors = index_of_hashes(np.frombuffer(b"".join([rows[i] for i in few.tolist()]), "<u4"))
+        first = np.cumsum(sizes[few] // 4) - sizes[few] // 4
+        out[few] = np.add.reduceat(vectors, first, axis=0, dtype=np.int64)
     for width in (1, 2, 8):
         some = np.flatnonzero(sizes == width * DIMENSIONS)
         out[some] = np.frombuffer(b"".join([rows[i] for i in some.tolist()]), f"<i{width}").reshape(-1, DIMENSIONS)
@@ -86,71 +102,135 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
 _SUMS = "word binary, n long, context binary"
 
 
-def _sums_batch(words: list[bytes], n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+def _sums_batch(words: list[bytes], n: np.ndarray, context: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)),
-                                       pa.array(_packed(sums), pa.binary())], ["word", "n", "context"])
+                                       pa.array(context, pa.binary())], ["word", "n", "context"])
+
+
+def _near(index: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """By place, the sum of the neighbours' index vectors, each plus 1 so that no byte is negative."""
+    padded = np.ones((len(ids) + 2 * WINDOW, DIMENSIONS), np.uint8)
+    padded[WINDOW:-WINDOW] = (index + 1).astype(np.uint8)[ids]
+    out = np.zeros((len(ids), DIMENSIONS), np.uint8)
+    for k in range(2 * WINDOW + 1):
+        if k != WINDOW:
+            out += padded[k:k + len(ids)]
+    return out
+
+
+def _run_sums(near: np.ndarray, sorted_ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of `near` (already in the order of ids) over each run of one id.
+
+    Runs are cut into parts so short that eight bytes add up as one word without a carry; parts are added after.
+    """
+    part = 255 // (4 * WINDOW)
+    place = np.arange(len(sorted_ids)) - np.repeat(starts, np.diff(np.append(starts, len(sorted_ids))))
+    cuts = np.flatnonzero(place % part == 0)
+    sizes = np.diff(np.append(cuts, len(sorted_ids)))
+    sums = np.add.reduceat(near.view(np.uint64), cuts, axis=0).view(np.uint8).astype(np.int32)
+    sums -= (2 * WINDOW * sizes).astype(np.int32)[:, None]
+    first = np.searchsorted(cuts, starts)
+    many = np.diff(np.append(first, len(cuts))) > 1
+    out = sums[first]
+    if many.any():
+        inside = np.repeat(many, np.diff(np.append(first, len(cuts))))
+        heads = np.cumsum(np.append(0, np.diff(np.append(first, len(cuts)))[many]))[:-1]
+        out[many] = np.add.reduceat(sums[inside], heads, axis=0)
+    return out
+
+
+class _Held:
+    """What a task has added up: per token its count, its sums, and while they are few its neighbours' hashes."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = defaultdict(numbered().__next__)
+        self.n = np.zeros(2 * HELD, np.int64)
+        self.sums = np.zeros((2 * HELD, DIMENSIONS), np.int32)
+        self.near = np.zeros((2 * HELD, FEW, 2 * WINDOW), np.uint32)
+
+    def add(self, row: list[bytes]) -> None:
+        here: dict[bytes, int] = defaultdict(numbered().__next__)
+        ids = np.fromiter(map(here.__getitem__, row), np.int64, len(row))
+        names = list(here)
+        hashes = np.array([zlib.crc32(t) for t in names], np.uint32)  # the empty name between texts has hash 0
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        added = _run_sums(_near(index_of_hashes(hashes), ids)[order], ids[order], starts)
+        times = np.diff(np.append(starts, len(ids)))
+        empty = here.get(b"", -1)
+        to = np.array([self.known[t] if t else -1 for t in names], np.int64)
+        if len(self.known) > len(self.n):
+            more = len(self.known) + HELD - len(self.n)
+            self.n, self.sums = np.pad(self.n, (0, more)), np.pad(self.sums, ((0, more), (0, 0)))
+            self.near = np.pad(self.near, ((0, more), (0, 0), (0, 0)))
+        # neighbours of a token's first occurrences, as long as it has few
+        slot = np.arange(len(ids)) - np.repeat(starts, times) + np.repeat(np.where(to < 0, FEW, self.n[to]), times)
+        some = np.flatnonzero(slot < FEW)
+        padded = np.zeros(len(ids) + 2 * WINDOW, np.uint32)
+        padded[WINDOW:-WINDOW] = hashes[ids]
+        at = order[some]
+        around = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
+        self.near[to[ids[at]], slot[some]] = np.stack([padded[at + k] for k in around], 1)
+        keep = np.arange(len(names)) != empty
+        self.n[to[keep]] += times[keep]
+        self.sums[to[keep]] += added[keep]
+
+    def passed_on(self) -> Iterator[pa.RecordBatch]:
+        words = list(self.known)
+        for at in range(0, len(words), 20_000):
+            some = words[at:at + 20_000]
+            n = self.n[at:at + len(some)]
+            context = _packed(self.sums[at:at + len(some)])
+            few = np.flatnonzero(n <= FEW)
+            hashes = self.near[at + few].reshape(len(few), -1)
+            filled = hashes != 0
+            raw, ends = hashes[filled].tobytes(), np.cumsum(filled.sum(1)) * 4
+            for i, start, stop in zip(few.tolist(), [0, *ends.tolist()], ends.tolist()):
+                context[i] = raw[start:stop]
+            yield _sums_batch(some, n, context)
+        self.known = defaultdict(numbered().__next__)
+        self.n[:] = 0
+        self.sums[:] = 0
+        self.near[:] = 0
 
 
 def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n, context) of all tokens: their count, and the sums of their neighbours' index vectors."""
+    """(word, n, context) of all tokens: their count, and the sums of their neighbours' index vectors.
 
+    The context of a token seen `FEW` times or less is its neighbours' hashes, which give the same sums.
+    """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        n, sums = np.zeros(2 * HELD, np.int64), np.zeros((2 * HELD, DIMENSIONS), np.int32)
-
-        def chunk(row: list[bytes]) -> None:
-            nonlocal n, sums
-            here: dict[bytes, int] = {}
-            ids = np.array([here.setdefault(t, len(here)) for t in row], np.int64)
-            names = list(here)
-            index = index_vectors(names)
-            index[here[b""]] = 0  # stands between texts
-            vectors = index[ids]
-            near = np.zeros(vectors.shape, np.int8)
-            for k in range(1, WINDOW + 1):
-                near[k:] += vectors[:-k]
-                near[:-k] += vectors[k:]
-            order = np.argsort(ids, kind="stable")
-            cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            added = np.add.reduceat(near[order], cuts, axis=0, dtype=np.int32)
-            times = np.bincount(ids, minlength=len(names))
-            keep = np.flatnonzero([bool(t) for t in names])
-            to = np.array([known.setdefault(names[i], len(known)) for i in keep.tolist()], np.int64)
-            if len(known) > len(n):
-                more = len(known) + HELD - len(n)
-                n, sums = np.pad(n, (0, more)), np.pad(sums, ((0, more), (0, 0)))
-            n[to] += times[keep]
-            sums[to] += added[keep]
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            words = list(known)
-            for at in range(0, len(words), 20_000):
-                some = words[at:at + 20_000]
-                yield _sums_batch(some, n[at:at + len(some)], sums[at:at + len(some)])
-            known.clear()
-            n[:] = 0
-            sums[:] = 0
-
-        row = [b""] * WINDOW
+        held, row = _Held(), [b""] * WINDOW
         for batch in batches:
             for text in batch.column(0):
                 row += tokens_of(text.as_py())
                 row += [b""] * WINDOW
                 if len(row) >= CHUNK:
-                    chunk(row)
+                    held.add(row)
                     row = [b""] * WINDOW
-                    if len(known) > HELD:
-                        yield from passed_on()
-        chunk(row)
-        yield from passed_on()
+                    if len(held.known) > HELD:
+                        yield from held.passed_on()
+        held.add(row)
+        yield from held.passed_on()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             words = np.array([*table.column("word").to_pylist(), None], object)[:-1]
             first = np.flatnonzero([True, *(words[1:] != words[:-1])])
+            size = np.diff(np.append(first, len(words)))
             counts = np.add.reduceat(table.column("n").to_numpy(), first)
-            yield _sums_batch(words[first].tolist(), counts,
-                              np.add.reduceat(_unpacked(table.column("context").to_pylist()), first, axis=0))
+            raw = table.column("context").to_pylist()
+            context: list[bytes | None] = [raw[i] for i in first.tolist()]  # one row: as it came
+            for g in np.flatnonzero((size > 1) & (counts <= FEW)).tolist():
+                context[g] = b"".join(raw[first[g]:first[g] + size[g]])
+            dense = np.flatnonzero((size > 1) & (counts > FEW))
+            if len(dense):
+                rows = np.flatnonzero(np.repeat((size > 1) & (counts > FEW), size))
+                sums = np.add.reduceat(_unpacked([raw[i] for i in rows.tolist()]),
+                                       np.cumsum(size[dense]) - size[dense], axis=0)
+                for g, c in zip(dense.tolist(), _packed(sums)):
+                    context[g] = c
+            yield _sums_batch(words[first].tolist(), counts, context)
 
     return (docs.select(text_bytes(text_col).alias("text")).mapInArrow(add, _SUMS)
             .repartition("word").sortWithinPartitions("word").mapInArrow(total, _SUMS))
@@ -158,10 +238,15 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def token_vectors(words: list[bytes], n: np.ndarray, context: list[bytes], total: int) -> np.ndarray:
     """Weighted context and index vectors, side by side; a token that the corpus lacks has no context."""
+    return hashed_vectors(np.array([zlib.crc32(w) for w in words], np.uint32), n, context, total)
+
+
+def hashed_vectors(hashes: np.ndarray, n: np.ndarray, context: list[bytes], total: int) -> np.ndarray:
+    """The same from the tokens' hashes."""
     sums = _unpacked(context).astype(float)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
     weight = 1e-2 / (1e-2 + n / max(total, 1))
-    return np.hstack([sums, index_vectors(words) / np.sqrt(NONZERO)]) * weight[:, None]
+    return np.hstack([sums, index_of_hashes(hashes) / np.sqrt(NONZERO)]) * weight[:, None]
 
 
 @dataclass
@@ -172,25 +257,32 @@ class Space:
     vectors: np.ndarray
     rare: DataFrame
     total: int
+    scratch: Scratch
+
+    def drop(self) -> None:
+        """Remove the stored table, when nothing is scored in this space any more."""
+        self.scratch.drop()
 
 
 def build_space(docs: DataFrame, text_col: str = "text") -> Space:
-    table = checkpointed(context_sums(docs, text_col))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    sent, least = most_frequent(table.select("word", "n"), SENT)
-    numbers = {t: i for i, t in enumerate(sent)}
-    rows = table.filter(F.col("n") >= least).toPandas()
+    scratch = Scratch(docs.sparkSession)
+    with freed_shuffles(docs.sparkSession):
+        table = scratch.keep(context_sums(docs, text_col), "token-contexts")
+        total = table.agg(F.sum("n")).first()[0] or 0
+        short = F.length("word") <= LONGEST
+        sent, least = most_frequent(table.filter(short).select("word", "n"), SENT)
+        numbers = {t: i for i, t in enumerate(sent)}
+        rows = table.filter((F.col("n") >= least) & short).toPandas()
     vectors = np.zeros((len(sent), 2 * DIMENSIONS), np.float32)
     words = list(map(bytes, rows["word"]))
     for at in range(0, len(words), 10_000):
         some = words[at:at + 10_000]
         vectors[[numbers[w] for w in some]] = token_vectors(
             some, rows["n"].to_numpy(float)[at:at + 10_000], list(map(bytes, rows["context"][at:at + 10_000])), total)
-    return Space(numbers, vectors, table.filter(F.col("n") < least), total)
+    return Space(numbers, vectors, table.filter((F.col("n") < least) | ~short), total, scratch)
 
 
 _PARTS = "text_no long, local int, word binary, times int, doc_id long, label int, vector binary"
-_PLACED = "text_no long, local int, times int, doc_id long, label int, vector binary"
 _POOLED = "doc_id long, label int, vector binary"
 
 
@@ -229,27 +321,19 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
                 out = []
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column(6).to_pylist()
-            some = np.flatnonzero(batch.column(1).to_numpy() >= 0)
-            rows = batch.take(pa.array(some))
-            found = token_vectors(rows.column(2).to_pylist(), rows.column(7).fill_null(0).to_numpy(zero_copy_only=False).astype(float),
-                                  [c or b"" for c in rows.column(8).to_pylist()], total)
-            found = (found * rows.column(3).to_numpy()[:, None] @ by_part.value).astype("<f4")
-            for i, v in zip(some.tolist(), found):
-                vectors[i] = v.tobytes()
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4, 5)), pa.array(vectors, pa.binary())],
-                                             [n for n in names if n != "word"])
-
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             local = table.column("local").to_numpy()
-            heads, raw = np.flatnonzero(local < 0), table.column("vector").to_pylist()
-            values = np.zeros((len(raw), width))
-            values[heads] = np.frombuffer(b"".join([raw[i] for i in heads.tolist()]), "<f8").reshape(-1, width)
-            rest = np.flatnonzero(local >= 0)
-            values[rest] = np.frombuffer(b"".join([raw[i] for i in rest.tolist()]), "<f4").reshape(-1, width)
+            heads, rest = np.flatnonzero(local < 0), np.flatnonzero(local >= 0)
+            values = np.zeros((len(local), width))
+            values[heads] = np.frombuffer(b"".join(table.column("vector").take(heads).to_pylist()), "<f8").reshape(-1, width)
+            for at in range(0, len(rest), 20_000):
+                some = rest[at:at + 20_000]
+                part = table.select(["hash", "n", "context", "times"]).take(some)
+                vectors = hashed_vectors(part.column("hash").to_numpy().astype(np.uint32),
+                                         part.column("n").fill_null(0).to_numpy().astype(float),
+                                         [c or b"" for c in part.column("context").to_pylist()], total)
+                values[some] = vectors * part.column("times").to_numpy()[:, None] @ by_part.value
             values = np.add.reduceat(values, heads, axis=0)
             values /= np.maximum(table.column("times").take(heads).to_numpy(), 1)[:, None]
             own = table.take(heads)
@@ -257,8 +341,10 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
                 [own.column("doc_id").combine_chunks(), own.column("label").combine_chunks(),
                  pa.array([v.tobytes() for v in values], pa.binary())], ["doc_id", "label", "vector"])
 
+    # a token's index vector follows from its hash, so its bytes stay behind
     return (texts.select("doc_id", "label", "text").mapInArrow(split, _PARTS)
-            .join(space.rare, "word", "left").select(*names, "n", "context").mapInArrow(place, _PLACED)
+            .join(space.rare, "word", "left")
+            .select(*[c for c in names if c != "word"], F.crc32("word").alias("hash"), "n", "context")
             .repartition("text_no").sortWithinPartitions("text_no", "local").mapInArrow(summed, _POOLED))
 
 
@@ -324,11 +410,12 @@ def fit(docs: DataFrame, labels: DataFrame, space: Space, label_col: str = "qual
         text_col: str = "text", sample: int = SAMPLE) -> Network:
     """The network from at most `sample` rows of `labels`; every fifth is kept back to calibrate."""
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-              .filter("doc_id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["doc_id"])
+              .filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    rows = (pooled(texts.join(F.broadcast(chosen), "doc_id"), space)
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(2 * sample).toPandas())
+    with freed_shuffles(docs.sparkSession):
+        rows = (pooled(texts.join(F.broadcast(chosen), "doc_id"), space)
+                .orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(2 * sample).toPandas())
     x = np.frombuffer(b"".join(map(bytes, rows["vector"])), "<f8").reshape(len(rows), -1 if len(rows) else space.vectors.shape[1])
     kept_back = np.array([zlib.crc32(b"kept back %d" % i) % 5 == 0 for i in rows["doc_id"]], bool)
     return train(x, (rows["label"].to_numpy() == 1).astype(float), kept_back)
@@ -349,4 +436,6 @@ def score(docs: DataFrame, space: Space, network: Network, id_col: str = "doc_id
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("label"),
                         text_bytes(text_col).alias("text"))
-    return pooled(texts, space, first).mapInArrow(run, "doc_id long, score double")
+    with freed_shuffles(docs.sparkSession):
+        return Scratch(docs.sparkSession).keep(
+            pooled(texts, space, first).mapInArrow(run, "doc_id long, score double"), "quality-scores")

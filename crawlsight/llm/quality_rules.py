@@ -11,7 +11,7 @@ other work is on all rows.
 
 Defined results: words are runs of other characters than `[\\x20\\x09-\\x0D]`; a null text has none,
 every count is zero and it fails the base rules. Rows are judged one by one, so repeated rows get
-equal results. Without labels, or with labels of one kind only, no rules are learnt and the base
+equal results. Of clashing labels of one id the least is taken. Without labels, or with labels of one kind only, no rules are learnt and the base
 rules alone decide. Labels that are null are not used. An empty table gives an empty result.
 """
 
@@ -196,7 +196,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         sample: int = SAMPLE) -> list[Rule]:
     """Rules from at most `sample` labelled rows, for rows that pass the base rules; label 0 is bad."""
     chosen = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
-              .filter("doc_id IS NOT NULL AND label IS NOT NULL").dropDuplicates(["doc_id"])
+              .filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = (stats.filter(~base_failed()).join(F.broadcast(chosen), "doc_id")
             .select("doc_id", "text_key", "label", *[F.expr(c).alias(f) for f, c in FEATURES.items()])

@@ -69,7 +69,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_training = learns(F.col("doc_id"), 3, 1)
     space = quality_classifier.build_space(docs)
     network = quality_classifier.fit(docs, labels(spark, sf_dir).filter(in_training), space)
-    return quality_classifier.score(docs, space, network).select(
+    scores = quality_classifier.score(docs, space, network)
+    space.drop()
+    return scores.select(
         "doc_id", (~in_training).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
