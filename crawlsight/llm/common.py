@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -47,17 +48,13 @@ class Scratch:
 
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within the block, a query's shuffle files go when it ends. For steps whose result is written or collected."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    """For steps whose result is written or collected: their shuffle files go when the block ends.
+
+    Spark removes a shuffle's files when the driver's last reference to it is collected, so the
+    references are given up and a collection is asked for, instead of waiting for the next one."""
+    yield
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def sent(table: DataFrame, n_rows: int, n_bytes: int = 0) -> DataFrame:

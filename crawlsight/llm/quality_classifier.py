@@ -40,7 +40,7 @@ from .vocabulary import most_frequent
 
 SAMPLE = 20_000
 SENT = 1 << 17
-HELD = 150_000  # distinct tokens a task holds before it passes their sums on
+HELD = 600_000  # distinct tokens a task holds before it passes their sums on
 CHUNK = 200_000  # tokens added up at a time
 DIMENSIONS = 64
 NONZERO = 8
@@ -140,13 +140,35 @@ def _run_sums(near: np.ndarray, sorted_ids: np.ndarray, starts: np.ndarray) -> n
 
 
 class _Held:
-    """What a task has added up: per token its count, its sums, and while they are few its neighbours' hashes."""
+    """What a task has added up: per token its count, and its neighbours' hashes while they are few, then their sum."""
 
     def __init__(self):
         self.known: dict[bytes, int] = defaultdict(numbered().__next__)
-        self.n = np.zeros(2 * HELD, np.int64)
-        self.sums = np.zeros((2 * HELD, DIMENSIONS), np.int32)
-        self.near = np.zeros((2 * HELD, FEW, 2 * WINDOW), np.uint32)
+        self.n = np.zeros(0, np.int64)
+        self.near = np.zeros((0, FEW, 2 * WINDOW), np.uint32)
+        self.place = np.zeros(0, np.int64)  # in `sums`, -1 for none
+        self.sums = np.zeros((0, DIMENSIONS), np.int32)
+        self.used = 0
+
+    def _grow(self) -> None:
+        more = len(self.known) - len(self.n)
+        if more > 0:
+            more += len(self.n) // 2 + 1024
+            self.n = np.pad(self.n, (0, more))
+            self.near = np.pad(self.near, ((0, more), (0, 0), (0, 0)))
+            self.place = np.pad(self.place, (0, more), constant_values=-1)
+
+    def _placed(self, tokens: np.ndarray) -> None:
+        """Start sums for tokens that had none, from the neighbours seen so far."""
+        if self.used + len(tokens) > len(self.sums):
+            self.sums = np.pad(self.sums, ((0, len(tokens) + len(self.sums) // 2 + 1024), (0, 0)))
+        self.place[tokens] = self.used + np.arange(len(tokens))
+        before = np.flatnonzero(self.n[tokens] > 0)
+        for at in range(0, len(before), 10_000):
+            some = before[at:at + 10_000]
+            vectors = index_of_hashes(self.near[tokens[some]].ravel()).reshape(len(some), -1, DIMENSIONS)
+            self.sums[self.used + some] = vectors.sum(1, dtype=np.int32)
+        self.used += len(tokens)
 
     def add(self, row: list[bytes]) -> None:
         here: dict[bytes, int] = defaultdict(numbered().__next__)
@@ -157,30 +179,34 @@ class _Held:
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
         added = _run_sums(_near(index_of_hashes(hashes), ids)[order], ids[order], starts)
         times = np.diff(np.append(starts, len(ids)))
-        empty = here.get(b"", -1)
-        to = np.array([self.known[t] if t else -1 for t in names], np.int64)
-        if len(self.known) > len(self.n):
-            more = len(self.known) + HELD - len(self.n)
-            self.n, self.sums = np.pad(self.n, (0, more)), np.pad(self.sums, ((0, more), (0, 0)))
-            self.near = np.pad(self.near, ((0, more), (0, 0), (0, 0)))
+        keep = np.flatnonzero([bool(t) for t in names])
+        to = np.full(len(names), -1)
+        to[keep] = [self.known[t] for t in names if t]
+        self._grow()
+        many = keep[self.n[to[keep]] + times[keep] > FEW]
+        self._placed(to[many[self.place[to[many]] < 0]])
+        self.sums[self.place[to[many]]] += added[many]
         # neighbours of a token's first occurrences, as long as it has few
-        slot = np.arange(len(ids)) - np.repeat(starts, times) + np.repeat(np.where(to < 0, FEW, self.n[to]), times)
-        some = np.flatnonzero(slot < FEW)
+        few = np.zeros(len(names), bool)
+        few[keep] = True
+        few[many] = False
+        at = np.flatnonzero(few[ids[order]])
+        slot = (at - starts[ids[order][at]] if len(at) else at) + self.n[to[ids[order][at]]]
         padded = np.zeros(len(ids) + 2 * WINDOW, np.uint32)
         padded[WINDOW:-WINDOW] = hashes[ids]
-        at = order[some]
         around = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
-        self.near[to[ids[at]], slot[some]] = np.stack([padded[at + k] for k in around], 1)
-        keep = np.arange(len(names)) != empty
+        self.near[to[ids[order][at]], slot] = np.stack([padded[order[at] + k] for k in around], 1)
         self.n[to[keep]] += times[keep]
-        self.sums[to[keep]] += added[keep]
 
     def passed_on(self) -> Iterator[pa.RecordBatch]:
         words = list(self.known)
         for at in range(0, len(words), 20_000):
             some = words[at:at + 20_000]
             n = self.n[at:at + len(some)]
-            context = _packed(self.sums[at:at + len(some)])
+            context: list[bytes] = [b""] * len(some)
+            dense = np.flatnonzero(n > FEW)
+            for i, c in zip(dense.tolist(), _packed(self.sums[self.place[at + dense]])):
+                context[i] = c
             few = np.flatnonzero(n <= FEW)
             hashes = self.near[at + few].reshape(len(few), -1)
             filled = hashes != 0
@@ -188,10 +214,7 @@ class _Held:
             for i, start, stop in zip(few.tolist(), [0, *ends.tolist()], ends.tolist()):
                 context[i] = raw[start:stop]
             yield _sums_batch(some, n, context)
-        self.known = defaultdict(numbered().__next__)
-        self.n[:] = 0
-        self.sums[:] = 0
-        self.near[:] = 0
+        self.__init__()
 
 
 def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -300,15 +323,10 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
         text_no, out = TaskContext.get().partitionId() << 40, []
         for batch in batches:
             for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found, local = [], Counter()
                 tokens = tokens_of(text.as_py())
-                for t in tokens:
-                    k = known.get(t)
-                    if k is None:
-                        local[t] += 1
-                    else:
-                        found.append(k)
-                used, times = np.unique(np.array(found, np.int64), return_counts=True)
+                found = Counter(map(known.get, tokens))
+                local = Counter([t for t in tokens if t not in known]) if found.pop(None, 0) else {}
+                used, times = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
                 # a text's own row goes under a key that no token has, so that these rows spread evenly
                 out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), len(tokens), doc, label,
                             (times @ vectors[used].astype(float)).tobytes()))
