@@ -4,13 +4,18 @@ Words fall into classes by exchange clustering: a word moves to the class that r
 likelihood of the corpus' class bigrams most, until few words move. A text's probability is the
 product of class transitions and of word emissions within the class.
 
-The driver finds first classes by exchange over symbols: a word with at least 1/`CLUSTERED` of the
-tokens is a symbol, all others go by the hash of their last two bytes. From these, in `MOVES` rounds
-over the corpus, every other word seen `LEAST` times or more moves to the class under which its own
-neighbours' classes are likeliest, whatever share of the corpus it has; only words seen less often
-stay with their ending. Up to `SENT` of the most frequent words are sent to the tasks with their
-counts and classes. The classes of all others are found by shuffle, text by text, in the rounds, in
-the final class bigrams and in the score alike.
+The driver finds first classes by exchange over symbols: the `CLUSTERED` most frequent words are
+symbols of their own, all others go by the hash of their last two bytes. From these, in rounds over
+the corpus, every other word seen `LEAST` times or more moves to the class under which its own
+neighbours' classes are likeliest. A round's moves are kept if they raise the likelihood of the class
+bigrams over the whole corpus; the first round that does not ends the moves, `MOVES` rounds at most.
+Words seen less often stay with their ending.
+
+Tasks need a word's class at hand. Up to `SENT` of the most frequent words, `LONGEST` bytes long at
+most, are sent with their counts and classes. The class of any other word lies in a table of 2^`BITS`
+bytes, the same at every size of the corpus, under the word's hash: words of one place in it move
+together by the sum of their neighbours. Classes never need a join of texts; only the counts of the
+words that were not sent are joined by shuffle, for the score.
 
 P(c | b) = (n(b, c) + T(b) P(c)) / (n(b) + T(b)), T(b) the number of classes seen after b;
 P(w | c) = (n(w) + 1) / (n(c) + V(c) + 1), V(c) the number of known words of the class.
@@ -31,19 +36,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes, whole_groups
+from .common import Scratch, freed_shuffles, text_bytes, whole_groups
 from .vocabulary import most_frequent, word_counts
 
 CLASSES = 64
-CLUSTERED = 1024
+CLUSTERED = 512
 SENT = 1 << 18
-LEAST = 4
+LONGEST = 64
+BITS = 24
+BLOCK_BITS = 16       # of the part of the class table that one group packs
+LEAST = 2
 MOVES = 2
-HELD = 1 << 21  # neighbour counts a task holds before it passes them on
+CHUNK = 200_000       # words worked on at a time
+HELD = 1 << 21        # neighbour counts a task holds before it passes them on
 ENDINGS = 256
 ROUNDS = 12
 
@@ -56,10 +66,23 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-def ending_of(word: Column) -> Column:
-    """`ending` of a binary column."""
-    tail = F.when(F.length(word) <= 2, word).otherwise(F.substring(word, -2, 2))
-    return (F.crc32(tail) % ENDINGS).cast("int")
+def place_of(word: bytes) -> int:
+    """A word's place in the class table."""
+    return xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
+
+
+class Codes(dict):
+    """Codes of words: the number of those sent, else `base` plus the place. The end of a text is the empty word, 0."""
+
+    def __init__(self, sent: list[bytes]):
+        super().__init__({w: i for i, w in enumerate([b"", *sent])})
+        self.base = len(self)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.base + place_of(word)
+
+    def __reduce__(self):
+        return Codes, (list(self)[1:],)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -115,12 +138,12 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
 
 @dataclass
 class BrownModel:
-    """What tasks need: the words sent, by number, with count and class, and the classes' tables."""
+    """What tasks need: codes of words, counts of those sent, the class of every code, and the classes' tables."""
 
-    numbers: dict[bytes, int]     # words sent to the tasks; the end token is number 0, without a word
+    codes: Codes
     least: int                    # count from which words are sent
     log_count: np.ndarray         # log10(n + 1) by number
-    group: np.ndarray             # class by number
+    group: np.ndarray             # class by code; places that no word of LEAST counts has hold NONE
     ending_group: np.ndarray      # class by ending
     log_move: np.ndarray          # log10 P(class | class before)
     log_class: np.ndarray         # log10(n(c) + V(c) + 1)
@@ -132,123 +155,76 @@ class BrownModel:
         return float(np.log10(self.tokens + self.vocabulary + 1))
 
 
-def _symbols(numbers: list[int], words: list[bytes], symbol: np.ndarray, clustered: int) -> np.ndarray:
-    """Symbols of words; number -1 goes by the ending."""
-    found = symbol[np.asarray(numbers, np.int64)]
-    for i in np.flatnonzero(np.asarray(numbers) < 0).tolist():
-        found[i] = clustered + zlib.crc32(words[i][-2:]) % ENDINGS
+NONE = 255  # of the class table: the word's ending decides
+
+
+def classes_of(codes: np.ndarray, words: list[bytes], group: np.ndarray, ending_group: np.ndarray) -> np.ndarray:
+    found = group[codes].astype(np.int64)
+    for i in np.flatnonzero(found == NONE).tolist():
+        found[i] = ending_group[ending(words[i])]
     return found
 
 
-def _pair_counts(docs: DataFrame, numbers, symbol: np.ndarray, clustered: int, text_col: str) -> DataFrame:
-    """(pair, n): counts of symbol bigrams, each text between two ends. `numbers` is a broadcast."""
+def _rows(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and codes of about CHUNK words, whole texts, an end before each text and after the last."""
+    row = [b""]
+    for batch in batches:
+        for text in batch.column(0):
+            row += words_of(text.as_py())
+            row.append(b"")
+            if len(row) >= CHUNK:
+                yield row, np.fromiter(map(codes.__getitem__, row), np.int64, len(row))
+                row = [b""]
+    yield row, np.fromiter(map(codes.__getitem__, row), np.int64, len(row))
+
+
+def _pair_counts(docs: DataFrame, codes, clustered: int, text_col: str) -> np.ndarray:
+    """Counts of symbol bigrams: the end, the `clustered` - 1 most frequent words, then endings."""
     size = clustered + ENDINGS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = numbers.value
         table = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                row = _symbols([known.get(w, -1) for w in words], words, symbol, clustered)
-                row = np.concatenate([[0], row, [0]])
-                np.add.at(table, row[:-1] * size + row[1:], 1)
+        for words, row in _rows(batches, codes.value):
+            for i in np.flatnonzero(row >= clustered).tolist():
+                row[i] = clustered + zlib.crc32(words[i][-2:]) % ENDINGS
+            table += np.bincount(row[:-1] * size + row[1:], minlength=size * size)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["pair", "n"])
 
-    return (docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "pair long, n long")
-            .groupBy("pair").agg(F.sum("n").alias("n")))
-
-
-def _numbered(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, dict[bytes, int]]:
-    """Numbers of a text's words between two ends, -1 and less for its words that were not sent, and those words."""
-    local: dict[bytes, int] = {}
-    get = known.get
-    row = [0, *(k if (k := get(w)) is not None else -1 - local.setdefault(w, len(local)) for w in words), 0]
-    return np.array(row, np.int64), local
-
-
-def _open_pairs(row: np.ndarray) -> np.ndarray:
-    """Neighbours of which one at least was not sent, one after the other."""
-    pairs = np.stack([row[:-1], row[1:]], 1)
-    return pairs[(pairs < 0).any(1)].astype(np.int32)
-
-
-_OPEN = "text_no long, local int, word binary, pairs binary"
-
-
-def _open_texts(docs: DataFrame, numbers, unsent: DataFrame, text_col: str) -> DataFrame:
-    """(text_no, local, word, pairs, n, class), by text: its open pairs, then its words that were not sent."""
-    names = [f.split()[0] for f in _OPEN.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_no = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(0):
-                row, local = _numbered(words_of(text.as_py()), numbers.value)
-                if local:
-                    out[0].extend([text_no] * (len(local) + 1))
-                    out[1].extend(range(-1, len(local)))
-                    out[2].append(b" " + text_no.to_bytes(8, "little"))  # spreads evenly; no word has a blank
-                    out[2].extend(local)
-                    out[3].append(_open_pairs(row).tobytes())
-                    out[3].extend([None] * len(local))
-                text_no += 1
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OPEN_KINDS)], names)
-                    out = [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _OPEN_KINDS)], names)
-
-    rows = docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, _OPEN)
-    return (rows.join(unsent, "word", "left").select("text_no", "local", "word", "pairs", "n", "class")
-            .repartition("text_no").sortWithinPartitions("text_no", "local"))
-
+    return _square(docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "pair long, n long"), size)
 
-_OPEN_KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
+def _square(cells: DataFrame, size: int) -> np.ndarray:
+    """Summed cells (pair, n) as a matrix; size squared of them come back at most."""
+    found = cells.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size * size)
+    out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
+    return out.reshape(size, size)
 
-def _resolved(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Open pairs of a table's texts, with words not sent as -1 - row; their classes; the text's first row."""
-    local = table.column("local").to_numpy()
-    classes = table.column("class").fill_null(0).to_numpy()
-    heads = np.flatnonzero(local < 0)
-    raw = table.column("pairs").take(heads).to_pylist()
-    pairs = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2).astype(np.int64)
-    head = np.repeat(heads, [len(p) // 8 for p in raw])[:, None]
-    pairs = np.where(pairs < 0, pairs - head - 1, pairs)  # -1 - local becomes -1 - row
-    found = np.where(pairs < 0, classes[np.where(pairs < 0, -1 - pairs, 0)], group[np.maximum(pairs, 0)])
-    return pairs, found, head[:, 0]
 
+_NEAR = "code long, cells binary, n binary"
 
-_NEAR = "word binary, cells binary, n binary"
 
-
-def _near_rows(names: list[bytes], keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row per word of counts by neighbour: class before, or CLASSES + class after; `keys` ascend."""
+def _near_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row per code of counts by neighbour: class before, or CLASSES + class after; `keys` ascend."""
     owner = keys // (2 * CLASSES)
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = np.append(cuts[1:], len(keys))
-    cells, n = (keys % (2 * CLASSES)).astype(np.uint8), n.astype(np.int64)
+    ends = np.append(cuts[1:], len(keys)).tolist()
+    cells, counts, starts = (keys % (2 * CLASSES)).astype(np.uint8).tobytes(), n.astype("<u4").tobytes(), cuts.tolist()
     return pa.RecordBatch.from_arrays(
-        [pa.array([names[i] for i in owner[cuts].tolist()], pa.binary()),
-         pa.array([cells[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-         pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["word", "cells", "n"])
-
-
-def _number_name(number: int) -> bytes:
-    return b" " + number.to_bytes(4, "big")
+        [pa.array(owner[cuts]), pa.array([cells[a:b] for a, b in zip(starts, ends)], pa.binary()),
+         pa.array([counts[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary())], ["code", "cells", "n"])
 
 
-class _NumberNames:
-    __getitem__ = staticmethod(_number_name)
+def _neighbours(docs: DataFrame, codes, shared, text_col: str) -> DataFrame:
+    """Counts of every code's neighbours' classes, and of class bigrams under code -1; tasks add up first.
 
-
-def _near_sent(docs: DataFrame, numbers, group, fixed: int, text_col: str) -> DataFrame:
-    """Neighbours' classes of words sent, from `fixed` on, where the neighbour was sent too."""
+    `shared` has the class of every code, the class of every ending, and the first code that moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, keys, n = group.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        group, endings, fixed = shared.value
+        moves = np.zeros(CLASSES * CLASSES, np.int64)
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held: list[np.ndarray] = []
         waiting = 0
 
@@ -257,44 +233,40 @@ def _near_sent(docs: DataFrame, numbers, group, fixed: int, text_col: str) -> Da
             both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
 
-        for batch in batches:
-            for text in batch.column(0):
-                row, _ = _numbered(words_of(text.as_py()), numbers.value)
-                left, right = row[:-1], row[1:]
-                both = (left >= 0) & (right >= 0)
-                a, b = both & (right >= fixed), both & (left >= fixed)
-                held += [right[a] * 2 * CLASSES + classes[left[a]], left[b] * 2 * CLASSES + CLASSES + classes[right[b]]]
-                waiting += len(row)
-                if waiting > HELD // 2:
-                    keys, n = folded()
-                    held, waiting = [], 0
-                    if len(keys) > HELD:
-                        yield _near_rows(_NumberNames(), keys, n)
-                        keys, n = keys[:0], n[:0]
+        for words, row in _rows(batches, codes.value):
+            found = classes_of(row, words, group, endings)
+            left, right = row[:-1], row[1:]
+            moves += np.bincount(found[:-1] * CLASSES + found[1:], minlength=CLASSES * CLASSES)
+            a, b = right >= fixed, left >= fixed
+            held += [right[a] * 2 * CLASSES + found[:-1][a], left[b] * 2 * CLASSES + CLASSES + found[1:][b]]
+            waiting += len(row)
+            if waiting > HELD // 2:
+                keys, n = folded()
+                held, waiting = [], 0
+                if len(keys) > HELD:
+                    yield _near_rows(keys, n)
+                    keys, n = keys[:0], n[:0]
         keys, n = folded()
-        yield _near_rows(_NumberNames(), keys, n)
+        yield _near_rows(keys, n)
+        # a number of 8 bytes per class bigram, so that sums of tasks pass no limit
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.binary()),
+                                          pa.array([moves.tobytes()], pa.binary())], ["code", "cells", "n"])
 
     return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, _NEAR)
 
 
-def _near_open(texts: DataFrame, group, fixed: int) -> DataFrame:
-    """The same from pairs of which one word at least was not sent."""
+def _bigrams(near: DataFrame) -> np.ndarray:
+    """The class bigrams among the rows of `_neighbours`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches):
-            pairs, found, _ = _resolved(table, group.value)
-            seen = table.column("n").fill_null(0).to_numpy() >= LEAST
-            words = table.column("word").to_pylist()
-            # words of the table first, then those sent
-            owner = np.where(pairs < 0, -1 - pairs, pairs + len(words))
-            keys = np.concatenate([owner[:, 1] * 2 * CLASSES + found[:, 0], owner[:, 0] * 2 * CLASSES + CLASSES + found[:, 1]])
-            moves = np.where(pairs < 0, seen[np.where(pairs < 0, -1 - pairs, 0)], pairs >= fixed)
-            keys, n = np.unique(keys[np.concatenate([moves[:, 1], moves[:, 0]])], return_counts=True)
-            cut = np.searchsorted(keys, len(words) * 2 * CLASSES)
-            yield _near_rows(words, keys[:cut], n[:cut])
-            yield _near_rows(_NumberNames(), keys[cut:] - len(words) * 2 * CLASSES, n[cut:])
-
-    return texts.mapInArrow(run, _NEAR)
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                total += np.frombuffer(raw.as_py(), np.int64)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+
+    return _square(near.filter("code < 0").select("n").mapInArrow(cells, "pair long, n long"), CLASSES)
 
 
 def likeliest(near: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -315,159 +287,144 @@ def likeliest(near: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarra
     return fit.argmax(1)
 
 
-def _moved(near: DataFrame, group, table: np.ndarray, before: DataFrame) -> DataFrame:
-    """(word, class) of the words whose neighbours `near` counts; words sent by their number."""
-    rows = (near.select("word", "cells", "n", F.lit(None).cast("int").alias("class"))
-            .unionByName(before.select("word", F.lit(None).cast("binary").alias("cells"),
-                                       F.lit(None).cast("binary").alias("n"), "class"))
-            .repartition("word").sortWithinPartitions("word"))
+def _moved(near: DataFrame, shared, table: np.ndarray) -> DataFrame:
+    """(code, class) of the codes that occur LEAST times or more, by their neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in whole_groups(batches):
-            words = np.array([*part.column("word").to_pylist(), None], object)[:-1]
-            first = np.flatnonzero([True, *(words[1:] != words[:-1])])
-            index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+            codes = part.column("code").to_numpy()
+            first = np.flatnonzero(np.diff(codes, prepend=-2))
+            index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(codes))))
             for at in range(0, len(first), 8192):
                 to = min(at + 8192, len(first))
-                a, b = first[at], first[to] if to < len(first) else len(words)
+                a, b = first[at], first[to] if to < len(first) else len(codes)
                 some = part.slice(a, b - a)
-                cells = [x or b"" for x in some.column("cells").to_pylist()]
-                n = np.frombuffer(b"".join(x or b"" for x in some.column("n").to_pylist()), np.int64)
+                cells = some.column("cells").to_pylist()
+                n = np.frombuffer(b"".join(some.column("n").to_pylist()), "<u4")
                 owner = np.repeat(index[a:b] - at, [len(x) for x in cells])
                 sums = np.bincount(owner * 2 * CLASSES + np.frombuffer(b"".join(cells), np.uint8), n,
                                    (to - at) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
-                old = np.full(to - at, -1)
-                known = some.column("class").fill_null(-1).to_numpy()
-                np.maximum.at(old, index[a:b] - at, known)
-                names = words[first[at:to]]
-                for i, w in enumerate(names):
-                    if w[:1] == b" ":
-                        old[i] = group.value[int.from_bytes(w[1:], "big")]
-                used = sums.any(1)
+                often = sums.sum(1) >= 2 * LEAST  # an occurrence has two neighbours
+                names = codes[first[at:to]][often]
+                old = shared.value[0][names].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[used].tolist(), pa.binary()),
-                     pa.array(likeliest(sums[used], old[used], table), pa.int32())], ["word", "class"])
+                    [pa.array(names), pa.array(likeliest(sums[often], np.where(old == NONE, -1, old), table), pa.int32())],
+                    ["code", "class"])
 
-    return rows.mapInArrow(run, "word binary, class int")
+    return (near.filter("code >= 0").repartition("code").sortWithinPartitions("code")
+            .mapInArrow(run, "code long, class int"))
 
 
-def _class_moves(docs: DataFrame, numbers, group, texts: DataFrame, text_col: str) -> np.ndarray:
-    """Counts of class bigrams over all pairs."""
+def _regrouped(moved: DataFrame, group: np.ndarray) -> np.ndarray:
+    """The class of every code after the moves, packed block by block on the executors."""
 
-    def table_of(counted: np.ndarray) -> pa.RecordBatch:
-        used = np.flatnonzero(counted)
-        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(counted[used])], ["pair", "n"])
+    def pack(rows: pa.Table) -> pa.Table:
+        out = np.full(1 << BLOCK_BITS, NONE, np.uint8)
+        out[rows["code"].to_numpy() & ((1 << BLOCK_BITS) - 1)] = rows["class"].to_numpy()
+        return pa.table({"block": pa.array([rows["block"][0].as_py()], pa.int64()),
+                         "packed": pa.array([out.tobytes()], pa.binary())})
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                row, _ = _numbered(words_of(text.as_py()), numbers.value)
-                both = (row[:-1] >= 0) & (row[1:] >= 0)
-                np.add.at(counted, group.value[row[:-1][both]] * CLASSES + group.value[row[1:][both]], 1)
-        yield table_of(counted)
+    blocks = (moved.withColumn("block", F.shiftright("code", BLOCK_BITS)).groupBy("block")
+              .applyInArrow(pack, "block long, packed binary").collect())  # a byte per code at most
+    out = group.copy()
+    for block, packed in blocks:
+        start = block << BLOCK_BITS
+        new = np.frombuffer(packed, np.uint8)[:len(out) - start]
+        out[start:start + len(new)] = np.where(new == NONE, out[start:start + len(new)], new)
+    return out
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """Of the class bigrams, but for a term that no move changes."""
+    return float(_xlogx(bigrams).sum() - _xlogx(bigrams.sum(0)).sum() - _xlogx(bigrams.sum(1)).sum())
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = np.zeros(CLASSES * CLASSES, np.int64)
-        for table in whole_groups(batches):
-            _, found, _ = _resolved(table, group.value)
-            np.add.at(counted, found[:, 0] * CLASSES + found[:, 1], 1)
-        yield table_of(counted)
 
-    found = (docs.select(text_bytes(text_col).alias("text")).mapInArrow(sent, "pair long, n long")
-             .unionByName(texts.mapInArrow(others, "pair long, n long"))
-             .groupBy("pair").agg(F.sum("n").alias("n")).toPandas())
-    moves = np.zeros(CLASSES * CLASSES)
-    moves[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return moves.reshape(CLASSES, CLASSES)
+def _classed(counts: DataFrame, codes, shared) -> DataFrame:
+    """(word, n, class) of every known word."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, endings, _ = shared.value
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            row = np.fromiter(map(codes.value.__getitem__, words), np.int64, len(words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(classes_of(row, words, group, endings), pa.int32())],
+                ["word", "n", "class"])
 
-def _ending_class(word: Column, ending_group: np.ndarray) -> Column:
-    return F.element_at(F.lit([int(c) for c in ending_group]), ending_of(word) + 1)
+    return counts.select("word", "n").mapInArrow(run, "word binary, n long, class int")
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = MOVES) -> tuple[BrownModel, DataFrame]:
     """The model, and the table (word, n, class) of all words of the training texts."""
     spark = docs.sparkSession
-    counts = checkpointed(word_counts(docs, words_of, text_col))
+    scratch = Scratch(spark)
+    with freed_shuffles(spark):
+        counts = scratch.keep(word_counts(docs, words_of, text_col), "word-counts")
     n_texts = docs.count()
     n_words, n_distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = (n_words or 0) + n_texts, n_distinct + bool(n_texts)
-    sent, least = most_frequent(counts, SENT)
-    clustered = 1 + sum(n * CLUSTERED >= tokens for n in sent.values())  # symbol 0 is the end
-    symbol = np.array([0, *range(1, clustered), *(clustered + ending(w) for w in list(sent)[clustered - 1:]), 0], np.int64)
-    numbers = spark.sparkContext.broadcast({w: i for i, w in enumerate(sent, 1)})
+    sent, least = most_frequent(counts.filter(F.length("word") <= LONGEST), SENT)
+    clustered = 1 + min(CLUSTERED, len(sent))  # symbol 0 is the end
+    codes = spark.sparkContext.broadcast(Codes(list(sent)))
 
-    found = _pair_counts(docs, numbers, symbol, clustered, text_col).toPandas()
-    size = clustered + ENDINGS
-    pairs = np.zeros(size * size)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
-    pairs = pairs.reshape(size, size)
+    pairs = _pair_counts(docs, codes, clustered, text_col)
     by_symbol = exchange(pairs)
-    member = np.zeros((size, CLASSES))
-    member[np.arange(size), by_symbol] = 1
-    moves = member.T @ pairs @ member
-    group, ending_group = by_symbol[symbol[:-1]], by_symbol[clustered:]
-
-    rare = counts.filter(F.col("n") < least)
-    unsent = rare.withColumn("class", _ending_class(F.col("word"), ending_group))
-    often = np.array([n_texts, *sent.values()]) >= LEAST
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(group)
-        near = _near_sent(docs, numbers, shared, clustered, text_col).unionByName(
-            _near_open(_open_texts(docs, numbers, unsent, text_col), shared, clustered))
-        moved = checkpointed(_moved(near, shared, moves, unsent.filter(F.col("n") >= LEAST)))
-        is_sent = F.substring("word", 1, 1) == F.lit(b" ")
-        group = group.copy()
-        for word, c in moved.filter(is_sent).toPandas().itertuples(index=False):
-            number = int.from_bytes(bytes(word)[1:], "big")
-            if often[number]:
-                group[number] = c
-        unsent = rare.join(moved.filter(~is_sent), "word", "left").withColumn(
-            "class", F.coalesce("class", _ending_class(F.col("word"), ending_group)))
-        unsent = checkpointed(unsent.select("word", "n", "class"))
-        shared = spark.sparkContext.broadcast(group)
-        moves = _class_moves(docs, numbers, shared, _open_texts(docs, numbers, unsent, text_col), text_col)
-
-    share = (moves.sum(0) + 1) / (moves.sum() + CLASSES)
-    seen = np.maximum((moves > 0).sum(1, keepdims=True), 1)
-    log_move = np.log10((moves + seen * share) / (moves.sum(1, keepdims=True) + seen))
-    kinds = np.bincount(group, minlength=CLASSES).astype(float)
-    used = np.bincount(group, [n_texts, *sent.values()], CLASSES)
-    for c, k, n in unsent.groupBy("class").agg(F.count(F.lit(1)), F.sum("n")).collect():
+    ending_group = by_symbol[clustered:]
+    base = 1 + len(sent)
+    group = np.full(base + (1 << BITS), NONE, np.uint8)
+    group[:base] = [*by_symbol[:clustered], *(ending_group[ending(w)] for w in list(sent)[clustered - 1:])]
+
+    # each round counts neighbours and class bigrams under the classes it starts from
+    best, bigrams = None, None
+    for step in range(rounds + 1):
+        shared = spark.sparkContext.broadcast((group, ending_group, clustered))
+        with freed_shuffles(spark):
+            near = scratch.keep(_neighbours(docs, codes, shared, text_col), "class-neighbours")
+            found = _bigrams(near)
+            if best is not None and likelihood(found) <= likelihood(bigrams):
+                break
+            best, bigrams = group, found
+            if step < rounds:
+                group = _regrouped(_moved(near, shared, bigrams), group)
+    shared = spark.sparkContext.broadcast((best, ending_group, clustered))
+    with freed_shuffles(spark):
+        known = Scratch(spark).keep(_classed(counts, codes, shared), "classed-words")
+    scratch.drop()
+
+    share = (bigrams.sum(0) + 1) / (bigrams.sum() + CLASSES)
+    seen = np.maximum((bigrams > 0).sum(1, keepdims=True), 1)
+    log_move = np.log10((bigrams + seen * share) / (bigrams.sum(1, keepdims=True) + seen))
+    kinds, used = np.zeros(CLASSES), np.zeros(CLASSES)
+    kinds[best[0]] += 1
+    used[best[0]] += n_texts
+    for c, k, n in known.groupBy("class").agg(F.count(F.lit(1)), F.sum("n")).collect():
         kinds[c] += k
         used[c] += n
     log_class = np.log10(used + kinds + 1)
     if not tokens:
         log_move, log_class = np.zeros_like(log_move), np.zeros_like(log_class)
     log_count = np.log10(np.array([n_texts, *sent.values()], float) + 1)
-    known = spark.createDataFrame(
-        pa.table({"word": pa.array(list(sent), pa.binary()), "n": pa.array(list(sent.values()), pa.int64()),
-                  "class": pa.array(group[1:], pa.int32())}))
-    return (BrownModel(numbers.value, least, log_count, group, ending_group, log_move, log_class, tokens, distinct),
-            unsent.select("word", "n", "class").unionByName(known))
+    return BrownModel(codes.value, least, log_count, best, ending_group, log_move, log_class, tokens, distinct), known
 
 
-_PARTS = ("text_no long, local int, word binary, times int, doc_id long, n_tokens long, known long, base double, "
-          "model double, pairs binary")
-_SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+_PARTS = ("text_no long, word binary, times int, doc_id long, n_tokens long, known long, base double, model double")
 
 
 def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
-    A task adds up what it knows of a text, and passes on the words that were not sent to it, each
-    once per text, to be joined with their counts and classes, and the pairs that hold them.
+    A task adds up what it knows of a text, and passes on the words whose counts were not sent to it,
+    each once per text, to be joined with them.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rare = counts.filter(F.col("n") < model.least)
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(),
-             pa.float64(), pa.binary()]
+    rare = counts.filter((F.col("n") < model.least) | (F.length("word") > LONGEST)).select("word", "n")
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = [f.split()[0] for f in _PARTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: BrownModel = shared.value
+        base = m.codes.base
         text_no = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
 
@@ -478,51 +435,33 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row, local = _numbered(words_of(text.as_py()), m.numbers)
-                inner = row[1:]
-                sent = inner[inner >= 0]
-                n, both = len(inner), (row[:-1] >= 0) & (row[1:] >= 0)
-                rest = m.log_count[sent].sum()
-                moves = m.log_move[m.group[row[:-1][both]], m.group[row[1:][both]]].sum()
+                words = [b"", *words_of(text.as_py()), b""]
+                row = np.fromiter(map(m.codes.__getitem__, words), np.int64, len(words))
+                found = classes_of(row, words, m.group, m.ending_group)
+                sent = row[1:] < base
+                n = len(row) - 1
+                rest = m.log_count[row[1:][sent]].sum()
+                inner = m.log_move[found[:-1], found[1:]].sum() - m.log_class[found[1:]].sum()
                 # a text's own row goes under a key that no word has, so that these rows spread evenly
-                out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), None, doc, n,
-                            len(sent) - (not m.tokens), rest - n * m.log_total, rest + moves - m.log_class[m.group[sent]].sum(),
-                            _open_pairs(row).tobytes()))
-                if local:
-                    times = np.bincount(-1 - inner[inner < 0]).tolist()
-                    out += [(text_no, k, w, times[k], None, None, None, None, None, None) for w, k in local.items()]
+                out.append((text_no, b" " + text_no.to_bytes(8, "little"), None, doc, n, int(sent.sum()) - (not m.tokens),
+                            rest - n * m.log_total, rest + inner))
+                if not sent.all():
+                    local = Counter([words[i] for i in np.flatnonzero(row >= base).tolist()])
+                    out += [(text_no, w, t, None, None, None, None, None) for w, t in local.items()]
                 text_no += 1
                 if len(out) > 50_000:
                     yield rows()
             if out:
                 yield rows()
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: BrownModel = shared.value
-        for table in whole_groups(batches):
-            local = table.column("local").to_numpy()
-            heads = np.flatnonzero(local < 0)
-            times = table.column("times").fill_null(0).to_numpy()
-            n = table.column("n").fill_null(0).to_numpy()
-            classes = table.column("class").to_numpy(zero_copy_only=False).astype(float)
-            unseen = np.flatnonzero(np.isnan(classes) & (local >= 0))
-            words = table.column("word").take(unseen).to_pylist()
-            classes[unseen] = [m.ending_group[ending(w)] for w in words]
-            classes = np.nan_to_num(classes).astype(np.int64)
-            table = table.set_column(table.column_names.index("class"), "class", pa.array(classes))
-            _, found, head = _resolved(table, m.group)
-            rest = np.add.reduceat(times * np.log10(n + 1.0), heads)
-            emitted = np.add.reduceat(times * m.log_class[classes], heads)
-            moved = np.bincount(np.searchsorted(heads, head), m.log_move[found[:, 0], found[:, 1]], len(heads))
-            own = {c: table.column(c).take(heads).to_numpy() for c in ("n_tokens", "known", "base", "model")}
-            total = own["model"] + rest - emitted + moved
-            yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").take(heads).combine_chunks(), pa.array(own["n_tokens"]),
-                 pa.array(own["known"] + np.add.reduceat(times * (n > 0), heads)),
-                 pa.array(np.full(len(heads), m.tokens)), pa.array(own["base"] + rest), pa.array(total),
-                 pa.array(10.0 ** (-total / own["n_tokens"]))], [f.split()[0] for f in _SCORED.split(", ")])
-
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
                         ).mapInArrow(run, _PARTS)
-    return (parts.join(rare, "word", "left").select("text_no", *[c for c in names if c != "text_no"], "n", "class")
-            .repartition("text_no").sortWithinPartitions("text_no", "local").mapInArrow(finish, _SCORED))
+    n = F.coalesce("n", F.lit(0))
+    rest, total = F.coalesce(F.sum(F.col("times") * F.log10(n + 1)), F.lit(0.0)), F.sum("n_tokens")
+    scored = parts.join(rare, "word", "left").groupBy("text_no").agg(
+        F.max("doc_id").alias("doc_id"), total.alias("n_tokens"),
+        (F.sum("known") + F.coalesce(F.sum(F.when(n > 0, F.col("times"))), F.lit(0))).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.sum("base") + rest).alias("base_score"), (F.sum("model") + rest).alias("score"))
+    return scored.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
