@@ -31,7 +31,7 @@ from itertools import count as numbered
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -272,12 +272,34 @@ def hashed_vectors(hashes: np.ndarray, n: np.ndarray, context: list[bytes], tota
     return np.hstack([sums, index_of_hashes(hashes) / np.sqrt(NONZERO)]) * weight[:, None]
 
 
+class Sent:
+    """The tokens sent to the tasks: their numbers, counts and packed contexts, from which a task makes their vectors."""
+
+    def __init__(self, words: list[bytes], n: np.ndarray, context: list[bytes], total: int):
+        self.numbers = {w: i for i, w in enumerate(words)}
+        self.n, self.context, self.total = n, context, total
+        self._made: dict[bytes, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_made": {}}
+
+    def vectors(self, matrix: np.ndarray) -> np.ndarray:
+        """Vectors times `matrix`, made once in a worker."""
+        key = matrix.tobytes()
+        if key not in self._made:
+            words, out = list(self.numbers), np.zeros((len(self.numbers), matrix.shape[1]), np.float32)
+            for at in range(0, len(words), 10_000):
+                to = at + 10_000
+                out[at:to] = token_vectors(words[at:to], self.n[at:to], self.context[at:to], self.total) @ matrix
+            self._made = {key: out}
+        return self._made[key]
+
+
 @dataclass
 class Space:
-    """Tokens sent to the tasks by number and their vectors, and the table (word, n, context) of all others."""
+    """What is sent to the tasks, and the table (word, n, context) of all other tokens."""
 
-    numbers: dict[bytes, int]
-    vectors: np.ndarray
+    sent: Broadcast
     rare: DataFrame
     total: int
     scratch: Scratch
@@ -288,21 +310,17 @@ class Space:
 
 
 def build_space(docs: DataFrame, text_col: str = "text") -> Space:
-    scratch = Scratch(docs.sparkSession)
-    with freed_shuffles(docs.sparkSession):
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    with freed_shuffles(spark):
         table = scratch.keep(context_sums(docs, text_col), "token-contexts")
+    with freed_shuffles(spark):
         total = table.agg(F.sum("n")).first()[0] or 0
         short = F.length("word") <= LONGEST
-        sent, least = most_frequent(table.filter(short).select("word", "n"), SENT)
-        numbers = {t: i for i, t in enumerate(sent)}
+        _, least = most_frequent(table.filter(short).select("word", "n"), SENT)
         rows = table.filter((F.col("n") >= least) & short).toPandas()
-    vectors = np.zeros((len(sent), 2 * DIMENSIONS), np.float32)
-    words = list(map(bytes, rows["word"]))
-    for at in range(0, len(words), 10_000):
-        some = words[at:at + 10_000]
-        vectors[[numbers[w] for w in some]] = token_vectors(
-            some, rows["n"].to_numpy(float)[at:at + 10_000], list(map(bytes, rows["context"][at:at + 10_000])), total)
-    return Space(numbers, vectors, table.filter((F.col("n") < least) | ~short), total, scratch)
+    sent = Sent(list(map(bytes, rows["word"])), rows["n"].to_numpy(float), list(map(bytes, rows["context"])), total)
+    return Space(spark.sparkContext.broadcast(sent), table.filter((F.col("n") < least) | ~short), total, scratch)
 
 
 _PARTS = "text_no long, local int, word binary, times int, doc_id long, label int, vector binary"
@@ -313,13 +331,12 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
     """(doc_id, label, vector) of every row of (doc_id, label, text): its mean vector, times `matrix` if given."""
     spark, total = texts.sparkSession, space.total
     matrix = np.eye(2 * DIMENSIONS) if matrix is None else matrix
-    shared = spark.sparkContext.broadcast((space.numbers, (space.vectors @ matrix.astype(np.float32))))
-    by_part = spark.sparkContext.broadcast(matrix)
+    shared, by_part = space.sent, spark.sparkContext.broadcast(matrix)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = shared.value
+        known, vectors = shared.value.numbers, shared.value.vectors(by_part.value)
         text_no, out = TaskContext.get().partitionId() << 40, []
         for batch in batches:
             for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -434,7 +451,7 @@ def fit(docs: DataFrame, labels: DataFrame, space: Space, label_col: str = "qual
     with freed_shuffles(docs.sparkSession):
         rows = (pooled(texts.join(F.broadcast(chosen), "doc_id"), space)
                 .orderBy(F.xxhash64("doc_id"), "doc_id", "vector").limit(2 * sample).toPandas())
-    x = np.frombuffer(b"".join(map(bytes, rows["vector"])), "<f8").reshape(len(rows), -1 if len(rows) else space.vectors.shape[1])
+    x = np.frombuffer(b"".join(map(bytes, rows["vector"])), "<f8").reshape(len(rows), 2 * DIMENSIONS)
     kept_back = np.array([zlib.crc32(b"kept back %d" % i) % 5 == 0 for i in rows["doc_id"]], bool)
     return train(x, (rows["label"].to_numpy() == 1).astype(float), kept_back)
 
