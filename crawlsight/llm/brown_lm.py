@@ -54,6 +54,7 @@ LEAST = 2
 MOVES = 2
 CHUNK = 200_000       # words worked on at a time
 HELD = 1 << 21        # neighbour counts a task holds before it passes them on
+FREQUENT = 1 << 15    # codes whose neighbours a task counts in an array, without sorting
 ENDINGS = 256
 ROUNDS = 12
 
@@ -216,8 +217,8 @@ def _near_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
          pa.array([counts[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary())], ["code", "cells", "n"])
 
 
-def _neighbours(docs: DataFrame, codes, shared, text_col: str) -> DataFrame:
-    """Counts of every code's neighbours' classes, and of class bigrams under code -1; tasks add up first.
+def _neighbours(docs: DataFrame, codes, shared, text_col: str, near: bool) -> DataFrame:
+    """Counts of every code's neighbours' classes (if `near`), and of class bigrams under code -1; tasks add up first.
 
     `shared` has the class of every code, the class of every ending, and the first code that moves."""
 
@@ -225,11 +226,15 @@ def _neighbours(docs: DataFrame, codes, shared, text_col: str) -> DataFrame:
         group, endings, fixed = shared.value
         moves = np.zeros(CLASSES * CLASSES, np.int64)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        bound = FREQUENT * 2 * CLASSES
+        frequent = np.zeros(bound if near else 0, np.int64)
         held: list[np.ndarray] = []
         waiting = 0
 
         def folded() -> tuple[np.ndarray, np.ndarray]:
-            new, times = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], n[:0])
+            new = np.concatenate(held) if held else keys[:0]
+            np.add(frequent, np.bincount(new[new < bound], minlength=bound), out=frequent)
+            new, times = np.unique(new[new >= bound], return_counts=True)
             both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
 
@@ -237,6 +242,8 @@ def _neighbours(docs: DataFrame, codes, shared, text_col: str) -> DataFrame:
             found = classes_of(row, words, group, endings)
             left, right = row[:-1], row[1:]
             moves += np.bincount(found[:-1] * CLASSES + found[1:], minlength=CLASSES * CLASSES)
+            if not near:
+                continue
             a, b = right >= fixed, left >= fixed
             held += [right[a] * 2 * CLASSES + found[:-1][a], left[b] * 2 * CLASSES + CLASSES + found[1:][b]]
             waiting += len(row)
@@ -246,8 +253,11 @@ def _neighbours(docs: DataFrame, codes, shared, text_col: str) -> DataFrame:
                 if len(keys) > HELD:
                     yield _near_rows(keys, n)
                     keys, n = keys[:0], n[:0]
-        keys, n = folded()
-        yield _near_rows(keys, n)
+        if near:
+            keys, n = folded()
+            used = np.flatnonzero(frequent)
+            yield _near_rows(used, frequent[used])
+            yield _near_rows(keys, n)
         # a number of 8 bytes per class bigram, so that sums of tasks pass no limit
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.binary()),
                                           pa.array([moves.tobytes()], pa.binary())], ["code", "cells", "n"])
@@ -379,7 +389,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = MOVES) -> tuple
     for step in range(rounds + 1):
         shared = spark.sparkContext.broadcast((group, ending_group, clustered))
         with freed_shuffles(spark):
-            near = scratch.keep(_neighbours(docs, codes, shared, text_col), "class-neighbours")
+            near = scratch.keep(_neighbours(docs, codes, shared, text_col, step < rounds), "class-neighbours")
             found = _bigrams(near)
             if best is not None and likelihood(found) <= likelihood(bigrams):
                 break
@@ -433,26 +443,38 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
+        def scored(words: list[bytes], docs_of: list, first: int) -> Iterator[pa.RecordBatch]:
+            """Rows of texts that lie one after the other in `words`, an end before each and after the last."""
+            row = np.fromiter(map(m.codes.__getitem__, words), np.int64, len(words))
+            found = classes_of(row, words, m.group, m.ending_group)
+            inner, sent = row[1:], row[1:] < base
+            stops = np.flatnonzero(inner == 0)
+            starts = np.append(0, stops[:-1] + 1)
+            add = lambda values: np.add.reduceat(values, starts).tolist()
+            rest = add(np.where(sent, m.log_count[np.where(sent, inner, 0)], 0.0))
+            model = add(m.log_move[found[:-1], found[1:]] - m.log_class[found[1:]])
+            known, sizes = add(sent.astype(np.int64)), (stops - starts + 1).tolist()
+            for i, (doc, n) in enumerate(zip(docs_of, sizes)):
+                # a text's own row goes under a key that no word has, so that these rows spread evenly
+                out.append((first + i, b" " + (first + i).to_bytes(8, "little"), None, doc, n,
+                            known[i] - (not m.tokens), rest[i] - n * m.log_total, rest[i] + model[i]))
+            unsent = np.flatnonzero(~sent)
+            local = Counter(zip(np.searchsorted(stops, unsent).tolist(), [words[i + 1] for i in unsent.tolist()]))
+            out.extend((first + i, w, t, None, None, None, None, None) for (i, w), t in local.items())
+            yield rows()
+
+        words, docs_of = [b""], []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = [b"", *words_of(text.as_py()), b""]
-                row = np.fromiter(map(m.codes.__getitem__, words), np.int64, len(words))
-                found = classes_of(row, words, m.group, m.ending_group)
-                sent = row[1:] < base
-                n = len(row) - 1
-                rest = m.log_count[row[1:][sent]].sum()
-                inner = m.log_move[found[:-1], found[1:]].sum() - m.log_class[found[1:]].sum()
-                # a text's own row goes under a key that no word has, so that these rows spread evenly
-                out.append((text_no, b" " + text_no.to_bytes(8, "little"), None, doc, n, int(sent.sum()) - (not m.tokens),
-                            rest - n * m.log_total, rest + inner))
-                if not sent.all():
-                    local = Counter([words[i] for i in np.flatnonzero(row >= base).tolist()])
-                    out += [(text_no, w, t, None, None, None, None, None) for w, t in local.items()]
-                text_no += 1
-                if len(out) > 50_000:
-                    yield rows()
-            if out:
-                yield rows()
+                words += words_of(text.as_py())
+                words.append(b"")
+                docs_of.append(doc)
+                if len(words) >= CHUNK:
+                    yield from scored(words, docs_of, text_no)
+                    text_no += len(docs_of)
+                    words, docs_of = [b""], []
+        if docs_of:
+            yield from scored(words, docs_of, text_no)
 
     parts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")
                         ).mapInArrow(run, _PARTS)
