@@ -99,7 +99,7 @@ class Chunk:
 
     def grown(self, k: int, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Places where a phrase of k words begins whose both parts are in the bit table, not counted before."""
-        part = _has(table, self.hashes(k - 1) ^ seeds)
+        part = in_table(table, self.hashes(k - 1) ^ seeds)
         return np.flatnonzero(part & self._ahead(part, 1) & self._whole(k))
 
     def _whole(self, k: int) -> np.ndarray:
@@ -107,7 +107,7 @@ class Chunk:
 
     def members(self, k: int, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Places where a phrase of k words in the bit table begins."""
-        return np.flatnonzero(self._whole(k) & _has(table, self.hashes(k) ^ seeds))
+        return np.flatnonzero(self._whole(k) & in_table(table, self.hashes(k) ^ seeds))
 
     def exact(self, k: int, places: np.ndarray) -> np.ndarray:
         """One number per different phrase of k words among the places, without hashing."""
@@ -130,7 +130,7 @@ def _bits(keys: np.ndarray) -> Iterator[np.ndarray]:
     yield (keys >> np.uint64(BITS)) & mask
 
 
-def _has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
     for bit in _bits(keys):
         out &= (table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1

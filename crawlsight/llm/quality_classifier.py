@@ -7,9 +7,11 @@ is the mean of its tokens' context and index vectors, frequent tokens weighing l
 network learns labels from it, and a temperature fitted on rows kept back from its training
 calibrates the probabilities.
 
-All tokens have vectors of their own, whatever their share. Up to `SENT` of the most frequent ones
-are sent to the tasks; the context vectors of all others are joined by shuffle and summed by text,
-for scores after the network's first layer, which is linear up to there. The network is fitted on at
+All tokens have index vectors of their own, and all that are seen `LEAST` times or more context vectors,
+whatever their share; a token seen once has no neighbours but those of its own text. Up to `SENT` of
+the most frequent ones are sent to the tasks; the contexts of all others are joined by shuffle and summed
+by text, for scores after the network's first layer, which is linear up to there. Which tokens to join a
+task reads from a bit table of fixed size; its false positives find no context and change nothing. The network is fitted on at
 most `SAMPLE` labelled rows, those with the smallest hash of their id; counts and vectors are taken
 over all texts.
 
@@ -31,15 +33,18 @@ from itertools import count as numbered
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .collocations import bit_table, in_table
 from .common import Scratch, freed_shuffles, text_bytes, whole_groups
 from .vocabulary import most_frequent
 
 SAMPLE = 20_000
-SENT = 1 << 17
+SENT = 1 << 18
+LEAST = 2
 HELD = 600_000  # distinct tokens a task holds before it passes their sums on
 CHUNK = 200_000  # tokens added up at a time
 DIMENSIONS = 64
@@ -301,6 +306,7 @@ class Space:
 
     sent: Broadcast
     rare: DataFrame
+    rare_bits: Broadcast
     total: int
     scratch: Scratch
 
@@ -313,14 +319,26 @@ def build_space(docs: DataFrame, text_col: str = "text") -> Space:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     with freed_shuffles(spark):
-        table = scratch.keep(context_sums(docs, text_col), "token-contexts")
+        table = scratch.keep(context_sums(docs, text_col).filter(F.col("n") >= LEAST), "token-contexts")
     with freed_shuffles(spark):
         total = table.agg(F.sum("n")).first()[0] or 0
         short = F.length("word") <= LONGEST
         _, least = most_frequent(table.filter(short).select("word", "n"), SENT)
         rows = table.filter((F.col("n") >= least) & short).toPandas()
     sent = Sent(list(map(bytes, rows["word"])), rows["n"].to_numpy(float), list(map(bytes, rows["context"])), total)
-    return Space(spark.sparkContext.broadcast(sent), table.filter((F.col("n") < least) | ~short), total, scratch)
+    rare = table.filter((F.col("n") < least) | ~short)
+    with freed_shuffles(spark):
+        bits = bit_table(rare.select("word").mapInArrow(_keys, "key long"))
+    return Space(spark.sparkContext.broadcast(sent), rare, spark.sparkContext.broadcast(bits), total, scratch)
+
+
+def _key(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_key(batch.column(0).to_pylist()).view(np.int64))], ["key"])
 
 
 _PARTS = "text_no long, local int, word binary, times int, doc_id long, label int, vector binary"
@@ -331,7 +349,7 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
     """(doc_id, label, vector) of every row of (doc_id, label, text): its mean vector, times `matrix` if given."""
     spark, total = texts.sparkSession, space.total
     matrix = np.eye(2 * DIMENSIONS) if matrix is None else matrix
-    shared, by_part = space.sent, spark.sparkContext.broadcast(matrix)
+    shared, space_bits, by_part = space.sent, space.rare_bits, spark.sparkContext.broadcast(matrix)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
 
@@ -344,9 +362,18 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
                 found = Counter(map(known.get, tokens))
                 local = Counter([t for t in tokens if t not in known]) if found.pop(None, 0) else {}
                 used, times = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+                own = times @ vectors[used].astype(float)
+                if local:
+                    joined = in_table(space_bits.value, _key(list(local)))
+                    bare = [t for t, j in zip(local, joined.tolist()) if not j]
+                    if bare:
+                        hashes = np.array([zlib.crc32(t) for t in bare], np.uint32)
+                        seen = np.array([local[t] for t in bare])
+                        own += seen @ hashed_vectors(hashes, np.zeros(len(bare)), [b""] * len(bare), total) @ by_part.value
+                        local = {t: local[t] for t, j in zip(local, joined.tolist()) if j}
                 # a text's own row goes under a key that no token has, so that these rows spread evenly
                 out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), len(tokens), doc, label,
-                            (times @ vectors[used].astype(float)).tobytes()))
+                            own.tobytes()))
                 out += [(text_no, k, t, c, None, None, None) for k, (t, c) in enumerate(local.items())]
                 text_no += 1
                 if len(out) > 20_000:
