@@ -186,7 +186,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
         def passed_on() -> Iterator[pa.RecordBatch]:
             for (lang, shard), counted in held.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counted)), pa.array([shard] * len(counted), pa.int32()),
+                    [pa.array([lang] * len(counted), pa.string()), pa.array([shard] * len(counted), pa.int32()),
                      pa.array(counted.keys(), pa.binary()), pa.array(counted.values(), pa.int64())],
                     ["lang", "shard", "word", "n"])
             held.clear()
