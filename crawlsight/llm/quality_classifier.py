@@ -43,7 +43,7 @@ from .common import Scratch, freed_shuffles, text_bytes, whole_groups
 from .vocabulary import most_frequent
 
 SAMPLE = 20_000
-SENT = 1 << 18
+SENT = 1 << 17
 LEAST = 2
 HELD = 600_000  # distinct tokens a task holds before it passes their sums on
 CHUNK = 200_000  # tokens added up at a time
