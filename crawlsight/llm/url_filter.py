@@ -4,7 +4,7 @@ A rule is a host and the beginning of a path (`example.org/es/`). It fits its ho
 subdomains where the URL's path starts with the rule's path; of several the longest decides, of
 equally long ones the one that blocks. The URLs that rules decide are the labelled ones from which
 gradient-boosted trees learn the verdict of the others: lengths, depth, digit share, character
-entropy, parameter counts, and how often rules blocked the URL's host suffixes.
+entropy, parameter counts, and how often rules blocked other URLs of the same host suffixes.
 
 Fitting reads at most `SAMPLE` labelled URLs, those with the smallest hash of id and URL. Suffix
 statistics are counted over all rows; a suffix with very many rows is looked up by broadcast.
@@ -98,14 +98,17 @@ COLUMNS = (*FEATURES, "entropy", *(f"{s}_blocked" for s in SUFFIXES))
 
 
 def _with_suffix_shares(rows: DataFrame, total: int, overall: float) -> DataFrame:
-    """How often rules blocked the rows of each suffix, drawn to the overall share."""
+    """How often rules blocked the other rows of each suffix, drawn to the overall share.
+
+    A row's own verdict is left out, so that trees learn from labelled rows what holds for the others."""
+    own, own_block = F.col("verdict").isNotNull().cast("int"), F.coalesce(F.col("verdict") == BLOCK, F.lit(False)).cast("int")
     for name in SUFFIXES:
-        shares = rows.groupBy(name).agg(
+        counts = rows.groupBy(name).agg(
             F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"),
-            F.count(F.when(F.col("verdict") == BLOCK, 1)).alias("blocked")).select(
-            name, "n", ((F.col("blocked") + PRIOR_ROWS * overall)
-                        / (F.col("labelled") + PRIOR_ROWS)).alias(f"{name}_blocked"))
-        rows = lookup(rows, checkpointed(shares), name, "n", total).drop("n")
+            F.count(F.when(F.col("verdict") == BLOCK, 1)).alias("blocked"))
+        share = ((F.col("blocked") - own_block + PRIOR_ROWS * overall) / (F.col("labelled") - own + PRIOR_ROWS))
+        rows = (lookup(rows, checkpointed(counts), name, "n", total)
+                .withColumn(f"{name}_blocked", share).drop("n", "labelled", "blocked"))
     return rows
 
 
