@@ -3,8 +3,9 @@
 Documents are tokenised, an end id is appended, and overlong ones are cut into pieces of at most
 `capacity` ids, none lost. Each task packs the pieces it reads, `CHUNK_TOKENS` ids at a time, by
 best fit on falling length; a segment tree over residual capacities finds the tightest sequence
-with room. Sequences that a chunk leaves short are packed again with the next chunk, so a task
-ends with few short ones, and ids are never shuffled.
+with room. Sequences that a chunk leaves short are packed again with the next chunk. At most
+`CARRIED_TOKENS` ids are carried over, so where more are in short sequences the fullest of these
+are written. Ids are never shuffled.
 
 A row is one sequence: `ids` and `position_ids` are rows of capacity little-endian unsigned
 integers (16 bits each where ids and capacity fit, else 32), padded with `pad_id`; positions
@@ -32,6 +33,7 @@ CAPACITY = 4096
 END_ID = 1
 PAD_ID = 0
 CHUNK_TOKENS = 2_000_000
+CARRIED_TOKENS = CHUNK_TOKENS // 2
 SHORT = 0.98
 
 SCHEMA = ("sequence_id long, n_tokens int, ids binary, position_ids binary, cu_seqlens array<int>, "
@@ -125,16 +127,17 @@ def packed_matrices(docs: DataFrame, tokenizer: str, vocabulary: int, capacity:
             nonlocal waiting, held, next_id
             lengths = [len(s[3]) for s in waiting]
             sequences = best_fit_decreasing(lengths, capacity)
+            kept: list[tuple] = []
             if not last:
-                full = [s for s in sequences if sum(lengths[i] for i in s) >= SHORT * capacity]
-                if len(full) * 2 >= len(sequences):
-                    again = {i for s in full for i in s}
-                    kept = [s for i, s in enumerate(waiting) if i not in again]
-                else:
-                    full, kept = sequences, []
-                sequences = full
-            else:
-                kept = []
+                sizes = [sum(lengths[i] for i in s) for s in sequences]
+                order = sorted(range(len(sequences)), key=lambda k: -sizes[k])
+                left, n = held, 0
+                # the fullest go out: all full ones, and others until what stays is within the bound
+                while n < len(order) and (sizes[order[n]] >= SHORT * capacity or left > CARRIED_TOKENS):
+                    left -= sizes[order[n]]
+                    n += 1
+                kept = [waiting[i] for k in order[n:] for i in sequences[k]]
+                sequences = [sequences[k] for k in order[:n]]
             for at in range(0, len(sequences), 256):
                 some = sequences[at:at + 256]
                 yield rows(waiting, some, next_id)
