@@ -82,8 +82,9 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.scratch_index(spark)
-    rows = exact_dedup.digests(documents(spark, sf_dir))
-    return exact_dedup.judged(rows, index.add(rows))
+    rows = exact_dedup.judged(exact_dedup.digests(documents(spark, sf_dir)), index, "documents")
+    index.drop()
+    return rows
 
 
 def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:

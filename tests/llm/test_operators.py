@@ -418,24 +418,80 @@ def test_best_fit_decreasing_is_what_a_plain_search_gives():
 
 def test_index_remembers_earlier_batches(spark, docs, none):
     index = exact_dedup.scratch_index(spark)
-    first = exact_dedup.dedup(docs, index).collect()
+    first = exact_dedup.dedup(docs, index, "a").collect()
     assert len(first) == len({"".join(words(t)) for t in [*TEXTS, "no id", "other"]})
-    assert exact_dedup.dedup(docs, index).count() == 0
+    size = index.read().count()
+    assert exact_dedup.dedup(docs, index, "b").count() == 0 and index.read().count() == size
     more = spark.createDataFrame([(100, "brand new", 0, "d", True, "r", 1), (101, "A B", 0, "d", True, "r", 1)], CLASHING)
-    assert [r.doc_id for r in exact_dedup.dedup(more.withColumn("text", F.col("text")), index).collect()] == [100, 101]
+    assert [r.doc_id for r in exact_dedup.dedup(more.withColumn("text", F.col("text")), index, "c").collect()] == [100, 101]
     plan = index.read().select("digest").hint("merge").join(index.read(), "digest")._jdf.queryExecution().toString()
     assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
     index.drop()
     other = exact_dedup.scratch_index(spark)
-    assert exact_dedup.dedup(none, other).count() == 0
+    assert exact_dedup.dedup(none, other, "a").count() == 0
     other.drop()
 
 
+def test_a_batch_that_runs_again_gives_the_same_rows(spark, docs):
+    index = exact_dedup.scratch_index(spark)
+    first = sorted(map(str, exact_dedup.dedup(docs, index, "a").collect()))
+    held = sorted(index.read().collect())
+    assert sorted(map(str, exact_dedup.dedup(docs, index, "a").collect())) == first
+    assert sorted(index.read().collect()) == held
+    # another handle on the same table, as another session would open it
+    again = exact_dedup.DigestIndex(spark, index.table, buckets=99)
+    assert sorted(map(str, exact_dedup.dedup(docs, again, "a").collect())) == first and sorted(again.read().collect()) == held
+    index.drop()
+
+
+def test_rows_of_texts_that_an_earlier_batch_has_are_answered(spark):
+    index = exact_dedup.scratch_index(spark)
+    table = lambda *rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    least = -(1 << 63)
+    exact_dedup.judged(table((5, "a b"), (6, "c"), (least, "d"), (1, "d")), index, "first").collect()
+    second = table((1, "a  b, longer"), (2, "a   b"), (3, "ab"), (4, "new"), (9, "new"))
+    for _ in range(2):
+        out = exact_dedup.judged(second, index, "second").collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out} == {
+            (1, 1, 1, True), (2, 5, 2, False), (3, 5, 2, False), (4, 4, 2, True), (9, 4, 2, False)}
+    assert {(r.keep_id, r.batch) for r in index.read().collect()} == {
+        (5, "first"), (6, "first"), (least, "first"), (1, "second"), (4, "second")}
+    index.drop()
+
+
 def test_copies_are_judged_alike(spark, docs):
     index = exact_dedup.scratch_index(spark)
-    rows = exact_dedup.digests(docs)
-    out = exact_dedup.judged(rows, index.add(rows)).collect()
+    out = exact_dedup.judged(exact_dedup.digests(docs), index, "a").collect()
     assert len(out) == docs.count() and sum(r.kept for r in out) == len({r.text_sha256 for r in out})
     blank = [r for r in out if r.doc_id in (0, 1, 2)]
     assert {(r.keep_id, r.group_size) for r in blank} == {(2, 3)}
     index.drop()
+
+
+def test_short_sequences_are_carried_to_the_next_chunk(spark, monkeypatch):
+    # a hot source whose pieces fill three quarters of a sequence, then short documents that fit the gaps
+    rows = [(i, "word " * 74) for i in range(200)] + [(1000 + i, "word " * 24) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = binary_output.packed_matrices(df, WORD, 49408, capacity=100).collect()
+    ids = [d for r in packed for d in r.doc_ids]
+    assert sorted(ids) == [i for i, _ in rows] and len(packed) == 200
+    monkeypatch.setattr(binary_output, "CHUNK_TOKENS", 1500)
+    monkeypatch.setattr(binary_output, "CARRIED_TOKENS", 1400)
+    small = binary_output.packed_matrices(df, WORD, 49408, capacity=100).collect()
+    assert sorted(d for r in small for d in r.doc_ids) == sorted(ids)
+    assert sum(r.n_tokens for r in small) == 200 * 100
+
+
+def test_url_verdicts_are_learnt_without_the_row_itself(spark):
+    """Hosts seen once carry no share of their own; what tells the verdict is in the path."""
+    rules = [url_filter.UrlRule("allow", "org/"), url_filter.UrlRule("block", "com/")]
+    rng = random.Random(3)
+    noise = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    rows = []
+    for i in range(1200):
+        bad, top = i % 2, "net" if i % 3 == 0 else ("com" if i % 2 else "org")
+        tail = "".join(rng.choices("0123456789", k=20)) + "?a=1&b=2&c=3" if bad else f"{noise(8)}/{noise(5)}/page.html"
+        rows.append((i, f"http://{noise(9)}.{top}/{tail}"))
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).filter("rule IS NULL").collect()
+    right = sum((r.verdict == "block") == bool(r.id % 2) for r in out)
+    assert len(out) == 400 and right >= 380  # the larger class alone gives 200
