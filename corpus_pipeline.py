@@ -18,7 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, by an index of this run alone."""
-    return exact_dedup.dedup(docs, exact_dedup.scratch_index(spark))
+    index = exact_dedup.scratch_index(spark)
+    kept = exact_dedup.dedup(docs, index, "documents")
+    index.drop()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
