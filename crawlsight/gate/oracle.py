@@ -140,6 +140,11 @@ def _with(*parts: str) -> str:
 
 
 _L, _F, _B = _with(LOG), _with(LOG, GAPS, FEATS), _with(LOG, BE)
+_VERDICTS = """, judged AS (
+  SELECT *, CASE WHEN event_id % 200 = 7 THEN 'malformed' WHEN coalesce(ip, '') = '' THEN 'no_ip'
+                 WHEN event_id % 50 = 13 THEN 'no_time' ELSE 'accepted' END AS verdict
+  FROM access_log WHERE event_id % 200 <> 57)
+"""
 _HUMANS = "count(*) FILTER (is_bot = 0)"
 _BOTS = "count(*) FILTER (is_bot = 1)"
 
@@ -260,6 +265,17 @@ ORACLE: dict[str, str] = {
         CASE WHEN event_id % 50 <> 9 THEN CAST(status_code AS BIGINT) END AS status_code,
         CASE WHEN event_id % 50 <> 11 THEN bytes_sent END AS bytes_sent
         FROM access_log WHERE ip IS NOT NULL AND event_id % 50 <> 13""",
+    "rejected_records": _L + _VERDICTS + """SELECT source, verdict, count(found) AS records,
+        CASE WHEN verdict = 'accepted' THEN 0 ELSE count(found) END AS lines_kept
+        FROM (VALUES ('ndjson'), ('dump')) s(source)
+        CROSS JOIN (VALUES ('accepted'), ('malformed'), ('no_ip'), ('no_time')) v(verdict)
+        LEFT JOIN (SELECT verdict AS found FROM judged) j ON j.found = v.verdict GROUP BY source, verdict""",
+    "stream_access_log": _L + _VERDICTS + """SELECT ip,
+        strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%d %H:%M:%S') AS ts,
+        coalesce(useragent, '') AS useragent, path, method, CAST(status_code AS BIGINT) AS status_code, bytes_sent
+        FROM judged WHERE verdict = 'accepted'""",
+    "stream_rejected_records": _L + _VERDICTS + """SELECT verdict, count(*) AS records, count(*) AS lines_kept,
+        CAST(verdict = 'malformed' AS BIGINT) AS all_cut FROM judged WHERE verdict <> 'accepted' GROUP BY verdict""",
     "normalize_raw_dump": _L + """SELECT ip,
         strftime(make_timestamp(epoch_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
         useragent, path, method,

@@ -19,6 +19,7 @@ from ..schemas import MODEL_FEATURES
 from ..session import prepare, scratch_dir, written
 from ..sources import (event_log, features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store, sample_log as sample)
+from ..sources.intake import Intake
 from ..sources.versioned_profiles import VersionedProfiles
 from ..streaming import alerts, cells, checks, features as live_features, monitors, run
 
@@ -118,6 +119,53 @@ def normalize_raw_dump(spark, sf):
     return logs.read_dump(spark, path)
 
 
+def faulty_lines(spark, sf, dump=False):
+    """The log as text lines: some cut short, some without a time, some without a client."""
+    e = F.col("event_id")
+    body = F.to_json(F.struct(
+        "ip", F.when(e % 50 == 13, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
+        "useragent", F.col("path").alias("resource"), "method", F.col("status_code").cast("string").alias("response"),
+        F.col("bytes_sent").cast("string").alias("bytes")))
+    line = F.concat(F.lit('  "'), e.cast("string"), F.lit('": '), body, F.lit(",")) if dump else body
+    path = scratch_dir(spark, "lines")
+    log_of(spark, sf).select(F.when(e % 200 == 7, F.left(line, F.lit(40))).when(e % 200 == 57, "  ")
+                             .otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query
+def rejected_records(spark, sf):
+    counts = []
+    for name, dump in (("ndjson", False), ("dump", True)):
+        intake = Intake(spark, scratch_dir(spark, "intake"), dump)
+        intake.land(spark.read.text(faulty_lines(spark, sf, dump)), 1)
+        kept = intake.refused().groupBy("verdict").agg(F.count("line").alias("lines_kept"))
+        counts.append(intake.ledger().join(kept, "verdict", "left").select(
+            F.lit(name).alias("source"), "verdict", "records", F.coalesce("lines_kept", F.lit(0)).alias("lines_kept")))
+    return counts[0].unionByName(counts[1])
+
+
+def streamed_intake(spark, sf):
+    folder = scratch_dir(spark, "stream-intake")
+    intake = Intake(spark, folder)
+    run.finish(intake.stream(faulty_lines(spark, sf), folder + "/checkpoint", once=True))
+    return intake
+
+
+@query
+def stream_access_log(spark, sf):
+    return streamed_intake(spark, sf).records().drop("gt_is_robot")
+
+
+@query
+def stream_rejected_records(spark, sf):
+    intake = streamed_intake(spark, sf)
+    refused = intake.refused().select("verdict", F.length("line").cast("long").alias("line_length"))
+    return refused.groupBy("verdict").agg(F.count(F.lit(1)).alias("lines_kept"), F.max("line_length").alias("longest")).join(
+        intake.ledger().groupBy("verdict").agg(F.sum("records").alias("records")), "verdict").select(
+        "verdict", "records", "lines_kept", (F.col("longest") == 40).alias("all_cut"))
+
+
 @query
 def load_features(spark, sf):
     path = scratch_dir(spark, "features")

@@ -31,32 +31,31 @@ def _pick(df: DataFrame, name: str) -> Column:
     return F.col(present[0]) if present else F.lit(None)
 
 
-def _merged(df: DataFrame) -> DataFrame:
+def merged(df: DataFrame) -> DataFrame:
     """One column for all names of a column."""
     other = [n for names in ALIASES.values() for n in names]
     return df.select(*[c for c in df.columns if c not in other],
                      *[F.coalesce(*names).alias(names[0]) for names in ALIASES.values()])
 
 
-def canonical(df: DataFrame) -> DataFrame:
-    """Project log records onto the access-log columns and drop those without client or time.
-
-    Counts of all and of dropped records are observed as `access_log`.
-    """
+def projected(df: DataFrame, *also: str) -> DataFrame:
+    """Log records on the access-log columns, those without client or time included; `also` stays as it is."""
     text = lambda name: _pick(df, name).cast("string")
-    ts = parse_instant(text("timestamp"))
-    keep = (F.col("ip") != "") & F.col("ts").isNotNull()
-    rows = df.select(
-        text("ip").alias("ip"), ts.alias("ts"),
+    return df.select(
+        text("ip").alias("ip"), parse_instant(text("timestamp")).alias("ts"),
         F.coalesce(text("useragent"), F.lit("")).alias("useragent"),
         text("path").alias("path"), text("method").alias("method"),
         to_number(text("status_code"), "int").alias("status_code"),
         to_number(text("bytes_sent"), "bigint").alias("bytes_sent"),
-        to_number(text("gt_is_robot"), "int").alias("gt_is_robot"))
-    if not df.isStreaming:
-        rows = rows.observe("access_log", F.count(F.lit(1)).alias("records"),
-                            F.count(F.when(~F.coalesce(keep, F.lit(False)), 1)).alias("dropped"))
-    return rows.filter(keep)
+        to_number(text("gt_is_robot"), "int").alias("gt_is_robot"), *also)
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """Project log records onto the access-log columns and drop those without client or time.
+
+    `sources.intake` keeps and counts what is dropped here.
+    """
+    return projected(df).filter((F.col("ip") != "") & F.col("ts").isNotNull())
 
 
 def with_epoch(log: DataFrame) -> DataFrame:
@@ -68,11 +67,12 @@ def read_logs(spark: SparkSession, path: str, layout: str | None = "canonical")
     """NDJSON access logs. `layout` names the columns; None infers them with an extra pass."""
     if layout is None:
         return canonical(spark.read.json(path))
-    return canonical(_merged(spark.read.schema(LAYOUTS[layout]).json(path)))
+    return canonical(merged(spark.read.schema(LAYOUTS[layout]).json(path)))
 
 
-def stream_logs(spark: SparkSession, path: str, layout: str = "canonical") -> DataFrame:
-    return canonical(_merged(spark.readStream.schema(LAYOUTS[layout]).json(path)))
+def dump_body(line: Column) -> Column:
+    """The JSON object in a line of the dump, empty where there is none."""
+    return F.regexp_extract(line, r"^[^{]*(\{.*\})\s*,*\s*$", 1)
 
 
 def dump_records(lines: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def dump_records(lines: DataFrame) -> DataFrame:
     `lines` has a text column `value`. Everything before the first brace (the record id)
     and a trailing comma are cut; lines that hold no whole record are dropped.
     """
-    body = F.regexp_extract("value", r"^[^{]*(\{.*\})\s*,*\s*$", 1)
+    body = dump_body(F.col("value"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     schema = T.StructType(RAW_LOG.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = lines.select(F.when(body != "", F.from_json(body, schema, options)).alias("r"))
