@@ -145,6 +145,9 @@ _VERDICTS = """, judged AS (
                  WHEN event_id % 50 = 13 THEN 'no_time' ELSE 'accepted' END AS verdict
   FROM access_log WHERE event_id % 200 <> 57)
 """
+_MIDDLE = """, days AS (SELECT *, CAST(raw_ts AS DATE) AS day FROM bot_events),
+middle AS (SELECT * FROM days WHERE day > (SELECT min(day) FROM days) AND day < (SELECT max(day) FROM days))
+"""
 _HUMANS = "count(*) FILTER (is_bot = 0)"
 _BOTS = "count(*) FILTER (is_bot = 1)"
 
@@ -350,6 +353,35 @@ ORACLE: dict[str, str] = {
     "recent_events": _B + """SELECT event_id, ip, timestamp, path, risk_score,
         coalesce(is_bot, 0) AS is_bot, cidr_block FROM bot_events WHERE coalesce(is_bot, 0) = 0
         ORDER BY event_id DESC LIMIT 40 OFFSET 5""",
+    "events_page": _B + """, humans AS (
+        SELECT *, row_number() OVER (ORDER BY event_id DESC) AS place FROM bot_events
+        WHERE coalesce(is_bot, 0) = 0 AND event_id < (SELECT max(event_id) // 2 FROM bot_events))
+      SELECT event_id, ip, timestamp, path, risk_score, coalesce(is_bot, 0) AS is_bot, cidr_block
+        FROM humans WHERE place BETWEEN 61 AND 90""",
+    "events_page_compacted": _B + """SELECT event_id, ip, timestamp, path, risk_score, is_bot, cidr_block
+        FROM bot_events WHERE is_bot = 1 ORDER BY event_id DESC LIMIT 25""",
+    "summary_by_range": _B + _MIDDLE + f"""SELECT count(*) AS total_events, {_BOTS} AS bot_events,
+        count(*) - {_BOTS} AS human_events, {_RATIO.format(_BOTS, "count(*)")} AS bot_ratio,
+        count(DISTINCT ip) AS unique_ips, count(DISTINCT path) AS unique_paths,
+        round(max(raw_timestamp), 6) AS last_event_at, 1 AS sketches_near FROM middle""",
+    "top_paths_by_range": _B + _MIDDLE + f"""SELECT coalesce(path, '—') AS path, count(*) AS total, {_BOTS} AS bots,
+        {_HUMANS} AS humans FROM middle GROUP BY coalesce(path, '—') ORDER BY total DESC, 1 LIMIT 20""",
+    "sql_expressions": _L + f"""SELECT event_id, CAST({_is_bot("useragent")} AS BIGINT) AS known,
+        CAST({_is_web("useragent")} AS BIGINT) AS web, round({_entropy("useragent")}, 6) AS entropy,
+        CASE WHEN regexp_matches(ip, '^\\d+\\.\\d+\\.\\d+(\\.|$)')
+             THEN regexp_extract(ip, '^(\\d+\\.\\d+\\.\\d+)', 1) || '.0/24' ELSE '' END AS subnet,
+        CASE WHEN subnet = '' THEN ip ELSE subnet END AS rate_key,
+        md5(ip || CAST(floor(epoch_s / CAST(1800 AS DOUBLE)) AS BIGINT)) AS session_id,
+        epoch_s // 600 * 600 AS bucket, {_RATIO.format("(event_id % 7)", "(event_id % 11)")} AS share,
+        CASE WHEN {_is_bot("useragent")} THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS risk,
+        CASE WHEN event_id % 29 = 0 OR event_id % 10 > 7 THEN 'CRITICAL' WHEN event_id % 10 > 4 THEN 'HIGH'
+             WHEN event_id % 10 > 2 THEN 'MEDIUM' ELSE 'SAFE' END AS tier,
+        CASE WHEN event_id % 10 > 5 THEN 'bot' WHEN event_id % 10 > 2 THEN 'warn' ELSE 'human' END AS band
+        FROM access_log WHERE ip IS NOT NULL""",
+    "sql_over_limit": _B + """SELECT ip AS client, CAST(floor(timestamp / 60) * 60 AS BIGINT) AS minute,
+        count(*) AS requests FROM bot_events GROUP BY 1, 2 HAVING count(*) > 30""",
+    "sql_recent": _B + """SELECT event_id, ip, timestamp, path, risk_score, coalesce(is_bot, 0) AS is_bot, cidr_block
+        FROM bot_events WHERE event_id < 700 ORDER BY event_id DESC LIMIT 40""",
     "events_since": _B + """SELECT event_id, ip, timestamp, path, risk_score, is_bot
         FROM bot_events WHERE event_id > 500""",
     "score_requests": _scored("requests", "cip", FWD) + f"""SELECT event_id, ip, risk AS risk_score,
@@ -589,6 +621,10 @@ ORACLE: dict[str, str] = {
         coalesce(req_count, 0) AS req_count, coalesce(session_count, 0) AS session_count, last_seen,
         known AS ua_is_known_bot, web AS ua_is_browser, 1 AS valid, 1 AS by_threshold FROM verdicts""",
 }
+ORACLE.update({mine: ORACLE[same] for mine, same in {
+    "sql_top_paths": "top_paths", "sql_subnets": "cidr_activity", "sql_flagged": "top_flagged_ips",
+    "sql_timeseries": "events_timeseries", "sql_throughput": "throughput_5m",
+    "sql_risk_bins": "risk_histogram"}.items()})
 ORACLE["batch_score_model"] = ORACLE["explain_verdicts"].replace(
     f"SELECT ip, {_RISK} AS risk_score,", "SELECT ip, 1 AS valid, is_robot AS is_bot,")
 

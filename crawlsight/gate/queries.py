@@ -6,19 +6,23 @@ here, for comparison only; the library returns them untouched.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import network
-from ..plans import jobs
+from ..plans import jobs, sql_functions
 from ..operators import (allowlist as allow, evaluation, features as feat, profiles, rollups,
                          scoring, sessions, training, validation)
 from ..schemas import MODEL_FEATURES
 from ..session import prepare, scratch_dir, written
 from ..sources import (event_log, features as feature_table, groundtruth, logs, metrics,
                        profiles as profile_store, sample_log as sample)
+from ..sources.daily_sketches import DailySketches
+from ..sources.event_pages import EventPages
 from ..sources.intake import Intake
 from ..sources.versioned_profiles import VersionedProfiles
 from ..streaming import alerts, cells, checks, features as live_features, monitors, run
@@ -360,6 +364,110 @@ def events_since(spark, sf):
     return feed.select("event_id", "ip", "timestamp", "path", "risk_score", "is_bot")
 
 
+def paged_log(spark, sf) -> EventPages:
+    """The event log in two batches that overlap, one of them stored twice."""
+    pages = EventPages(spark, scratch_dir(spark, "event-pages"), rows_per_file=100)
+    scored = sample.scored_requests(sample.read_events(spark, sf)).withColumn("timestamp", F.col("epoch_s").cast("double"))
+    pages.append(scored.filter("is_bot = 1"), 0)
+    for _ in range(2):
+        pages.append(scored.filter("is_bot is null or is_bot = 0"), 1)
+    return pages
+
+
+@query
+def events_page(spark, sf):
+    """The third page of humans before an id in the middle of the log, each page asked for by the last id of the one before."""
+    pages = paged_log(spark, sf)
+    before = pages.files().agg(F.max("max_id")).scalar()
+    before = spark.range(1).select(F.floor(before / 2)).first()[0]
+    for _ in range(2):
+        before = pages.page(before, 30, "humans").agg(F.min("event_id")).first()[0]
+    return pages.page(before, 30, "humans")
+
+
+@query
+def events_page_compacted(spark, sf):
+    """The newest page of robots after the batches were clustered together, a third one being the newest."""
+    pages = paged_log(spark, sf)
+    pages.append(sample.scored_requests(sample.read_events(spark, sf)).filter("event_id < 0"), 2)
+    pages.compact()
+    return pages.page(limit=25, show="bots")
+
+
+def sketched(spark, sf) -> DailySketches:
+    """Sketches of the event log in two batches, put together, with a third one after."""
+    store = DailySketches(spark, scratch_dir(spark, "daily-sketches"))
+    events = events_of(spark, sf, "raw_ts")
+    for batch in range(3):
+        store.add(events.filter(F.pmod("event_id", F.lit(3)) == batch), batch)
+    store.compact()
+    store.add(events.filter("event_id % 3 = 0"), 0)  # taken in already
+    return store
+
+
+def _middle_days(spark, sf):
+    """All days of the log but the first and the last."""
+    first, last = events_of(spark, sf, "raw_ts").select(
+        F.to_date(F.timestamp_seconds(F.min("timestamp"))), F.to_date(F.timestamp_seconds(F.max("timestamp")))).first()
+    return first + timedelta(days=1), last - timedelta(days=1)
+
+
+@query
+def summary_by_range(spark, sf):
+    """Totals from sketch rows alone; distinct counts are compared with exact ones here."""
+    first, last = _middle_days(spark, sf)
+    day = F.to_date(F.timestamp_seconds("timestamp"))
+    exact = rollups.events_summary(events_of(spark, sf, "raw_ts").filter(day.between(F.lit(first), F.lit(last))))
+    near = lambda c: F.abs(F.col(f"s.{c}") - F.col(f"e.{c}")) <= F.col(f"e.{c}") * 0.05
+    # one row on either side; three standard errors of the sketch
+    return (sketched(spark, sf).summary(first, last).alias("s")
+            .join(exact.alias("e"), F.col("s.total_events") == F.col("e.total_events"))
+            .select("s.total_events", "s.bot_events", "s.human_events", "s.bot_ratio", "s.last_event_at",
+                    "e.unique_ips", "e.unique_paths", (near("unique_ips") & near("unique_paths")).alias("sketches_near")))
+
+
+@query
+def top_paths_by_range(spark, sf):
+    return sketched(spark, sf).top_paths(*_middle_days(spark, sf))
+
+
+def reports_of(spark, sf) -> None:
+    events_of(spark, sf).createOrReplaceTempView("bot_events")
+    sql_functions.register(spark)
+
+
+@query
+def sql_expressions(spark, sf):
+    """Every SQL expression, per request."""
+    log_of(spark, sf).createOrReplaceTempView("sql_requests")
+    sql_functions.register(spark)
+    return spark.sql("""SELECT event_id, is_known_bot(useragent) AS known, is_browser(useragent) AS web,
+        char_entropy(useragent) AS entropy, client_subnet(ip) AS subnet, rate_limit_key(ip) AS rate_key,
+        client_session(ip, epoch_s) AS session_id, time_bucket(epoch_s, 600) AS bucket,
+        share_of(event_id % 7, event_id % 11) AS share,
+        heuristic_risk(CAST(is_known_bot(useragent) AS INT), NULL) AS risk,
+        threat_tier((event_id % 10) / 10D, event_id % 29 = 0) AS tier, subnet_band((event_id % 10) / 10D) AS band
+        FROM sql_requests WHERE ip IS NOT NULL""")
+
+
+def _report(name: str, call: str) -> None:
+    def run(spark, sf):
+        reports_of(spark, sf)
+        return spark.sql(f"SELECT * FROM {call}")
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _call in [
+    ("sql_top_paths", "report_top_paths(20)"), ("sql_subnets", "report_subnets()"),
+    ("sql_flagged", "report_flagged(20)"), ("sql_recent", "report_recent(40, before_id => 700)"),
+    ("sql_timeseries", "report_timeseries(300)"), ("sql_throughput", "report_throughput(seconds => 300)"),
+    ("sql_risk_bins", "report_risk_bins(20)"), ("sql_over_limit", f"report_over_limit({IP_LIMIT})"),
+]:
+    _report(_name, _call)
+
+
 # -- scoring ------------------------------------------------------------------
 
 @query
