@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -20,6 +23,7 @@ NON_FEATURES = ("ip", "first_seen", "last_seen", "date", "is_robot")
 TREES = 200
 BOOSTING_ROUNDS = 200
 LEARNING_RATE = 0.05
+AT_ONCE = 5   # fits that share the cluster; one alone leaves cores idle between its many short jobs
 
 
 def feature_columns(df: DataFrame, exclude=NON_FEATURES) -> list[str]:
@@ -89,18 +93,41 @@ def probabilities(model: PipelineModel, matrix: DataFrame, features: list[str],
     return model.transform(inputs).select(*kept, vector_to_array("probability")[1].alias("score"))
 
 
+def _at_once(spark: SparkSession, jobs: list[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """What the jobs return, in their order; AT_ONCE of them run side by side, each in a scheduler pool of its own."""
+    def run(numbered: tuple[int, Callable[[], DataFrame]]) -> DataFrame:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % AT_ONCE}")
+        return numbered[1]()
+
+    with ThreadPoolExecutor(AT_ONCE) as threads:
+        return list(threads.map(inheritable_thread_target(spark)(run), enumerate(jobs)))
+
+
+def _fold_jobs(pipeline: Pipeline, folded: DataFrame, present: list[int], features: list[str],
+               key: str) -> list[Callable[[], DataFrame]]:
+    """One fit per fold, which scores the rows it has not seen."""
+    def job(k: int) -> Callable[[], DataFrame]:
+        return lambda: probabilities(fit(pipeline.copy(), folded.filter(F.col("fold") != k), features),
+                                     folded.filter(F.col("fold") == k), features, key)
+
+    return [job(k) for k in present]
+
+
+def _folded(matrix: DataFrame, key: str, folds: int, seed: int) -> tuple[DataFrame, list[int]]:
+    """The matrix with its folds, written once for all fits, and which folds there are."""
+    folded = written(assign_folds(matrix, key, "label", folds, seed), "folds")
+    return folded, sorted(r.fold for r in folded.select("fold").distinct().collect())  # at most `folds`
+
+
 def out_of_fold(pipeline: Pipeline, matrix: DataFrame, features: list[str], key: str = "ip",
                 folds: int = 5, seed: int = SEED) -> DataFrame:
     """Probability of every row from the model that did not see its fold.
 
-    One fit per fold, each distributed; the folded matrix is written once for the fits.
+    One fit per fold, each distributed, all over one stored matrix and side by side.
     """
-    folded = written(assign_folds(matrix, key, "label", folds, seed), "folds")
-    present = [r.fold for r in folded.select("fold").distinct().collect()]  # at most `folds`
-    parts = [probabilities(fit(pipeline, folded.filter(F.col("fold") != k), features),
-                           folded.filter(F.col("fold") == k), features, key)
-             for k in sorted(present)]
-    return reduce(DataFrame.unionByName, parts)
+    folded, present = _folded(matrix, key, folds, seed)
+    return reduce(DataFrame.unionByName,
+                  _at_once(matrix.sparkSession, _fold_jobs(pipeline, folded, present, features, key)))
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -114,9 +141,10 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
 
 def compare(matrix: DataFrame, features: list[str], candidates: dict[str, Pipeline],
             key: str = "ip", folds: int = 5) -> DataFrame:
-    """Cross-validated evaluation of every candidate, one row each."""
-    scores = reduce(DataFrame.unionByName, [
-        out_of_fold(p, matrix, features, key, folds).withColumn("model", F.lit(name))
-        for name, p in candidates.items()])
-    return evaluate(written(scores, "scores"))
-
+    """Cross-validated evaluation of every candidate, one row each; all share their folds and are fitted side by side."""
+    folded, present = _folded(matrix, key, folds, SEED)
+    jobs = {name: _fold_jobs(p, folded, present, features, key) for name, p in candidates.items()}
+    parts = _at_once(matrix.sparkSession, [job for fits in jobs.values() for job in fits])
+    names = [name for name, fits in jobs.items() for _ in fits]
+    scores = [part.withColumn("model", F.lit(name)) for name, part in zip(names, parts)]
+    return evaluate(written(reduce(DataFrame.unionByName, scores), "scores"))

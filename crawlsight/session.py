@@ -28,6 +28,8 @@ RUNTIME_SETTINGS = {
 STARTUP_SETTINGS = {
     # no Python stack trace per column expression
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # model fits that run side by side share the executors evenly
+    "spark.scheduler.mode": "FAIR",
 }
 
 def build_session(app_name: str = "crawlsight", master: str | None = None, **settings) -> SparkSession:
