@@ -5,9 +5,10 @@ and tabs into words; all counts are per language. Documents are dealt into SHARD
 Each shard is mined completely at the support that is its share of the language's words: level by
 level, a phrase of k words is counted only where both its parts of k - 1 words are frequent in the
 shard. Such parts are known to the tasks by a bit table of fixed size, whose false positives add
-candidates and lose none; hashes that collide do the same. Mining is a shuffle of counted keys, so a
+candidates and lose none; hashes that collide do the same. A first pass stores the words as hashes, a row per
+shard and half a million words; the levels read these and no text. Mining is a shuffle of counted keys, so a
 shard is not bounded by a task's memory. A phrase with MIN_COUNT occurrences overall has its share of
-them in some shard, so the union of the shards' phrases holds all of them. A last pass counts every phrase
+them in some shard, so the union of the shards' phrases holds all of them. A last pass counts every word and phrase
 of the union by its text, over all documents, exactly.
 
 Defined results: a null text has no words, a null language is `und`. Texts of repeated rows count
@@ -18,8 +19,9 @@ share a shard. An empty table gives no rows. Columns beside id, text and languag
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count as numbered
 
 import numpy as np
@@ -36,7 +38,8 @@ BITS = 26             # the bit table has 2^26 bits, 8 MB, whatever the corpus
 BLOCK_BITS = 20       # of one group that packs its part
 WORDS = 1 << 19       # words of a task's chunk
 PIECE = 1 << 20       # bytes of a piece that are split at once
-HELD = 300_000        # distinct words a task holds before it passes their counts on
+
+_SHARD_COLUMNS = ["lang", "shard", "grp", "n", "hashes", "lengths", "carried"]
 
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" ")
 
@@ -56,34 +59,15 @@ def pieces(text: bytes) -> Iterator[tuple[list[bytes], int]]:
             carried, start = words[1 - LONGEST:], end
 
 
-class Chunk:
-    """Words of many documents as numbers, and for every place what phrases may begin there."""
-
-    def __init__(self):
-        self.numbers: dict[bytes, int] = defaultdict(numbered().__next__)
-        self.ids: list[int] = []
-        self.lengths: list[int] = []
-        self.carried: list[int] = []
-        self.owner: list[int] = []
+class Places:
+    """Hashes of the words of many pieces, and for every place what phrases may begin there."""
 
-    def add(self, words: list[bytes], carried: int, owner: int) -> None:
-        self.ids.extend(map(self.numbers.__getitem__, words))
-        self.lengths.append(len(words))
-        self.carried.append(carried)
-        self.owner.append(owner)
-
-    def close(self) -> None:
-        self.words = list(self.numbers)
-        self.ids = np.array(self.ids, np.int64)
-        lengths = np.array(self.lengths)
-        ends = np.cumsum(lengths)
-        at = np.arange(len(self.ids))
+    def _lay(self, hashes: np.ndarray, lengths: np.ndarray, carried: np.ndarray) -> None:
+        ends, at = np.cumsum(lengths), np.arange(len(hashes))
         self.left = (np.repeat(ends, lengths) - at).astype(np.int32)
         # places up to the first new word
-        self.new = (np.repeat(ends - lengths + np.array(self.carried), lengths) - at).astype(np.int32)
-        self.owners = np.repeat(np.array(self.owner, np.int32), lengths)
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
-        self._hashes = [hashes[self.ids]]
+        self.new = (np.repeat(ends - lengths + carried, lengths) - at).astype(np.int32)
+        self._hashes = [hashes]
 
     def hashes(self, k: int) -> np.ndarray:
         """A hash of the k words from each place on."""
@@ -97,9 +81,11 @@ class Chunk:
         out[:len(values) - by] = values[by:]
         return out
 
-    def grown(self, k: int, seeds: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def grown(self, k: int, seed: np.uint64, table: np.ndarray | None) -> np.ndarray:
         """Places where a phrase of k words begins whose both parts are in the bit table, not counted before."""
-        part = in_table(table, self.hashes(k - 1) ^ seeds)
+        if k == 1:
+            return np.flatnonzero(self._whole(1))
+        part = in_table(table, self.hashes(k - 1) ^ seed)
         return np.flatnonzero(part & self._ahead(part, 1) & self._whole(k))
 
     def _whole(self, k: int) -> np.ndarray:
@@ -109,6 +95,40 @@ class Chunk:
         """Places where a phrase of k words in the bit table begins."""
         return np.flatnonzero(self._whole(k) & in_table(table, self.hashes(k) ^ seeds))
 
+
+class Stored(Places):
+    """Places of one stored row of a shard."""
+
+    def __init__(self, hashes: pa.Scalar, lengths: pa.Scalar, carried: pa.Scalar):
+        self._lay(np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(lengths.as_buffer(), np.int32),
+                  np.frombuffer(carried.as_buffer(), np.int32))
+
+
+class Chunk(Places):
+    """Places of many documents, with their words as numbers."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = defaultdict(numbered().__next__)
+        self.ids: list[int] = []
+        self.lengths: list[int] = []
+        self.carried: list[int] = []
+        self.owner: list[int] = []
+
+    def add(self, words: list[bytes], carried: int, owner: int) -> None:
+        self.ids.extend(map(self.numbers.__getitem__, words))
+        self.lengths.append(len(words))
+        self.carried.append(carried)
+        self.owner.append(owner)
+
+    def close(self) -> None:
+        self.words = list(self.numbers)
+        self.ids = np.array(self.ids, np.int64)
+        self.lengths, self.carried = np.array(self.lengths, np.int32), np.array(self.carried, np.int32)
+        self.owner = np.array(self.owner, np.int32)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
+        self._lay(hashes[self.ids], self.lengths, self.carried)
+        self.owners = np.repeat(self.owner, self.lengths)
+
     def exact(self, k: int, places: np.ndarray) -> np.ndarray:
         """One number per different phrase of k words among the places, without hashing."""
         code = self.ids[places]
@@ -177,61 +197,58 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, list[tup
         yield chunk, owners
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, shard, word binary, n) over all texts."""
+def _shard_rows(texts: DataFrame) -> DataFrame:
+    """The words of all texts as hashes: rows of one shard of one language, each of at most about WORDS words.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, Counter] = {}
+    `n` is without words of a block before. Texts are split into words here and in the last pass only.
+    """
 
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, shard), counted in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counted), pa.string()), pa.array([shard] * len(counted), pa.int32()),
-                     pa.array(counted.keys(), pa.binary()), pa.array(counted.values(), pa.int64())],
-                    ["lang", "shard", "word", "n"])
-            held.clear()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, owners in _chunks(batches):
+            numbers = {key: i for i, key in enumerate(dict.fromkeys(owners))}
+            of_piece = np.array([numbers[o] for o in owners])[chunk.owner]
+            of_word = np.repeat(of_piece, chunk.lengths)
+            rows = []
+            for (lang, shard, grp), i in numbers.items():
+                lengths, carried = chunk.lengths[of_piece == i], chunk.carried[of_piece == i]
+                if len(lengths):
+                    rows.append((lang, shard, grp, int(lengths.sum() - carried.sum()), chunk.hashes(1)[of_word == i].tobytes(),
+                                 lengths.tobytes(), carried.tobytes()))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            for row in rows:  # one row a batch, so that a batch is small
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], _SHARD_COLUMNS)
+
+    return texts.select("lang", "shard", "grp", "text").mapInArrow(
+        split, "lang string, shard int, grp long, n long, hashes binary, lengths binary, carried binary")
+
+
+def _level_keys(rows: DataFrame, k: int, table=None) -> DataFrame:
+    """(grp, key, n): phrases of k words whose parts are frequent in their shard; every word for k = 1."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value if table else None
         for batch in batches:
-            for lang, shard, text in zip(*batch.columns):
-                counted = held.setdefault((lang.as_py(), shard.as_py()), Counter())
-                for words, carried in pieces(text.as_py()):
-                    counted.update(words[carried:])
-                if sum(map(len, held.values())) > HELD:
-                    yield from passed_on()
-        yield from passed_on()
-
-    return (texts.select("lang", "shard", "text").mapInArrow(count, "lang string, shard int, word binary, n long")
-            .groupBy("lang", "shard", "word").agg(F.sum("n").alias("n")))
-
-
-def _level_keys(texts: DataFrame, k: int, table) -> DataFrame:
-    """(grp, key, n): phrases of k words whose parts are frequent in their shard."""
+            for grp, *stored in zip(*batch.columns):
+                seed, places = np.array([grp.as_py()], np.int64).view(np.uint64), Stored(*stored)
+                # a key holds its group's seed; where two groups met in one key, one takes both counts
+                keys, n = np.unique(places.hashes(k)[places.grown(k, seed, bits)] ^ seed, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), grp.as_py())), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
+                    ["grp", "key", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, owners in _chunks(batches):
-            groups = np.array([g for g, in owners], np.int64)
-            of_place = groups[chunk.owners]
-            places = chunk.grown(k, of_place.view(np.uint64), table.value)
-            keys = chunk.hashes(k)[places] ^ of_place[places].view(np.uint64)
-            # a key holds its group's seed; where two groups met in one key, the first takes both counts
-            keys, first, n = np.unique(keys, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(of_place[places][first]), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())],
-                ["grp", "key", "n"])
-
-    return (texts.select("grp", "text").mapInArrow(count, "grp long, key long, n long")
+    return (rows.select("grp", "hashes", "lengths", "carried").mapInArrow(count, "grp long, key long, n long")
             .groupBy("key").agg(F.min("grp").alias("grp"), F.sum("n").alias("n")))
 
 
 def _phrase_counts(texts: DataFrame, table) -> DataFrame:
-    """(lang, phrase, words, n) of every phrase in the bit table, counted by its text."""
+    """(lang, phrase, words, n) of every word and phrase in the bit table, counted by its text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, owners in _chunks(batches):
             seeds = np.array([s for _, s in owners], np.int64)[chunk.owners].view(np.uint64)
             langs = {lang: i for i, lang in enumerate(dict.fromkeys(o[0] for o in owners))}
             names, lang_of = list(langs), np.array([langs[o[0]] for o in owners])[chunk.owners]
-            for k in range(2, LONGEST + 1):
+            for k in range(1, LONGEST + 1):
                 places = chunk.members(k, seeds, table.value)
                 _, first, n = np.unique(chunk.exact(k, places) * len(names) + lang_of[places],
                                         return_index=True, return_counts=True)
@@ -259,50 +276,29 @@ def counts(docs: DataFrame, keep, id_col: str, text_col: str, lang_col: str) ->
     texts = docs.select(lang.alias("lang"), shard.alias("shard"), _seed(lang, shard).alias("grp"),
                         _seed(lang).alias("lang_seed"), text_bytes(text_col).alias("text"))
 
-    by_shard = keep(_word_counts(texts), "shard-words")
-    totals = by_shard.groupBy("lang").agg(F.sum("n").alias("n"))
-    shares = (by_shard.groupBy("lang", "shard").agg(F.sum("n").alias("shard_n")).join(totals, "lang")
-              .select("lang", "shard", _seed(F.col("lang"), F.col("shard")).alias("grp"), _seed(F.col("lang")).alias("lang_seed"),
-                      F.expr(f"({MIN_COUNT} * shard_n + n - 1) div n").alias("support")))
+    rows = keep(_shard_rows(texts), "shard-words")
+    by_shard = rows.groupBy("lang", "shard", "grp").agg(F.sum("n").alias("shard_n"))
+    totals = by_shard.groupBy("lang").agg(F.sum("shard_n").alias("n"))
+    shares = (by_shard.join(totals, "lang")
+              .select("grp", _seed(F.col("lang")).alias("lang_seed"), F.expr(f"({MIN_COUNT} * shard_n + n - 1) div n").alias("support")))
     # two groups of one seed have the lower support: more candidates, none lost
-    shares = keep(shares.groupBy("grp").agg(F.min("support").alias("support"), F.min("lang_seed").alias("lang_seed"),
-                                            F.min(F.struct("lang", "shard")).alias("of")), "shard-shares")
-    support = sent(shares.select("grp", "support", "lang_seed"), shares.count())
-
-    frequent = _keyed_words(by_shard).join(support, "grp").filter("n >= support").select("key")
-    union = []
-    for k in range(2, LONGEST + 1):
-        table = sc.broadcast(bit_table(frequent))
-        level = keep(_level_keys(texts, k, table).join(support, "grp").filter("n >= support")
+    shares = keep(shares.groupBy("grp").agg(F.min("support").alias("support"), F.min("lang_seed").alias("lang_seed")), "shard-shares")
+    support = sent(shares, shares.count())
+
+    union, table = [], None
+    for k in range(1, LONGEST + 1):
+        level = keep(_level_keys(rows, k, table).join(support, "grp").filter("n >= support")
                      .select("key", F.col("key").bitwiseXOR(F.col("grp")).bitwiseXOR(F.col("lang_seed")).alias("lang_key")),
                      f"shard-phrases-{k}")
-        table.destroy()
-        frequent = level.select("key")
+        if table:
+            table.destroy()
+        table = sc.broadcast(bit_table(level.select("key"))) if k < LONGEST else None
         union.append(level.select(F.col("lang_key").alias("key")))
-    candidates = union[0]
-    for more in union[1:]:
-        candidates = candidates.unionByName(more)
-    table = sc.broadcast(bit_table(candidates))
-    phrases = keep(_phrase_counts(texts, table).filter(F.col("n") >= MIN_COUNT), "phrases")
+    table = sc.broadcast(bit_table(reduce(DataFrame.unionByName, union)))
+    phrases = keep(_phrase_counts(texts, table).filter(F.col("n") >= MIN_COUNT)
+                   .select("lang", F.col("phrase").cast("string").alias("phrase"), "words", F.col("n").alias("f")), "frequent")
     table.destroy()
-    words = by_shard.groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    return (keep(phrases.unionByName(words.withColumn("words", F.lit(1)))
-                 .select("lang", F.col("phrase").cast("string").alias("phrase"), "words", F.col("n").alias("f")), "frequent"),
-            totals)
-
-
-def _keyed_words(by_shard: DataFrame) -> DataFrame:
-    """(grp, key, n) with the tasks' own hash of each word."""
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp = batch.column(0).to_numpy()
-            hashes = np.array([xxhash.xxh3_64_intdigest(w.as_py()) for w in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array((hashes ^ grp.view(np.uint64)).view(np.int64)), batch.column(2)], ["grp", "key", "n"])
-
-    return by_shard.select(_seed(F.col("lang"), F.col("shard")).alias("grp"), "word", "n").mapInArrow(
-        key, "grp long, key long, n long")
+    return phrases, totals
 
 
 def _part(words: str, start: Column, length: Column) -> Column:
