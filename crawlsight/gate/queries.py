@@ -826,7 +826,7 @@ def profiles_at_version(spark, sf):
 @query
 def stream_features_tiered(spark, sf):
     folder = scratch_dir(spark, "tiered-features")
-    log_of(spark, sf).hint("rebalance").write.option("maxRecordsPerFile", 500).parquet(folder + "/log")
+    log_of(spark, sf).repartition(20).write.parquet(folder + "/log")  # ten micro-batches, however long the log
     stream = (spark.readStream.schema(log_of(spark, sf).schema)
               .option("maxFilesPerTrigger", 2).parquet(folder + "/log"))
     store = cells.FeatureCells(spark, folder + "/cells", fanout=3)

@@ -2,9 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from crawlsight.gate import queries
 from crawlsight.operators import allowlist, features
 from crawlsight.sources import event_log, profiles as store
-from crawlsight.streaming import alerts, checks, features as live, monitors, run
+from crawlsight.streaming import alerts, cells, checks, features as live, monitors, run
 
 from test_sessions_features import SCHEMA, check_features, random_log
 
@@ -83,3 +84,12 @@ def test_batch_and_stream_features_share_their_partials(spark):
     log = random_log(12)
     df = spark.createDataFrame(log, SCHEMA)
     assert features.partials(df).seconds.agg(F.sum("requests")).first()[0] == sum(1 for r in log if r[1])
+
+
+def test_tiered_query_streams_a_long_log_in_as_many_batches_as_a_short_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(cells.FeatureCells, "add", lambda self, batch, batch_id: seen.append(batch_id))
+    monkeypatch.setattr(cells.FeatureCells, "features", lambda self: self.spark.range(0))
+    for sf in ("0.001", "0.01"):
+        queries.QUERIES["stream_features_tiered"](spark, f"/root/testdata/sf{sf}")
+    assert seen == 2 * list(range(10))
