@@ -365,9 +365,10 @@ def events_since(spark, sf):
 
 
 def paged_log(spark, sf) -> EventPages:
-    """The event log in two batches that overlap, one of them stored twice."""
-    pages = EventPages(spark, scratch_dir(spark, "event-pages"), rows_per_file=100)
-    scored = sample.scored_requests(sample.read_events(spark, sf)).withColumn("timestamp", F.col("epoch_s").cast("double"))
+    """The event log in two batches that overlap, one of them stored twice; a file holds a hundredth of it."""
+    events = sample.read_events(spark, sf)
+    pages = EventPages(spark, scratch_dir(spark, "event-pages"), rows_per_file=max(events.count() // 100, 1))
+    scored = sample.scored_requests(events).withColumn("timestamp", F.col("epoch_s").cast("double"))
     pages.append(scored.filter("is_bot = 1"), 0)
     for _ in range(2):
         pages.append(scored.filter("is_bot is null or is_bot = 0"), 1)

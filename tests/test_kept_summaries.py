@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlsight.functions import network, useragent, verdicts
+from crawlsight.gate import queries
 from crawlsight.operators import rollups
 from crawlsight.plans import sql_functions
 from crawlsight.sources.daily_sketches import DailySketches
@@ -127,3 +128,8 @@ def test_expressions_equal_the_column_expressions(sql):
         network.session_bucket_id(ip, F.lit(5400.0)), verdicts.heuristic_risk(F.col("part"), F.lit(0.6)),
         rollups.bot_share(F.col("part"), F.col("whole"))).collect()
     assert [tuple(r) for r in mine] == [tuple(r) for r in theirs]
+
+
+def test_queried_pages_keep_as_many_files_of_a_long_log_as_of_a_short_one(spark):
+    counts = [queries.paged_log(spark, f"/root/testdata/sf{sf}").files().count() for sf in ("0.001", "0.01")]
+    assert counts[0] >= 90 and counts[1] < 1.5 * counts[0]
