@@ -280,13 +280,18 @@ def sliding_rate(events: DataFrame, window: str = "1 hour", step: str = "5 minut
                  ) -> DataFrame:
     """Requests per client in overlapping windows.
 
-    Counted per client and step first, so the overlap multiplies counters, not events.
+    Counted per client and step first. A window belongs to the first step with requests in it, which
+    adds up the client's next steps, so that windows are neither shuffled nor held in a hash table.
     """
     ts = clock.as_instant(F.col("timestamp"))
     steps = (events.filter(F.col("ip").isNotNull())
-             .groupBy("ip", F.window(ts, step).alias("step"))
-             .agg(F.count(F.lit(1)).alias("n"))
-             .select("ip", "n", F.col("step.start").alias("at")))
-    return (steps.groupBy("ip", F.window("at", window, step).alias("w"))
-            .agg(F.sum("n").alias("requests"))
-            .select("ip", F.col("w.start").alias("window_start"), "requests"))
+             .select("ip", F.window(ts, step)["start"].alias("at"))
+             .groupBy("ip", "at").agg(F.count(F.lit(1)).alias("n")))
+    ahead = steps.selectExpr(
+        "ip", "at", "lag(at) OVER (PARTITION BY ip ORDER BY at) AS before",
+        "collect_list(struct(at, n)) OVER (PARTITION BY ip ORDER BY at "
+        f"RANGE BETWEEN CURRENT ROW AND INTERVAL {window} FOLLOWING) AS next")
+    starts = f"greatest(before, at - INTERVAL {window}) + INTERVAL {step}"
+    return (ahead.selectExpr("ip", "next", f"explode(sequence({starts}, at, INTERVAL {step})) AS window_start")
+            .selectExpr("ip", "window_start", f"""aggregate(
+                filter(next, s -> s.at < window_start + INTERVAL {window}), 0L, (sum, s) -> sum + s.n) AS requests"""))

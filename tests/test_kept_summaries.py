@@ -1,5 +1,6 @@
 """Event pages, daily sketches and the SQL functions over a made event log."""
 
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -133,3 +134,12 @@ def test_expressions_equal_the_column_expressions(sql):
 def test_queried_pages_keep_as_many_files_of_a_long_log_as_of_a_short_one(spark):
     counts = [queries.paged_log(spark, f"/root/testdata/sf{sf}").files().count() for sf in ("0.001", "0.01")]
     assert counts[0] >= 90 and counts[1] < 1.5 * counts[0]
+
+
+def test_sliding_rate_without_a_hash_table_of_windows(spark):
+    at = [("a", t) for t in (0, 10, 299, 300, 3299, 3300, 3599, 3600, 7300, 90000)] + [("b", 3300), ("b", 6900), (None, 5)]
+    rates = rollups.sliding_rate(spark.createDataFrame([(ip, float(t)) for ip, t in at], "ip string, timestamp double"))
+    counted = Counter((ip, t // 300 * 300 - 300 * k) for ip, t in at if ip for k in range(12))
+    assert {(r.ip, r.s): r.requests for r in rates.withColumn("s", F.unix_seconds("window_start")).collect()} == counted
+    assert rates.count() == len(counted)
+    assert "Expand" not in rates._jdf.queryExecution().executedPlan().toString()
