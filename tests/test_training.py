@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from crawlsight.gate import queries
 from crawlsight.operators import training
 
 
@@ -21,3 +22,14 @@ def test_folds_fitted_at_once_equal_folds_in_turn(spark, monkeypatch):
     assert results[0] == results[1] and [r.model for r in results[0]] == ["boosting", "forest"]
     assert scores[0] == scores[1] and len(scores[0]) == 120
     assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_queried_scores_tell_whether_they_are_mostly_right(spark, monkeypatch):
+    rows = [(f"k{i}", i % 2, 0, float(i % 2)) for i in range(20)]
+    for wrong, expected in ((1, 1), (3, 0)):
+        scores = spark.createDataFrame([(k, y, f, 1 - s if i < wrong else s) for i, (k, y, f, s) in enumerate(rows)],
+                                       "ip string, label int, fold int, score double")
+        monkeypatch.setattr(queries, "matrix_of", lambda spark, sf: None)
+        monkeypatch.setattr(training, "out_of_fold", lambda *args: scores)
+        found = queries.QUERIES["oof_scores"](spark, "").collect()
+        assert len(found) == 20 and {(r.valid, r.mostly_right) for r in found} == {(1, expected)}
