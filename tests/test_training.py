@@ -33,3 +33,14 @@ def test_queried_scores_tell_whether_they_are_mostly_right(spark, monkeypatch):
         monkeypatch.setattr(training, "out_of_fold", lambda *args: scores)
         found = queries.QUERIES["oof_scores"](spark, "").collect()
         assert len(found) == 20 and {(r.valid, r.mostly_right) for r in found} == {(1, expected)}
+
+
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(spark):
+    i = F.col("id")
+    matrix = spark.range(300).select(i.alias("ip"), (i * 13 % 7 < 3).cast("int").alias("label"),
+                                     (i * 7 % 31).cast("double").alias("a"), (i % 23).cast("double").alias("b"))
+    kept, walked = (training.random_forest(["a", "b"], trees=4) for _ in range(2))
+    assert kept.getStages()[-1].getCacheNodeIds()
+    walked.getStages()[-1].setCacheNodeIds(False)
+    trees = [training.fit(p, matrix, ["a", "b"]).stages[-1].toDebugString.split("\n", 1)[1] for p in (kept, walked)]
+    assert trees[0] == trees[1] and "If" in trees[0]
