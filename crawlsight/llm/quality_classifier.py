@@ -11,7 +11,8 @@ All tokens have index vectors of their own, and all that are seen `LEAST` times
 whatever their share; a token seen once has no neighbours but those of its own text. Up to `SENT` of
 the most frequent ones are sent to the tasks; the contexts of all others are joined by shuffle and summed
 by text, for scores after the network's first layer, which is linear up to there. Which tokens to join a
-task reads from a bit table of fixed size; its false positives find no context and change nothing. The network is fitted on at
+task reads from a bit table of fixed size; its false positives find no context and change nothing. Texts are scored in
+`SLICES` by a hash of their id, one after the other. The network is fitted on at
 most `SAMPLE` labelled rows, those with the smallest hash of their id; counts and vectors are taken
 over all texts.
 
@@ -26,13 +27,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import count as numbered
+from functools import reduce
+from itertools import count as numbered, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -52,12 +55,25 @@ NONZERO = 8
 WINDOW = 2
 FEW = 3          # occurrences up to which a token's neighbours are sent as hashes, in fewer bytes than their sum
 LONGEST = 64     # bytes of a token that is sent to the tasks; longer ones go by shuffle, whatever their number
+SLICES = 3       # of the texts, scored one after the other so that only one slice's shuffles lie on disk
 HIDDEN = 32
 EPOCHS = 300
 
 tokens_of = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").findall
 
 
+def _stretches() -> np.ndarray:
+    """By byte, the two stretches of an index vector that its low and its high four bits stand for."""
+    width = DIMENSIONS // NONZERO
+    low_high = np.arange(256)[:, None] >> np.array([0, 4]) & 15
+    out = np.zeros((256, 2, width), np.int8)
+    out[np.arange(256)[:, None], np.arange(2), low_high % width] = low_high // width * 2 - 1
+    return out.reshape(256, 2 * width)
+
+
+_STRETCHES = _stretches()
+
+
 def index_vectors(names: list[bytes]) -> np.ndarray:
     """A row per name."""
     return index_of_hashes(np.array([zlib.crc32(n) for n in names], np.uint32))
@@ -70,10 +86,7 @@ def index_of_hashes(hashes: np.ndarray) -> np.ndarray:
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     h ^= h >> np.uint64(31)
-    bits = (h[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(4))).astype(np.int64) & 15
-    width = DIMENSIONS // NONZERO
-    vectors = np.zeros((len(h), DIMENSIONS), np.int8)
-    vectors[np.arange(len(h))[:, None], np.arange(NONZERO) * width + bits % width] = (bits // width) * 2 - 1
+    vectors = _STRETCHES[h.astype("<u4").view(np.uint8).reshape(-1, NONZERO // 2)].reshape(-1, DIMENSIONS)
     vectors[hashes == 0] = 0
     return vectors
 
@@ -107,8 +120,8 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
 _SUMS = "word binary, n long, context binary"
 
 
-def _sums_batch(words: list[bytes], n: np.ndarray, context: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n.astype(np.int64)),
+def _sums_batch(words: list[bytes] | pa.Array, n: np.ndarray, context: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), pa.array(n.astype(np.int64)),
                                        pa.array(context, pa.binary())], ["word", "n", "context"])
 
 
@@ -184,9 +197,9 @@ class _Held:
         starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
         added = _run_sums(_near(index_of_hashes(hashes), ids)[order], ids[order], starts)
         times = np.diff(np.append(starts, len(ids)))
-        keep = np.flatnonzero([bool(t) for t in names])
+        keep = np.arange(1, len(names))  # a row begins with the empty name
         to = np.full(len(names), -1)
-        to[keep] = [self.known[t] for t in names if t]
+        to[keep] = np.fromiter(map(self.known.__getitem__, names[1:]), np.int64, len(names) - 1)
         self._grow()
         many = keep[self.n[to[keep]] + times[keep] > FEW]
         self._placed(to[many[self.place[to[many]] < 0]])
@@ -243,8 +256,8 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            words = np.array([*table.column("word").to_pylist(), None], object)[:-1]
-            first = np.flatnonzero([True, *(words[1:] != words[:-1])])
+            words = table.column("word").combine_chunks()
+            first = np.flatnonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
             size = np.diff(np.append(first, len(words)))
             counts = np.add.reduceat(table.column("n").to_numpy(), first)
             raw = table.column("context").to_pylist()
@@ -258,7 +271,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
                                        np.cumsum(size[dense]) - size[dense], axis=0)
                 for g, c in zip(dense.tolist(), _packed(sums)):
                     context[g] = c
-            yield _sums_batch(words[first].tolist(), counts, context)
+            yield _sums_batch(words.take(pa.array(first)), counts, context)
 
     return (docs.select(text_bytes(text_col).alias("text")).mapInArrow(add, _SUMS)
             .repartition("word").sortWithinPartitions("word").mapInArrow(total, _SUMS))
@@ -351,37 +364,67 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
     matrix = np.eye(2 * DIMENSIONS) if matrix is None else matrix
     shared, space_bits, by_part = space.sent, space.rare_bits, spark.sparkContext.broadcast(matrix)
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    names, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
+    names_of, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
+
+    def rows_of(tokens: list[bytes], sizes: list[int], docs_of: list, labels_of: list, text_no: int) -> Iterator[pa.RecordBatch]:
+        """Rows of texts whose tokens lie one after the other."""
+        sent, vectors = shared.value.numbers, shared.value.vectors(by_part.value)
+        here: dict[bytes, int] = defaultdict(numbered().__next__)
+        ids = np.fromiter(map(here.__getitem__, tokens), np.int64, len(tokens))
+        names = list(here)
+        number = np.fromiter(map(sent.get, names, repeat(-1)), np.int64, len(names))
+        rest = np.flatnonzero(number < 0)
+        unsent = [names[i] for i in rest.tolist()]
+        joined = np.zeros(len(names), bool)
+        joined[rest] = in_table(space_bits.value, _key(unsent))
+        # a token that is neither sent nor joined is seen once: its index vector alone
+        bare = np.flatnonzero(~joined[rest])
+        place = np.where(number >= 0, number, 0)
+        place[rest[bare]] = np.arange(len(bare))
+        hashes = np.array([zlib.crc32(unsent[i]) for i in bare.tolist()], np.uint32)
+        pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(names) + ids, return_counts=True)
+        text, name = np.divmod(pairs, max(len(names), 1))
+        own = np.zeros((len(sizes), width))
+
+        def add(some: np.ndarray, values: Callable[[np.ndarray], np.ndarray]) -> None:
+            for at in range(0, len(some), 20_000):
+                part = some[at:at + 20_000]
+                starts = np.flatnonzero(np.diff(text[part], prepend=-1))
+                own[text[part[starts]]] += np.add.reduceat(values(place[name[part]]) * times[part, None], starts, axis=0)
+
+        seen = joined[name]
+        add(np.flatnonzero(number[name] >= 0), lambda at: vectors[at].astype(float))
+        add(np.flatnonzero((number[name] < 0) & ~seen),
+            lambda at: hashed_vectors(hashes[at], np.zeros(len(at)), [b""] * len(at), total) @ by_part.value)
+        # a text's own row goes under a key that no token has, so that these rows spread evenly
+        number_of = text_no + np.arange(len(sizes))
+        columns = [number_of, np.full(len(sizes), -1), [b" " + n.to_bytes(8, "little") for n in number_of.tolist()], sizes, docs_of,
+                   labels_of, [v.tobytes() for v in own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names_of)
+        text, name, times = text[seen], name[seen], times[seen]
+        for at in range(0, len(text), 20_000):
+            some = slice(at, at + 20_000)
+            words = pa.array([names[i] for i in name[some].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(text_no + text[some]), pa.array(name[some], pa.int32()), words, pa.array(times[some], pa.int32()),
+                 *(pa.nulls(len(words), t) for t in kinds[4:])], names_of)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors = shared.value.numbers, shared.value.vectors(by_part.value)
-        text_no, out = TaskContext.get().partitionId() << 40, []
+        text_no = TaskContext.get().partitionId() << 40
+        tokens, sizes, docs_of, labels_of = [], [], [], []
         for batch in batches:
             for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                tokens = tokens_of(text.as_py())
-                found = Counter(map(known.get, tokens))
-                local = Counter([t for t in tokens if t not in known]) if found.pop(None, 0) else {}
-                used, times = np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
-                own = times @ vectors[used].astype(float)
-                if local:
-                    joined = in_table(space_bits.value, _key(list(local)))
-                    bare = [t for t, j in zip(local, joined.tolist()) if not j]
-                    if bare:
-                        hashes = np.array([zlib.crc32(t) for t in bare], np.uint32)
-                        seen = np.array([local[t] for t in bare])
-                        own += seen @ hashed_vectors(hashes, np.zeros(len(bare)), [b""] * len(bare), total) @ by_part.value
-                        local = {t: local[t] for t, j in zip(local, joined.tolist()) if j}
-                # a text's own row goes under a key that no token has, so that these rows spread evenly
-                out.append((text_no, -1, b" " + text_no.to_bytes(8, "little"), len(tokens), doc, label,
-                            own.tobytes()))
-                out += [(text_no, k, t, c, None, None, None) for k, (t, c) in enumerate(local.items())]
-                text_no += 1
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                out = []
+                found = tokens_of(text.as_py())
+                tokens += found
+                sizes.append(len(found))
+                docs_of.append(doc)
+                labels_of.append(label)
+                if len(tokens) >= CHUNK or len(sizes) >= 20_000:
+                    yield from rows_of(tokens, sizes, docs_of, labels_of, text_no)
+                    text_no += len(sizes)
+                    tokens, sizes, docs_of, labels_of = [], [], [], []
+        if sizes:
+            yield from rows_of(tokens, sizes, docs_of, labels_of, text_no)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
@@ -406,7 +449,7 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
     # a token's index vector follows from its hash, so its bytes stay behind
     return (texts.select("doc_id", "label", "text").mapInArrow(split, _PARTS)
             .join(space.rare, "word", "left")
-            .select(*[c for c in names if c != "word"], F.crc32("word").alias("hash"), "n", "context")
+            .select(*[c for c in names_of if c != "word"], F.crc32("word").alias("hash"), "n", "context")
             .repartition("text_no").sortWithinPartitions("text_no", "local").mapInArrow(summed, _POOLED))
 
 
@@ -496,8 +539,13 @@ def score(docs: DataFrame, space: Space, network: Network, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))],
                                              ["doc_id", "score"])
 
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("label"),
                         text_bytes(text_col).alias("text"))
-    with freed_shuffles(docs.sparkSession):
-        return Scratch(docs.sparkSession).keep(
-            pooled(texts, space, first).mapInArrow(run, "doc_id long, score double"), "quality-scores")
+    scores = []
+    for k in range(SLICES):
+        with freed_shuffles(spark):
+            some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == k)
+            scores.append(Scratch(spark).keep(pooled(some, space, first).mapInArrow(run, "doc_id long, score double"),
+                                              "quality-scores"))
+    return reduce(DataFrame.unionAll, scores)

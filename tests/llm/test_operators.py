@@ -387,6 +387,30 @@ def test_rare_words_of_one_shape_tell_texts_apart(spark, monkeypatch):
     assert all((quality_classifier._unpacked([b])[0] == brute[w]).all() for w, (_, b) in table.items())
 
 
+def test_texts_are_scored_a_slice_at_a_time(spark, monkeypatch):
+    rng = random.Random(15)
+    long = " ".join(f"w{rng.randrange(30_000)}x" for _ in range(60_000))  # more tokens than are added up at a time
+    rows = [(i, " ".join(f"{rng.choice('ab')}{rng.randrange(400)}" for _ in range(30))) for i in range(300)] + [
+        (300, long), (301, long), (302, ""), (None, None)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    space = quality_classifier.build_space(texts)
+    draw = np.random.default_rng(3)
+    network = quality_classifier.train(draw.normal(0, 0.1, (200, 128)), draw.integers(0, 2, 200).astype(float), draw.random(200) < 0.2)
+    sizes, pooled = [], quality_classifier.pooled
+    monkeypatch.setattr(quality_classifier, "pooled", lambda some, *rest: (sizes.append(some.count()), pooled(some, *rest))[1])
+    out = {r.doc_id: r.score for r in quality_classifier.score(texts, space, network).collect()}
+    assert sum(sizes) == len(out) == texts.count() and max(sizes) < 0.5 * len(out)
+    monkeypatch.setattr(quality_classifier, "SLICES", 1)
+    assert {r.doc_id: r.score for r in quality_classifier.score(texts, space, network).collect()} == pytest.approx(out)
+    # the mean of token vectors, token by token
+    table = {bytes(r.word): (r.n, bytes(r.context)) for r in quality_classifier.context_sums(texts).collect() if r.n > 1}
+    for i, text in [*rows[:3], rows[300]]:
+        w = quality_classifier.tokens_of(text.encode())
+        n, context = zip(*(table.get(t, (0, b"")) for t in w))
+        mean = quality_classifier.token_vectors(w, np.array(n), list(context), space.total).mean(0)
+        assert out[i] == pytest.approx(float(network.probabilities(mean[None])[0]), abs=1e-4)
+
+
 def test_binary_output_round_trip(docs, none):
     encoder = tokens.WordEncoder(WORD)
     packed = binary_output.packed_matrices(docs, WORD, 49408, capacity=256)
