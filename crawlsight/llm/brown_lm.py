@@ -11,6 +11,9 @@ neighbours' classes are likeliest. A round's moves are kept if they raise the li
 bigrams over the whole corpus; the first round that does not ends the moves, `MOVES` rounds at most.
 Words seen less often stay with their ending.
 
+The training texts are split into words for the counts and once more into stored rows of codes, which first classes and
+rounds read.
+
 Tasks need a word's class at hand. Up to `SENT` of the most frequent words, `LONGEST` bytes long at
 most, are sent with their counts and classes. The class of any other word lies in a table of 2^`BITS`
 bytes, the same at every size of the corpus, under the word's hash: words of one place in it move
@@ -30,9 +33,10 @@ unknown word, zero. Columns beside id and text are not read. An empty table give
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as numbered
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,7 @@ BLOCK_BITS = 16       # of the part of the class table that one group packs
 LEAST = 2
 MOVES = 2
 CHUNK = 200_000       # words worked on at a time
-HELD = 1 << 21        # neighbour counts a task holds before it passes them on
+HELD = 1 << 21        # neighbours of frequent words a task holds before it adds them up; twice as many of others before they are passed on
 FREQUENT = 1 << 15    # codes whose neighbours a task counts in an array, without sorting
 ENDINGS = 256
 ROUNDS = 12
@@ -159,40 +163,69 @@ class BrownModel:
 NONE = 255  # of the class table: the word's ending decides
 
 
-def classes_of(codes: np.ndarray, words: list[bytes], group: np.ndarray, ending_group: np.ndarray) -> np.ndarray:
-    found = group[codes].astype(np.int64)
-    for i in np.flatnonzero(found == NONE).tolist():
-        found[i] = ending_group[ending(words[i])]
-    return found
+def classes_of(codes: np.ndarray, endings: np.ndarray, base: int, group: np.ndarray, ending_group: np.ndarray) -> np.ndarray:
+    """Class of every code; `endings` has those of the words that were not sent, in order."""
+    found = group[codes]
+    unsent = np.flatnonzero(codes >= base)
+    by_ending = found[unsent] == NONE
+    found[unsent[by_ending]] = ending_group[endings[by_ending]]
+    return found.astype(np.int64)
+
+
+def coded(words: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words, and the endings of those that were not sent."""
+    row = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+    endings = [ending(words[i]) for i in np.flatnonzero(row >= codes.base).tolist()]
+    return row, np.array(endings, np.int64)
+
+
+def _coded_texts(docs: DataFrame, codes, text_col: str) -> DataFrame:
+    """The texts as codes, an end before each and after the last, in rows of CHUNK words that begin with the last
+    word of the row before; and the endings of the words that were not sent."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = [b""]
+
+        def rows(least: int) -> Iterator[pa.RecordBatch]:
+            while len(row) > least:
+                found, endings = coded(row[:CHUNK], codes.value)
+                del row[:min(CHUNK, len(row)) - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([found.astype("<u4").tobytes()], pa.binary()),
+                                                  pa.array([endings.astype(np.uint8).tobytes()], pa.binary())], ["codes", "endings"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                row += words_of(text.as_py())
+                row.append(b"")
+                yield from rows(CHUNK)
+        yield from rows(1)
 
-def _rows(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Words and codes of about CHUNK words, whole texts, an end before each text and after the last."""
-    row = [b""]
+    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, "codes binary, endings binary")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes and endings of each row of `_coded_texts`."""
     for batch in batches:
-        for text in batch.column(0):
-            row += words_of(text.as_py())
-            row.append(b"")
-            if len(row) >= CHUNK:
-                yield row, np.fromiter(map(codes.__getitem__, row), np.int64, len(row))
-                row = [b""]
-    yield row, np.fromiter(map(codes.__getitem__, row), np.int64, len(row))
+        for row, endings in zip(batch.column(0), batch.column(1)):
+            yield tuple(np.frombuffer(x.as_py(), kind).astype(np.int64) for x, kind in ((row, "<u4"), (endings, np.uint8)))
 
 
-def _pair_counts(docs: DataFrame, codes, clustered: int, text_col: str) -> np.ndarray:
+def _pair_counts(texts: DataFrame, base: int, clustered: int, sent_endings) -> np.ndarray:
     """Counts of symbol bigrams: the end, the `clustered` - 1 most frequent words, then endings."""
     size = clustered + ENDINGS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
-        for words, row in _rows(batches, codes.value):
-            for i in np.flatnonzero(row >= clustered).tolist():
-                row[i] = clustered + zlib.crc32(words[i][-2:]) % ENDINGS
+        for row, endings in _read(batches):
+            unsent = row >= base
+            row[unsent] = clustered + endings
+            rest = ~unsent & (row >= clustered)
+            row[rest] = clustered + sent_endings.value[row[rest]]
             table += np.bincount(row[:-1] * size + row[1:], minlength=size * size)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["pair", "n"])
 
-    return _square(docs.select(text_bytes(text_col).alias("text")).mapInArrow(count, "pair long, n long"), size)
+    return _square(texts.mapInArrow(count, "pair long, n long"), size)
 
 
 def _square(cells: DataFrame, size: int) -> np.ndarray:
@@ -206,63 +239,69 @@ def _square(cells: DataFrame, size: int) -> np.ndarray:
 _NEAR = "code long, cells binary, n binary"
 
 
+def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary value per start, up to the next."""
+    ends = np.append(starts, len(values)).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def _near_rows(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """A row per code of counts by neighbour: class before, or CLASSES + class after; `keys` ascend."""
     owner = keys // (2 * CLASSES)
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-    ends = np.append(cuts[1:], len(keys)).tolist()
-    cells, counts, starts = (keys % (2 * CLASSES)).astype(np.uint8).tobytes(), n.astype("<u4").tobytes(), cuts.tolist()
     return pa.RecordBatch.from_arrays(
-        [pa.array(owner[cuts]), pa.array([cells[a:b] for a, b in zip(starts, ends)], pa.binary()),
-         pa.array([counts[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary())], ["code", "cells", "n"])
+        [pa.array(owner[cuts]), _binaries((keys % (2 * CLASSES)).astype(np.uint8), cuts), _binaries(n.astype("<u4"), cuts)],
+        ["code", "cells", "n"])
 
 
-def _neighbours(docs: DataFrame, codes, shared, text_col: str, near: bool) -> DataFrame:
+def _neighbours(texts: DataFrame, base: int, shared, near: bool) -> DataFrame:
     """Counts of every code's neighbours' classes (if `near`), and of class bigrams under code -1; tasks add up first.
 
     `shared` has the class of every code, the class of every ending, and the first code that moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, endings, fixed = shared.value
+        group, ending_group, fixed = shared.value
         moves = np.zeros(CLASSES * CLASSES, np.int64)
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         bound = FREQUENT * 2 * CLASSES
         frequent = np.zeros(bound if near else 0, np.int64)
         held: list[np.ndarray] = []
-        waiting = 0
+        rare: list[np.ndarray] = []
+        waiting = rare_waiting = 0
 
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            new = np.concatenate(held) if held else keys[:0]
-            np.add(frequent, np.bincount(new[new < bound], minlength=bound), out=frequent)
-            new, times = np.unique(new[new >= bound], return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            return both, np.bincount(where, np.concatenate([n, times]), len(both)).astype(np.int64)
+        def rare_rows() -> Iterator[pa.RecordBatch]:
+            yield _near_rows(*np.unique(np.concatenate([*rare, np.zeros(0, np.int64)]), return_counts=True))
+            rare.clear()
 
-        for words, row in _rows(batches, codes.value):
-            found = classes_of(row, words, group, endings)
+        for row, endings in _read(batches):
+            found = classes_of(row, endings, base, group, ending_group)
             left, right = row[:-1], row[1:]
             moves += np.bincount(found[:-1] * CLASSES + found[1:], minlength=CLASSES * CLASSES)
             if not near:
                 continue
             a, b = right >= fixed, left >= fixed
-            held += [right[a] * 2 * CLASSES + found[:-1][a], left[b] * 2 * CLASSES + CLASSES + found[1:][b]]
-            waiting += len(row)
-            if waiting > HELD // 2:
-                keys, n = folded()
+            for keys in (right[a] * 2 * CLASSES + found[:-1][a], left[b] * 2 * CLASSES + CLASSES + found[1:][b]):
+                often = keys < bound
+                held.append(keys[often])
+                rare.append(keys[~often])
+                rare_waiting += len(rare[-1])
+            waiting += 2 * len(row)
+            if waiting > HELD:
+                np.add(frequent, np.bincount(np.concatenate(held), minlength=bound), out=frequent)
                 held, waiting = [], 0
-                if len(keys) > HELD:
-                    yield _near_rows(keys, n)
-                    keys, n = keys[:0], n[:0]
+            if rare_waiting > 2 * HELD:
+                yield from rare_rows()
+                rare_waiting = 0
         if near:
-            keys, n = folded()
+            if held:
+                np.add(frequent, np.bincount(np.concatenate(held), minlength=bound), out=frequent)
             used = np.flatnonzero(frequent)
             yield _near_rows(used, frequent[used])
-            yield _near_rows(keys, n)
+            yield from rare_rows()
         # a number of 8 bytes per class bigram, so that sums of tasks pass no limit
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.binary()),
                                           pa.array([moves.tobytes()], pa.binary())], ["code", "cells", "n"])
 
-    return docs.select(text_bytes(text_col).alias("text")).mapInArrow(run, _NEAR)
+    return texts.mapInArrow(run, _NEAR)
 
 
 def _bigrams(near: DataFrame) -> np.ndarray:
@@ -356,9 +395,9 @@ def _classed(counts: DataFrame, codes, shared) -> DataFrame:
         group, endings, _ = shared.value
         for batch in batches:
             words = batch.column(0).to_pylist()
-            row = np.fromiter(map(codes.value.__getitem__, words), np.int64, len(words))
+            row, last = coded(words, codes.value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes_of(row, words, group, endings), pa.int32())],
+                [batch.column(0), batch.column(1), pa.array(classes_of(row, last, codes.value.base, group, endings), pa.int32())],
                 ["word", "n", "class"])
 
     return counts.select("word", "n").mapInArrow(run, "word binary, n long, class int")
@@ -377,19 +416,22 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = MOVES) -> tuple
     clustered = 1 + min(CLUSTERED, len(sent))  # symbol 0 is the end
     codes = spark.sparkContext.broadcast(Codes(list(sent)))
 
-    pairs = _pair_counts(docs, codes, clustered, text_col)
+    with freed_shuffles(spark):
+        texts = scratch.keep(_coded_texts(docs, codes, text_col), "coded-texts")
+    base = 1 + len(sent)
+    sent_endings = np.array([ending(w) for w in (b"", *sent)], np.int64)
+    pairs = _pair_counts(texts, base, clustered, spark.sparkContext.broadcast(sent_endings))
     by_symbol = exchange(pairs)
     ending_group = by_symbol[clustered:]
-    base = 1 + len(sent)
     group = np.full(base + (1 << BITS), NONE, np.uint8)
-    group[:base] = [*by_symbol[:clustered], *(ending_group[ending(w)] for w in list(sent)[clustered - 1:])]
+    group[:base] = np.append(by_symbol[:clustered], ending_group[sent_endings[clustered:]])
 
     # each round counts neighbours and class bigrams under the classes it starts from
     best, bigrams = None, None
     for step in range(rounds + 1):
         shared = spark.sparkContext.broadcast((group, ending_group, clustered))
         with freed_shuffles(spark):
-            near = scratch.keep(_neighbours(docs, codes, shared, text_col, step < rounds), "class-neighbours")
+            near = scratch.keep(_neighbours(texts, base, shared, step < rounds), "class-neighbours")
             found = _bigrams(near)
             if best is not None and likelihood(found) <= likelihood(bigrams):
                 break
@@ -436,32 +478,30 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, id_col: str = "
         m: BrownModel = shared.value
         base = m.codes.base
         text_no = TaskContext.get().partitionId() << 40
-        out: list[tuple] = []
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [[]] * len(kinds)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         def scored(words: list[bytes], docs_of: list, first: int) -> Iterator[pa.RecordBatch]:
             """Rows of texts that lie one after the other in `words`, an end before each and after the last."""
-            row = np.fromiter(map(m.codes.__getitem__, words), np.int64, len(words))
-            found = classes_of(row, words, m.group, m.ending_group)
+            row, endings = coded(words, m.codes)
+            found = classes_of(row, endings, base, m.group, m.ending_group)
             inner, sent = row[1:], row[1:] < base
             stops = np.flatnonzero(inner == 0)
             starts = np.append(0, stops[:-1] + 1)
-            add = lambda values: np.add.reduceat(values, starts).tolist()
+            add = lambda values: np.add.reduceat(values, starts)
             rest = add(np.where(sent, m.log_count[np.where(sent, inner, 0)], 0.0))
             model = add(m.log_move[found[:-1], found[1:]] - m.log_class[found[1:]])
-            known, sizes = add(sent.astype(np.int64)), (stops - starts + 1).tolist()
-            for i, (doc, n) in enumerate(zip(docs_of, sizes)):
-                # a text's own row goes under a key that no word has, so that these rows spread evenly
-                out.append((first + i, b" " + (first + i).to_bytes(8, "little"), None, doc, n,
-                            known[i] - (not m.tokens), rest[i] - n * m.log_total, rest[i] + model[i]))
+            known, sizes, text_no = add(sent.astype(np.int64)), stops - starts + 1, first + np.arange(len(stops))
+            # a text's own row goes under a key that no word has, so that these rows spread evenly
+            columns = [text_no, [b" " + n.to_bytes(8, "little") for n in text_no.tolist()], [None] * len(stops), docs_of, sizes,
+                       known - (not m.tokens), rest - sizes * m.log_total, rest + model]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
             unsent = np.flatnonzero(~sent)
-            local = Counter(zip(np.searchsorted(stops, unsent).tolist(), [words[i + 1] for i in unsent.tolist()]))
-            out.extend((first + i, w, t, None, None, None, None, None) for (i, w), t in local.items())
-            yield rows()
+            here: dict[bytes, int] = defaultdict(numbered().__next__)
+            ids = np.array([here[words[i + 1]] for i in unsent.tolist()], np.int64)
+            pairs, times = np.unique(np.searchsorted(stops, unsent) * len(here) + ids, return_counts=True)
+            text, word = np.divmod(pairs, max(len(here), 1))
+            kept = pa.array(list(here), pa.binary()).take(pa.array(word))
+            yield pa.RecordBatch.from_arrays([pa.array(first + text), kept, pa.array(times, pa.int32()),
+                                              *(pa.nulls(len(kept), t) for t in kinds[3:])], names)
 
         words, docs_of = [b""], []
         for batch in batches:

@@ -327,6 +327,43 @@ def test_rare_words_are_classed_by_their_own_neighbours(spark, monkeypatch, sent
         assert r.score == pytest.approx(total) and r.n_known == r.n_tokens == len(words) + 1
 
 
+def test_rounds_read_stored_codes_cut_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CHUNK", 50)
+    monkeypatch.setattr(brown_lm, "HELD", 64)
+    monkeypatch.setattr(brown_lm, "FREQUENT", 8)
+    rng = random.Random(21)
+    texts = [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(n)) for n in (0, 1, 49, 50, 51, 700, 3, 0, 120)]
+    sent = [f"w{k}".encode() for k in range(20)]
+    codes, shared = brown_lm.Codes(sent), spark.sparkContext.broadcast
+    group = np.full(codes.base + (1 << brown_lm.BITS), brown_lm.NONE, np.uint8)
+    group[:codes.base] = np.arange(codes.base) % 7
+    by_ending = np.arange(brown_lm.ENDINGS) % 5 + 7
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    stored = brown_lm._coded_texts(docs, shared(codes), "text").localCheckpoint()
+    assert stored.count() > 1000 // 50
+    row = [b"", *(w for t in texts for w in [*t.encode().split(), b""])]
+    code = [codes[w] for w in row]
+    kind = [int(group[c]) if c < codes.base else int(by_ending[brown_lm.ending(w)]) for w, c in zip(row, code)]
+    near = brown_lm._neighbours(stored, codes.base, shared((group, by_ending, 5)), True).localCheckpoint()
+    moves, around = np.zeros((brown_lm.CLASSES, brown_lm.CLASSES)), {}
+    for i in range(len(row) - 1):
+        moves[kind[i], kind[i + 1]] += 1
+        for c, cell in ((code[i + 1], kind[i]), (code[i], brown_lm.CLASSES + kind[i + 1])):
+            if c >= 5:
+                around[c, cell] = around.get((c, cell), 0) + 1
+    assert (brown_lm._bigrams(near) == moves).all()
+    found = {}
+    for r in near.filter("code >= 0").collect():
+        for cell, n in zip(bytes(r.cells), np.frombuffer(bytes(r.n), "<u4").tolist()):
+            found[r.code, cell] = found.get((r.code, cell), 0) + n
+    assert found == around
+    symbols = [c if c < 5 else 5 + brown_lm.ending(w) for w, c in zip(row, code)]
+    pairs = np.zeros((5 + brown_lm.ENDINGS, 5 + brown_lm.ENDINGS))
+    np.add.at(pairs, (symbols[:-1], symbols[1:]), 1)
+    endings = np.array([brown_lm.ending(w) for w in (b"", *sent)])
+    assert (brown_lm._pair_counts(stored, codes.base, 5, shared(endings)) == pairs).all()
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(8)
     pairs = rng.poisson(1.0, (40, 40)) + np.kron(np.array([[0, 9], [9, 0]]), np.ones((20, 20)))
