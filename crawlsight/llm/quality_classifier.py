@@ -27,11 +27,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import count as numbered, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +46,11 @@ from .vocabulary import most_frequent
 SAMPLE = 20_000
 SENT = 1 << 17
 LEAST = 2
-HELD = 600_000  # distinct tokens a task holds before it passes their sums on
-CHUNK = 200_000  # tokens added up at a time
+HELD = 6_000_000  # tokens whose sums a task passes on at once
+SORTED = 500_000  # of these, places sorted at a time, unless one token has more
+CHUNK = 50_000    # tokens added up at a time
+ROWS = 20_000     # rows passed on at a time
+SPLIT = 1 << 21   # bytes of texts split at a time
 DIMENSIONS = 64
 NONZERO = 8
 WINDOW = 2
@@ -59,7 +60,74 @@ SLICES = 3       # of the texts, scored one after the other so that only one sli
 HIDDEN = 32
 EPOCHS = 300
 
-tokens_of = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").findall
+tokens_of = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+").findall  # of one text; `_split` is the same for many
+
+# 0 for white space, 1 for letters, 2 for digits, 3 for others, by byte
+_KINDS = bytes(0 if b in b" \t\n\r\f\v" else 1 if b > 127 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3
+               for b in range(256))
+
+
+def _binary(ends: np.ndarray, data) -> pa.Array:
+    """Values that lie one after the other in `data`, each from one of `ends` to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _ends(values: pa.Array) -> np.ndarray:
+    """Where the values of a binary array without nulls begin, and where the last one ends."""
+    if not len(values):
+        return np.zeros(1, np.int32)
+    return np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + len(values) + 1]
+
+
+def _data(values: pa.Array) -> np.ndarray:
+    """The bytes of a binary array, one value after the other."""
+    ends = _ends(values)
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """All rows in order, some at a time: up to the one with which the texts of `column` reach `SPLIT` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        # a row counts for its text and a little, so that empty ones do not pile up
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(int(np.searchsorted(ends, before + SPLIT - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            size += ends[to - 1] - before
+            at = to
+            if size >= SPLIT:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _split(texts: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The tokens of all texts as numbers of distinct ones, one text after the other, and how many each text has."""
+    texts = texts.combine_chunks().cast(pa.binary())
+    raw, ends = _data(texts), _ends(texts).astype(np.int64)
+    ends -= ends[0]
+    if not len(raw):
+        return pa.array([], pa.binary()).dictionary_encode(), np.zeros(len(texts), np.int64)
+    kinds = np.frombuffer(raw.tobytes().translate(_KINDS), np.uint8)
+    begins = np.append(True, kinds[1:] != kinds[:-1])
+    begins[ends[ends < len(raw)]] = True
+    runs = np.flatnonzero(begins)
+    of_token = kinds[runs] > 0
+    tokens = _binary(np.append(runs, len(raw)), raw).filter(pa.array(of_token))
+    return tokens.dictionary_encode(), np.diff(np.searchsorted(runs[of_token], ends))
+
+
+def _listed(values: pa.Array) -> list[bytes]:
+    """As `to_pylist`, but many times faster."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _hashes(names: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, _listed(names)), np.uint32, len(names))
 
 
 def _stretches() -> np.ndarray:
@@ -76,7 +144,7 @@ _STRETCHES = _stretches()
 
 def index_vectors(names: list[bytes]) -> np.ndarray:
     """A row per name."""
-    return index_of_hashes(np.array([zlib.crc32(n) for n in names], np.uint32))
+    return index_of_hashes(_hashes(pa.array(names, pa.binary())))
 
 
 def index_of_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -91,60 +159,54 @@ def index_of_hashes(hashes: np.ndarray) -> np.ndarray:
     return vectors
 
 
-def _packed(sums: np.ndarray) -> list[bytes]:
-    """Rows of whole numbers in the fewest bytes; the length tells the kind."""
+def _raised(hashes: np.ndarray) -> np.ndarray:
+    """Index vectors plus 1, so that no byte is negative and eight bytes add up as one word without a carry."""
+    vectors = index_of_hashes(hashes)
+    vectors += 1
+    return vectors.view(np.uint64)
+
+
+def _packed(sums: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Rows of whole numbers in the fewest bytes, some rows at a time; the length tells the kind."""
     top = np.abs(sums).max(1, initial=0)
-    out = [b""] * len(sums)
     for kind, low, high in (("<i1", -1, 127), ("<i2", 127, 32767), ("<i8", 32767, np.inf)):
-        some = np.flatnonzero((top > low) & (top <= high))
-        raw, size = sums[some].astype(kind).tobytes(), DIMENSIONS * int(kind[2])
-        for k, i in enumerate(some.tolist()):
-            out[i] = raw[k * size:(k + 1) * size]
-    return out
+        every = np.flatnonzero((top > low) & (top <= high))
+        for at in range(0, len(every), ROWS):
+            some = every[at:at + ROWS]
+            yield some, _binary(np.arange(len(some) + 1) * (DIMENSIONS * int(kind[2])), sums[some].astype(kind).tobytes())
 
 
-def _unpacked(rows: list[bytes]) -> np.ndarray:
+def _unpacked(rows: list[bytes] | pa.Array) -> np.ndarray:
     """Sums of whole numbers from `_packed` rows, or from neighbours' hashes where there are few."""
-    out, sizes = np.zeros((len(rows), DIMENSIONS), np.int64), np.array([len(r) for r in rows], np.int64)
+    rows = rows if isinstance(rows, pa.Array) else pa.array(rows, pa.binary())
+    out, sizes = np.zeros((len(rows), DIMENSIONS), np.int64), np.diff(_ends(rows))
     few = np.flatnonzero((sizes > 0) & (sizes < DIMENSIONS))
     if len(few):
-        vectors = index_of_hashes(np.frombuffer(b"".join([rows[i] for i in few.tolist()]), "<u4"))
-        first = np.cumsum(sizes[few] // 4) - sizes[few] // 4
-        out[few] = np.add.reduceat(vectors, first, axis=0, dtype=np.int64)
+        number = sizes[few] // 4
+        sums = np.add.reduceat(_raised(_data(rows.take(pa.array(few))).view("<u4")), np.cumsum(number) - number, axis=0)
+        out[few] = sums.view(np.uint8) - number[:, None]
     for width in (1, 2, 8):
         some = np.flatnonzero(sizes == width * DIMENSIONS)
-        out[some] = np.frombuffer(b"".join([rows[i] for i in some.tolist()]), f"<i{width}").reshape(-1, DIMENSIONS)
+        out[some] = _data(rows.take(pa.array(some))).view(f"<i{width}").reshape(-1, DIMENSIONS)
     return out
 
 
 _SUMS = "word binary, n long, context binary"
 
 
-def _sums_batch(words: list[bytes] | pa.Array, n: np.ndarray, context: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([words if isinstance(words, pa.Array) else pa.array(words, pa.binary()), pa.array(n.astype(np.int64)),
-                                       pa.array(context, pa.binary())], ["word", "n", "context"])
-
-
-def _near(index: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """By place, the sum of the neighbours' index vectors, each plus 1 so that no byte is negative."""
-    padded = np.ones((len(ids) + 2 * WINDOW, DIMENSIONS), np.uint8)
-    padded[WINDOW:-WINDOW] = (index + 1).astype(np.uint8)[ids]
-    out = np.zeros((len(ids), DIMENSIONS), np.uint8)
-    for k in range(2 * WINDOW + 1):
-        if k != WINDOW:
-            out += padded[k:k + len(ids)]
-    return out
+def _sums_batch(words: pa.Array, n: np.ndarray, context: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words, pa.array(n.astype(np.int64)), context], ["word", "n", "context"])
 
 
-def _run_sums(near: np.ndarray, sorted_ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of `near` (already in the order of ids) over each run of one id.
+def _run_sums(near: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums over each run of `near`, whose rows are the sums of all neighbours' `_raised` index vectors.
 
-    Runs are cut into parts so short that eight bytes add up as one word without a carry; parts are added after.
+    Runs are cut into parts so short that bytes do not carry; parts are added after.
     """
     part = 255 // (4 * WINDOW)
-    place = np.arange(len(sorted_ids)) - np.repeat(starts, np.diff(np.append(starts, len(sorted_ids))))
+    place = np.arange(len(near)) - np.repeat(starts, np.diff(np.append(starts, len(near))))
     cuts = np.flatnonzero(place % part == 0)
-    sizes = np.diff(np.append(cuts, len(sorted_ids)))
+    sizes = np.diff(np.append(cuts, len(near)))
     sums = np.add.reduceat(near.view(np.uint64), cuts, axis=0).view(np.uint8).astype(np.int32)
     sums -= (2 * WINDOW * sizes).astype(np.int32)[:, None]
     first = np.searchsorted(cuts, starts)
@@ -157,132 +219,122 @@ def _run_sums(near: np.ndarray, sorted_ids: np.ndarray, starts: np.ndarray) -> n
     return out
 
 
-class _Held:
-    """What a task has added up: per token its count, and its neighbours' hashes while they are few, then their sum."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = defaultdict(numbered().__next__)
-        self.n = np.zeros(0, np.int64)
-        self.near = np.zeros((0, FEW, 2 * WINDOW), np.uint32)
-        self.place = np.zeros(0, np.int64)  # in `sums`, -1 for none
-        self.sums = np.zeros((0, DIMENSIONS), np.int32)
-        self.used = 0
-
-    def _grow(self) -> None:
-        more = len(self.known) - len(self.n)
-        if more > 0:
-            more += len(self.n) // 2 + 1024
-            self.n = np.pad(self.n, (0, more))
-            self.near = np.pad(self.near, ((0, more), (0, 0), (0, 0)))
-            self.place = np.pad(self.place, (0, more), constant_values=-1)
-
-    def _placed(self, tokens: np.ndarray) -> None:
-        """Start sums for tokens that had none, from the neighbours seen so far."""
-        if self.used + len(tokens) > len(self.sums):
-            self.sums = np.pad(self.sums, ((0, len(tokens) + len(self.sums) // 2 + 1024), (0, 0)))
-        self.place[tokens] = self.used + np.arange(len(tokens))
-        before = np.flatnonzero(self.n[tokens] > 0)
-        for at in range(0, len(before), 10_000):
-            some = before[at:at + 10_000]
-            vectors = index_of_hashes(self.near[tokens[some]].ravel()).reshape(len(some), -1, DIMENSIONS)
-            self.sums[self.used + some] = vectors.sum(1, dtype=np.int32)
-        self.used += len(tokens)
-
-    def add(self, row: list[bytes]) -> None:
-        here: dict[bytes, int] = defaultdict(numbered().__next__)
-        ids = np.fromiter(map(here.__getitem__, row), np.int64, len(row))
-        names = list(here)
-        hashes = np.array([zlib.crc32(t) for t in names], np.uint32)  # the empty name between texts has hash 0
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        added = _run_sums(_near(index_of_hashes(hashes), ids)[order], ids[order], starts)
-        times = np.diff(np.append(starts, len(ids)))
-        keep = np.arange(1, len(names))  # a row begins with the empty name
-        to = np.full(len(names), -1)
-        to[keep] = np.fromiter(map(self.known.__getitem__, names[1:]), np.int64, len(names) - 1)
-        self._grow()
-        many = keep[self.n[to[keep]] + times[keep] > FEW]
-        self._placed(to[many[self.place[to[many]] < 0]])
-        self.sums[self.place[to[many]]] += added[many]
-        # neighbours of a token's first occurrences, as long as it has few
-        few = np.zeros(len(names), bool)
-        few[keep] = True
-        few[many] = False
-        at = np.flatnonzero(few[ids[order]])
-        slot = (at - starts[ids[order][at]] if len(at) else at) + self.n[to[ids[order][at]]]
-        padded = np.zeros(len(ids) + 2 * WINDOW, np.uint32)
-        padded[WINDOW:-WINDOW] = hashes[ids]
-        around = [k for k in range(2 * WINDOW + 1) if k != WINDOW]
-        self.near[to[ids[order][at]], slot] = np.stack([padded[order[at] + k] for k in around], 1)
-        self.n[to[keep]] += times[keep]
-
-    def passed_on(self) -> Iterator[pa.RecordBatch]:
-        words = list(self.known)
-        for at in range(0, len(words), 20_000):
-            some = words[at:at + 20_000]
-            n = self.n[at:at + len(some)]
-            context: list[bytes] = [b""] * len(some)
-            dense = np.flatnonzero(n > FEW)
-            for i, c in zip(dense.tolist(), _packed(self.sums[self.place[at + dense]])):
-                context[i] = c
-            few = np.flatnonzero(n <= FEW)
-            hashes = self.near[at + few].reshape(len(few), -1)
-            filled = hashes != 0
-            raw, ends = hashes[filled].tobytes(), np.cumsum(filled.sum(1)) * 4
-            for i, start, stop in zip(few.tolist(), [0, *ends.tolist()], ends.tolist()):
-                context[i] = raw[start:stop]
-            yield _sums_batch(some, n, context)
-        self.__init__()
-
-
-def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n, context) of all tokens: their count, and the sums of their neighbours' index vectors.
+_AROUND = np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
+
+
+def _sums(tokens: list[pa.DictionaryArray], sizes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Per token its count, and its neighbours' hashes if it is seen `FEW` times or less, else their sum.
+
+    `tokens` and `sizes` are those of `_split`; `tokens` is emptied. Equal tokens are brought together by sorting their
+    places, those of some names at a time, and added up.
+    """
+    spare = pa.default_memory_pool()
+    spare.release_unused()  # what splitting has used
+    coded = pa.chunked_array(tokens).unify_dictionaries().chunks
+    tokens.clear()
+    names = coded[0].dictionary
+    n = np.zeros(len(names), np.int64)
+    row = np.full(sum(map(len, coded)) + WINDOW * (sum(map(len, sizes)) + 1), len(names), np.int32)
+    at = 0
+    while coded:
+        ids, size = coded.pop(0).indices.to_numpy(), sizes.pop(0)
+        row[at + np.arange(len(ids)) + WINDOW * np.repeat(np.arange(1, len(size) + 1), size)] = ids
+        at += len(ids) + WINDOW * len(size)
+        n += np.bincount(ids, minlength=len(names))
+        del ids
+    spare.release_unused()
+    hashes = np.append(_hashes(names), np.uint32(0))  # the last one is between texts
+    vectors = _raised(hashes)
+    up_to = np.cumsum(n)
+    first = 0
+    while first < len(names):
+        last = max(first + 1, int(np.searchsorted(up_to, up_to[first] - n[first] + SORTED, side="right")))
+        at = np.flatnonzero((row >= first) & (row < last))
+        at |= row[at].astype(np.int64) << 32
+        at.sort()
+        at &= 0xFFFFFFFF
+        yield from _sums_of(names[first:last], n[first:last], at, row, hashes, vectors)
+        first = last
+
+
+def _sums_of(names: pa.Array, n: np.ndarray, places: np.ndarray, row: np.ndarray, hashes: np.ndarray,
+             vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The same for some names, whose places in `row` lie one name after the other."""
+    is_few = n <= FEW
+    of_few = np.repeat(is_few, n)
+    few, at = np.flatnonzero(is_few), places[of_few]
+    ends = np.append(0, np.cumsum(n[few]))
+    for a in range(0, len(few), ROWS):
+        some = few[a:a + ROWS]
+        b = ends[a:a + ROWS + 1]
+        near = hashes.take(row.take(at[b[0]:b[-1], None] + _AROUND))
+        filled = near != 0
+        stop = np.append(0, np.cumsum(np.add.reduceat(filled.sum(1), b[:-1] - b[0]))) * 4
+        yield _sums_batch(names.take(pa.array(some)), n[some], _binary(stop, near[filled].tobytes()))
+
+    dense, at = np.flatnonzero(~is_few), places[~of_few]
+    sums = np.zeros((len(dense), DIMENSIONS), np.int32)
+    ends = np.cumsum(n[dense])
+    for a in range(0, len(at), CHUNK):
+        some = at[a:a + CHUNK]
+        own = np.searchsorted(ends, np.arange(a, a + len(some)), side="right")
+        near = vectors.take(row.take(some + _AROUND[0]), axis=0)
+        for k in _AROUND[1:]:
+            near += vectors.take(row.take(some + k), axis=0)
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        sums[own[starts]] += _run_sums(near, starts)
+    for some, context in _packed(sums):
+        yield _sums_batch(names.take(pa.array(dense[some])), n[dense[some]], context)
+
+
+def context_sums(docs: DataFrame, text_col: str = "text", least: int = 1) -> DataFrame:
+    """(word, n, context) of all tokens seen `least` times or more: their count, and the sums of their neighbours'
+    index vectors.
 
     The context of a token seen `FEW` times or less is its neighbours' hashes, which give the same sums.
     """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, row = _Held(), [b""] * WINDOW
-        for batch in batches:
-            for text in batch.column(0):
-                row += tokens_of(text.as_py())
-                row += [b""] * WINDOW
-                if len(row) >= CHUNK:
-                    held.add(row)
-                    row = [b""] * WINDOW
-                    if len(held.known) > HELD:
-                        yield from held.passed_on()
-        held.add(row)
-        yield from held.passed_on()
+        tokens, sizes, held = [], [], 0
+        for piece in _pieces(batches, "text"):
+            found, size = _split(piece.column("text"))
+            tokens.append(found)
+            sizes.append(size)
+            held += len(found)
+            if held >= HELD:
+                yield from _sums(tokens, sizes)
+                tokens, sizes, held = [], [], 0
+        if held:
+            yield from _sums(tokens, sizes)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            words = table.column("word").combine_chunks()
+            words, context = table.column("word").combine_chunks(), table.column("context").combine_chunks()
             first = np.flatnonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
             size = np.diff(np.append(first, len(words)))
             counts = np.add.reduceat(table.column("n").to_numpy(), first)
-            raw = table.column("context").to_pylist()
-            context: list[bytes | None] = [raw[i] for i in first.tolist()]  # one row: as it came
-            for g in np.flatnonzero((size > 1) & (counts <= FEW)).tolist():
-                context[g] = b"".join(raw[first[g]:first[g] + size[g]])
-            dense = np.flatnonzero((size > 1) & (counts > FEW))
+            is_dense = (size > 1) & (counts > FEW)
+            # one row as it came, and hashes one after the other
+            ends = _ends(context)
+            joined = _binary(np.append(ends[first], ends[-1]) - ends[0], _data(context))
+            rest = np.flatnonzero(~is_dense & (counts >= least))
+            yield _sums_batch(words.take(pa.array(first[rest])), counts[rest], joined.take(pa.array(rest)))
+            dense = np.flatnonzero(is_dense & (counts >= least))
             if len(dense):
-                rows = np.flatnonzero(np.repeat((size > 1) & (counts > FEW), size))
-                sums = np.add.reduceat(_unpacked([raw[i] for i in rows.tolist()]),
-                                       np.cumsum(size[dense]) - size[dense], axis=0)
-                for g, c in zip(dense.tolist(), _packed(sums)):
-                    context[g] = c
-            yield _sums_batch(words.take(pa.array(first)), counts, context)
+                rows = np.flatnonzero(np.repeat(is_dense & (counts >= least), size))
+                sums = np.add.reduceat(_unpacked(context.take(pa.array(rows))), np.cumsum(size[dense]) - size[dense], axis=0)
+                for some, packed in _packed(sums):
+                    yield _sums_batch(words.take(pa.array(first[dense[some]])), counts[dense[some]], packed)
 
     return (docs.select(text_bytes(text_col).alias("text")).mapInArrow(add, _SUMS)
             .repartition("word").sortWithinPartitions("word").mapInArrow(total, _SUMS))
 
 
-def token_vectors(words: list[bytes], n: np.ndarray, context: list[bytes], total: int) -> np.ndarray:
+def token_vectors(words: list[bytes] | pa.Array, n: np.ndarray, context: list[bytes] | pa.Array, total: int) -> np.ndarray:
     """Weighted context and index vectors, side by side; a token that the corpus lacks has no context."""
-    return hashed_vectors(np.array([zlib.crc32(w) for w in words], np.uint32), n, context, total)
+    return hashed_vectors(_hashes(words if isinstance(words, pa.Array) else pa.array(words, pa.binary())), n, context, total)
 
 
-def hashed_vectors(hashes: np.ndarray, n: np.ndarray, context: list[bytes], total: int) -> np.ndarray:
+def hashed_vectors(hashes: np.ndarray, n: np.ndarray, context: list[bytes] | pa.Array, total: int) -> np.ndarray:
     """The same from the tokens' hashes."""
     sums = _unpacked(context).astype(float)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1)
@@ -291,24 +343,27 @@ def hashed_vectors(hashes: np.ndarray, n: np.ndarray, context: list[bytes], tota
 
 
 class Sent:
-    """The tokens sent to the tasks: their numbers, counts and packed contexts, from which a task makes their vectors."""
+    """The tokens sent to the tasks, their counts and packed contexts, from which a task makes their vectors."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, context: list[bytes], total: int):
-        self.numbers = {w: i for i, w in enumerate(words)}
-        self.n, self.context, self.total = n, context, total
+    def __init__(self, words: pa.Array, n: np.ndarray, context: pa.Array, total: int):
+        self.words, self.n, self.context, self.total = words, n, context, total
         self._made: dict[bytes, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_made": {}}
 
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """The places of `names` among the tokens, -1 for those not sent."""
+        return pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy()
+
     def vectors(self, matrix: np.ndarray) -> np.ndarray:
         """Vectors times `matrix`, made once in a worker."""
         key = matrix.tobytes()
         if key not in self._made:
-            words, out = list(self.numbers), np.zeros((len(self.numbers), matrix.shape[1]), np.float32)
-            for at in range(0, len(words), 10_000):
+            out = np.zeros((len(self.words), matrix.shape[1]), np.float32)
+            for at in range(0, len(self.words), 10_000):
                 to = at + 10_000
-                out[at:to] = token_vectors(words[at:to], self.n[at:to], self.context[at:to], self.total) @ matrix
+                out[at:to] = token_vectors(self.words[at:to], self.n[at:to], self.context[at:to], self.total) @ matrix
             self._made = {key: out}
         return self._made[key]
 
@@ -332,13 +387,14 @@ def build_space(docs: DataFrame, text_col: str = "text") -> Space:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     with freed_shuffles(spark):
-        table = scratch.keep(context_sums(docs, text_col).filter(F.col("n") >= LEAST), "token-contexts")
+        table = scratch.keep(context_sums(docs, text_col, LEAST), "token-contexts")
     with freed_shuffles(spark):
         total = table.agg(F.sum("n")).first()[0] or 0
         short = F.length("word") <= LONGEST
         _, least = most_frequent(table.filter(short).select("word", "n"), SENT)
         rows = table.filter((F.col("n") >= least) & short).toPandas()
-    sent = Sent(list(map(bytes, rows["word"])), rows["n"].to_numpy(float), list(map(bytes, rows["context"])), total)
+    sent = Sent(pa.array(map(bytes, rows["word"]), pa.binary()), rows["n"].to_numpy(float),
+                pa.array(map(bytes, rows["context"]), pa.binary()), total)
     rare = table.filter((F.col("n") < least) | ~short)
     with freed_shuffles(spark):
         bits = bit_table(rare.select("word").mapInArrow(_keys, "key long"))
@@ -351,7 +407,7 @@ def _key(words: list[bytes]) -> np.ndarray:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_key(batch.column(0).to_pylist()).view(np.int64))], ["key"])
+        yield pa.RecordBatch.from_arrays([pa.array(_key(_listed(batch.column(0))).view(np.int64))], ["key"])
 
 
 _PARTS = "text_no long, local int, word binary, times int, doc_id long, label int, vector binary"
@@ -366,15 +422,13 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
     names_of, width = [f.split()[0] for f in _PARTS.split(", ")], matrix.shape[1]
 
-    def rows_of(tokens: list[bytes], sizes: list[int], docs_of: list, labels_of: list, text_no: int) -> Iterator[pa.RecordBatch]:
+    def rows_of(tokens: pa.DictionaryArray, sizes: np.ndarray, docs_of: pa.Array, labels_of: pa.Array, text_no: int) -> Iterator[pa.RecordBatch]:
         """Rows of texts whose tokens lie one after the other."""
-        sent, vectors = shared.value.numbers, shared.value.vectors(by_part.value)
-        here: dict[bytes, int] = defaultdict(numbered().__next__)
-        ids = np.fromiter(map(here.__getitem__, tokens), np.int64, len(tokens))
-        names = list(here)
-        number = np.fromiter(map(sent.get, names, repeat(-1)), np.int64, len(names))
+        vectors = shared.value.vectors(by_part.value)
+        ids, names = tokens.indices.to_numpy(), tokens.dictionary
+        number = shared.value.numbers(names)
         rest = np.flatnonzero(number < 0)
-        unsent = [names[i] for i in rest.tolist()]
+        unsent = _listed(names.take(pa.array(rest)))
         joined = np.zeros(len(names), bool)
         joined[rest] = in_table(space_bits.value, _key(unsent))
         # a token that is neither sent nor joined is seen once: its index vector alone
@@ -399,52 +453,42 @@ def pooled(texts: DataFrame, space: Space, matrix: np.ndarray | None = None) ->
         # a text's own row goes under a key that no token has, so that these rows spread evenly
         number_of = text_no + np.arange(len(sizes))
         columns = [number_of, np.full(len(sizes), -1), [b" " + n.to_bytes(8, "little") for n in number_of.tolist()], sizes, docs_of,
-                   labels_of, [v.tobytes() for v in own]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names_of)
+                   labels_of, _binary(np.arange(len(sizes) + 1) * (8 * width), own.tobytes())]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names_of)
         text, name, times = text[seen], name[seen], times[seen]
-        for at in range(0, len(text), 20_000):
-            some = slice(at, at + 20_000)
-            words = pa.array([names[i] for i in name[some].tolist()], pa.binary())
+        for at in range(0, len(text), ROWS):
+            some = slice(at, at + ROWS)
+            words = names.take(pa.array(name[some]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(text_no + text[some]), pa.array(name[some], pa.int32()), words, pa.array(times[some], pa.int32()),
                  *(pa.nulls(len(words), t) for t in kinds[4:])], names_of)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_no = TaskContext.get().partitionId() << 40
-        tokens, sizes, docs_of, labels_of = [], [], [], []
-        for batch in batches:
-            for doc, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = tokens_of(text.as_py())
-                tokens += found
-                sizes.append(len(found))
-                docs_of.append(doc)
-                labels_of.append(label)
-                if len(tokens) >= CHUNK or len(sizes) >= 20_000:
-                    yield from rows_of(tokens, sizes, docs_of, labels_of, text_no)
-                    text_no += len(sizes)
-                    tokens, sizes, docs_of, labels_of = [], [], [], []
-        if sizes:
-            yield from rows_of(tokens, sizes, docs_of, labels_of, text_no)
+        for piece in _pieces(batches, "text"):
+            tokens, sizes = _split(piece.column("text"))
+            yield from rows_of(tokens, sizes, *(piece.column(c).combine_chunks() for c in ("doc_id", "label")), text_no)
+            text_no += len(sizes)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             local = table.column("local").to_numpy()
             heads, rest = np.flatnonzero(local < 0), np.flatnonzero(local >= 0)
             values = np.zeros((len(local), width))
-            values[heads] = np.frombuffer(b"".join(table.column("vector").take(heads).to_pylist()), "<f8").reshape(-1, width)
+            values[heads] = _data(table.column("vector").take(heads).combine_chunks()).view("<f8").reshape(-1, width)
             for at in range(0, len(rest), 20_000):
                 some = rest[at:at + 20_000]
                 part = table.select(["hash", "n", "context", "times"]).take(some)
                 vectors = hashed_vectors(part.column("hash").to_numpy().astype(np.uint32),
                                          part.column("n").fill_null(0).to_numpy().astype(float),
-                                         [c or b"" for c in part.column("context").to_pylist()], total)
+                                         part.column("context").fill_null(b"").combine_chunks(), total)
                 values[some] = vectors * part.column("times").to_numpy()[:, None] @ by_part.value
             values = np.add.reduceat(values, heads, axis=0)
             values /= np.maximum(table.column("times").take(heads).to_numpy(), 1)[:, None]
             own = table.take(heads)
             yield pa.RecordBatch.from_arrays(
                 [own.column("doc_id").combine_chunks(), own.column("label").combine_chunks(),
-                 pa.array([v.tobytes() for v in values], pa.binary())], ["doc_id", "label", "vector"])
+                 _binary(np.arange(len(values) + 1) * (8 * width), values.tobytes())], ["doc_id", "label", "vector"])
 
     # a token's index vector follows from its hash, so its bytes stay behind
     return (texts.select("doc_id", "label", "text").mapInArrow(split, _PARTS)
@@ -533,7 +577,7 @@ def score(docs: DataFrame, space: Space, network: Network, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f8").reshape(batch.num_rows, first.shape[1])
+            x = _data(batch.column(2)).view("<f8").reshape(batch.num_rows, first.shape[1])
             hidden = np.tanh(x - network.mean @ first + network.b1)
             logits = (hidden @ network.w2 + network.b2) / network.temperature
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))],

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -424,6 +426,47 @@ def test_rare_words_of_one_shape_tell_texts_apart(spark, monkeypatch):
     assert all((quality_classifier._unpacked([b])[0] == brute[w]).all() for w, (_, b) in table.items())
 
 
+def test_texts_are_split_and_summed_on_arrays(monkeypatch):
+    def table(texts):
+        found, sizes = zip(*(quality_classifier._split(p.column("text")) for p in quality_classifier._pieces(
+            [pa.record_batch({"text": pa.array(texts[a:a + 70], pa.binary())}) for a in range(0, len(texts), 70)], "text")))
+        return found, np.concatenate(sizes), pa.Table.from_batches(quality_classifier._sums(list(found), list(sizes)))
+
+    rng = random.Random(16)
+    odd = [b"", bytes(range(256)), b" \t\n\x0b\x0c\r", b"a", b"", b"a1--b\x1c\x85\xa0", b"", "é9\u2003ß".encode(), b"z" * 5000 + b" ", b""]
+    texts = odd + [b" ".join(b"w%d" % min(rng.randrange(3000), rng.randrange(3000)) for _ in range(rng.randrange(90))) for _ in range(200)]
+    texts += [b"x y " * 300, *odd, b""]  # sums beyond a byte
+    monkeypatch.setattr(quality_classifier, "SPLIT", 3000)
+    monkeypatch.setattr(quality_classifier, "SORTED", 900)
+    monkeypatch.setattr(quality_classifier, "CHUNK", 500)
+    monkeypatch.setattr(quality_classifier, "ROWS", 300)
+    found, sizes, sums = table(texts)
+    tokens = [quality_classifier.tokens_of(t) for t in texts]
+    assert len(found) > 5 and [w for f in found for w in f.to_pylist()] == sum(tokens, [])
+    assert sizes.tolist() == [len(w) for w in tokens]
+    n, brute = {}, {}
+    for w in tokens:
+        v = quality_classifier.index_vectors(w).astype(int)
+        for i, x in enumerate(w):
+            n[x] = n.get(x, 0) + 1
+            brute[x] = brute.get(x, 0) + sum((v[k] for k in range(max(0, i - 2), min(len(w), i + 3)) if k != i), np.zeros(64, int))
+    assert len(sums) == len(n) and dict(zip(sums["word"].to_pylist(), sums["n"].to_pylist())) == n
+    for word, context in zip(sums["word"].to_pylist(), sums["context"].to_pylist()):
+        assert (quality_classifier._unpacked([context])[0] == brute[word]).all()
+    monkeypatch.undo()
+
+    # no work per token in Python: not much dearer than one pass of the expression
+    texts = [b" ".join(b"word%d" % min(rng.randrange(30_000), rng.randrange(30_000)) for _ in range(300)) for _ in range(2000)]
+
+    def seconds(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    split = min(seconds(lambda: [quality_classifier.tokens_of(t) for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: table(texts)) for _ in range(3)) < 3 * split
+
+
 def test_texts_are_scored_a_slice_at_a_time(spark, monkeypatch):
     rng = random.Random(15)
     long = " ".join(f"w{rng.randrange(30_000)}x" for _ in range(60_000))  # more tokens than are added up at a time
