@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,53 @@ def test_blocks_of_a_long_piece_count_every_phrase_once(monkeypatch):
         assert found == Counter(b" ".join(words[i:i + k]) for i in range(len(words) - k + 1))
 
 
+class Taken:
+    """Stands in for a frame: keeps the function that mapInArrow is given."""
+
+    def mapInArrow(self, function, _):
+        self.function = function
+        return self
+
+    def __getattr__(self, _):
+        return lambda *_, **__: self
+
+
+def test_phrases_come_back_in_short_batches_however_many_there_are():
+    frame, words = Taken(), [f"w{k}" for k in range(150_000)]
+    text = (" ".join(words) + ". " + " ".join(words[:10])).encode()
+    collocations._phrase_counts(frame, type("Table", (), {"value": np.full(1 << (collocations.BITS - 3), 255, np.uint8)}))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([7], pa.int64()), pa.array([text])], ["lang", "lang_seed", "text"])
+    got = list(frame.function([batch]))
+    assert max(b.num_rows for b in got) <= 1 << 16
+    found = Counter()
+    for b in got:
+        for row in b.to_pylist():
+            found[row["lang"], row["phrase"].decode(), row["words"]] += row["n"]
+    want = Counter(("en", " ".join(part[i:i + k]), k) for part in (words, words[:10]) for k in range(1, 5) for i in range(len(part) - k + 1))
+    assert found == want
+
+
+def test_chunks_hold_a_quarter_of_a_million_words():
+    rows = [" ".join(f"w{k % 977}" for k in range(i, i + 1000)).encode() for i in range(600)]
+    sizes = [len(chunk.ids) for chunk, _ in collocations._chunks([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])])]
+    assert sum(sizes) == 600_000 and max(sizes) <= (1 << 18) + 1000
+
+
+def test_mining_hands_python_batches_of_few_bytes(spark, tables, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, counts = spark.conf.get(name), collocations.counts
+
+    def measured(docs, *rest):
+        long = docs.sparkSession.range(300, numPartitions=1).select(F.expr("repeat('a', 100000)").alias("text"))
+        seen.extend(r.n for r in long.mapInArrow(lambda batches: (pa.table({"n": [b.nbytes]}).to_batches()[0] for b in batches), "n long").collect())
+        return counts(docs, *rest)
+
+    monkeypatch.setattr(collocations, "counts", measured)
+    assert queries.op11_phrase_collocation(spark, tables).count() > 5
+    assert sum(seen) >= 30_000_000 and max(seen) < 5_000_000
+    assert spark.conf.get(name) == before
+
+
 def test_contamination(spark, tables):
     split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = {}
